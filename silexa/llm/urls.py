@@ -64,7 +64,7 @@ def _level(keys: DataFrame, level: int, bits: int) -> np.ndarray:
     rows = (
         keys.select(F.explode(_positions(F.col("h"), level, bits)).alias("p"))
         .groupBy((F.col("p") / 64).cast("long").alias("word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("mask"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("mask"))
         .toPandas()
     )
     words = np.zeros((bits + 63) // 64, dtype=np.int64)
