@@ -366,8 +366,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the remaining text of every row (characters cut in two by a removal go as well) and its length in ``n_chars``, where there is such a column."""
     source, marks = mark_repeats(docs)
     rows = source.join(marks, ["_doc", "_tie"], "left").select(*docs.columns, "_places")
-    at = docs.columns.index("text")
-    count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    names = docs.columns
+    at = names.index("text")
+    count = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,11 +379,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 else:
                     raw = text.encode()
                     texts.append(cut(raw, removed_spans(len(raw), places)).decode("utf-8", "ignore"))
-            columns = [batch.column(i) for i in range(len(docs.columns))]
+            columns = [batch.column(i) for i in range(len(names))]
             new = pa.array(texts, pa.string())
             columns[at] = new
             if count is not None:
                 columns[count] = pc.utf8_length(new).cast(columns[count].type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(run, docs.schema)
