@@ -3,7 +3,8 @@
 Every text becomes its set of word shingles (see ``shingles``); texts with the same set are one node. Shingles are ordered rare first (by a
 table of frequent shingles, then by hash). For a set of n shingles at least ``ceil(t n)`` must be shared, so any linked pair shares at least L of the first
 n - ceil(t n) + L shingles on both sides. Each set chooses its own L from 1 to ``MOST``: the one with the least estimated candidate cost (occurrences on the longer
-prefix, and candidates left when L of them must agree). A pair is verified only if it shares min(L, L') prefix shingles.
+prefix, and candidates left when L of them must agree). A pair is verified only if it shares min(L, L') prefix shingles
+at places that leave room for enough others behind them.
 
 Steps, all on Spark: (1) one pass for nodes and the frequent shingles, (2) one pass that sends prefixes to their shingle and keeps those met twice,
 (3) per shingle every set is verified against one hub (the most typical set), and links are contracted to components, (4) each set that shares
@@ -107,7 +108,7 @@ def _prefixes(tokens: np.ndarray, hot: np.ndarray, level: np.ndarray) -> tuple[n
 
 
 def postings(docs: DataFrame, hot: np.ndarray, level: np.ndarray) -> DataFrame:
-    """(salt, token, node, n, least, typical) of the prefix of every set; once a node in each task."""
+    """(salt, token, node, meta) of the prefix of every set, once a node in each task; meta packs place, n, least and typical."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, level))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +121,7 @@ def postings(docs: DataFrame, hot: np.ndarray, level: np.ndarray) -> DataFrame:
                     continue
                 seen.add(node)
                 tokens, levels, least, typical = _prefixes(s, hot_, level_)
-                out.append((tokens, levels, np.full(len(tokens), node, dtype=np.int64), np.full(len(tokens), len(s) << 16 | least << 8 | typical, dtype=np.int64)))
+                out.append((tokens, levels, np.full(len(tokens), node, dtype=np.int64), np.arange(len(tokens), dtype=np.int64) << 36 | (len(s) << 9 | least << 6 | typical)))
             if len(seen) > 500_000:
                 seen = set()
             if out:
@@ -240,7 +241,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     nodes = rows.filter("node >= 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("node", "r.doc_id", "r.key")
     nodes = materialise(nodes, "nodes")
     met = postings(docs.filter("doc_id is not null"), *_frequent(described)).repartition(partitions(spark), "salt", "token").mapInArrow(_met_twice, "token long, node long, meta long")
-    met = materialise(met, "met").select("token", "node", F.shiftright("meta", 16).alias("n"), F.shiftright("meta", 8).bitwiseAND(255).alias("least"), F.col("meta").bitwiseAND(255).alias("typical"))
+    met = materialise(met, "met").select("token", "node", F.shiftright("meta", 36).alias("place"), F.shiftright("meta", 9).bitwiseAND((1 << 27) - 1).alias("n"), F.shiftright("meta", 6).bitwiseAND(7).alias("least"), F.col("meta").bitwiseAND(63).alias("typical"))
 
     hubs = met.groupBy("token").agg(F.max(F.struct("typical", "n", "node")).alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     near = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * PERCENT
@@ -253,15 +254,19 @@ def link_documents(docs: DataFrame) -> DataFrame:
     links = verified(docs, nodes, targets.unionByName(probes), "star")
 
     label = materialise(components(links), "labels")
-    seen = met.join(label, "node", "left").select("token", "node", "n", "least", F.coalesce("label", "node").alias("label"))
+    # Of the shingles that a linked pair shares, each of the first MOST has at most MOST - 1 shared ones before it and all others behind it on both
+    # sides; a pair needs t / (1 + t) of n + n' in common. Shingles too far back for that cannot be among those first ones.
+    room = ((100 + PERCENT) * (F.col("n") - F.col("place") + (MOST - 1)) - PERCENT * F.col("n")).alias("room")
+    seen = met.join(label, "node", "left").select("token", "node", "n", "least", room, F.coalesce("label", "node").alias("label"))
     size = label.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     # Per shingle and component: its size range, so that one row stands for all of its members.
-    by_list = seen.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("least").alias("other")).join(size, "label", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    by_list = seen.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("least").alias("other"), F.max("room").alias("their_room")).join(size, "label", "left").withColumn("members", F.coalesce("members", F.lit(1)))
     mixed = by_list.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
     by_list = materialise(by_list.join(mixed, "token", "left_semi"), "lists")
     left = seen.join(by_list.select("token", "label", "members"), ["token", "label"])
-    right = by_list.select("token", F.col("label").alias("group"), "low", "high", "other", F.col("members").alias("size"))
+    right = by_list.select("token", F.col("label").alias("group"), "low", "high", "other", "their_room", F.col("members").alias("size"))
     fits = (F.col("n") * 100 >= F.col("low") * PERCENT) & (F.col("high") * 100 >= F.col("n") * PERCENT)
+    fits &= (F.col("room") >= PERCENT * F.col("low")) & (F.col("their_room") >= PERCENT * F.col("n"))
     smaller = (F.col("members") < F.col("size")) | ((F.col("members") == F.col("size")) & (F.col("label") < F.col("group")))
     across = left.join(right, "token").filter((F.col("label") != F.col("group")) & fits & smaller)
     across = across.groupBy("group", "node").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("least", "other")).alias("wanted"), F.first("size").alias("size")).filter("shared >= wanted")
