@@ -86,7 +86,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
+    size = 1 << max(16, int(n - 1).bit_length())
     if size not in _POWERS:
         out = []
         for base in (_BASE, _INVERSE):

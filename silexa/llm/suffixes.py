@@ -35,8 +35,9 @@ from .common import RangeHash, buffer_of, chunks, materialise, mix, partitions
 LENGTH = 100
 GRAM = 24
 LARGE = 4000
-CHUNK = 1 << 20
-BLOCK = 1 << 20
+#: Bytes of text that a task's kernels hold at once; their arrays take about a hundred times as much.
+CHUNK = 1 << 18
+BLOCK = 1 << 18
 LAST = (1 << 63) - 1
 _MARK = 1 << 62
 
@@ -237,7 +238,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 2: (key, doc, tie, start, windows, bytes). Kind 3: one row for each window, its digests in key and start's place, no bytes."""
     names = ["kind", "key", "content", "doc", "tie", "place", "bytes"]
     types = [pa.int64()] * 6 + [pa.binary()]
-    for batch in batches:
+    for batch in chunks(batches, "text", CHUNK):
         rows: list[tuple] = []
         size = 0
         for doc, tie, text, wants in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -340,7 +341,7 @@ def removal_report(docs: DataFrame) -> DataFrame:
     rows = source.join(marks, ["_doc", "_tie"], "left").select("doc_id", "text", "_places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, "text", CHUNK):
             out = []
             for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode()
@@ -371,7 +372,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     count = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, "text", CHUNK):
             texts = []
             for text, places in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if text is None or not places:
