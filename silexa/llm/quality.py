@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 FIT_ROWS = 3000
 FIT_BYTES = 6 << 20
 DICT_BYTES = 65536
@@ -88,7 +90,8 @@ def fit(texts: list[bytes], labels: list[int], seed_bytes: int = FIT_BYTES) -> M
     y = np.array(labels)
     if len(set(labels)) < 2 or min((y == 0).sum(), (y == 1).sum()) < 4:
         return None
-    half = np.arange(len(y)) % 2 == 0
+    # Every second text of each class.
+    half = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) % 2 == 1
     dicts = []
     for k in (1, 0):
         pieces = [t[i : i + PIECE] for t, own, h in zip(texts, labels, half, strict=True) if own == k and h for i in range(0, len(t), PIECE)]
@@ -149,7 +152,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
 def score_quality(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """``keep`` columns of every document and its score; the text leaves the JVM once and only the score comes back."""
     kept = [c for c in keep if c != name]
-    source = docs.select(*kept, docs["text"].alias("_text"))
+    (hidden,) = fresh(kept, "_text")
+    source = docs.select(*kept, docs["text"].alias(hidden))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), f"`{name}` double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
