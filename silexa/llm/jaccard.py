@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, materialise, mix, partitions
+from .common import chunks, fresh, materialise, mix, partitions
 from .graph import components
 from .shingles import shingle_sets
 
@@ -294,6 +294,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     # Of rows that share an id one stays: the least text, source and language.
     from pyspark.sql import Window
 
+    (nth,) = fresh(docs.columns, "_nth")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[c for c in docs.columns if c not in ("doc_id", "text")])
-    with_id = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+    with_id = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).drop(nth)
     return with_id.unionByName(docs.filter("doc_id is null")).select(*docs.columns)

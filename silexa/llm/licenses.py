@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import buffer_of, chunks
+from .common import buffer_of, chunks, fresh
 
 #: (phrase, label): fixed values of the contract.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -181,12 +181,13 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     columns = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())]
     spans = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("words", pa.int64()), ("confidence", pa.float64())]))
     kept = [c for c in keep if c not in {n for n, _ in columns} | {"detections"}]
-    source = docs.select(*kept, docs[text].alias("_text"))
+    (hidden,) = fresh(kept, "_text")
+    source = docs.select(*kept, docs[text].alias(hidden))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     schema = (types + ", " if types else "") + "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<label string, first long, words long, confidence double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text"):
+        for batch in chunks(batches, hidden):
             data, offsets = buffer_of(batch.column(len(kept)), pad=1)
             low = data.tobytes().translate(_LOWER)
             inside = _IS_WORD[np.frombuffer(low, dtype=np.uint8)]

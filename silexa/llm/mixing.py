@@ -7,7 +7,7 @@ words stops there and the excess goes to the others by weight. The levels come f
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; rows that share a doc_id share
 their draw; an empty table gives an empty result; further columns pass through untouched, but columns named ``size``, ``source_size``,
-``target``, ``rate`` or ``taken`` are replaced.
+``target``, ``rate``, ``copies`` or ``copy`` give way to the operator's own.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -64,8 +64,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: f
 
 def mix_rates(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: str = SEED) -> DataFrame:
     """``docs`` with size, source_size, target, rate and copies; ``docs`` needs doc_id, source and size."""
-    targets = source_targets(docs.select("source", "size"), weights, budget, most).withColumnRenamed("source", "_source")
-    out = docs.join(targets, docs["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
+    (name,) = fresh(docs.columns, "_source")
+    targets = source_targets(docs.select("source", "size"), weights, budget, most).withColumnRenamed("source", name)
+    out = docs.join(targets, docs["source"].eqNullSafe(F.col(name)), "left").drop(name)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     fraction = F.col("rate") - F.floor("rate")
     return out.withColumn("rate", rate).withColumn("copies", F.floor("rate") + F.when(draw(F.col("doc_id"), seed) < fraction, 1).otherwise(0))

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, buffer_of, chunks, materialise, mix, partitions
+from .common import RangeHash, buffer_of, chunks, fresh, materialise, mix, partitions
 
 LENGTH = 100
 GRAM = 24
@@ -316,13 +316,14 @@ def removed_spans(size: int, places: list[int]) -> list[tuple[int, int]]:
     return list(zip(a[np.append(0, cut)].tolist(), reach[np.append(cut - 1, len(a) - 1)].tolist(), strict=True))
 
 
-def mark_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents as doc, tie, text plus their own columns, marks as doc, tie, places)."""
+def mark_repeats(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a further column of marks, and the name of that column; names of the documents' own columns are left alone."""
     spark = docs.sparkSession
+    doc, tie, places = fresh(docs.columns, "_doc", "_tie", "_places")
     key = F.xxhash64("text")
     twice = docs.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).filter("a <> b or doc_id is null").limit(1).count()
-    source = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(LAST)), "_tie": key if twice else F.lit(0).cast("long")})
-    rows = source.select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+    source = docs.withColumns({doc: F.coalesce("doc_id", F.lit(LAST)), tie: key if twice else F.lit(0).cast("long")})
+    rows = source.select(F.col(doc).alias("doc"), F.col(tie).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     n = partitions(spark)
     met = rows.mapInArrow(_ranges, _SCHEMA).repartition(n, "key").mapInArrow(_meet, "kind long, key long, doc long, tie long, place long")
     met = materialise(met, "met")
@@ -332,13 +333,13 @@ def mark_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = parts.repartition(n, "key").sortWithinPartitions("kind", "key")
     marks = parts.mapInArrow(_resolve, "doc long, tie long, place long").unionByName(met.filter("kind = 1").select("doc", "tie", "place"))
     # At most one mark for each byte of a document: a group is never larger than its text.
-    return source, materialise(marks.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list("place").alias("_places")), "marks")
+    marks = materialise(marks.groupBy(F.col("doc").alias(doc), F.col("tie").alias(tie)).agg(F.collect_list("place").alias(places)), "marks")
+    return source.join(marks, [doc, tie], "left").select(*docs.columns, places), places
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    source, marks = mark_repeats(docs.select("doc_id", "text"))
-    rows = source.join(marks, ["_doc", "_tie"], "left").select("doc_id", "text", "_places")
+    rows, _ = mark_repeats(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):
@@ -365,8 +366,7 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the remaining text of every row (characters cut in two by a removal go as well) and its length in ``n_chars``, where there is such a column."""
-    source, marks = mark_repeats(docs)
-    rows = source.join(marks, ["_doc", "_tie"], "left").select(*docs.columns, "_places")
+    rows, _ = mark_repeats(docs)
     names = docs.columns
     at = names.index("text")
     count = names.index("n_chars") if "n_chars" in names else None

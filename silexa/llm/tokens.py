@@ -22,6 +22,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import fresh
+
 MARK = "▁"
 UNKNOWN = 10.0
 CACHE = 400_000
@@ -98,7 +100,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", k
     """``keep`` columns, n_tokens and the best score of every text. Each executor reads the vocabulary file at ``path``."""
     path = path or os.environ.get("TOKENIZER_FILE", FILE)
     kept = [c for c in keep if c not in ("n_tokens", "best_score")]
-    source = docs.select(*kept, docs[text].alias("_text"))
+    (hidden,) = fresh(kept, "_text")
+    source = docs.select(*kept, docs[text].alias(hidden))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "n_tokens long, best_score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

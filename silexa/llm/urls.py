@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import fresh, materialise
 
 #: (rule, action), as the contract of the query fixes them.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -141,29 +141,30 @@ def judge_urls(pages: DataFrame, listed_hosts: DataFrame, rules: Sequence[tuple[
     """
     lengths = sorted({len(r[r.index("/") :]) for r, _ in rules} | {0})
     host, path = url_parts(F.col("url"))
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "_keys", "_listed")]
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    keys, flags, row, found_keys, met = fresh(names, "_keys", "_listed", "_row", "_found", "_hits")
     parts = pages.select(*names, host.alias("host"), path.alias("path"))
-    keyed = parts.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths))
-    asked = keyed.select(F.explode(F.array_distinct("_keys")).alias("key")).distinct()
+    keyed = parts.withColumn(keys, candidate_keys(F.col("host"), F.col("path"), lengths))
+    asked = keyed.select(F.explode(F.array_distinct(keys)).alias("key")).distinct()
     rule_rows = pages.sparkSession.createDataFrame([(r,) for r, _ in rules], "key string")
     # The only join of the build: it marks the listed keys in the universe, once per distinct key and never per page.
     marks = listed_hosts.select(F.col("host").alias("key")).union(rule_rows).distinct().withColumn("listed", F.lit(True))
     universe = materialise(asked.join(marks, "key", "left").select("key", key_hash(F.col("key")).alias("h"), F.coalesce("listed", F.lit(False)).alias("listed")), "universe")
     cascade = build_cascade(universe.select("h", "listed"), max_bytes=max_bytes)
     if cascade is not None:
-        keyed = keyed.withColumn("_listed", cascade.listed(F.transform("_keys", key_hash)))
-        hits = F.filter(F.transform(F.arrays_zip("_keys", "_listed"), lambda x: F.when(x["_listed"], x["_keys"])), lambda x: x.isNotNull())
+        keyed = keyed.withColumn(flags, cascade.listed(F.transform(keys, key_hash)))
+        hits = F.filter(F.transform(F.arrays_zip(F.col(keys).alias("k"), F.col(flags).alias("f")), lambda x: F.when(x["f"], x["k"])), lambda x: x.isNotNull())
     else:
-        rows = keyed.withColumn("_row", F.monotonically_increasing_id())
+        rows = keyed.withColumn(row, F.monotonically_increasing_id())
         rows = materialise(rows, "keyed")
-        found = rows.select("_row", F.explode("_keys").alias("key")).join(universe.filter("listed"), "key", "left_semi").groupBy("_row").agg(F.collect_set("key").alias("_found"))
-        keyed = rows.join(found, "_row", "left")
-        hits = F.coalesce(F.col("_found"), F.array().cast("array<string>"))
-    keyed = keyed.withColumn("_hits", hits)
+        found = rows.select(row, F.explode(keys).alias("key")).join(universe.filter("listed"), "key", "left_semi").groupBy(row).agg(F.collect_set("key").alias(found_keys))
+        keyed = rows.join(found, row, "left")
+        hits = F.coalesce(F.col(found_keys), F.array().cast("array<string>"))
+    keyed = keyed.withColumn(met, hits)
     action = F.create_map(*[F.lit(x) for r in rules for x in r])
-    own = F.filter("_hits", lambda k: F.array_contains(F.map_keys(action), k))
+    own = F.filter(met, lambda k: F.array_contains(F.map_keys(action), k))
     longest = F.array_max(F.transform(own, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
     keyed = keyed.withColumn("rule", longest)
-    blocked = F.exists("_hits", lambda k: ~F.contains(k, F.lit("/")))
+    blocked = F.exists(met, lambda k: ~F.contains(k, F.lit("/")))
     verdict = F.when(F.col("rule").isNotNull(), F.element_at(action, F.col("rule"))).when(blocked, "block").otherwise("allow")
     return keyed.select(*names, "host", "path", "rule", verdict.alias("verdict"))

@@ -1,0 +1,394 @@
+"""The ten operators against brute force, round trips and defined cases."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from silexa.llm import decontaminate, jaccard, licenses, media, mixing, quality, shingles, suffixes, tokens, toxicity, urls
+from silexa.llm.graph import components
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return brute.documents()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, brute.DOCUMENTS).repartition(3).persist()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], brute.DOCUMENTS)
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+# media
+
+
+def test_media_gives_back_every_byte(docs, rows):
+    found = by_id(media.media_columns(docs, with_media=True))
+    for i, t, *_ in rows:
+        raw = (t or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        r = found[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert r["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest() and r["media_bytes"] == len(r["media"])
+        assert bytes(r["media"][:2]) == b"\xff\xd8" and bytes(r["media"][-2:]) == b"\xff\xd9"
+
+
+def test_media_of_all_byte_values_and_of_more_than_one_file():
+    rng = np.random.default_rng(1)
+    for n in (192, 192 * 7, 192 * (media.ROWS_PER_FILE + 3)):
+        payload = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+        assert b"".join(t.tobytes() for t in media.decode(media.encode([payload]))[0]) == payload
+    flat = bytes([255] * 192 + [0] * 192)
+    assert b"".join(t.tobytes() for t in media.decode(media.encode([flat]))[0]) == flat
+
+
+def test_media_refuses_other_files():
+    with pytest.raises(ValueError):
+        media.decode([b"GIF89a"])
+
+
+# quality
+
+
+def _labelled(n, seed=3):
+    rng = np.random.default_rng(seed)
+    good = "the study measured long term outcomes of patients who followed a steady plan and reported careful results in each group".split()
+    bad = "buy cheap click now free $$$ win winner prize !!! http xx offer limited deal hot".split()
+    texts, labels = [], []
+    for i in range(n):
+        y = i % 2
+        texts.append(" ".join(rng.choice(good if y else bad, 60)).encode())
+        labels.append(y)
+    return texts, labels
+
+
+def test_quality_holds_on_texts_it_has_not_seen():
+    model = quality.fit(*_labelled(200))
+    texts, labels = _labelled(80, seed=8)
+    s = quality.scores(model, texts)
+    assert ((s >= quality.THRESHOLD) == np.array(labels)).mean() > 0.97
+    assert 0 <= s.min() and s.max() <= 1
+
+
+def test_quality_without_both_classes_and_odd_texts(spark, docs, empty):
+    assert quality.fit([b"a"] * 9, [1] * 9) is None
+    assert {r["score"] for r in quality.score_quality(docs, None).collect()} == {0.5}
+    model = quality.fit(*_labelled(60))
+    found = by_id(quality.score_quality(docs, model))
+    assert found[0]["score"] == found[10]["score"] and len(found) == docs.count()
+    assert quality.score_quality(empty, model).count() == 0
+
+
+def test_labelled_sample_reads_no_held_out_label(spark, docs):
+    labels = spark.createDataFrame([(i, i // 10 % 2) for i in range(0, 600, 10)], "doc_id long, quality int")
+    texts, y = quality.labelled_sample(docs, labels.filter(quality.fold(F.col("doc_id"), 5) != 0), "quality")
+    used = [i for i in range(0, 600, 10) if zlib.crc32(str(i).encode()) % 5]
+    assert len(texts) == len(used) and sum(y) == sum(i // 10 % 2 for i in used)
+
+
+# suffixes
+
+
+def test_repeats_are_those_of_brute_force(docs, rows):
+    want = brute.repeats(rows)
+    found = by_id(suffixes.removal_report(docs))
+    for i, t, *_ in rows:
+        kept, removed, spans = want[i]
+        r = found[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len((t or "").encode()), removed, spans, hashlib.sha256(kept).hexdigest())
+    assert sum(x[1] for x in want.values()) > 1000
+
+
+def test_two_stage_sort_orders_suffixes():
+    rng = np.random.default_rng(2)
+    for alphabet in (2, 4, 60):
+        raw = rng.integers(97, 97 + alphabet, 900, dtype=np.uint8)
+        raw[-1] = 0
+        padded = np.concatenate([raw, np.zeros(suffixes.LENGTH + 16, dtype=np.uint8)])
+        words = np.zeros(len(raw) + suffixes.LENGTH + 8, dtype=np.uint64)
+        for k in range(8):
+            words = (words << np.uint64(8)) | padded[k : k + len(words)]
+        order = suffixes.two_stage_sort(raw, words)
+        assert sorted(order.tolist()) == list(range(len(raw)))
+        text = padded.tobytes()
+        keys = [text[i : i + suffixes.LENGTH] for i in order.tolist()]
+        assert keys == sorted(keys)
+
+
+def test_repeats_cut_texts_and_keep_extra_columns(spark, empty):
+    passage = " ".join(f"p{i * i}" for i in range(40)) + "é" * 10
+    rows = [(1, f"start {passage} end", "x"), (2, f"other {passage} tail", "y"), (None, passage, "z"), (3, None, "w")]
+    found = by_id(suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, _places string")))
+    assert found[1]["text"] == rows[0][1] and found[2]["text"] == "othertail" and found[3]["text"] is None and found[3]["_places"] == "w"
+    assert suffixes.removal_report(empty).count() == 0
+
+
+# licenses
+
+
+def test_base_phrases_at_every_place(spark, docs, rows, empty):
+    extra = [(1, "Under the MIT license, under the mit-license. MIT"), (2, "Apache License, Version 2.0 (CC BY-NC)"), (3, "under the mitlicense"), (4, None), (5, "é under THE mit license")]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    for r in df.join(licenses.scan_licenses(df), "doc_id").collect():
+        w = word.findall((r["text"] or "").translate(brute._LOW))
+        places, labels = [], set()
+        for phrase, label in licenses.BASE:
+            p = phrase.split()
+            for k in range(len(w)):
+                if w[k : k + len(p)] == p:
+                    places.append(k)
+                    labels.add(label)
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), min(places, default=None), max(places, default=None))
+        assert r["base_labels"] == ",".join(sorted(labels)) and labels <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    assert licenses.scan_licenses(empty).count() == 0
+
+
+def test_rules_are_ordered_and_contained_detections_give_way():
+    found = [(r.label, words) for *_, r in [(0, 0, r) for *_, r in licenses.detect(" licensed under the apache license version 2 0 ")] for words in [r.priority]]
+    assert found[0][0] == "apache-2.0" and "apache" not in {x[0] for x in found}
+    assert len(licenses.rules()) > 300
+    assert licenses.detect(" no such words here ") == []
+
+
+# tokens
+
+
+def test_counts_are_those_of_a_public_unigram_tokenizer(spark, docs, rows):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    scores = tokens.piece_scores(tokens.FILE)
+    vocabulary = list(scores.items())
+    unigram = Tokenizer(models.Unigram([*vocabulary, ("<unk>", min(scores.values()))], unk_id=len(vocabulary), byte_fallback=False))
+    unigram.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    known = frozenset("".join(scores))
+    found = by_id(tokens.count_tokens(docs))
+    compared = 0
+    for i, t, *_ in rows:
+        plain = " ".join((t or "").split())
+        if t != plain or not set(plain.replace(" ", "")) <= known or not plain:
+            continue
+        assert found[i]["n_tokens"] == len(unigram.encode(plain, add_special_tokens=False).tokens), plain[:60]
+        compared += 1
+    assert compared > 20 and found[0]["n_tokens"] == found[10]["n_tokens"] == 0
+
+
+def test_viterbi_is_the_best_of_all_cuts():
+    c = tokens.Counter({"a": -1.0, "b": -1.0, "ab": -1.5, "abc": -3.0, "c": -1.0, "▁": -2.0})
+    assert c.word("abc") == (2, -2.5) and c.word("ab") == (1, -1.5)
+    assert c.word("é")[0] == 2
+
+
+# urls
+
+
+def test_cascade_is_exact_over_its_universe(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("h"), (F.col("id") % 17 == 0).alias("listed"))
+    cascade = urls.build_cascade(keys)
+    assert len(cascade.levels) > 1
+    wrong = keys.select("listed", cascade.listed(F.array("h"))[0].alias("found")).filter("listed <> found").count()
+    assert wrong == 0
+    assert urls.build_cascade(keys, max_bytes=8) is None
+
+
+@pytest.mark.parametrize("limit", [urls.MAX_BYTES, 1])
+def test_longest_rule_wins_with_cascade_and_join(spark, limit):
+    cases = [
+        ("http://A.com/en/x", "com/en/", "block"), ("http://www.Example.com/en/7?q", "example.com/en/7", "allow"), ("http://xexample.com/en/7", "com/en/", "block"), ("ftp://b.net/de/8#f", "net/de/", "allow"),
+        ("http://example.net/de/8", "example.net/de/8", "block"), ("http://example.org/es", None, "allow"), ("http://bad.org/fr", None, "block"), ("http://sub.bad.org", None, "block"), ("no host", None, "allow"), (None, None, "allow"), ("http://com/en/", "com/en/", "block"),
+    ]
+    pages = spark.createDataFrame([(i, c[0], "r") for i, c in enumerate(cases)], "page_id long, url string, rule string")
+    listed = spark.createDataFrame([("bad.org",), ("unseen.org",)], "host string")
+    found = by_id(urls.judge_urls(pages, listed, max_bytes=limit), "page_id")
+    for i, (url, rule, verdict) in enumerate(cases):
+        assert (found[i]["rule"], found[i]["verdict"]) == (rule, verdict), url
+    assert urls.judge_urls(pages.limit(0), listed).count() == 0
+
+
+# jaccard
+
+
+def test_links_are_those_of_all_pairs(docs, rows):
+    want = brute.components(rows)
+    found = by_id(jaccard.link_documents(docs))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in found.items()} == want
+    assert len({c for _, c in want.values()}) < len(want) - 10
+
+
+def test_shingles_have_no_shared_hashes(rows):
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    for t, own in zip(texts, shingles.shingle_sets(texts), strict=True):
+        assert len(own) == len(brute.shingles(t.decode()))
+
+
+def test_hot_line_and_chain_of_near_copies(spark):
+    line = " ".join(f"common{i}" for i in range(30))
+    rows = [(i, f"{line} " + " ".join(f"own{i}x{k}" for k in range(8 + i % 5))) for i in range(40)]
+    words = [f"w{k}" for k in range(80)]
+    for i in range(40, 70):
+        words[(i * 13) % 80] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame([*rows, (3, rows[50][1]), (None, rows[50][1])], "doc_id long, text string")
+    found = [tuple(r) for r in jaccard.link_documents(docs).collect()]
+    want = brute.components(rows)
+    single = {d: c for d, _, c in found if d is not None and d != 3}
+    assert all(single[i] in (want[i][1], 3) for i in single)
+    assert {single[i] for i in range(40, 70) if want[i][1] == want[50][1]} == {3}
+    assert (None, want[50][0], None) in found
+
+
+def test_one_of_each_keeps_one_document_a_group(docs, rows, empty):
+    want = brute.components(rows)
+    kept = [r["doc_id"] for r in jaccard.one_of_each(docs).collect()]
+    assert sorted(kept) == sorted({c for _, c in want.values()})
+    assert jaccard.link_documents(empty).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r["label"] for r in components(edges).collect()} == {0}
+
+
+# decontaminate
+
+
+def _bench(spark):
+    items = [
+        (1, "Maria has 12 apples and buys 30 more apples at the small market near home how many apples"),
+        (2, "the treaty that ended the long war between both kingdoms was signed in which city"),
+        (3, "if a train runs 60 km in 2 hours and then 60 km again what is its speed"), (4, "too short"), (5, None),
+    ]
+    return spark.createDataFrame(items, "item_id long, text string")
+
+
+def test_leaks_exact_changed_and_torn(spark, empty):
+    docs = spark.createDataFrame(
+        [
+            (1, "Intro words. Maria has 12 apples and buys 30 more apples at the small market near home; how many apples? outro"),
+            (2, "yesterday we saw that Petra has 7 apples and buys 5 more apples at the small market near home how many apples"),
+            (3, "if a train runs 80 km in 2 hours and then 80 km again what is its speed"), (4, "if a train runs 80 km in 2 hours and then 90 km again what is its speed"),
+            (5, "nothing of this kind stands here and no item is near"), (6, None), (7, ""), (None, "the treaty that ended the long war between both kingdoms was signed in which city"),
+        ],
+        "doc_id long, text string",
+    )
+    found = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.leaks(docs, _bench(spark)).collect()}
+    assert found[(1, 1)] and found[(3, 3)] is False and found[(None, 2)]
+    assert (4, 3) not in found and not any(d in (5, 6, 7) for d, _ in found)
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs, _bench(spark)).collect()} >= {5, 6, 7, None}
+    assert decontaminate.leaks(empty, _bench(spark)).count() == 0 and decontaminate.leaks(docs, _bench(spark).limit(0)).count() == 0
+
+
+def test_shuffled_join_finds_the_same(spark, docs, monkeypatch):
+    bench = docs.filter("length(text) > 300").orderBy("doc_id").limit(5).select(F.col("doc_id").alias("item_id"), F.substring("text", 50, 200).alias("text"))
+    one = decontaminate.leaks(docs, bench).collect()
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "LEADS", 0)
+    assert Counter(map(tuple, decontaminate.leaks(docs, bench).collect())) == Counter(map(tuple, one)) and one
+
+
+# mixing
+
+
+def test_targets_fill_up_by_weight(docs, rows, spark, empty):
+    found = mixing.mixed_sizes(docs).collect()
+    size = {i: brute.word_count(t) for i, t, *_ in rows}
+    source = {i: s for i, _, _, s, _ in rows}
+    per = Counter()
+    for i, n in size.items():
+        per[source[i]] += n
+    names = sorted((s for s in per if s is not None)) + [None] * (None in per)
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(names)}
+    left, free, target = 1.5 * sum(per.values()), set(names), {}
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > 2 * per[s]}
+        for s in full or free:
+            target[s] = 2 * per[s] if full else level * weight[s]
+            left -= target[s] if full else 0
+        free = free - full if full else set()
+    for r in found:
+        s = source[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], per[s]) and r["target"] == pytest.approx(target[s])
+        assert r["taken"] <= 2 * r["size"] and r["taken"] % max(r["size"], 1) == 0
+    assert sorted(map(tuple, found)) == sorted(map(tuple, mixing.mixed_sizes(docs.repartition(2)).collect()))
+    assert mixing.mixed_sizes(empty).count() == 0
+
+
+def test_documents_are_written_as_often_as_taken(docs):
+    sizes = by_id(mixing.mixed_sizes(docs))
+    copies = Counter(r["doc_id"] for r in mixing.mixed_documents(docs).collect())
+    assert {i: r["copies"] for i, r in sizes.items() if r["copies"]} == dict(copies)
+
+
+def test_mixing_stays_in_the_jvm(docs):
+    plan = mixing.mixed_documents(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# extra columns
+
+
+def test_columns_of_the_caller_keep_their_names(spark):
+    names = ["_text", "_doc", "_tie", "_places", "_nth", "_source", "_score", "_keys", "_hits", "_row", "label", "node", "key", "token"]
+    docs = spark.createDataFrame([(i, "some words of a text " * 9 + str(i % 2), f"s{i}", *["x"] * len(names)) for i in range(4)], ", ".join(["doc_id long", "text string", "source string", *(f"{n} string" for n in names)]))
+    model, lexicon = quality.fit(*_labelled(60)), toxicity.Lexicon()
+    keep = tuple(docs.columns)
+    for out in (media.media_columns(docs, keep=keep), quality.score_quality(docs, model, keep=keep), licenses.scan_licenses(docs, keep=keep), tokens.count_tokens(docs, keep=keep), toxicity.score_toxicity(docs, lexicon, keep=keep), suffixes.remove_repeats(docs), jaccard.one_of_each(docs), decontaminate.decontaminate(docs, _bench(spark)), mixing.mixed_documents(docs)):
+        rows = out.collect()
+        assert rows and all(r[n] == "x" for r in rows for n in names)
+    pages = docs.withColumnRenamed("doc_id", "page_id").withColumn("url", F.lit("http://a.com/en/x"))
+    for limit in (urls.MAX_BYTES, 1):
+        rows = urls.judge_urls(pages, spark.createDataFrame([("b.org",)], "host string"), max_bytes=limit).collect()
+        assert len(rows) == 4 and all(r[n] == "x" for r in rows for n in names) and rows[0]["verdict"] == "block"
+
+
+# toxicity
+
+
+def test_automaton_and_trie_are_exact_edit_distances():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i] + [0] * len(b) if (old := row) else row
+            for j, y in enumerate(b, 1):
+                row[j] = min(row[j - 1] + 1, old[j] + 1, old[j - 1] + (x != y))
+        return row[-1]
+
+    terms = ["scumbag", "vermin", "imbecilic", "worthless", "abc"]
+    trie = toxicity.Trie(terms)
+    for word in ("scumbg", "scumbags", "vermn", "vremin", "imbeciilc", "wortles", "abd", "abc", "hello", "scum", "wurthlass"):
+        near = [(distance(word, t), t) for t in terms if distance(word, t) <= toxicity.edits(len(t))]
+        assert trie.near(word) == ((min(near)[1], min(near)[0]) if near else None)
+        assert trie.may(word) or not any(k for k, _ in near)
+
+
+def test_quotation_counts_less_than_abuse():
+    texts, labels = [], []
+    for i in range(60):
+        texts.append(f"filler word number {i} you are a worthless scumbag today {i}".encode() if i % 3 == 0 else f"a calm note about gardens and number {i} of the year {i * 7}".encode())
+        labels.append(int(i % 3 == 0))
+    scorer = toxicity.Scorer(toxicity.learn(texts, labels))
+    abuse, quoted, misspelt, calm = (scorer.score(t) for t in ("you scumbag", 'they wrote "scumbag" about it', "such scumbagg here", "a calm note about gardens"))
+    assert abuse > quoted > 0 and misspelt > 0 and calm == 0 and abuse <= 1
+    assert toxicity.Scorer(toxicity.learn([b"a"], [0])).score("a") == 0
+
+
+def test_toxicity_of_odd_texts(docs, empty):
+    lexicon = toxicity.Lexicon(words={"vermin": 0.9}, common=frozenset(["vermin"]))
+    found = by_id(toxicity.score_toxicity(docs, lexicon))
+    assert found[0]["score"] == 0 and len(found) == docs.count()
+    assert toxicity.score_toxicity(empty, lexicon).count() == 0
