@@ -1,4 +1,8 @@
-"""All queries of the library by name, and the SQL that says the same."""
+"""The queries over the evidence model and their SQL twins; each module of ``plans`` adds its own."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from silexa.plans import evidence, relational, texts
+
+QUERIES = {**relational.QUERIES, **evidence.QUERIES, **texts.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL, **evidence.ORACLE_SQL, **texts.ORACLE_SQL}

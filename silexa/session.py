@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -35,3 +35,11 @@ def ship(spark: SparkSession) -> None:
         for f in sorted((top / "silexa").rglob("*.py")):
             z.write(f, f.relative_to(top))
     spark.sparkContext.addPyFile(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder that all executors share, which cuts its lineage; without one (as in tests) to a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="silexa-"))
+    return df.checkpoint()
