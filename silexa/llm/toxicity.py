@@ -2,7 +2,8 @@
 
 The lexicon comes from labelled rows alone. Candidates are whole words and word stems (prefixes); a greedy cover takes the term
 that explains most toxic texts not yet explained and hardly any other text, until no term explains ``LEAST`` more texts. Copies of one text
-therefore do not carry their incidental words into the lexicon. A word of a text hits when the trie has it, when it begins with a stem, or when the
+therefore do not carry their incidental words into the lexicon. Longer stems that are ordinary
+once can be terms when a text has them repeatedly. A word of a text hits when the trie has it, when it begins with a stem, or when the
 Levenshtein automaton of the word meets a trie path within 1 edit (2 from 9 letters on). Misspellings that occur in
 the non-toxic rows of the sample are ordinary words and do not count. A hit between quotation marks or beside a word of reporting counts for less than one without,
 one beside a word of address for more.
@@ -32,6 +33,11 @@ LEAST = 2
 FUZZY_SHARE = 0.05
 THRESHOLD = 0.7
 STEMS = (4, 5, 6)
+#: Stems that are ordinary once and telling when repeated: their sizes, and how often they must stand in a text (one in ``SPARSE`` words at least).
+LONG_STEMS = (5, 6, 7, 8)
+REPEATED, SPARSE = 3, 400
+#: So many toxic texts give a repeated stem its full weight.
+STEADY = 12
 CACHE = 300_000
 WINDOW = 48
 
@@ -46,6 +52,7 @@ _ADDRESS = frozenset("you your youre u are du dein bist ihr tu vous es toi usted
 class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    repeated: dict[str, float] = field(default_factory=dict)
     common: frozenset[str] = frozenset()
     ordinary: frozenset[str] = frozenset()
 
@@ -98,11 +105,19 @@ def edits(n: int) -> int:
     return 0 if n < 5 else 1 if n < 9 else 2
 
 
+def repeated_stems(words: list[str], among: frozenset[str] | None = None) -> set[str]:
+    """Long stems that words of a text begin with often enough; ``among`` limits them."""
+    least = max(REPEATED, -(-len(words) // SPARSE))
+    stems = Counter(w[:n] for w in words for n in LONG_STEMS if len(w) > n and (among is None or w[:n] in among))
+    return {s for s, k in stems.items() if k >= least}
+
+
 def learn(texts: list[bytes], labels: list[int]) -> Lexicon:
     toxic, other, plain = defaultdict(set), Counter(), set()
     for i, (t, y) in enumerate(zip(texts, labels, strict=True)):
-        words = set(_WORD.findall(t.decode("utf-8", "replace").lower()))
-        terms = words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+        every = _WORD.findall(t.decode("utf-8", "replace").lower())
+        words = set(every)
+        terms = words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n} | {s + "**" for s in repeated_stems(every)}
         if y:
             for w in terms:
                 toxic[w].add(i)
@@ -114,14 +129,15 @@ def learn(texts: list[bytes], labels: list[int]) -> Lexicon:
     pure_words = {w: len(d) for w, d in pure.items() if not w.endswith("*")}
     weight = lambda w: (len(toxic[w]) + 0.5) / (len(toxic[w]) + other[w] * n_toxic / n_other + 2.5)
     left, out = {i for i, y in enumerate(labels) if y}, Lexicon()
-    while pure:
-        w = max(pure, key=lambda w: (len(pure[w]), len(toxic[w]), not w.endswith("*"), len(w), w))
-        if len(pure[w]) < LEAST:
-            break
-        new = set(pure[w])
-        (out.stems if w.endswith("*") else out.words)[w.rstrip("*")] = weight(w)
-        left -= new
-        pure = {k: own for k, d in pure.items() if k != w and len(own := d - new) >= LEAST}
+    # Repeated stems of few texts weigh little, so they only explain what is left over.
+    for again in (False, True):
+        open_ = {w: own for w, d in pure.items() if (again or not w.endswith("**") or len(d) >= STEADY) and len(own := d & left) >= LEAST}
+        while open_:
+            w = max(open_, key=lambda w: (len(open_[w]), len(toxic[w]), not w.endswith("*"), len(w), w))
+            new = open_[w]
+            (out.repeated if w.endswith("**") else out.stems if w.endswith("*") else out.words)[w.rstrip("*")] = weight(w)
+            left -= new
+            open_ = {k: own for k, d in open_.items() if k != w and len(own := d - new) >= LEAST}
     # Terms that always stand beside others explain nothing more, but count as much as those.
     usual = sorted(len(toxic[w]) for w in out.words)
     for w, n in pure_words.items():
@@ -139,6 +155,8 @@ class Scorer:
         self.seen: set[str] = set()
         self.hot: dict[str, float] = {}
         self.stem_sizes = sorted({len(s) for s in lexicon.stems})
+        self.repeated, self.long_sizes = frozenset(lexicon.repeated), sorted({len(s) for s in lexicon.repeated})
+        self.long: set[str] = set()
 
     def weight(self, word: str) -> float:
         lex = self.lexicon
@@ -160,15 +178,19 @@ class Scorer:
         for w in new:
             if w not in self.hot and (x := self.weight(w)):
                 self.hot[w] = x
-        found = {w: self.hot[w] for w in new & self.hot.keys()}
+            if any(w[:n] in self.repeated for n in self.long_sizes):
+                self.long.add(w)
+        found, long = {w: self.hot[w] for w in new & self.hot.keys()}, new & self.long
         if len(self.seen) > CACHE:
             self.seen = set()
         if len(self.hot) > CACHE:
             self.hot = {}
-        self.seen |= new - found.keys()
+        if len(self.long) > CACHE:
+            self.long = set()
+        self.seen |= new - found.keys() - long
+        out = self.often(low) if len(long) else []
         if not found:
-            return []
-        out = []
+            return out
         for m in _WORD.finditer(low):
             if x := found.get(m[0]):
                 before, after = low[max(0, m.start() - WINDOW) : m.start()], low[m.end() : m.end() + WINDOW]
@@ -181,6 +203,15 @@ class Scorer:
                 out.append((m.start(), m[0], x))
         return out
 
+    def often(self, low: str) -> list[tuple[int, str, float]]:
+        """The weightiest stem that is repeated often enough, at its first place."""
+        stems = repeated_stems(_WORD.findall(low), self.repeated)
+        if not stems:
+            return []
+        best = max(stems, key=lambda s: (self.lexicon.repeated[s], s))
+        first = next(m for m in _WORD.finditer(low) if m[0].startswith(best) and len(m[0]) > len(best))
+        return [(first.start(), first[0], self.lexicon.repeated[best])]
+
     def score(self, text: str) -> float:
         left = 1.0
         for _, _, x in self.hits(text):

@@ -387,6 +387,16 @@ def test_quotation_counts_less_than_abuse():
     assert toxicity.Scorer(toxicity.learn([b"a"], [0])).score("a") == 0
 
 
+def test_stems_that_only_tell_when_repeated():
+    texts, labels = [], []
+    for i in range(80):
+        often = i % 4 == 0
+        texts.append(f"plain talk {i} ".encode() + (f"grumbela{i} then grumbelo{i} and grumbelu{i}" if often else f"about grumbelx{i}").encode())
+        labels.append(int(often))
+    scorer = toxicity.Scorer(toxicity.learn(texts, labels))
+    assert scorer.score("some grumbelq and grumbelw or grumbelz") > toxicity.THRESHOLD > scorer.score("one grumbelq alone")
+
+
 def test_toxicity_of_odd_texts(docs, empty):
     lexicon = toxicity.Lexicon(words={"vermin": 0.9}, common=frozenset(["vermin"]))
     found = by_id(toxicity.score_toxicity(docs, lexicon))
