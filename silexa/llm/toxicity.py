@@ -4,9 +4,10 @@ The lexicon comes from labelled rows alone. Candidates are whole words and word
 that explains most toxic texts not yet explained and hardly any other text, until no term explains ``LEAST`` more texts. Copies of one text
 therefore do not carry their incidental words into the lexicon. Longer stems that are ordinary
 once can be terms when a text has them repeatedly. A word of a text hits when the trie has it, when it begins with a stem, or when the
-Levenshtein automaton of the word meets a trie path within 1 edit (2 from 9 letters on). Misspellings that occur in
-the non-toxic rows of the sample are ordinary words and do not count. A hit between quotation marks or beside a word of reporting counts for less than one without,
-one beside a word of address for more.
+Levenshtein automaton of the word meets a trie path within 1 edit (2 from 9 letters on). The trie has every learned word, and the words
+of toxic rows that a learned stem covers, however few rows they stand in. Misspellings that occur in
+the non-toxic rows of the sample are ordinary words and do not count; each such word near a term lowers what its other misspellings count. A hit between quotation marks or beside a word of reporting counts for less than one without,
+one beside a word of address for more unless it is doubtful itself.
 
 The fit uses a bounded sample: ``FIT_ROWS`` rows and ``FIT_BYTES`` bytes of each label at most. Scoring covers every text in full.
 
@@ -29,8 +30,8 @@ from .common import fresh
 FIT_ROWS = 8000
 FIT_BYTES = 8 << 20
 LEAST = 2
-#: Misspellings are looked for of terms that this share of the toxic rows has at least.
-FUZZY_SHARE = 0.05
+#: Words that explain nothing more beside other terms are learned when this share of the toxic rows has them.
+BESIDE_SHARE = 0.05
 THRESHOLD = 0.7
 STEMS = (4, 5, 6)
 #: Stems that are ordinary once and telling when repeated: their sizes, and how often they must stand in a text (one in ``SPARSE`` words at least).
@@ -38,6 +39,8 @@ LONG_STEMS = (5, 6, 7, 8)
 REPEATED, SPARSE = 3, 400
 #: So many toxic texts give a repeated stem its full weight.
 STEADY = 12
+#: Words of address do not raise a hit below this weight.
+DOUBTFUL = 0.5
 CACHE = 300_000
 WINDOW = 48
 
@@ -53,7 +56,9 @@ class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     repeated: dict[str, float] = field(default_factory=dict)
+    #: Terms whose misspellings count, and the weights of these where they are not those of the terms.
     common: frozenset[str] = frozenset()
+    fuzzy: dict[str, float] = field(default_factory=dict)
     ordinary: frozenset[str] = frozenset()
 
 
@@ -67,8 +72,19 @@ class Trie:
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
-        self.bounds = [(len(w) - edits(len(w)), len(w) + edits(len(w)), frozenset(w), edits(len(w)), w[: len(w) // 2], w[len(w) // 2 :]) for w in words if edits(len(w))]
-        self.sizes = {n for low, high, *_ in self.bounds for n in range(low, high + 1)}
+        # The parts of a term of which one stays in place under its number of edits: two parts for 1 edit, three for 2.
+        self.heads, self.tails, self.middles = defaultdict(list), defaultdict(list), defaultdict(list)
+        self.sizes: set[int] = set()
+        for w in words:
+            if k := edits(n := len(w)):
+                bound, cut, end = (n - k, n + k, frozenset(w), k), n // (k + 1), n * k // (k + 1)
+                self.heads[w[:cut]].append(bound)
+                self.tails[w[end:]].append(bound)
+                if cut < end:
+                    self.middles[cut, w[cut:end]].append(bound)
+                self.sizes.update(range(n - k, n + k + 1))
+        self.head_sizes, self.tail_sizes = {len(h) for h in self.heads}, {len(t) for t in self.tails}
+        self.middle_sizes = {(at, len(m)) for at, m in self.middles}
 
     def near(self, word: str) -> tuple[str, int] | None:
         """The nearest term within its number of edits; ties go to the smaller term.
@@ -93,12 +109,15 @@ class Trie:
         return (best[1], best[0]) if best else None
 
     def may(self, word: str) -> bool:
-        """A necessary condition for ``near``: k edits leave all but k of a term's letters, and one edit leaves its first or second half in place."""
+        """A necessary condition for ``near``: k edits leave all but k of a term's letters, and one of its k + 1 parts in place."""
         n = len(word)
         if n not in self.sizes:
             return False
         own = set(word)
-        return any(low <= n <= high and len(letters - own) <= k and (k > 1 or word.startswith(head) or word.endswith(tail)) for low, high, letters, k, head, tail in self.bounds)
+        fits = lambda bounds: any(low <= n <= high and len(letters - own) <= k for low, high, letters, k in bounds)
+        if any(fits(self.heads.get(word[:m], ())) for m in self.head_sizes) or any(fits(self.tails.get(word[-m:], ())) for m in self.tail_sizes):
+            return True
+        return any(fits(self.middles.get((at, word[i : i + m]), ())) for at, m in self.middle_sizes for i in range(max(0, at - 2), at + 3))
 
 
 def edits(n: int) -> int:
@@ -141,11 +160,19 @@ def learn(texts: list[bytes], labels: list[int]) -> Lexicon:
     # Terms that always stand beside others explain nothing more, but count as much as those.
     usual = sorted(len(toxic[w]) for w in out.words)
     for w, n in pure_words.items():
-        if usual and n >= max(FUZZY_SHARE * n_toxic, 0.25 * usual[len(usual) // 2]) and not any(w.startswith(s) for s in out.stems):
+        if usual and n >= max(BESIDE_SHARE * n_toxic, 0.25 * usual[len(usual) // 2]) and not any(w.startswith(s) for s in out.stems):
             out.words.setdefault(w, weight(w))
-    out.common = frozenset(w for w in out.words if len(toxic[w]) >= FUZZY_SHARE * n_toxic)
-    trie = Trie(out.common)
-    out.ordinary = frozenset(w for w in plain if w not in out.words and trie.may(w) and trie.near(w))
+    terms = {w for w in {*out.words, *(w for w in pure_words if any(w.startswith(x) and len(w) > len(x) for x in out.stems))} if edits(len(w))}
+    out.common = frozenset(terms)
+    trie, near = Trie(out.common), Counter()
+    ordinary = set()
+    for w in plain - out.words.keys():
+        if trie.may(w) and (hit := trie.near(w)):
+            ordinary.add(w)
+            near[hit[0]] += 1
+    out.ordinary = frozenset(ordinary)
+    # The more different ordinary words stand near a term, the likelier one that the sample does not have is ordinary, too.
+    out.fuzzy = {w: (len(toxic[w]) + 0.5) / (len(toxic[w]) + other[w] * n_toxic / n_other + near[w] + 2.5) for w in terms}
     return out
 
 
@@ -168,7 +195,7 @@ class Scorer:
         if not self.trie.may(word) or word in lex.ordinary:
             return 0.0
         hit = self.trie.near(word)
-        return lex.words[hit[0]] * (0.92, 0.82, 0.74)[hit[1]] if hit else 0.0
+        return (lex.fuzzy.get(hit[0]) or lex.words[hit[0]]) * (0.92, 0.82, 0.74)[hit[1]] if hit else 0.0
 
     def hits(self, text: str) -> list[tuple[int, str, float]]:
         """(character, word, weight in its context) of each hit."""
@@ -198,7 +225,7 @@ class Scorer:
                 quoted = before.rstrip()[-1:] in _QUOTES and before.strip() != "" and any(q in after for q in _QUOTES)
                 if quoted or around & _REPORTING:
                     x *= 0.5
-                elif around & _ADDRESS:
+                elif around & _ADDRESS and x >= DOUBTFUL:
                     x = 1 - (1 - x) * 0.5
                 out.append((m.start(), m[0], x))
         return out

@@ -397,6 +397,18 @@ def test_stems_that_only_tell_when_repeated():
     assert scorer.score("some grumbelq and grumbelw or grumbelz") > toxicity.THRESHOLD > scorer.score("one grumbelq alone")
 
 
+def test_misspellings_of_rare_terms_count():
+    # Forty terms, each in 2.5 % of the toxic rows; near the last one stand ordinary words.
+    rng = np.random.default_rng(5)
+    terms = ["".join(rng.choice(list("abcdefghijklmnop"), 8)) for _ in range(39)] + ["quixzotu"]
+    texts = [f"calm note {i} {terms[i % 40]}".encode() for i in range(320)] + [f"calm note {i} quixzot{'abcdefgh'[i % 8]}".encode() for i in range(320)]
+    lexicon = toxicity.learn(texts, [1] * 320 + [0] * 320)
+    scorer = toxicity.Scorer(lexicon)
+    assert all(t in lexicon.words for t in terms[:39])
+    assert all(scorer.weight("z" + t[1:]) > 0.6 for t in terms[:39])
+    assert scorer.weight("quixzoty") < 0.4 and scorer.weight("quixzota") == 0
+
+
 def test_toxicity_of_odd_texts(docs, empty):
     lexicon = toxicity.Lexicon(words={"vermin": 0.9}, common=frozenset(["vermin"]))
     found = by_id(toxicity.score_toxicity(docs, lexicon))
