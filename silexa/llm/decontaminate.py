@@ -1,9 +1,10 @@
 """Benchmark decontamination by templates, with DataFrame operations only.
 
 Texts become words; numbers, units and names become typed placeholders, one word each, so that template words and raw words keep the same places.
-Windows of ``WIDTH`` template words are hashed and joined with the benchmark's windows. Where a window has placeholders, the slot
+A name is a capitalised word; where a sentence, line, quotation or text may begin, only one that the benchmark never has in lower case. A number with
+separators is one placeholder. Windows of ``WIDTH`` template words are hashed and joined with the benchmark's windows. Where a window has placeholders, the slot
 values on both sides travel along: along one alignment (document place minus item place) a benchmark value must stand for one document value
-throughout, otherwise the windows of that alignment do not count. A document leaks an item when the windows left cover ``COVERAGE`` of the item's windows.
+throughout, otherwise the windows of that alignment do not count. Windows of which more than half (rounded up) are names count only with the benchmark's own values. A document leaks an item when the windows left cover ``COVERAGE`` of the item's windows.
 
 Items with fewer than ``WIDTH`` words are matched by one window of their own length; items under ``LEAST_WORDS`` words cannot be told from chance and
 never match. The benchmark's windows are broadcast while they number at most ``BROADCAST_ROWS`` (counted first); beyond that the join shuffles.
@@ -27,28 +28,41 @@ BROADCAST_ROWS = 1_000_000
 LEADS = 50_000
 #: Units of measure that follow a number (fixed list).
 UNITS = "kg|g|mg|t|km|m|cm|mm|mi|ft|in|l|ml|s|sec|min|h|hr|hrs|hours?|days?|weeks?|months?|years?|usd|eur|gbp|dollars?|euros?|cents?|percent|mph|kmh|w|kw|v|c|f"
-_NAME, _NUMBER, _UNIT = "\u0001", "#n", "#u"
+#: So many lower-case words of the benchmark, the most frequent, tell sentence openers from names; with more, the rest are names on both sides.
+LOWER = 50_000
+_NAME, _OPENER, _DOT, _NUMBER, _UNIT = "\u0001", "\u0002", "\u0003", "#n", "#u"
+_QUOTES = "\"'“”„«»‘’(\\["
 
 
 def _split(c: Column, separator: str) -> Column:
     return F.array_remove(F.split(c, separator), "")
 
 
-def words_of(text: Column) -> tuple[Column, Column]:
-    """(raw words, template words), place by place. A name is a capitalised word behind a lower-case word and one blank."""
-    marked = F.lower(F.regexp_replace(text, r" (?<=\p{Ll} )(?=\p{Lu}\p{Ll}++[^\p{L}\p{N}])", " " + _NAME))
-    separator = rf"[^\p{{L}}\p{{N}}{_NAME}]++"
-    raw = _split(marked, separator)
-    clean = F.array_join(raw, " ")
-    numbers = F.regexp_replace(clean, r"(?<![\p{L}\p{N}])\p{N}++", _NUMBER)
+def words_of(text: Column, lower: list[str]) -> tuple[Column, Column]:
+    """(raw words, template words), place by place. Of the capitalised words that may open a sentence, those among ``lower`` are ordinary words."""
+    marked = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(?=\p{Lu}\p{L}*?\p{Ll})", _NAME)
+    marked = F.regexp_replace(marked, rf"((?:^|[.!?:;…\n\r{_QUOTES}])[\s{_QUOTES}*•-]*+){_NAME}", f"$1{_OPENER}")
+    marked = F.lower(F.regexp_replace(marked, r"(?<=\p{N})[.,](?=\p{N})", _DOT))
+    parts = _split(marked, rf"[^\p{{L}}\p{{N}}{_NAME}{_OPENER}{_DOT}]++")
+    clean = F.array_join(parts, " ")
+    raw = F.when(F.size(parts) > 0, F.split(F.translate(clean, _NAME + _OPENER, ""), " ")).otherwise(parts)
+    numbers = F.regexp_replace(clean, rf"(?<![\p{{L}}\p{{N}}{_DOT}])\p{{N}}[\p{{N}}{_DOT}]*+", _NUMBER)
     units = F.regexp_replace(numbers, rf"(?<={_NUMBER})( ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{_UNIT}")
     template = F.split(F.regexp_replace(units, rf"{_NAME}\p{{L}}++", "#w"), " ")
+    opener = lambda w: F.when(F.substring(w, 2, 1 << 30).isin(lower), F.substring(w, 2, 1 << 30)).otherwise("#w")
+    template = F.transform(template, lambda w: F.when(F.startswith(w, F.lit(_OPENER)), opener(w)).otherwise(w))
     # Only texts with digits or marks go through the later expressions.
-    return raw, F.when(F.rlike(marked, F.lit(rf"[\p{{N}}{_NAME}]")) & (F.size(raw) > 0), template).otherwise(raw)
+    return raw, F.when(F.rlike(marked, F.lit(rf"[\p{{N}}{_NAME}{_OPENER}]")) & (F.size(parts) > 0), template).otherwise(raw)
 
 
-def _rows(table: DataFrame, key: str) -> DataFrame:
-    raw, template = words_of(F.coalesce("text", F.lit("")))
+def lower_words(benchmark: DataFrame) -> list[str]:
+    """The most frequent words that the benchmark has in lower case, LOWER at most."""
+    words = benchmark.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]++")).alias("w")).filter(F.rlike("w", F.lit(r"^\p{Ll}")))
+    return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(LOWER).collect()]
+
+
+def _rows(table: DataFrame, key: str, lower: list[str]) -> DataFrame:
+    raw, template = words_of(F.coalesce("text", F.lit("")), lower)
     return table.select(key, raw.alias("raw"), template.alias("words"))
 
 
@@ -80,15 +94,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 
     ``exact`` tells that all slot values are those of the benchmark.
     """
-    own = materialise(_rows(benchmark, "item_id"), "items").filter(F.size("words") >= LEAST_WORDS)
+    lower = lower_words(benchmark)
+    own = materialise(_rows(benchmark, "item_id", lower), "items").filter(F.size("words") >= LEAST_WORDS)
     items = materialise(windows(own, "item_id", F.array(F.least(F.size("words"), F.lit(WIDTH)))), "windows")
     known = items.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("width")).alias("widths")).first()
     widths, small = list(known["widths"]) or [WIDTH], known["n"] <= BROADCAST_ROWS
     right = items.select(F.col("item_id"), F.col("width").alias("_width"), F.col("total").alias("item_windows"), F.col("place").alias("item_place"), F.col("hash").alias("_hash"), F.col("slots").alias("item_slots"))
     # A short list of leading words goes into the plan as a set; without one, all windows are joined.
     leads = [r["lead"] for r in items.select("lead").distinct().limit(LEADS + 1).collect()]
-    left = windows(_rows(docs, "doc_id"), "doc_id", F.array(*[F.lit(w) for w in widths]), leads if len(leads) <= LEADS else None)
+    left = windows(_rows(docs, "doc_id", lower), "doc_id", F.array(*[F.lit(w) for w in widths]), leads if len(leads) <= LEADS else None)
     hit = left.join(F.broadcast(right) if small else right, (F.col("hash") == F.col("_hash")) & (F.col("width") == F.col("_width")))
+    names = F.size(F.filter(F.coalesce("item_slots", F.array()), lambda x: x["kind"] == "#w"))
+    hit = hit.filter((names * 2 <= F.col("_width") + 1) | F.col("slots").eqNullSafe(F.col("item_slots")))
     hit = hit.select("doc_id", "item_id", "item_windows", "item_place", (F.col("place") - F.col("item_place")).alias("at"), "slots", "item_slots").distinct()
     hit = materialise(hit, "hits")
     line = ["doc_id", "item_id", "at"]

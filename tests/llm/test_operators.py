@@ -292,6 +292,20 @@ def test_leaks_exact_changed_and_torn(spark, empty):
     assert decontaminate.leaks(empty, _bench(spark)).count() == 0 and decontaminate.leaks(docs, _bench(spark).limit(0)).count() == 0
 
 
+def test_names_in_any_place_and_numbers_with_separators(spark):
+    item = "Tom has 800 apples. Tom gives 3 apples to Mary Jones. How many apples has Tom"
+    bench = spark.createDataFrame([(1, item), (2, "we know how a clock is built"), (3, "Rome Paris London Berlin Madrid")], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [
+            (1, item), (2, "Bob has 1,200 apples. Bob gives 3.5 apples to Anna Lee. How many apples has Bob"), (3, "\"Bob has 1.200 apples.\nBob gives 4 apples to Anna Lee.\" How many apples has Bob?"),
+            (4, "Bob has 900 apples. Max gives 4 apples to Anna Lee. Why many apples has Tim"), (5, "Vienna Lisbon Dublin Oslo Warsaw"), (6, "Rome, Paris, London, Berlin, Madrid"),
+        ],
+        "doc_id long, text string",
+    )
+    found = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["exact"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert found == {(1, 1): (9, True), (2, 1): (9, False), (3, 1): (9, False), (6, 3): (1, True)}
+
+
 def test_shuffled_join_finds_the_same(spark, docs, monkeypatch):
     bench = docs.filter("length(text) > 300").orderBy("doc_id").limit(5).select(F.col("doc_id").alias("item_id"), F.substring("text", 50, 200).alias("text"))
     one = decontaminate.leaks(docs, bench).collect()
