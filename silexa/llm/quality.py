@@ -5,7 +5,8 @@ all of it; each piece is compressed with either dictionary. The difference of th
 and the compressed sizes over the length themselves go through a logistic regression fitted on the same labelled rows, which gives a score between 0 and 1.
 
 The fit uses a bounded sample: at most ``FIT_ROWS`` labelled texts of each class, those with the smallest hash of their id, and of those at
-most ``FIT_BYTES`` bytes a class; a model is a few hundred kB however large the corpus. Scoring covers every text in full.
+most ``FIT_BYTES`` bytes a class. Where a class has more bytes, the shorter texts stay whole and the longer ones give an equal number of
+leading bytes each, so that no text displaces another; a model is a few hundred kB however large the corpus. Scoring covers every text in full.
 
 Defined cases: a null text is the empty text; the empty text gets the score of the features 0; without rows of both classes every
 score is 0.5; rows with a null doc_id count as id '' for the folds; repeated rows get equal scores; an empty table gives an empty result.
@@ -131,7 +132,10 @@ def scores(model: Model | None, texts: list[bytes], sizes: _Sizes | None = None)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS, limit: int = FIT_BYTES) -> tuple[list[bytes], list[int]]:
-    """At most ``rows`` texts of each label, and ``limit`` bytes of them, in the order of a hash of the id: bounded for any corpus."""
+    """At most ``rows`` texts of each label, those with the smallest hash of the id, and ``limit`` bytes of them: bounded for any corpus.
+
+    Where a label has more bytes, its longest texts are cut to one length, the largest that fits.
+    """
     ids = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("_y")).dropDuplicates(["doc_id"])
     ids = ids.withColumn("_h", F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"))))
     picked = None
@@ -141,12 +145,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     # At most 2 * rows short rows: a proven bound for the broadcast.
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     size = F.octet_length(F.coalesce("text", F.lit("")))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("_y").orderBy("_h", "text").rowsBetween(Window.unboundedPreceding, 0)
-    sample = sample.select("_y", "_h", "text", F.sum(size).over(order).alias("_sum")).filter(F.col("_sum") <= limit).toPandas()
-    sample = sample.sort_values(["_h", "_y"], kind="stable")
-    return [(t or "").encode() for t in sample["text"]], [int(v) for v in sample["_y"]]
+    sizes = sample.groupBy("_y", size.alias("size")).count().collect()
+    most = {y: _level([(r["size"], r["count"]) for r in sizes if r["_y"] == y], limit) for y in (0, 1)}
+    cut = F.when(F.col("_y") == 1, F.lit(most[1])).otherwise(F.lit(most[0]))
+    data = F.substring(F.coalesce("text", F.lit("")).cast("binary"), F.lit(1), cut)
+    sample = sample.select("_y", "_h", data.alias("text")).toPandas().sort_values(["_h", "_y", "text"], kind="stable")
+    return [bytes(t) for t in sample["text"]], [int(v) for v in sample["_y"]]
+
+
+def _level(sizes: list[tuple[int, int]], limit: int) -> int:
+    """The most bytes of a text so that texts of these (size, count) have ``limit`` bytes together."""
+    left, n = limit, sum(k for _, k in sizes)
+    for size, k in sorted(sizes):
+        if size * n > left:
+            return left // n
+        left, n = left - size * k, n - k
+    return limit
 
 
 def score_quality(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:

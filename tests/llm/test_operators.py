@@ -93,6 +93,17 @@ def test_quality_without_both_classes_and_odd_texts(spark, docs, empty):
     assert quality.score_quality(empty, model).count() == 0
 
 
+def test_one_long_text_displaces_no_other(spark):
+    texts, labels = _labelled(60)
+    rows = [(i, t.decode()) for i, t in enumerate(texts)] + [(1000 + i, "long " * 40_000) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([*enumerate(labels), (1000, 0), (1001, 1)], "doc_id long, quality int")
+    limit = max(sum(len(t) for t, y in zip(texts, labels, strict=True) if y == k) for k in (0, 1)) + 5000
+    found, own = quality.labelled_sample(docs, marks, "quality", limit=limit)
+    assert len(found) == len(rows) and set(texts) <= set(found)
+    assert all(sum(len(t) for t, y in zip(found, own, strict=True) if y == k) <= limit for k in (0, 1))
+
+
 def test_labelled_sample_reads_no_held_out_label(spark, docs):
     labels = spark.createDataFrame([(i, i // 10 % 2) for i in range(0, 600, 10)], "doc_id long, quality int")
     texts, y = quality.labelled_sample(docs, labels.filter(quality.fold(F.col("doc_id"), 5) != 0), "quality")
