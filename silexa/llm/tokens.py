@@ -1,7 +1,8 @@
 """Token counts under a unigram model without building the tokens: a Viterbi pass that carries best score and piece count alone.
 
 The vocabulary is that of a public tokenizer file (path a parameter); a piece's score is -ln(rank + 2), its rank being its place
-in the file. Blanks become the word mark, each word is scored by itself. One Aho-Corasick automaton enumerates all pieces
+in the file. Blanks become the word mark; each word is scored by itself with all blanks before it, or each line where the vocabulary has pieces with a mark
+behind a letter, so that no piece can cross a cut. One Aho-Corasick automaton enumerates all pieces
 that end at a position, longest first; a later candidate wins only with a strictly greater score. A character that no single-character piece
 covers may be left unknown at the lowest score minus 10, and counts as its UTF-8 bytes (byte fallback). These are the tie and fallback rules of the
 public unigram tokenizers; the tests compare with one of them built from the same vocabulary.
@@ -28,7 +29,9 @@ MARK = "▁"
 UNKNOWN = 10.0
 CACHE = 400_000
 FILE = "/opt/tokenizers/piece_bpe_32k.model"
-_SEGMENT = re.compile(r" ?[^ \n]+| |\n")
+#: Longer segments are not kept.
+KEPT = 64
+_WORDS, _LINES = re.compile(r" *[^ \n]+| +|\n"), re.compile(r"[^\n]+|\n")
 _RESERVED = re.compile(r"<0x[0-9A-F]{2}>|<unk>|</?s>")
 
 
@@ -38,7 +41,7 @@ def piece_scores(path: str) -> dict[str, float]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return {p: -math.log(i + 2) for i, p in enumerate(pieces) if not _RESERVED.fullmatch(p) and "\n" not in p and MARK not in p[1:]}
+    return {p: -math.log(i + 2) for i, p in enumerate(pieces) if not _RESERVED.fullmatch(p) and "\n" not in p}
 
 
 class Counter:
@@ -53,6 +56,7 @@ class Counter:
         self.automaton.make_automaton()
         self.singles = frozenset(p for p in scores if len(p) == 1)
         self.unknown = min(scores.values()) - UNKNOWN
+        self.segment = _LINES if any(MARK in p.lstrip(MARK) for p in scores) else _WORDS
         self.known: dict[str, tuple[int, float]] = {}
 
     def word(self, word: str) -> tuple[int, float]:
@@ -80,12 +84,14 @@ class Counter:
         if not text:
             return 0, 0.0
         tokens, score, known = 0, 0.0, self.known
-        for s in _SEGMENT.findall(" " + text):
+        for s in self.segment.findall(" " + text):
             hit = known.get(s)
             if hit is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                hit = known[s] = self.word(s.replace(" ", MARK))
+                hit = self.word(s.replace(" ", MARK))
+                if len(s) <= KEPT:
+                    if len(known) >= CACHE:
+                        known.clear()
+                    known[s] = hit
             tokens += hit[0]
             score += hit[1]
         return tokens, score

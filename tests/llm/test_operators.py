@@ -198,6 +198,24 @@ def test_counts_are_those_of_a_public_unigram_tokenizer(spark, docs, rows):
     assert compared > 20 and found[0]["n_tokens"] == found[10]["n_tokens"] == 0
 
 
+def test_runs_of_blanks_against_the_full_vocabulary():
+    import sentencepiece
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    scores = tokens.piece_scores(tokens.FILE)
+    model = sentencepiece.SentencePieceProcessor(model_file=tokens.FILE)
+    runs = {p for p in map(model.id_to_piece, range(model.get_piece_size())) if len(p) > 1 and not p.strip("▁")}
+    assert runs and runs <= scores.keys()
+    vocabulary = list(scores.items())
+    unigram = Tokenizer(models.Unigram([*vocabulary, ("<unk>", min(scores.values()))], unk_id=len(vocabulary), byte_fallback=False))
+    unigram.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+    own = tokens.Counter(scores)
+    for text in ("if x:        return y", "a" + " " * 40 + "b  c   d", "column one    two     three", "ends in blanks     ", "def f(a,  b):    pass"):
+        assert own.text(text)[0] == len(unigram.encode(text, add_special_tokens=False).tokens), text
+    across = tokens.Counter({"▁": -2.0, "a": -1.0, "b": -1.0, "a▁b": -1.5})
+    assert across.text("a b") == (2, -3.5)
+
+
 def test_viterbi_is_the_best_of_all_cuts():
     c = tokens.Counter({"a": -1.0, "b": -1.0, "ab": -1.5, "abc": -3.0, "c": -1.0, "▁": -2.0})
     assert c.word("abc") == (2, -2.5) and c.word("ab") == (1, -1.5)
