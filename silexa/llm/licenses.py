@@ -2,7 +2,7 @@
 
 A text is lower-cased in A-Z and cut into words of ASCII letters, digits and everything outside ASCII. Base phrases (fixed by
 the contract) are counted at every place. Signature rules are regular expressions over the words joined with single blanks; a rule runs
-only on texts in which all its keywords occur (one Aho-Corasick pass). Detections are ordered by priority, then length, then start;
+only on texts in which all its keywords, and one of its names where it has several, occur (one Aho-Corasick pass). Detections are ordered by priority, then length, then start;
 one that lies inside an accepted detection's interval is suppressed. The score is that of the strongest accepted detection.
 
 Defined cases: a null text is the empty text, without words, labels and places, score 0; repeated rows get equal rows; an empty table an empty result.
@@ -96,6 +96,10 @@ SINGLE = (
 )
 
 
+#: Verbs before a license's name, besides "licensed".
+VERBS = "released|distributed|available|provided|published|covered|governed"
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -103,14 +107,18 @@ class Rule:
     keywords: tuple[str, ...]
     priority: int
     confidence: float
+    #: One of these occurs as well; empty where the keywords do.
+    names: tuple[str, ...] = ()
 
 
 @cache
 def rules() -> tuple[Rule, ...]:
     """All signature rules, about 500: the families' phrasings by version, Creative Commons by parts and version, and the single ones."""
     out = [Rule(*x) for x in SINGLE]
-    lead = r"(?:licensed|released|distributed|available|provided|published|covered|governed)(?: \w+)? (?:under|by) (?:the )?(?:terms of )?(?:the )?"
+    lead = rf"(?:licensed|{VERBS})(?: \w+)? (?:under|by) (?:the )?(?:terms of )?(?:the )?"
     for label, name, keys, versions in FAMILIES:
+        # A family without keywords ends in its alternative names: the longest word of each.
+        own = () if keys else tuple(max(x.split(), key=len) for x in re.search(r"\(\?:([^()]*)\)$", name)[1].split("|"))
         for v in versions:
             full = f"{label}-{v.replace(' ', '.')}" if v else label
             tail = rf" licen[sc]e(?: agreement)?(?: version| v)? ?v?{v}" if v else r" licen[sc]e"
@@ -119,7 +127,7 @@ def rules() -> tuple[Rule, ...]:
             out += [
                 Rule(full, lead + name + tail, (*keys, "licen"), 6 + step, 0.95),
                 Rule(full, name + tail, (*keys, "licen"), 4 + step, 0.85),
-                Rule(full, lead + name + short, (*keys, "under") if keys else ("under",), 6 + step, 0.9),
+                Rule(full, lead + name + short, keys, 6 + step, 0.9, own),
                 Rule(full, rf"spdx license identifier {re.escape(label.replace('-', ' '))}" + (rf" {v}(?: only| or later)?" if v else ""), ("spdx",), 9 + step, 1.0),
             ]
     for parts, short in COMMONS:
@@ -143,17 +151,17 @@ _BASE = [(re.compile(rb"(?<![" + _WORD + rb"])(?=" + (rb"[^" + _WORD + rb"]+").j
 
 @cache
 def _matcher():
-    """The keywords' automaton, each keyword's number, and the compiled rules with the set of their keywords."""
+    """The keywords' automaton, each keyword's number, and the compiled rules with the sets of their keywords and names."""
     import ahocorasick
 
     found, automaton = {}, ahocorasick.Automaton()
     for r in rules():
-        for k in r.keywords:
+        for k in r.keywords + r.names:
             found.setdefault(k, len(found))
     for k, i in found.items():
         automaton.add_word(k, i)
     automaton.make_automaton()
-    compiled = [(frozenset(found[k] for k in r.keywords), re.compile(rf"(?<= )(?:{r.expression})(?= )"), r) for r in rules()]
+    compiled = [(frozenset(found[k] for k in r.keywords), frozenset(found[k] for k in r.names), re.compile(rf"(?<= )(?:{r.expression})(?= )"), r) for r in rules()]
     return automaton, compiled
 
 
@@ -163,7 +171,7 @@ def detect(words: str) -> list[tuple[int, int, Rule]]:
     present = {i for _, i in automaton.iter(words)}
     if not present:
         return []
-    hits = [(m.start(), m.end(), r) for keys, expression, r in compiled if keys <= present for m in expression.finditer(words)]
+    hits = [(m.start(), m.end(), r) for keys, names, expression, r in compiled if keys <= present and (not names or names & present) for m in expression.finditer(words)]
     hits.sort(key=lambda h: (-h[2].priority, h[0] - h[1], h[0], h[2].label))
     out: list[tuple[int, int, Rule]] = []
     for h in hits:
@@ -173,7 +181,7 @@ def detect(words: str) -> list[tuple[int, int, Rule]]:
 
 
 #: Texts without any of these cannot meet a rule: each rule has one of them among its keywords or in its expression.
-_GATE = re.compile(rb"licen|(?<![" + _WORD + rb"])cc0?[^" + _WORD + rb"]|public[^" + _WORD + rb"]+domain|reserved|prohibited|proprietary|beerware|copyright|creative|redistribution|permission|warrant|spdx|foundation|under[^" + _WORD + rb"]")
+_GATE = re.compile(rb"licen|(?<![" + _WORD + rb"])cc0?(?![" + _WORD + rb"])|public[^" + _WORD + rb"]+domain|reserved|prohibited|proprietary|beerware|copyright|creative|redistribution|permission|warrant|spdx|foundation|(?:" + VERBS.encode() + rb")(?![" + _WORD + rb"])")
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -169,6 +169,18 @@ def test_base_phrases_at_every_place(spark, docs, rows, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_names_behind_by_and_under_pass_the_gates(spark):
+    names = {"gpl": "GPL", "apache": "Apache", "mpl": "MPL", "eupl": "EUPL", "ms-pl": "MS PL", "lgpl": "GNU Lesser General Public", "psf": "Python Software Foundation"}
+    versions = {label: v for label, _, _, v in licenses.FAMILIES}
+    texts = [(f"Files {verb} {word} the {name} version {v}", f"{label}-{v.replace(' ', '.')}") for label, name in names.items() for v in versions[label] if v for verb in licenses.VERBS.split("|") for word in ("by", "under")]
+    texts += [("This program is covered by the GPL version 3", "gpl-3"), ("as cc0", "cc0")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    found = by_id(licenses.scan_licenses(docs))
+    for i, (t, label) in enumerate(texts):
+        free = {r.label for *_, e, r in licenses._matcher()[1] if e.search(" " + " ".join(re.findall(r"\w+", t.lower())) + " ")}
+        assert label in found[i]["labels"].split(",") and label in free, t
+
+
 def test_rules_are_ordered_and_contained_detections_give_way():
     found = [(r.label, words) for *_, r in [(0, 0, r) for *_, r in licenses.detect(" licensed under the apache license version 2 0 ")] for words in [r.priority]]
     assert found[0][0] == "apache-2.0" and "apache" not in {x[0] for x in found}
