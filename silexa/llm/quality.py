@@ -1,15 +1,19 @@
 """Compression classifier of text quality.
 
 Two zstandard dictionaries are trained, one on good and one on bad labelled texts. A text is cut into pieces of ``PIECE`` bytes that cover
-all of it; each piece is compressed with either dictionary. The difference of the two compressed sizes over the piece's length, averaged over the text,
-and the compressed sizes over the length themselves go through a logistic regression fitted on the same labelled rows, which gives a score between 0 and 1.
+all of it; each piece is compressed with either dictionary, and the difference of the two sizes over the piece's length is that piece's normalised
+difference. The text's difference is the ``TAIL`` quantile of those of its pieces, so that a text with a fair share of bad pieces is told from one
+without. This one number is all that a score depends on: a logistic curve, fitted on labelled rows that the dictionaries have not seen and weighted to
+the true rate of the classes, turns it into the probability of label 1.
 
 The fit uses a bounded sample: at most ``FIT_ROWS`` labelled texts of each class, those with the smallest hash of their id, and of those at
 most ``FIT_BYTES`` bytes a class. Where a class has more bytes, the shorter texts stay whole and the longer ones give an equal number of
-leading bytes each, so that no text displaces another; a model is a few hundred kB however large the corpus. Scoring covers every text in full.
+leading bytes each, so that no text displaces another; a model is a few hundred kB however large the corpus. Scoring covers every text in full and takes
+a few bytes of memory for each piece.
 
-Defined cases: a null text is the empty text; the empty text gets the score of the features 0; without rows of both classes every
-score is 0.5; rows with a null doc_id count as id '' for the folds; repeated rows get equal scores; an empty table gives an empty result.
+Defined cases: a null text is the empty text; the empty text has the difference 0; without rows of both classes every
+score is 0.5; a doc_id that is labelled both ways is no labelled row; rows with a null doc_id count as id '' for the folds; repeated rows get equal
+scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +31,11 @@ from .common import fresh
 FIT_ROWS = 3000
 FIT_BYTES = 6 << 20
 DICT_BYTES = 65536
-PIECE = 1024
-LEVEL = 1
+PIECE = 96
+TAIL = 0.2
+LEVEL = 3
+#: Pieces of the texts that a dictionary is trained on.
+SAMPLE = 1024
 THRESHOLD = 0.3
 
 
@@ -41,9 +48,8 @@ def fold(doc_id: Column, of: int) -> Column:
 class Model:
     good: bytes
     bad: bytes
-    mean: tuple[float, ...]
-    scale: tuple[float, ...]
-    weights: tuple[float, ...]
+    slope: float
+    intercept: float
 
 
 class _Sizes:
@@ -53,7 +59,6 @@ class _Sizes:
         import zstandard as z
 
         self.both = [z.ZstdCompressor(level=LEVEL, dict_data=self._loaded(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (good, bad)]
-        self.plain = z.ZstdCompressor(level=LEVEL)
 
     @staticmethod
     def _loaded(raw: bytes):
@@ -63,29 +68,19 @@ class _Sizes:
         out.precompute_compress(level=LEVEL)
         return out
 
-    def features(self, text: bytes) -> list[float]:
-        """Normalised difference, both normalised sizes, and the spread of the difference over the pieces."""
+    def difference(self, text: bytes) -> float:
+        """Normalised difference of the compressed sizes: positive where the dictionary of good texts compresses better."""
         if not text:
-            return [0.0] * 6
-        good, bad, n = [], [], len(text)
+            return 0.0
+        n = len(text)
         one, two = (c.compress for c in self.both)
-        for i in range(0, n, PIECE):
-            piece = text[i : i + PIECE]
-            good.append(len(one(piece)))
-            bad.append(len(two(piece)))
-        size = np.minimum(PIECE, n - np.arange(0, n, PIECE))
-        g, b = np.array(good), np.array(bad)
-        diff = (b - g) / (size + 16)
-        d, cg, cb = float((b - g).sum() / (n + 16)), float(g.sum() / (n + 16)), float(b.sum() / (n + 16))
-        return [d, cg, cb, float(diff.min()), min(d, 0.0), min(cg, 0.25)]
+        lengths = np.minimum(PIECE, n - np.arange(0, n, PIECE)) + 16
+        sizes = np.fromiter((len(two(p)) - len(one(p)) for p in (text[i : i + PIECE] for i in range(0, n, PIECE))), dtype=np.int64, count=len(lengths))
+        return float(np.quantile(sizes / lengths, TAIL))
 
 
-def _spread(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([x, x[:, :1] * x[:, 1:2], x[:, :1] ** 2, x[:, 1:2] ** 2], axis=1)
-
-
-def fit(texts: list[bytes], labels: list[int], seed_bytes: int = FIT_BYTES) -> Model | None:
-    """Dictionaries from one half of the texts, the logistic weights from the other half."""
+def fit(texts: list[bytes], labels: list[int], rate: float | None = None) -> Model | None:
+    """Dictionaries from one half of the texts, the logistic curve from the other half; ``rate`` is the share of label 1 among all labelled rows."""
     import zstandard as z
 
     y = np.array(labels)
@@ -95,40 +90,52 @@ def fit(texts: list[bytes], labels: list[int], seed_bytes: int = FIT_BYTES) -> M
     half = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) % 2 == 1
     dicts = []
     for k in (1, 0):
-        pieces = [t[i : i + PIECE] for t, own, h in zip(texts, labels, half, strict=True) if own == k and h for i in range(0, len(t), PIECE)]
+        pieces = [t[i : i + SAMPLE] for t, own, h in zip(texts, labels, half, strict=True) if own == k and h for i in range(0, len(t), SAMPLE)]
         try:
             size = min(DICT_BYTES, max(1024, sum(map(len, pieces)) // 8))
             dicts.append(z.train_dictionary(size, [p for p in pieces if len(p) >= 8]).as_bytes())
         except z.ZstdError:
             dicts.append(b"".join(pieces)[-DICT_BYTES:])
     sizes = _Sizes(*dicts)
-    # The texts behind the dictionaries would look too well compressed, so the other half alone fits the weights.
-    rows = [i for i in range(len(y)) if not half[i]]
-    x = _spread(np.array([sizes.features(texts[i]) for i in rows]))
-    own = y[rows].astype(float)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    a = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
-    balance = np.where(own == 1, 0.5 / max(own.mean(), 1e-3), 0.5 / max(1 - own.mean(), 1e-3))
-    w = np.zeros(a.shape[1])
-    ridge = np.full(len(w), 1e-2)
-    ridge[-1] = 1e-6
-    for _ in range(60):
+    # The texts behind the dictionaries would look too well compressed, so the other half alone fits the curve.
+    x, own = np.array([sizes.difference(t) for t, h in zip(texts, half, strict=True) if not h]), y[~half].astype(float)
+    slope, intercept = logistic(x, own, own.mean() if rate is None else rate)
+    return Model(dicts[0], dicts[1], slope, intercept)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, float]:
+    """Slope (0 at least) and intercept of the probability of 1 given ``x``, rows weighted so that label 1 has the share ``rate``."""
+    weight = np.where(y == 1, rate / max(y.mean(), 1e-6), (1 - rate) / max(1 - y.mean(), 1e-6))
+    scale = float(x.std()) + 1e-6
+    a = np.stack([x / scale, np.ones(len(x))], axis=1)
+    w, ridge = np.zeros(2), np.array([1e-2, 1e-6])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (balance * (p - own)) + ridge * w
-        step = np.linalg.solve((a * (balance * p * (1 - p))[:, None]).T @ a + np.diag(ridge + 1e-6), grad)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(ridge + 1e-6), a.T @ (weight * (p - y)) + ridge * w)
+        w -= np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-8:
             break
-    return Model(dicts[0], dicts[1], tuple(mean), tuple(scale), tuple(w))
+    return max(float(w[0]), 0.0) / scale, float(w[1])
 
 
 def scores(model: Model | None, texts: list[bytes], sizes: _Sizes | None = None) -> np.ndarray:
     if model is None:
         return np.full(len(texts), 0.5)
     sizes = sizes or _Sizes(model.good, model.bad)
-    x = _spread(np.array([sizes.features(t) for t in texts]).reshape(len(texts), 6))
-    a = (x - np.array(model.mean)) / np.array(model.scale)
-    return 1 / (1 + np.exp(-np.clip(a @ np.array(model.weights[:-1]) + model.weights[-1], -30, 30)))
+    x = np.array([sizes.difference(t) for t in texts])
+    return 1 / (1 + np.exp(-np.clip(model.slope * x + model.intercept, -30, 30)))
+
+
+def marked(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, _y) of the documents that are labelled 0 or 1, and not both."""
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_y"), F.max(label).alias("_other"))
+    return rows.filter("_y = _other").drop("_other")
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """A model from the labelled rows, at the rate of label 1 among all of them."""
+    rate = marked(labels, "quality").agg(F.avg("_y")).first()[0]
+    return fit(*labelled_sample(docs, labels, "quality"), rate)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS, limit: int = FIT_BYTES) -> tuple[list[bytes], list[int]]:
@@ -136,8 +143,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
 
     Where a label has more bytes, its longest texts are cut to one length, the largest that fits.
     """
-    ids = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("_y")).dropDuplicates(["doc_id"])
-    ids = ids.withColumn("_h", F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"))))
+    ids = marked(labels, label).withColumn("_h", F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"))))
     picked = None
     for y in (0, 1):
         top = ids.filter(F.col("_y") == y).orderBy("_h", "doc_id").limit(rows)

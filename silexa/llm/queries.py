@@ -17,7 +17,7 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; the labels of fold 0 are never read."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.fit(*quality.labelled_sample(docs, labels.filter(quality.fold(F.col("doc_id"), 5) != 0), "quality"))
+    model = quality.train(docs, labels.filter(quality.fold(F.col("doc_id"), 5) != 0))
     scored = quality.score_quality(docs, model)
     return scored.select("doc_id", (quality.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 

@@ -1,15 +1,19 @@
-"""Toxicity: a learned lexicon in a trie, Levenshtein automata for misspelled terms, and scores from the context of each hit.
+"""Toxicity: a learned lexicon in one trie, Levenshtein automata that find its misspelled terms, and scores from the context of each hit.
 
-The lexicon comes from labelled rows alone. Candidates are whole words and word stems (prefixes); a greedy cover takes the term
-that explains most toxic texts not yet explained and hardly any other text, until no term explains ``LEAST`` more texts. Copies of one text
-therefore do not carry their incidental words into the lexicon. Longer stems that are ordinary
-once can be terms when a text has them repeatedly. A word of a text hits when the trie has it, when it begins with a stem, or when the
-Levenshtein automaton of the word meets a trie path within 1 edit (2 from 9 letters on). The trie has every learned word, and the words
-of toxic rows that a learned stem covers, however few rows they stand in. Misspellings that occur in
-the non-toxic rows of the sample are ordinary words and do not count; each such word near a term lowers what its other misspellings count. A hit between quotation marks or beside a word of reporting counts for less than one without,
-one beside a word of address for more unless it is doubtful itself.
+The lexicon comes from labelled rows alone. Its terms are whole words and stems (prefixes of ``STEMS`` letters, written with a star); a greedy cover
+takes the term that explains most toxic texts not yet explained and hardly any other text, until no term explains ``LEAST`` more texts. Copies of one text
+therefore do not carry their incidental words into the lexicon. A term may need two or three hits in one block of ``BLOCK`` words before it tells
+anything, so each term has a weight for one, two and three hits; below what it needs it counts half.
 
-The fit uses a bounded sample: ``FIT_ROWS`` rows and ``FIT_BYTES`` bytes of each label at most. Scoring covers every text in full.
+All terms stand in one trie, words as accepting ends and stems as accepting prefixes. A word of a text that has no term as it stands is
+compiled to its Levenshtein automaton (1 edit for terms of 5 letters, 2 from 9 letters on) and walked with the trie; every state the walk can meet is
+a row of a table shared by all words. Words near a term that occur in the non-toxic rows of the sample are ordinary and do not count; the
+more of them stand near a term, the less its other misspellings weigh.
+
+A hit inside quotation marks or beside a word of reporting is a quotation: all quotations of a text together score at most ``QUOTED``. The other
+hits are combined by their terms; one beside a word of address counts for more.
+
+The fit uses a bounded sample: ``FIT_ROWS`` rows and ``FIT_BYTES`` bytes of each label at most. Scoring covers every text in full; its memory is a few times the text.
 
 Defined cases: a null or empty text scores 0; without toxic rows the lexicon is empty and every score 0; a null doc_id counts as id ''
 for the folds; repeated rows get equal scores; an empty table gives an empty result.
@@ -33,239 +37,332 @@ LEAST = 2
 #: Words that explain nothing more beside other terms are learned when this share of the toxic rows has them.
 BESIDE_SHARE = 0.05
 THRESHOLD = 0.7
-STEMS = (4, 5, 6)
-#: Stems that are ordinary once and telling when repeated: their sizes, and how often they must stand in a text (one in ``SPARSE`` words at least).
-LONG_STEMS = (5, 6, 7, 8)
-REPEATED, SPARSE = 3, 400
-#: So many toxic texts give a repeated stem its full weight.
+STEMS = (4, 5, 6, 7, 8)
+HITS = 3
+BLOCK = 400
+#: So many toxic texts give a term that needs repetition its full standing; those of fewer come last.
 STEADY = 12
+#: Of quotations, however many, a text gets this score at most.
+QUOTED = 0.5
 #: Words of address do not raise a hit below this weight.
-DOUBTFUL = 0.5
+DOUBTFUL = 0.7
+#: What a misspelling by 0, 1 and 2 edits counts of its term.
+DAMPED = (1.0, 0.92, 0.82)
+MOST = 2
 CACHE = 300_000
-WINDOW = 48
+SPAN = 120
 
 _WORD = re.compile(r"[^\W_]+")
 #: Marks and words around a hit (fixed lists): quotation, reporting, address.
-_QUOTES = "\"'“”„«»‘’`"
+_OPENING, _CLOSING = "\"“„«‹‘'", "\"”“»›’'"
+_QUOTATION = re.compile(rf"(?<!\w)[{_OPENING}](?=\w)[^\"“”„«»\n]{{0,{SPAN}}}?(?<=[\w.,;:!?…])[{_CLOSING}](?!\w)")
 _REPORTING = frozenset("said says quote quoted quotes called term word wrote reported sagte nannte wort dit mot appelle dijo palabra".split())
 _ADDRESS = frozenset("you your youre u are du dein bist ihr tu vous es toi usted eres".split())
 
 
 @dataclass
 class Lexicon:
-    words: dict[str, float] = field(default_factory=dict)
-    stems: dict[str, float] = field(default_factory=dict)
-    repeated: dict[str, float] = field(default_factory=dict)
-    #: Terms whose misspellings count, and the weights of these where they are not those of the terms.
-    common: frozenset[str] = frozenset()
+    #: Term to its weights for one, two and three hits in a block; a star marks a stem.
+    terms: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    #: What misspellings of a term count of it, and the ordinary words near terms.
     fuzzy: dict[str, float] = field(default_factory=dict)
     ordinary: frozenset[str] = frozenset()
 
 
-class Trie:
-    """The lexicon's words, and the walk that intersects it with a word's Levenshtein automaton."""
-
-    def __init__(self, words):
-        self.root: dict = {}
-        for w in words:
-            node = self.root
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
-        # The parts of a term of which one stays in place under its number of edits: two parts for 1 edit, three for 2.
-        self.heads, self.tails, self.middles = defaultdict(list), defaultdict(list), defaultdict(list)
-        self.sizes: set[int] = set()
-        for w in words:
-            if k := edits(n := len(w)):
-                bound, cut, end = (n - k, n + k, frozenset(w), k), n // (k + 1), n * k // (k + 1)
-                self.heads[w[:cut]].append(bound)
-                self.tails[w[end:]].append(bound)
-                if cut < end:
-                    self.middles[cut, w[cut:end]].append(bound)
-                self.sizes.update(range(n - k, n + k + 1))
-        self.head_sizes, self.tail_sizes = {len(h) for h in self.heads}, {len(t) for t in self.tails}
-        self.middle_sizes = {(at, len(m)) for at, m in self.middles}
+def edits(n: int) -> int:
+    return 0 if n < 5 else 1 if n < 9 else MOST
 
-    def near(self, word: str) -> tuple[str, int] | None:
-        """The nearest term within its number of edits; ties go to the smaller term.
 
-        The automaton's state after a trie path is the row of edit distances between the path and each prefix of the word; a path whose
-        row has no value within 2 cannot be continued to a match.
-        """
-        best: tuple[int, str] | None = None
-        stack = [(self.root, list(range(len(word) + 1)))]
-        while stack:
-            node, row = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if row[-1] <= edits(len(child)) and (best is None or (row[-1], child) < best):
-                        best = (row[-1], child)
-                    continue
-                new = [row[0] + 1]
-                for i, x in enumerate(word):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (x != c)))
-                if min(new) <= 2:
-                    stack.append((child, new))
-        return (best[1], best[0]) if best else None
+class Moves:
+    """The universal Levenshtein automaton for up to ``MOST`` edits.
 
-    def may(self, word: str) -> bool:
-        """A necessary condition for ``near``: k edits leave all but k of a term's letters, and one of its k + 1 parts in place."""
-        n = len(word)
-        if n not in self.sizes:
-            return False
-        own = set(word)
-        fits = lambda bounds: any(low <= n <= high and len(letters - own) <= k for low, high, letters, k in bounds)
-        if any(fits(self.heads.get(word[:m], ())) for m in self.head_sizes) or any(fits(self.tails.get(word[-m:], ())) for m in self.tail_sizes):
-            return True
-        return any(fits(self.middles.get((at, word[i : i + m]), ())) for at, m in self.middle_sizes for i in range(max(0, at - 2), at + 3))
+    A state is a set of (offset, edits) positions in the word, relative to the smallest one; what a letter does to it depends only on which of the
+    next ``REACH`` letters of the word are that letter. States and moves are compiled when first met and then shared by all words.
+    """
 
+    REACH = 3 * MOST + 1
 
-def edits(n: int) -> int:
-    return 0 if n < 5 else 1 if n < 9 else 2
+    def __init__(self) -> None:
+        self.states: list[tuple[tuple[int, int], ...]] = []
+        self.numbers: dict[tuple, int] = {}
+        self.table: dict[int, tuple[int, int] | None] = {}
+        self.start = self._number(((0, 0),))
 
+    def _number(self, state: tuple) -> int:
+        if state not in self.numbers:
+            self.numbers[state] = len(self.states)
+            self.states.append(state)
+        return self.numbers[state]
 
-def repeated_stems(words: list[str], among: frozenset[str] | None = None) -> set[str]:
-    """Long stems that words of a text begin with often enough; ``among`` limits them."""
-    least = max(REPEATED, -(-len(words) // SPARSE))
-    stems = Counter(w[:n] for w in words for n in LONG_STEMS if len(w) > n and (among is None or w[:n] in among))
-    return {s for s, k in stems.items() if k >= least}
+    def step(self, state: int, seen: int) -> tuple[int, int] | None:
+        """(state, shift) behind a letter, whose places among the next letters are the bits of ``seen``; None when no match is left."""
+        key = state << self.REACH | seen
+        if key not in self.table:
+            self.table[key] = self._compile(self.states[state], seen)
+        return self.table[key]
+
+    def _compile(self, state: tuple, seen: int) -> tuple[int, int] | None:
+        out: dict[int, int] = {}
+
+        def put(at: int, e: int) -> None:
+            if e <= MOST and e < out.get(at, MOST + 1):
+                out[at] = e
+
+        for at, e in state:
+            put(at, e + 1)
+            put(at + 1, e + 1)
+            for skip in range(MOST - e + 1):
+                if seen >> (at + skip) & 1:
+                    put(at + skip + 1, e + skip)
+                    break
+        kept = [(i, e) for i, e in out.items() if not any(f < e and abs(i - j) <= e - f for j, f in out.items())]
+        if not kept:
+            return None
+        base = min(i for i, _ in kept)
+        return self._number(tuple(sorted((i - base, e) for i, e in kept))), base
+
+
+_MOVES = Moves()
+
+
+class Trie:
+    """The lexicon's terms; stems accept any word that begins with them."""
+
+    def __init__(self, terms):
+        #: A node is [children by letter, word ending here, stem ending here, most edits of a term below].
+        self.root: list = [{}, None, None, 0]
+        #: Of a term's letters one part of k + 1 stays in place under its k edits: size to part to what a word with it must fulfil.
+        self.parts: dict[int, dict[str, list[tuple]]] = defaultdict(lambda: defaultdict(list))
+        self.last = 0
+        for term in terms:
+            word, stem = term.rstrip("*"), term.endswith("*")
+            n, node = len(word), self.root
+            k = edits(n)
+            node[3] = max(node[3], k)
+            for c in word:
+                node = node[0].setdefault(c, [{}, None, None, 0])
+                node[3] = max(node[3], k)
+            node[2 if stem else 1] = term
+            if k:
+                cuts = [n * p // (k + 1) for p in range(k + 2)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    self.parts[b - a][word[a:b]].append((a - k, a + k, n - k, 1 << 30 if stem else n + k, frozenset(word), k))
+                    self.last = max(self.last, a + k)
+
+    def exact(self, word: str) -> str | None:
+        """The term that the word is, else the longest stem it begins with."""
+        node, stem = self.root, None
+        for c in word:
+            stem = node[2] or stem
+            if (node := node[0].get(c)) is None:
+                return stem
+        return node[1] or stem
+
+    def near(self, word: str) -> tuple[str, int] | None:
+        """The nearest term within its number of edits and that number; ties go to words, then to the smaller term."""
+        n, places = len(word), defaultdict(int)
+        for i, c in enumerate(word):
+            places[c] |= 1 << i
+        all_, best, states, step = (1 << Moves.REACH) - 1, None, _MOVES.states, _MOVES.step
+        stack = [(self.root, _MOVES.start, 0)]
+        while stack:
+            node, state, base = stack.pop()
+            if node[1]:
+                d = min((e + n - base - i for i, e in states[state] if base + i <= n), default=MOST + 1)
+                if d <= edits(len(node[1])) and (best is None or (d, False, node[1]) < best):
+                    best = (d, False, node[1])
+            if node[2]:
+                d = min((e for i, e in states[state] if base + i < n), default=MOST + 1)
+                if d <= edits(len(node[2]) - 1) and (best is None or (d, True, node[2]) < best):
+                    best = (d, True, node[2])
+            for c, child in node[0].items():
+                if move := step(state, places[c] >> base & all_ if c in places else 0):
+                    if min(e for _, e in states[move[0]]) <= child[3]:
+                        stack.append((child, move[0], base + move[1]))
+        return (best[2], best[0]) if best else None
+
+    def may(self, word: str) -> bool:
+        """A necessary condition for ``near``: one part of a term stands near its place, and all but k of the term's letters occur."""
+        n, own = len(word), None
+        for size, parts in self.parts.items():
+            for i in range(min(n - size, self.last) + 1):
+                for low, high, least, most, letters, k in parts.get(word[i : i + size], ()):
+                    if low <= i <= high and least <= n <= most:
+                        own = own or frozenset(word)
+                        if len(letters - own) <= k:
+                            return True
+        return False
+
+
+def hits_by_term(words: list[str], terms_of) -> dict[str, int]:
+    """Terms of a text and their hits in the block that has most of them, ``HITS`` at most; ``terms_of`` gives the terms of a word."""
+    out: dict[str, int] = {}
+    for a in range(0, len(words), BLOCK):
+        found: Counter = Counter()
+        for w, k in Counter(words[a : a + BLOCK]).items():
+            for t in terms_of(w):
+                found[t] += k
+        for t, k in found.items():
+            if k > out.get(t, 0):
+                out[t] = min(k, HITS)
+    return out
 
 
 def learn(texts: list[bytes], labels: list[int]) -> Lexicon:
-    toxic, other, plain = defaultdict(set), Counter(), set()
+    words_of = lambda t: _WORD.findall(t.decode("utf-8", "replace").lower())
+    every = lambda w: [w, *(w[:n] + "*" for n in STEMS if n < len(w))]
+    toxic: dict[tuple[str, int], set[int]] = defaultdict(set)
     for i, (t, y) in enumerate(zip(texts, labels, strict=True)):
-        every = _WORD.findall(t.decode("utf-8", "replace").lower())
-        words = set(every)
-        terms = words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n} | {s + "**" for s in repeated_stems(every)}
         if y:
-            for w in terms:
-                toxic[w].add(i)
-        else:
-            other.update(terms)
-            plain |= words
+            for term, k in hits_by_term(words_of(t), every).items():
+                for c in range(1, k + 1):
+                    toxic[term, c].add(i)
+    toxic = {key: d for key, d in toxic.items() if len(d) >= LEAST}
+    among, other, plain = frozenset(t for t, _ in toxic), Counter(), {}
+    for t, y in zip(texts, labels, strict=True):
+        if not y:
+            words = words_of(t)
+            for w in words:
+                if w not in plain:
+                    plain[w] = [t for t in every(w) if t in among]
+            for term, k in hits_by_term(words, plain.__getitem__).items():
+                other.update((term, c) for c in range(1, k + 1))
     n_toxic, n_other = max(sum(labels), 1), max(len(labels) - sum(labels), 1)
-    pure = {w: d for w, d in toxic.items() if len(d) >= LEAST and other[w] / n_other <= 0.02 * len(d) / n_toxic}
-    pure_words = {w: len(d) for w, d in pure.items() if not w.endswith("*")}
-    weight = lambda w: (len(toxic[w]) + 0.5) / (len(toxic[w]) + other[w] * n_toxic / n_other + 2.5)
-    left, out = {i for i, y in enumerate(labels) if y}, Lexicon()
-    # Repeated stems of few texts weigh little, so they only explain what is left over.
+    pure = {key: d for key, d in toxic.items() if other[key] / n_other <= 0.02 * len(d) / n_toxic}
+
+    def weight(term: str, c: int) -> float:
+        own = len(toxic.get((term, c), ()))
+        return (own + 0.5) / (own + other[term, c] + 2.5)
+
+    left, chosen = {i for i, y in enumerate(labels) if y}, {}
+    # Terms of few texts that need repetition weigh little, so they only explain what is left over.
     for again in (False, True):
-        open_ = {w: own for w, d in pure.items() if (again or not w.endswith("**") or len(d) >= STEADY) and len(own := d & left) >= LEAST}
+        open_ = {key: own for key, d in pure.items() if (again or key[1] == 1 or len(d) >= STEADY) and len(own := d & left) >= LEAST}
         while open_:
-            w = max(open_, key=lambda w: (len(open_[w]), len(toxic[w]), not w.endswith("*"), len(w), w))
-            new = open_[w]
-            (out.repeated if w.endswith("**") else out.stems if w.endswith("*") else out.words)[w.rstrip("*")] = weight(w)
+            key = max(open_, key=lambda k: (len(open_[k]), len(toxic[k]), -k[1], not k[0].endswith("*"), len(k[0]), k[0]))
+            new = open_[key]
+            chosen[key[0]] = min(key[1], chosen.get(key[0], HITS))
             left -= new
-            open_ = {k: own for k, d in open_.items() if k != w and len(own := d - new) >= LEAST}
-    # Terms that always stand beside others explain nothing more, but count as much as those.
-    usual = sorted(len(toxic[w]) for w in out.words)
-    for w, n in pure_words.items():
-        if usual and n >= max(BESIDE_SHARE * n_toxic, 0.25 * usual[len(usual) // 2]) and not any(w.startswith(s) for s in out.stems):
-            out.words.setdefault(w, weight(w))
-    terms = {w for w in {*out.words, *(w for w in pure_words if any(w.startswith(x) and len(w) > len(x) for x in out.stems))} if edits(len(w))}
-    out.common = frozenset(terms)
-    trie, near = Trie(out.common), Counter()
-    ordinary = set()
-    for w in plain - out.words.keys():
-        if trie.may(w) and (hit := trie.near(w)):
+            open_ = {k: rest for k, own in open_.items() if k != key and len(rest := own - new) >= LEAST}
+    # Words that always stand beside others explain nothing more, but count as much as those.
+    usual = sorted(len(toxic[t, 1]) for t in chosen if not t.endswith("*"))
+    stems = {t[:-1] for t in chosen if t.endswith("*")}
+    for (t, c), d in pure.items():
+        if c == 1 and not t.endswith("*") and usual and len(d) >= max(BESIDE_SHARE * n_toxic, 0.25 * usual[len(usual) // 2]) and not any(t.startswith(s) for s in stems):
+            chosen.setdefault(t, 1)
+    out = Lexicon()
+    for t, first in chosen.items():
+        steps = [weight(t, c) for c in range(1, HITS + 1)]
+        out.terms[t] = tuple(max(steps[first - 1 : c]) if c >= first else 0.5 * min(steps[c - 1], steps[first - 1]) for c in range(1, HITS + 1))
+    trie, near, ordinary = Trie(out.terms), Counter(), set()
+    for w in plain:
+        if trie.may(w) and trie.exact(w) is None and (hit := trie.near(w)):
             ordinary.add(w)
             near[hit[0]] += 1
     out.ordinary = frozenset(ordinary)
     # The more different ordinary words stand near a term, the likelier one that the sample does not have is ordinary, too.
-    out.fuzzy = {w: (len(toxic[w]) + 0.5) / (len(toxic[w]) + other[w] * n_toxic / n_other + near[w] + 2.5) for w in terms}
+    out.fuzzy = {t: len(toxic[t, chosen[t]]) / (len(toxic[t, chosen[t]]) + near[t]) for t in out.terms}
     return out
 
 
 class Scorer:
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.trie = lexicon, Trie(lexicon.common)
-        self.seen: set[str] = set()
-        self.hot: dict[str, float] = {}
-        self.stem_sizes = sorted({len(s) for s in lexicon.stems})
-        self.repeated, self.long_sizes = frozenset(lexicon.repeated), sorted({len(s) for s in lexicon.repeated})
-        self.long: set[str] = set()
+    def __init__(self, lexicon: Lexicon, automaton: bool = True):
+        self.lexicon, self.trie, self.automaton = lexicon, Trie(lexicon.terms), automaton
+        self.cold: set[str] = set()
+        self.hot: dict[str, tuple[str, float]] = {}
+
+    def term(self, word: str) -> tuple[str, float] | None:
+        """The term of a word, and what the word counts of it."""
+        if hit := self.trie.exact(word):
+            return hit, 1.0
+        if not self.automaton or not self.trie.may(word) or word in self.lexicon.ordinary:
+            return None
+        near = self.trie.near(word)
+        return (near[0], self.lexicon.fuzzy.get(near[0], 1.0) * DAMPED[near[1]]) if near else None
 
     def weight(self, word: str) -> float:
-        lex = self.lexicon
-        if (w := lex.words.get(word)) is not None:
-            return w
-        for n in self.stem_sizes:
-            if len(word) > n and (w := lex.stems.get(word[:n])) is not None:
-                return w
-        if not self.trie.may(word) or word in lex.ordinary:
-            return 0.0
-        hit = self.trie.near(word)
-        return (lex.fuzzy.get(hit[0]) or lex.words[hit[0]]) * (0.92, 0.82, 0.74)[hit[1]] if hit else 0.0
-
-    def hits(self, text: str) -> list[tuple[int, str, float]]:
-        """(character, word, weight in its context) of each hit."""
+        """Weight of one hit of the word without context."""
+        hit = self.term(word)
+        return self.lexicon.terms[hit[0]][0] * hit[1] if hit else 0.0
+
+    def hits(self, text: str) -> list[tuple[int, str, str, float, bool]]:
+        """(character, word, term, weight, quoted) of each hit; a term's hits weigh what as many in one block do."""
         low = text.lower()
-        words = set(_WORD.findall(low))
-        new = words - self.seen
-        for w in new:
-            if w not in self.hot and (x := self.weight(w)):
-                self.hot[w] = x
-            if any(w[:n] in self.repeated for n in self.long_sizes):
-                self.long.add(w)
-        found, long = {w: self.hot[w] for w in new & self.hot.keys()}, new & self.long
-        if len(self.seen) > CACHE:
-            self.seen = set()
+        words = _WORD.findall(low)
+        own = set(words)
+        for w in own - self.cold - self.hot.keys():
+            if hit := self.term(w):
+                self.hot[w] = hit
+            else:
+                self.cold.add(w)
+        found = {w: self.hot[w] for w in own & self.hot.keys()}
+        if len(self.cold) > CACHE:
+            self.cold = set()
         if len(self.hot) > CACHE:
             self.hot = {}
-        if len(self.long) > CACHE:
-            self.long = set()
-        self.seen |= new - found.keys() - long
-        out = self.often(low) if len(long) else []
         if not found:
-            return out
-        for m in _WORD.finditer(low):
-            if x := found.get(m[0]):
-                before, after = low[max(0, m.start() - WINDOW) : m.start()], low[m.end() : m.end() + WINDOW]
-                around = set(_WORD.findall(before)[-4:] + _WORD.findall(after)[:4])
-                quoted = before.rstrip()[-1:] in _QUOTES and before.strip() != "" and any(q in after for q in _QUOTES)
-                if quoted or around & _REPORTING:
-                    x *= 0.5
-                elif around & _ADDRESS and x >= DOUBTFUL:
-                    x = 1 - (1 - x) * 0.5
-                out.append((m.start(), m[0], x))
-        return out
-
-    def often(self, low: str) -> list[tuple[int, str, float]]:
-        """The weightiest stem that is repeated often enough, at its first place."""
-        stems = repeated_stems(_WORD.findall(low), self.repeated)
-        if not stems:
             return []
-        best = max(stems, key=lambda s: (self.lexicon.repeated[s], s))
-        first = next(m for m in _WORD.finditer(low) if m[0].startswith(best) and len(m[0]) > len(best))
-        return [(first.start(), first[0], self.lexicon.repeated[best])]
+        # Misspellings add up to hits by what they count.
+        out, blocks = [], Counter()
+        for k, m in enumerate(_WORD.finditer(low)):
+            if hit := found.get(m[0]):
+                around = set(words[max(0, k - 4) : k] + words[k + 1 : k + 5])
+                start, end = m.start(), m.end()
+                quoted = any(q.start() < min(start, SPAN + 1) and q.end() > min(start, SPAN + 1) for q in _QUOTATION.finditer(low[max(0, start - SPAN - 1) : end + SPAN + 1])) or bool(around & _REPORTING)
+                if not quoted:
+                    blocks[hit[0], k // BLOCK] += hit[1]
+                out.append((start, m[0], hit, quoted, bool(around & _ADDRESS)))
+        most: dict[str, int] = {}
+        for (t, _), k in blocks.items():
+            most[t] = max(most.get(t, 1), min(int(k), HITS))
+        rows = []
+        for start, word, (t, share), quoted, address in out:
+            x = self.lexicon.terms[t][0 if quoted else most[t] - 1] * share
+            if quoted:
+                x *= QUOTED
+            elif address and x >= DOUBTFUL:
+                x = 1 - (1 - x) * 0.5
+            rows.append((start, word, t, x, quoted))
+        return rows
 
     def score(self, text: str) -> float:
-        left = 1.0
-        for _, _, x in self.hits(text):
-            left *= 1 - min(x, 0.999)
-        return 1 - left
+        return combined(self.hits(text))
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",), with_hits: bool = False) -> DataFrame:
-    """``keep`` columns, score, and with ``with_hits`` the places, words and weights behind it."""
+def combined(hits: list[tuple[int, str, str, float, bool]]) -> float:
+    """Each term by its weightiest hit, terms as independent evidence; quotations by the weightiest alone."""
+    best: dict[str, float] = {}
+    quoted = 0.0
+    for _, _, t, x, q in hits:
+        if q:
+            quoted = max(quoted, min(x, QUOTED))
+        else:
+            best[t] = max(best.get(t, 0.0), x)
+    left = 1.0
+    for x in best.values():
+        left *= 1 - min(x, 0.999)
+    return max(1 - left, quoted)
+
+
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",), with_hits: bool = False, automaton: bool = True) -> DataFrame:
+    """``keep`` columns, score, and with ``with_hits`` the places, words, terms and weights behind it."""
     kept = [c for c in keep if c not in ("score", "hits")]
     (hidden,) = fresh(kept, "_text")
     source = docs.select(*kept, docs["text"].alias(hidden))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "score double"] + ["hits array<struct<at long, word string, weight double>>"] * with_hits)
-    spans = pa.list_(pa.struct([("at", pa.int64()), ("word", pa.string()), ("weight", pa.float64())]))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "score double"] + ["hits array<struct<at long, word string, term string, weight double, quoted boolean>>"] * with_hits)
+    names_ = ("at", "word", "term", "weight", "quoted")
+    spans = pa.list_(pa.struct(list(zip(names_, (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_()), strict=True))))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared.value, automaton)
         for batch in batches:
-            texts = [x or "" for x in batch.column(len(kept)).to_pylist()]
+            hits = [scorer.hits(x or "") for x in batch.column(len(kept)).to_pylist()]
             columns, names = [batch.column(i) for i in range(len(kept))], [*kept, "score"]
+            columns.append(pa.array([combined(h) for h in hits], pa.float64()))
             if with_hits:
-                hits = [scorer.hits(t) for t in texts]
-                columns += [pa.array([scorer.score(t) for t in texts], pa.float64()), pa.array([[{"at": a, "word": w, "weight": x} for a, w, x in h] for h in hits], spans)]
+                columns.append(pa.array([[dict(zip(names_, x, strict=True)) for x in h] for h in hits], spans))
                 names.append("hits")
-            else:
-                columns.append(pa.array([scorer.score(t) for t in texts], pa.float64()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return source.mapInArrow(run, schema)
