@@ -16,7 +16,7 @@ from silexa.llm.common import fresh, materialise, table
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier scores at its threshold or above; it learns from the labels outside fold 0."""
     labels = table(spark, sf_dir, "labels").filter(quality.fold(F.col("doc_id"), 5) != 0)
-    model = quality.fit(*quality.labelled_sample(docs, labels, "quality"))
+    model = quality.train(docs, labels)
     (score,) = fresh(docs.columns, "_score")
     return quality.score_quality(docs, model, keep=tuple(docs.columns), name=score).filter(F.col(score) >= quality.THRESHOLD).drop(score)
 
