@@ -1,16 +1,19 @@
 """License scans: ordered signature rules over normalised words, gated by keywords, overlaps resolved by priority and containment.
 
 A text is lower-cased in A-Z and cut into words of ASCII letters, digits and everything outside ASCII. Base phrases (fixed by
-the contract) are counted at every place. Signature rules are regular expressions over the words joined with single blanks; a rule runs
-only on texts in which all its keywords, and one of its names where it has several, occur (one Aho-Corasick pass). Detections are ordered by priority, then length, then start;
-one that lies inside an accepted detection's interval is suppressed. The score is that of the strongest accepted detection.
+the contract) are counted at every place. Signature rules (``signatures``) are regular expressions over the words joined with single blanks. What a
+rule cannot match without is read off its expression; one Aho-Corasick pass over the text finds those keywords, and a rule runs only where each of them
+(or one of its alternatives) occurs. Detections are ordered by priority, then length, then start, then the order of the rules; one that lies inside
+an accepted detection's interval is suppressed, which a tree over the starts tells in logarithmic time. The score is that of the strongest accepted detection.
 
 Defined cases: a null text is the empty text, without words, labels and places, score 0; repeated rows get equal rows; an empty table an empty result.
+A long text takes a few times its size in memory and time in proportion.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -20,128 +23,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import buffer_of, chunks, fresh
+from .signatures import SIGNATURES
 
 #: (phrase, label): fixed values of the contract.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Families: label, the name as a regular expression over words, keywords that every use of the name has, versions ("" for none).
-FAMILIES = (
-    ("mit", r"mit", ("mit",), ("",)),
-    ("apache", r"apache(?: software)?", ("apache",), ("1 0", "1 1", "2 0", "2", "")),
-    ("gpl", r"(?:gnu )?(?:general public|gpl)", (), ("1", "2", "3", "")),
-    ("lgpl", r"(?:gnu )?(?:lesser general public|library general public|lgpl)", (), ("2", "2 1", "3", "")),
-    ("agpl", r"(?:gnu )?(?:affero general public|agpl)", (), ("1", "3", "")),
-    ("fdl", r"(?:gnu )?(?:free documentation|fdl|gfdl)", (), ("1 1", "1 2", "1 3", "")),
-    ("bsd", r"(?:new |modified |simplified |revised |original )?bsd", ("bsd",), ("2 clause", "3 clause", "4 clause", "")),
-    ("mpl", r"(?:mozilla public|mpl)", (), ("1 0", "1 1", "2 0", "")),
-    ("epl", r"(?:eclipse public|epl)", (), ("1 0", "2 0", "")),
-    ("cddl", r"(?:common development and distribution|cddl)", (), ("1 0", "1 1", "")),
-    ("cpl", r"common public", ("common",), ("1 0", "")),
-    ("eupl", r"(?:european union public|eupl)", (), ("1 0", "1 1", "1 2", "")),
-    ("artistic", r"artistic", ("artistic",), ("1 0", "2 0", "")),
-    ("afl", r"academic free", ("academic",), ("2 1", "3 0", "")),
-    ("osl", r"open software", ("software",), ("1 0", "2 1", "3 0", "")),
-    ("ofl", r"(?:sil )?open font", ("font",), ("1 0", "1 1", "")),
-    ("isc", r"isc", ("isc",), ("",)),
-    ("zlib", r"zlib(?: libpng)?", ("zlib",), ("",)),
-    ("boost", r"boost(?: software)?", ("boost",), ("1 0", "")),
-    ("unlicense", r"unlicense", ("unlicense",), ("",)),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public)", (), ("2", "")),
-    ("ncsa", r"(?:university of illinois )?ncsa(?: open source)?", ("ncsa",), ("",)),
-    ("postgresql", r"postgresql", ("postgresql",), ("",)),
-    ("openssl", r"openssl", ("openssl",), ("",)),
-    ("php", r"php", ("php",), ("3 0", "3 01", "")),
-    ("psf", r"(?:python software foundation|psf)", (), ("2", "")),
-    ("ruby", r"ruby", ("ruby",), ("",)),
-    ("zpl", r"(?:zope public|zpl)", (), ("2 0", "2 1", "")),
-    ("ms-pl", r"(?:microsoft public|ms pl)", (), ("",)),
-    ("ms-rl", r"(?:microsoft reciprocal|ms rl)", (), ("",)),
-    ("bsl", r"(?:business source|bsl)", (), ("1 1", "")),
-    ("sspl", r"(?:server side public|sspl)", (), ("1", "")),
-    ("elastic", r"elastic", ("elastic",), ("2 0", "2", "")),
-    ("unicode", r"unicode", ("unicode",), ("",)),
-    ("x11", r"x11", ("x11",), ("",)),
-    ("odbl", r"(?:open database|odbl)", (), ("1 0", "")),
-    ("odc-by", r"open data commons attribution", ("commons",), ("1 0", "")),
-    ("pddl", r"(?:public domain dedication and|pddl)", (), ("1 0", "")),
-    ("cecill", r"cecill", ("cecill",), ("1 0", "2 0", "2 1", "")),
-    ("mulan", r"mulan(?: permissive software| psl)?", ("mulan",), ("1", "2", "")),
-    ("upl", r"universal permissive", ("universal",), ("1 0", "")),
-    ("vim", r"vim", ("vim",), ("",)),
-    ("jpl", r"json", ("json",), ("",)),
-    ("opl", r"open publication", ("publication",), ("1 0", "")),
-)
-#: Creative Commons: the parts behind "by", long name and short name.
-COMMONS = (("", ""), ("-sa", " sa"), ("-nd", " nd"), ("-nc", " nc"), ("-nc-sa", " nc sa"), ("-nc-nd", " nc nd"))
-COMMONS_LONG = {"": "attribution", "-sa": "attribution share ?alike", "-nd": "attribution no ?deriv(?:s|atives)", "-nc": "attribution non ?commercial", "-nc-sa": "attribution non ?commercial share ?alike", "-nc-nd": "attribution non ?commercial no ?deriv(?:s|atives)"}
-COMMONS_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0", "")
-#: Single signatures: label, expression, keywords, priority, confidence.
-SINGLE = (
-    ("cc0", r"cc0(?: 1 0)?(?: universal)?", ("cc0",), 5, 0.9),
-    ("cc0", r"creative commons zero", ("creative", "zero"), 5, 0.9),
-    ("public-domain", r"(?:placed in|released into|dedicated to) the public domain", ("public", "domain"), 5, 0.85),
-    ("public-domain", r"public domain", ("public", "domain"), 2, 0.5),
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", ("hereby", "granted"), 8, 0.95),
-    ("bsd", r"redistribution and use in source and binary forms with or without modification", ("redistribution",), 8, 0.95),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose", ("permission", "distribute"), 8, 0.95),
-    ("gpl", r"free software foundation either version \d+ of the license or at your option any later version", ("foundation", "option"), 9, 0.95),
-    ("warranty-disclaimer", r"(?:provided )?as is without (?:any )?warrant(?:y|ies)", ("without", "warrant"), 3, 0.4),
-    ("beerware", r"beerware(?: license)?", ("beerware",), 5, 0.8),
-    ("all-rights-reserved", r"all rights reserved", ("rights", "reserved"), 4, 0.7),
-    ("proprietary", r"proprietary and confidential", ("proprietary",), 5, 0.8),
-    ("proprietary", r"(?:unauthori[sz]ed|no) (?:copying|reproduction|redistribution)[a-z ]{0,40} prohibited", ("prohibited",), 5, 0.7),
-    ("copyright", r"copyright (?:c )?(?:19|20)\d\d", ("copyright",), 1, 0.3),
-    ("copyright", r"copyright", ("copyright",), 0, 0.2),
-    ("license-mention", r"licen[sc]ed? (?:under|by|to)", ("licen",), 0, 0.2),
-)
-
-
-#: Verbs before a license's name, besides "licensed".
-VERBS = "released|distributed|available|provided|published|covered|governed"
+#: Verbs before a license's name.
+VERBS = "licensed|released|distributed|available|provided|published|covered|governed"
+#: What the signatures' short forms stand for; ``<v:a|b>`` and ``<v?:a|b>`` are versions, ``<n:a|b>`` a bare number.
+_SHORT = {
+    "<under>": rf"(?:{VERBS})(?: \w+)? (?:under|by) (?:the )?(?:terms of )?(?:the )?",
+    "<lic>": r"licen[sc]e",
+    "<cc>": r"creative commons ",
+    "<i>": r"(?: international| unported| public)?(?: licen[sc]e)?",
+    "<parts>": r"(?P<parts>(?: nc| sa| nd){0,2})",
+}
+#: Labels whose versions go without a final 0.
+_WHOLE = ("gpl", "lgpl", "agpl")
+#: Keywords that a rule is gated by, at most.
+_GATES = 3
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
     expression: str
-    keywords: tuple[str, ...]
     priority: int
     confidence: float
-    #: One of these occurs as well; empty where the keywords do.
-    names: tuple[str, ...] = ()
+
+    def named(self, match: re.Match) -> str:
+        """The label with the version and the parts that were matched."""
+        found = match.groupdict()
+        version = found.get("v") or found.get("n") or ""
+        if self.label in _WHOLE:
+            version = version.removesuffix(" 0")
+        label = self.label.replace("{parts}", (found.get("parts") or "").replace(" ", "-"))
+        return f"{label}-{re.sub(r'(?<=[0-9]) (?=[0-9])', '.', version).replace(' ', '-')}" if version else label
 
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All signature rules, about 500: the families' phrasings by version, Creative Commons by parts and version, and the single ones."""
-    out = [Rule(*x) for x in SINGLE]
-    lead = rf"(?:licensed|{VERBS})(?: \w+)? (?:under|by) (?:the )?(?:terms of )?(?:the )?"
-    for label, name, keys, versions in FAMILIES:
-        # A family without keywords ends in its alternative names: the longest word of each.
-        own = () if keys else tuple(max(x.split(), key=len) for x in re.search(r"\(\?:([^()]*)\)$", name)[1].split("|"))
-        for v in versions:
-            full = f"{label}-{v.replace(' ', '.')}" if v else label
-            tail = rf" licen[sc]e(?: agreement)?(?: version| v)? ?v?{v}" if v else r" licen[sc]e"
-            short = rf"(?: licen[sc]e)?(?: version| v)? ?v?{v}" if v else r" licensed"
-            step = bool(v)
-            out += [
-                Rule(full, lead + name + tail, (*keys, "licen"), 6 + step, 0.95),
-                Rule(full, name + tail, (*keys, "licen"), 4 + step, 0.85),
-                Rule(full, lead + name + short, keys, 6 + step, 0.9, own),
-                Rule(full, rf"spdx license identifier {re.escape(label.replace('-', ' '))}" + (rf" {v}(?: only| or later)?" if v else ""), ("spdx",), 9 + step, 1.0),
-            ]
-    for parts, short in COMMONS:
-        for v in COMMONS_VERSIONS:
-            full, end = f"cc-by{parts}" + (f"-{v.replace(' ', '.')}" if v else ""), f" {v}" if v else ""
-            rank = 5 + parts.count("-") + bool(v)
-            out += [
-                Rule(full, r"(?:creative commons )?cc by" + short + end, ("cc", "by"), rank, 0.85),
-                Rule(full, r"creative commons " + COMMONS_LONG[parts] + (rf" {v}" if v else ""), ("creative", "commons"), rank, 0.9),
-                Rule(full, r"creativecommons org licenses by" + short + end, ("creativecommons",), rank + 1, 0.95),
-            ]
+    """All signature rules in their order."""
+    out = []
+    for label, expression, priority, confidence in SIGNATURES:
+        expression = re.sub(r"<n:([^>]+)>", r"(?P<n>\1)", expression)
+        expression = re.sub(r"<v(\??):([^>]+)>", r"(?:(?: <lic>)?(?: agreement)?(?: version| v)? ?v?(?P<v>\2))\1", expression)
+        for short, full in _SHORT.items():
+            expression = expression.replace(short, full)
+        out.append(Rule(label, expression, priority, confidence))
     return tuple(out)
 
 
+def required(expression: str) -> list[frozenset[str]]:
+    """Keywords without which the expression cannot match: of each set one occurs in every match. Pieces of words, the longest first."""
+    from re import _parser
+
+    def best(text: str) -> frozenset[str] | None:
+        piece = max(text.split(" "), key=len)
+        return frozenset([piece]) if len(piece) > 1 else None
+
+    def walk(parsed) -> list[frozenset[str]]:
+        found, run = [], ""
+        for op, value in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                run += chr(value)
+                continue
+            found, run = [*found, best(run)], ""
+            if name == "SUBPATTERN":
+                found += walk(value[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0:
+                found += walk(value[2])
+            elif name == "BRANCH":
+                ways = [walk(w) for w in value[1]]
+                if all(ways):
+                    found.append(frozenset().union(*(w[0] for w in ways)))
+        return sorted({f for f in [*found, best(run)] if f}, key=lambda f: (-min(map(len, f)), sorted(f)))
+
+    return walk(_parser.parse(expression))
+
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _IS_WORD = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 _WORD = rb"0-9a-z\x80-\xff"
@@ -151,39 +112,53 @@ _BASE = [(re.compile(rb"(?<![" + _WORD + rb"])(?=" + (rb"[^" + _WORD + rb"]+").j
 
 @cache
 def _matcher():
-    """The keywords' automaton, each keyword's number, and the compiled rules with the sets of their keywords and names."""
+    """The keywords' automaton, each rule's gates by the keywords' numbers, and the compiled rules."""
     import ahocorasick
 
     found, automaton = {}, ahocorasick.Automaton()
-    for r in rules():
-        for k in r.keywords + r.names:
-            found.setdefault(k, len(found))
+    gates = [[frozenset(found.setdefault(k, len(found)) for k in f) for f in required(r.expression)[:_GATES]] for r in rules()]
     for k, i in found.items():
         automaton.add_word(k, i)
     automaton.make_automaton()
-    compiled = [(frozenset(found[k] for k in r.keywords), frozenset(found[k] for k in r.names), re.compile(rf"(?<= )(?:{r.expression})(?= )"), r) for r in rules()]
-    return automaton, compiled
-
-
-def detect(words: str) -> list[tuple[int, int, Rule]]:
-    """Accepted detections (start, end, rule) in a string of words with single blanks between and around them."""
-    automaton, compiled = _matcher()
-    present = {i for _, i in automaton.iter(words)}
-    if not present:
-        return []
-    hits = [(m.start(), m.end(), r) for keys, names, expression, r in compiled if keys <= present and (not names or names & present) for m in expression.finditer(words)]
-    hits.sort(key=lambda h: (-h[2].priority, h[0] - h[1], h[0], h[2].label))
-    out: list[tuple[int, int, Rule]] = []
-    for h in hits:
-        if not any(a[0] <= h[0] and h[1] <= a[1] for a in out):
-            out.append(h)
+    return automaton, gates, [re.compile(rf"(?<= )(?:{r.expression})(?= )") for r in rules()]
+
+
+_OPEN: dict[frozenset[int], list[int]] = {}
+
+
+def open_rules(low: str) -> list[int]:
+    """Numbers of the rules whose gates a text in lower case passes."""
+    automaton, gates, _ = _matcher()
+    present = frozenset(i for _, i in automaton.iter(low))
+    if present not in _OPEN:
+        if len(_OPEN) > 50_000:
+            _OPEN.clear()
+        _OPEN[present] = [n for n, g in enumerate(gates) if all(f & present for f in g)] if present else []
+    return _OPEN[present]
+
+
+def detect(words: str, numbers: list[int] | None = None) -> list[tuple[int, int, str, float]]:
+    """Accepted detections (start, end, label, confidence) in a string of words with single blanks between and around them; ``numbers``
+    are the rules to run, all by default."""
+    _, _, compiled = _matcher()
+    hits = [(-r.priority, m.start() - m.end(), m.start(), n, m.end(), r.named(m), r.confidence) for n in (range(len(compiled)) if numbers is None else numbers) for r in [rules()[n]] for m in compiled[n].finditer(words)]
+    hits.sort()
+    # Of the accepted detections that start at or before a place, the furthest end: a Fenwick tree over the starts.
+    starts = sorted({h[2] for h in hits})
+    tree, out = [0] * (len(starts) + 1), []
+    for _, _, start, _, end, label, confidence in hits:
+        i = at = bisect_left(starts, start) + 1
+        reach = 0
+        while i:
+            reach, i = max(reach, tree[i]), i & (i - 1)
+        if reach < end:
+            out.append((start, end, label, confidence))
+            while at < len(tree):
+                tree[at] = max(tree[at], end)
+                at += at & -at
     return out
 
 
-#: Texts without any of these cannot meet a rule: each rule has one of them among its keywords or in its expression.
-_GATE = re.compile(rb"licen|(?<![" + _WORD + rb"])cc0?(?![" + _WORD + rb"])|public[^" + _WORD + rb"]+domain|reserved|prohibited|proprietary|beerware|copyright|creative|redistribution|permission|warrant|spdx|foundation|(?:" + VERBS.encode() + rb")(?![" + _WORD + rb"])")
-
-
 def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Words, base phrase places and labels of every text, and ``detections``: label, first word, words, confidence."""
     columns = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())]
@@ -214,10 +189,12 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
                         places += at
                         base |= {label} if at else set()
                 found = []
-                if _GATE.search(part):
+                if numbers := open_rules(part.decode("utf-8", "replace")):
                     words = " " + b" ".join(_WORDS.findall(part)).decode("utf-8", "replace") + " "
-                    found = detect(words)
-                    found = [(r.label, words.count(" ", 0, s) - 1, words.count(" ", s, e) + 1, r.confidence) for s, e, r in found]
+                    if hits := detect(words, numbers):
+                        blanks = np.flatnonzero(np.frombuffer(words.encode("utf-32-le"), dtype=np.uint32) == 32)
+                        first, last = np.searchsorted(blanks, [[h[0] for h in hits], [h[1] for h in hits]]).tolist()
+                        found = [(label, i - 1, k - i + 1, confidence) for (_, _, label, confidence), i, k in zip(hits, first, last, strict=True)]
                 labels = base | {f[0] for f in found}
                 rows.append((int(before[b]) - zero, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), max([f[3] for f in found] + [0.9] * bool(base), default=0.0), [{"label": x, "first": i, "words": n, "confidence": c} for x, i, n, c in found]))
             by = list(zip(*rows, strict=True))

@@ -172,7 +172,7 @@ class Trie:
                 if d <= edits(len(node[1])) and (best is None or (d, False, node[1]) < best):
                     best = (d, False, node[1])
             if node[2]:
-                d = min((e for i, e in states[state] if base + i < n), default=MOST + 1)
+                d = min((e for i, e in states[state] if base + i <= n), default=MOST + 1)
                 if d <= edits(len(node[2]) - 1) and (best is None or (d, True, node[2]) < best):
                     best = (d, True, node[2])
             for c, child in node[0].items():
