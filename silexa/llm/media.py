@@ -2,13 +2,13 @@
 
 ``encode`` writes grey baseline JPEG: one 8x8 block a payload byte, the byte minus 128 as the quantised DC coefficient, no AC
 coefficients, one row of 192 blocks a restart interval. With a DC quantiser of 8 a block's mean luminance is the byte itself, so
-the thumbnail of DC luminance is the payload. ``decode`` is a general reader of grey baseline scans: it parses the
-markers, builds the Huffman tables that the file declares, decodes all restart intervals of a batch in step (numpy over intervals)
-and keeps the DC values; AC symbols are read and skipped. A payload that needs more than 65,535 pixel rows goes on in a further
-file right behind (concatenated JPEG files).
+the thumbnail of DC luminance is the payload. ``decode`` is a reader of baseline files, grey or colour with any sampling, whose components
+share one scan: it parses the markers, builds the Huffman tables that the file declares, decodes all restart intervals of a batch in step (numpy over intervals)
+and keeps the DC values of the luminance; AC symbols are read and skipped. A payload that needs more than 65,535 pixel rows goes on in a further
+file right behind (concatenated JPEG files). A long payload is written and read back file by file, ``ROWS_PER_FILE`` rows at once, so that memory is bounded by a few times the text.
 
 Defined cases: a null text is the empty text; an empty text is 192 spaces; equal texts give equal values; further columns are kept
-only in ``media_columns``; an empty table gives an empty result.
+only in ``media_columns``; an empty table gives an empty result; progressive, lossless and damaged files and those of several scans raise ValueError.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from .common import buffer_of, chunks, fresh
 
 UNIT = 192
-ROWS_PER_FILE = 65535 // 8
+#: At most 65535 // 8; fewer keep the kernels' arrays small.
+ROWS_PER_FILE = 4096
 CHUNK = 700_000
 
 #: DC table: category 0..9 with these code lengths; AC table: end of block alone, and one more code so that no code is all ones.
@@ -125,10 +126,13 @@ class _Frame:
         at += 2
         self.tables: dict[int, tuple[bytes, bytes]] = {}
         self.quant: dict[int, int] = {}
-        self.interval = 0
+        self.interval, parts = 0, None
         while True:
-            if data[at] != 0xFF:
+            if at + 4 > len(data) or data[at] != 0xFF:
                 raise ValueError("marker expected")
+            if data[at + 1] == 0xFF:
+                at += 1
+                continue
             marker, (size,) = data[at + 1], struct.unpack_from(">H", data, at + 2)
             body = data[at + 4 : at + 2 + size]
             at += 2 + size
@@ -138,9 +142,10 @@ class _Frame:
                     self.quant[body[0] & 15] = struct.unpack_from(">H", body, 1)[0] if wide else body[1]
                     body = body[1 + 64 * (1 + wide) :]
             elif marker == 0xC0:
-                self.bits, self.height, self.width, parts, _, sampling, self.quant_id = struct.unpack_from(">BHHBBBB", body)
-                if self.bits != 8 or parts != 1 or sampling != 0x11:
-                    raise ValueError("one component of 8 bits is expected")
+                bits, self.height, self.width, n = struct.unpack_from(">BHHB", body)
+                parts = {body[6 + 3 * k]: (body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)}
+                if bits != 8 or not self.height or not self.width:
+                    raise ValueError("samples of 8 bits and a known size are expected")
             elif marker == 0xC4:
                 while body:
                     n = sum(body[1:17])
@@ -149,15 +154,30 @@ class _Frame:
             elif marker == 0xDD:
                 (self.interval,) = struct.unpack(">H", body)
             elif marker == 0xDA:
-                self.dc_id, self.ac_id = body[2] >> 4, body[2] & 15
                 break
-            elif marker in (0xC1, 0xC2, 0xC3, 0xD9):
+            elif marker == 0xD9 or 0xC1 <= marker <= 0xCF and marker != 0xCC:
                 raise ValueError("not a baseline file")
+        if parts is None or body[0] != len(parts):
+            raise ValueError("one scan with all components is expected")
         self.start = at
         self.stop = data.find(b"\xff\xd9", at)
-        while self.stop > 0 and data[self.stop - 1] == 0xFF:
-            self.stop = data.find(b"\xff\xd9", self.stop + 1)
-        self.across, self.down = -(-self.width // 8), -(-self.height // 8)
+        if self.stop < 0:
+            raise ValueError("no end of image")
+        # The first component is the luminance. A single component is stored block by block, several in units of their sampling.
+        most = [max(p[k] for p in parts.values()) for k in (0, 1)]
+        scan = [(body[1 + 2 * k], body[2 + 2 * k] >> 4, 16 + (body[2 + 2 * k] & 15)) for k in range(len(parts))]
+        self.grain = parts[scan[0][0]][:2] if len(parts) > 1 else (1, 1)
+        self.quant_id = parts[scan[0][0]][2]
+        self.units = [-(-size // (8 * m)) for size, m in zip((self.width, self.height), most, strict=True)] if len(parts) > 1 else [-(-self.width // 8), -(-self.height // 8)]
+        self.size = [-(-size * g // (8 * m)) for size, g, m in zip((self.width, self.height), self.grain, most, strict=True)] if len(parts) > 1 else self.units
+        #: Blocks of one unit: (component's place, DC table, AC table).
+        self.pattern = tuple((k, self.tables[dc], self.tables[ac]) for k, (name, dc, ac) in enumerate(scan) for _ in range(parts[name][0] * parts[name][1] if len(parts) > 1 else 1))
+
+    def thumbnail(self, light: np.ndarray) -> np.ndarray:
+        """Luminance values in the order of the scan, as rows and columns."""
+        (h, v), (across, down) = self.grain, self.units
+        grid = light.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
+        return grid[: self.size[1], : self.size[0]]
 
 
 _LOOKUPS: dict[tuple[bytes, bytes], np.ndarray] = {}
@@ -188,44 +208,50 @@ def _intervals(scan: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return scan[keep], np.concatenate([[0], kept[marks]])
 
 
-def _decode_in_step(data: np.ndarray, starts: np.ndarray, blocks: np.ndarray, dc: np.ndarray, ac: np.ndarray) -> np.ndarray:
-    """Quantised DC values by interval (rows) and block; all intervals advance together, one symbol a step."""
+def _decode_in_step(data: np.ndarray, starts: np.ndarray, units: np.ndarray, pattern: tuple) -> np.ndarray:
+    """Quantised DC values of the first component by interval (rows) and block; all intervals advance together, one symbol a step."""
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
     window = padded[:-4] << np.uint64(32) | padded[1:-3] << np.uint64(24) | padded[2:-2] << np.uint64(16) | padded[3:-1] << np.uint64(8) | padded[4:]
+    del padded
     at = starts.astype(np.int64) * 8
-    most = int(blocks.max(initial=0))
-    out = np.zeros((len(starts), most), dtype=np.int32)
-    value = np.zeros(len(starts), dtype=np.int64)
-    limit = len(window) - 1
+    steps = [(k, _lookup(dc), _lookup(ac)) for k, dc, ac in pattern]
+    own, most = sum(k == 0 for k, *_ in pattern), int(units.max(initial=0))
+    out = np.zeros((len(starts), most * own), dtype=np.int32)
+    values = np.zeros((max(k for k, *_ in pattern) + 1, len(starts)), dtype=np.int64)
+    limit, place = len(window) - 1, 0
 
     def peek(pos: np.ndarray, bits: int) -> np.ndarray:
         return ((window[np.minimum(pos >> 3, limit)] >> (40 - bits - (pos & 7)).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
-    for b in range(most):
-        live = blocks > b
-        every = bool(live.all())
-        who = slice(None) if every else np.flatnonzero(live)
-        pos = at[who]
-        hit = dc[peek(pos, 16)]
-        pos = pos + (hit & 31)
-        size = hit >> 5
-        raw = peek(pos, 16) >> (16 - size)
-        diff = np.where(raw < (1 << size >> 1), raw - (1 << size) + 1, raw)
-        pos = pos + size
-        value[who] += diff
-        out[who, b] = value[who]
-        # AC symbols: up to 63 coefficients or the end of the block.
-        todo, k = np.arange(len(pos)), np.ones(len(pos), dtype=np.int64)
-        while len(todo):
-            p = pos[todo]
-            hit = ac[peek(p, 16)]
+    for unit in range(most):
+        live = units > unit
+        who = slice(None) if bool(live.all()) else np.flatnonzero(live)
+        for component, dc, ac in steps:
+            pos = at[who]
+            hit = dc[peek(pos, 16)]
             if not hit.all():
                 raise ValueError("a code that the file does not declare")
-            symbol = hit >> 5
-            pos[todo] = p + (hit & 31) + (symbol & 15)
-            k[todo] += np.where(symbol == 0, 64, (symbol >> 4) + 1)
-            todo = todo[k[todo] < 64]
-        at[who] = pos
+            pos = pos + (hit & 31)
+            size = hit >> 5
+            raw = peek(pos, 16) >> (16 - size)
+            diff = np.where(raw < (1 << size >> 1), raw - (1 << size) + 1, raw)
+            pos = pos + size
+            values[component, who] += diff
+            if component == 0:
+                out[who, place] = values[0, who]
+                place += 1
+            # AC symbols: up to 63 coefficients or the end of the block.
+            todo, k = np.arange(len(pos)), np.ones(len(pos), dtype=np.int64)
+            while len(todo):
+                p = pos[todo]
+                hit = ac[peek(p, 16)]
+                if not hit.all():
+                    raise ValueError("a code that the file does not declare")
+                symbol = hit >> 5
+                pos[todo] = p + (hit & 31) + (symbol & 15)
+                k[todo] += np.where(symbol == 0, 64, (symbol >> 4) + 1)
+                todo = todo[k[todo] < 64]
+            at[who] = pos
     return out
 
 
@@ -239,29 +265,32 @@ def decode(files: list[bytes]) -> list[list[np.ndarray]]:
             frames.append((i, f))
             at = f.stop + 2
     out: list[list[np.ndarray]] = [[] for _ in files]
-    groups: dict[tuple, list[tuple[int, _Frame]]] = {}
-    for i, f in frames:
-        groups.setdefault((f.tables[f.dc_id], f.tables[16 + f.ac_id], f.interval), []).append((i, f))
-    for (dc, ac, interval), members in groups.items():
-        data, starts, blocks, base = [], [], [], 0
-        for i, f in members:
+    groups: dict[tuple, list[tuple[int, int, _Frame]]] = {}
+    for nth, (i, f) in enumerate(frames):
+        groups.setdefault((f.pattern, f.interval), []).append((nth, i, f))
+    thumbs: list[np.ndarray | None] = [None] * len(frames)
+    for (pattern, interval), members in groups.items():
+        data, starts, units, base = [], [], [], 0
+        for _, i, f in members:
             body, at = _intervals(np.frombuffer(files[i], dtype=np.uint8, count=f.stop - f.start, offset=f.start))
-            n = f.across * f.down
+            n = f.units[0] * f.units[1]
             each = interval or n
             if len(at) != -(-n // each):
                 raise ValueError("restart intervals are missing")
             data.append(body)
             starts.append(at + base)
-            blocks.append(np.minimum(each, n - each * np.arange(len(at))))
+            units.append(np.minimum(each, n - each * np.arange(len(at))))
             base += len(body)
-        values = _decode_in_step(np.concatenate(data), np.concatenate(starts), np.concatenate(blocks), _lookup(dc), _lookup(ac))
-        row = 0
-        for (i, f), b in zip(members, blocks, strict=True):
-            own = values[row : row + len(b)]
-            flat = own.ravel() if len(b) == 1 or b.min() == own.shape[1] else np.concatenate([own[k, :n] for k, n in enumerate(b)])
-            row += len(b)
-            light = flat[: f.across * f.down] * f.quant[f.quant_id] // 8 + 128
-            out[i].append(np.clip(light, 0, 255).astype(np.uint8).reshape(f.down, f.across))
+        values = _decode_in_step(np.concatenate(data), np.concatenate(starts), np.concatenate(units), pattern)
+        own, row = sum(k == 0 for k, *_ in pattern), 0
+        for (nth, _, f), u in zip(members, units, strict=True):
+            part = values[row : row + len(u)]
+            flat = part.ravel() if u.min() * own == part.shape[1] else np.concatenate([part[k, : n * own] for k, n in enumerate(u)])
+            row += len(u)
+            light = flat * f.quant[f.quant_id] // 8 + 128
+            thumbs[nth] = f.thumbnail(np.clip(light, 0, 255).astype(np.uint8))
+    for (i, _), t in zip(frames, thumbs, strict=True):
+        out[i].append(t)
     return out
 
 
@@ -275,8 +304,10 @@ def thumbnail_hash(thumb: np.ndarray) -> str:
 
 
 def features(thumbs: list[np.ndarray]) -> str:
-    """Pixel width and height of all files together, and the hash of the first thumbnail."""
-    return f"{thumbs[0].shape[1] * 8}x{sum(t.shape[0] for t in thumbs) * 8}:{thumbnail_hash(thumbs[0])}"
+    """Pixel width and height of all files together, one below the other, and the hash of their thumbnails as one picture."""
+    width = max(t.shape[1] for t in thumbs)
+    whole = thumbs[0] if len(thumbs) == 1 else np.concatenate([np.pad(t, ((0, 0), (0, width - t.shape[1]))) for t in thumbs])
+    return f"{width * 8}x{len(whole) * 8}:{thumbnail_hash(whole)}"
 
 
 def payload_of(text: bytes) -> bytes:
@@ -298,12 +329,17 @@ def media_columns(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, hidden, CHUNK):
             data, offsets = buffer_of(batch.column(len(kept)))
-            raw = data.tobytes()
-            stored = encode([payload_of(raw[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)])
-            rows = []
-            for size, media, thumbs in zip(np.diff(offsets), stored, decode(stored), strict=True):
-                back = thumbs[0].tobytes() if len(thumbs) == 1 else b"".join(t.tobytes() for t in thumbs)
-                rows.append((int(size), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(thumbs)))
+            sizes = np.diff(offsets).tolist()
+            if len(sizes) == 1 and sizes[0] > CHUNK:
+                described, stored = _long(data, with_media)
+                rows, stored = [described], [stored]
+            else:
+                raw = data.tobytes()
+                stored = encode([payload_of(raw[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)])
+                rows = []
+                for size, media, thumbs in zip(sizes, stored, decode(stored), strict=True):
+                    back = thumbs[0].tobytes() if len(thumbs) == 1 else b"".join(t.tobytes() for t in thumbs)
+                    rows.append((size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(thumbs)))
             columns = [batch.column(i) for i in range(len(kept))] + [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _FIELDS, strict=True)]
             names = kept + [n for n, _ in _FIELDS]
             if with_media:
@@ -312,3 +348,21 @@ def media_columns(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return source.mapInArrow(run, schema)
+
+
+def _long(data: np.ndarray, with_media: bool) -> tuple[tuple, bytes]:
+    """The columns of one long text, whose files are written and read back one at a time; the files themselves only where they are asked for."""
+    payload, stored = hashlib.sha256(), hashlib.sha256()
+    thumbs, parts, length = [], [], 0
+    for a in range(0, len(data), UNIT * ROWS_PER_FILE):
+        part = data[a : a + UNIT * ROWS_PER_FILE].tobytes()
+        (media,) = encode([part if len(part) % UNIT == 0 else payload_of(part)])
+        ((thumb,),) = decode([media])
+        payload.update(thumb.tobytes())
+        stored.update(media)
+        length += len(media)
+        thumbs.append(thumb)
+        if with_media:
+            parts.append(media)
+    size, tail = sum(t.size for t in thumbs), thumbs[-1].tobytes()[-16:]
+    return (len(data), size, payload.hexdigest(), zlib.crc32(tail), length, stored.hexdigest(), features(thumbs)), b"".join(parts)

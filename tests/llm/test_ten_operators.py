@@ -56,9 +56,113 @@ def test_media_of_all_byte_values_and_of_more_than_one_file():
     assert b"".join(t.tobytes() for t in media.decode(media.encode([flat]))[0]) == flat
 
 
-def test_media_refuses_other_files():
-    with pytest.raises(ValueError):
-        media.decode([b"GIF89a"])
+def test_long_texts_go_file_by_file_and_count_in_the_feature(spark, monkeypatch):
+    import resource
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(media, "ROWS_PER_FILE", 40)
+    monkeypatch.setattr(media, "CHUNK", 20_000)
+    raw = [rng.integers(32, 127, n, dtype=np.uint8).tobytes().decode() for n in (30_000, 19_000, 40 * 192 * 3)]
+    late = raw[2][:20_000] + "".join(" ~"[k // 300 % 2] for k in range(len(raw[2]) - 20_000))
+    docs = spark.createDataFrame(list(enumerate([*raw, late])), "doc_id long, text string").coalesce(1)
+    found = by_id(media.media_columns(docs, with_media=True))
+    for i, t in enumerate([*raw, late]):
+        payload = media.payload_of(t.encode())
+        thumbs = media.decode([bytes(found[i]["media"])])[0]
+        assert b"".join(t.tobytes() for t in thumbs) == payload and found[i]["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert found[i]["media_sha256"] == hashlib.sha256(bytes(found[i]["media"])).hexdigest() and found[i]["tail_crc32"] == zlib.crc32(payload[-16:])
+        assert found[i]["feature"] == media.features(thumbs)
+    assert found[2]["feature"] != found[3]["feature"]
+    monkeypatch.undo()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    described, _ = media._long(np.full(30 << 20, 65, dtype=np.uint8), False)
+    assert described[0] == 30 << 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20
+
+
+class _Bits:
+    """A plain writer of entropy-coded bits, for files that the encoder of the package does not write."""
+
+    def __init__(self):
+        self.bits = ""
+
+    def value(self, n, code):
+        size = abs(n).bit_length()
+        self.bits += code[size] + (format(n if n > 0 else n + (1 << size) - 1, f"0{size}b") if size else "")
+
+    def flush(self):
+        self.bits += "1" * (-len(self.bits) % 8)
+        raw = bytes(int(self.bits[i : i + 8], 2) for i in range(0, len(self.bits), 8))
+        self.bits = ""
+        return raw.replace(b"\xff", b"\xff\x00")
+
+
+def _colour_file(width, height, sampling, interval, seed):
+    """A colour file with AC coefficients by a plain encoder, and its luminance DC values by row and column."""
+    rng = np.random.default_rng(seed)
+    sizes = list(range(12))
+    dc = {s: format(s, "04b") for s in sizes}
+    ac_symbols = [0x00, 0xF0, *(r << 4 | s for r in (0, 3) for s in (1, 2, 5))]
+    ac = {s: format(k, "04b") for k, s in enumerate(ac_symbols)}
+    table = lambda symbols, kind: bytes([kind, 0, 0, 0, len(symbols), *[0] * 12, *symbols])
+    h, v = sampling
+    across, down = -(-width // (8 * h)), -(-height // (8 * v))
+    light = rng.integers(-100, 100, (down * v, across * h))
+    bits, scan, last, units = _Bits(), b"", [0, 0, 0], 0
+    for y in range(down):
+        for x in range(across):
+            if interval and units and units % interval == 0:
+                scan += bits.flush() + bytes([0xFF, 0xD0 + (units // interval - 1) % 8])
+                last = [0, 0, 0]
+            blocks = [(0, int(light[y * v + b, x * h + a])) for b in range(v) for a in range(h)] + [(1, int(rng.integers(-50, 50))), (2, int(rng.integers(-50, 50)))]
+            for c, value in blocks:
+                bits.value(value - last[c], dc)
+                last[c], left = value, 63
+                while left > 20 and rng.random() < 0.6:
+                    run, size = [(0, 1), (3, 2), (0, 5), (15, 0)][rng.integers(4)]
+                    bits.bits += ac[run << 4 | size] + "".join(rng.choice(["0", "1"]) for _ in range(size))
+                    left -= run + 1
+                bits.bits += ac[0]
+            units += 1
+    scan += bits.flush()
+    seg = media._segment
+    frame = bytes([8, *height.to_bytes(2, "big"), *width.to_bytes(2, "big"), 3, 1, h << 4 | v, 0, 2, 0x11, 1, 3, 0x11, 1])
+    head = b"\xff\xd8" + seg(0xE0, b"JFIF\xff\xd9") + seg(0xDB, bytes([0, *[4] * 64]) + bytes([1, *[9] * 64])) + b"\xff" + seg(0xC0, frame) + seg(0xC4, table(sizes, 0x00) + table(ac_symbols, 0x10))
+    head += seg(0xDD, interval.to_bytes(2, "big")) if interval else b""
+    data = head + seg(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])) + scan + b"\xff\xd9"
+    rows, columns = -(-height // 8), -(-width // 8)
+    return data, np.clip(light * 4 // 8 + 128, 0, 255)[:rows, :columns]
+
+
+@pytest.mark.parametrize(("sampling", "interval"), [((1, 1), 0), ((2, 2), 3), ((2, 1), 0), ((1, 2), 5)])
+def test_colour_files_with_subsampling_give_their_luminance(sampling, interval):
+    for seed, (width, height) in enumerate([(64, 48), (70, 37), (9, 100)]):
+        data, want = _colour_file(width, height, sampling, interval, seed)
+        ((thumb,),) = media.decode([data])
+        assert thumb.tolist() == want.tolist()
+
+
+def test_features_are_those_of_a_plain_version():
+    rng = np.random.default_rng(9)
+    for shape in ((3, 192), (17, 192), (8, 8), (1, 1), (5, 3)):
+        thumb = rng.integers(0, 256, shape, dtype=np.uint8)
+        cells = []
+        for r in range(8):
+            for c in range(8):
+                ys, xs = [[min(k * n // 8, n - 1) for k in range(8)] for n in shape]
+                y0, x0 = ys[r], xs[c]
+                y1, x1 = (ys[r + 1] if r < 7 else shape[0]), (xs[c + 1] if c < 7 else shape[1])
+                cells.append(thumb[y0 : max(y1, y0 + 1), x0 : max(x1, x0 + 1)].astype(float).mean())
+        bits = "".join("1" if m >= np.mean(cells) - 1e-9 else "0" for m in cells)
+        assert media.features([thumb]) == f"{shape[1] * 8}x{shape[0] * 8}:{int(bits, 2):016x}"
+
+
+def test_media_refuses_other_files(empty):
+    whole = media.encode([b"a" * 192])[0]
+    for bad in (b"GIF89a", b"", whole[:-2], whole[:40], whole.replace(b"\xff\xc0", b"\xff\xc2"), whole[: len(whole) // 2]):
+        if bad:
+            with pytest.raises(ValueError):
+                media.decode([bad])
+    assert media.media_columns(empty).count() == 0
 
 
 # quality
