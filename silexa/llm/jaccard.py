@@ -7,10 +7,17 @@ prefix, and candidates left when L of them must agree). A pair is verified only
 at places that leave room for enough others behind them.
 
 Steps, all on Spark: (1) one pass for nodes and the frequent shingles, (2) one pass that sends prefixes to their shingle and keeps those met twice,
-(3) per shingle every set is verified against one hub (the most typical set), and links are contracted to components, (4) each set that shares
-shingles with another component is verified against that whole component, in blocks, (5) components of all links. Large groups of near copies collapse in step 3 without
+(3) per shingle every set is verified against one hub (the most typical set), and links are contracted to components, (4) each set that may link
+with a set of another component is verified against that component's sets of fitting size, in blocks, (5) components of all links. Large groups of near copies collapse in step 3 without
 their pairs ever being written out; step 4 leaves no pair across components untested, so no link between components is lost.
 
+Step 4 finds its pairs by the first shingle that they share: all others stand behind it on both sides, so a set of n shingles that has it at
+place p can only link with sets of at most ((1 + t) (n - p) - t n) / t shingles. Sets meet by shingle and class of size; sets that a common passage
+joins, but no room for enough shared shingles, never meet. Of the pairs that do, those that share too few prefix shingles are dropped.
+
+Shingles in 1024 texts or more are dealt out to ``SALTS`` tasks; where a set or a label stands for very many documents, joins by it are
+left to adaptive execution, which splits the documents' side.
+
 Equality of shingles and sets is that of 64-bit hashes (128 bits for sets inside an id).
 
 Defined cases: a null text or one without words has an empty set, is linked with nothing and is its own component; a row with a null
@@ -25,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,9 +49,12 @@ VERIFY = 8.0
 FREQUENT_ROWS = 500_000
 FREQUENT = 8
 #: Shingles whose frequency is 2 to this power or more are dealt out to ``SALTS`` tasks.
-SALT_LEVEL, SALTS = 15, 64
+SALT_LEVEL, SALTS = 10, 64
 BLOCK = 256
-BLOOM_BITS = 1 << 23
+#: The filter of needed documents has ten bits a document, and this many at most; with more documents all texts take part in the join.
+BLOOM_BITS = 1 << 28
+#: Ids that are dropped travel to the documents while they take so many bytes at most; beyond, both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
 
 
 def _need(n: np.ndarray | int) -> np.ndarray | int:
@@ -126,32 +136,39 @@ def postings(docs: DataFrame, hot: np.ndarray, level: np.ndarray) -> DataFrame:
                 seen = set()
             if out:
                 tokens, levels, nodes, meta = (np.concatenate(c) for c in zip(*out, strict=True))
-                salt = np.where(levels >= SALT_LEVEL, nodes % SALTS, 0).astype(np.int8)
+                salt = np.where(levels >= SALT_LEVEL, 1 + nodes % SALTS, 0).astype(np.int8)
                 yield pa.RecordBatch.from_arrays([pa.array(salt), pa.array(tokens.view(np.int64)), pa.array(nodes), pa.array(meta)], names=["salt", "token", "node", "meta"])
 
     return docs.select("text").mapInArrow(run, "salt byte, token long, node long, meta long")
 
 
 def _met_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition's postings those whose shingle has two nodes here or is dealt out to several tasks."""
-    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for b in batches if b.num_rows]
-    if not parts:
-        return
-    salt, token, node, meta = (np.concatenate(c) for c in zip(*parts, strict=True))
-    del parts
-    order = np.lexsort((node, token))
-    salt, token, node, meta = salt[order], token[order], node[order], meta[order]
-    new = np.ones(len(token), dtype=bool)
-    new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-    salt, token, node, meta = salt[new], token[new], node[new], meta[new]
-    first = np.ones(len(token), dtype=bool)
-    first[1:] = token[1:] != token[:-1]
-    group = np.cumsum(first) - 1
-    many = np.bincount(group)[group] > 1
-    keep = many | (salt > 0)
-    for a in range(0, int(keep.sum()), 200_000):
-        cut = np.flatnonzero(keep)[a : a + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(token[cut]), pa.array(node[cut]), pa.array(meta[cut])], names=["token", "node", "meta"])
+    """Of postings in the order of token and node those whose shingle has two nodes here or is dealt out to several tasks."""
+    held: tuple | None = None
+    shown, names = False, ["salt", "token", "node", "meta"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        if held is not None:
+            columns = [np.concatenate([[h], c]).astype(c.dtype) for h, c in zip(held, columns, strict=True)]
+        salt, token, node, _ = columns
+        same = np.zeros(len(token), dtype=bool)
+        same[1:] = token[1:] == token[:-1]
+        repeated = same.copy()
+        repeated[1:] &= node[1:] == node[:-1]
+        salt, token, node, meta = (c[~repeated] for c in columns)
+        same = np.zeros(len(token), dtype=bool)
+        same[1:] = token[1:] == token[:-1]
+        keep = same | (salt > 0)
+        keep[:-1] |= same[1:]
+        # The last posting waits for its successor, unless it is out already.
+        if shown:
+            keep[0] = False
+        shown = bool(keep[-1]) or (shown and len(token) == 1)
+        held = salt[-1], token[-1], node[-1], meta[-1]
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (salt, token, node, meta)], names=names)
 
 
 def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -202,10 +219,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bloom(needed: DataFrame):
-    """A filter of fixed size over the needed document ids; when it is full it lets everything pass."""
-    at = lambda c: [F.pmod(F.xxhash64(c, F.lit(i)), F.lit(BLOOM_BITS)) for i in range(3)]
+    """A filter over the needed document ids, sized by their number, or None where that passes the bound."""
+    bits = 1 << max(12, (10 * needed.count()).bit_length())
+    if bits > BLOOM_BITS:
+        return None
+    at = lambda c: [F.pmod(F.xxhash64(c, F.lit(i)), F.lit(bits)) for i in range(3)]
+    # At most bits / 64 rows of two numbers reach the driver.
     rows = needed.select(F.explode(F.array(*at(F.col("doc_id")))).alias("p")).groupBy((F.col("p") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("mask")).toPandas()
-    words = np.zeros(BLOOM_BITS // 64, dtype=np.int64)
+    words = np.zeros(bits // 64, dtype=np.int64)
     words[rows["word"].to_numpy(dtype=np.int64)] = rows["mask"].to_numpy(dtype=np.int64)
     shared = needed.sparkSession.sparkContext.broadcast(words)
 
@@ -226,26 +247,60 @@ def verified(docs: DataFrame, nodes: DataFrame, tests: DataFrame, name: str) ->
     """Links (a, b) among ``tests`` (group, block, role, node): each probe (role 1) against all targets (role 0) of its group and block."""
     needed = materialise(tests.join(nodes, "node").select("group", "block", "role", "node", "doc_id", "key"), f"{name}-tests")
     hit = _bloom(needed.select("doc_id"))
-    texts = docs.filter(hit(F.col("doc_id"))).select("doc_id", F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = (docs.filter(hit(F.col("doc_id"))) if hit else docs).select("doc_id", F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(needed, ["doc_id", "key"]).select("group", "block", "role", "node", "text")
     rows = rows.repartition(partitions(docs.sparkSession), "group", "block").sortWithinPartitions("group", "block", "role", "node")
     return materialise(rows.mapInArrow(_verify, "a long, b long").distinct(), f"{name}-links")
 
 
+def _size_class(n: Column) -> Column:
+    """Classes of sizes, eight a doubling."""
+    return F.when(n < 8, n).otherwise(F.floor(F.log2(n) * 8) - 16).cast("int")
+
+
+def _classes(low: Column, high: Column) -> Column:
+    return F.sequence(_size_class(low), _size_class(high))
+
+
+def pairs_across(met: DataFrame, label: DataFrame) -> DataFrame:
+    """(group, node, n, size) of the sets that may link with a set of another component ``group`` of ``size`` sets; of two components the smaller one's
+    sets ask, of equal ones those of the smaller label."""
+    least_size, most_size = F.ceil(F.col("n") * PERCENT / 100), F.floor(F.col("n") * 100 / PERCENT)
+    # What a set can link with when this shingle is the first one shared.
+    room = F.floor(((100 + PERCENT) * (F.col("n") - F.col("place")) - PERCENT * F.col("n")) / PERCENT)
+    seen = met.join(label, "node", "left").select("salt", "token", "node", "n", "least", F.coalesce("label", "node").alias("label"), least_size.cast("long").alias("from"), F.least(room, most_size).cast("long").alias("to"))
+    size = label.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    # Per shingle, component and class of size: what its sets have and ask for, so that one row stands for all of them.
+    lists = seen.withColumn("class", _size_class(F.col("n"))).groupBy("token", "label", "class").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("least").alias("other"), F.min(F.when(F.col("to") >= F.col("from"), F.col("from"))).alias("ask_low"), F.max(F.when(F.col("to") >= F.col("from"), F.col("to"))).alias("ask_high"))
+    mixed = lists.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("token")
+    lists = materialise(lists.join(mixed, "token", "left_semi").join(size, "label", "left").withColumn("members", F.coalesce("members", F.lit(1))), "lists")
+    asking = seen.filter(F.col("from") <= F.col("to")).join(lists.select("token", "label", "members").distinct(), ["token", "label"])
+    left = asking.select("token", "label", "members", "node", "n", "from", "to", F.explode(_classes(F.col("from"), F.col("to"))).alias("class"))
+    right = lists.filter("ask_high is not null").select("token", "class", F.col("label").alias("group"), "low", "high", "ask_low", "ask_high", F.col("members").alias("size"))
+    fits = (F.col("from") <= F.col("high")) & (F.col("to") >= F.col("low")) & (F.col("n") >= F.col("ask_low")) & (F.col("n") <= F.col("ask_high"))
+    smaller = (F.col("members") < F.col("size")) | ((F.col("members") == F.col("size")) & (F.col("label") < F.col("group")))
+    found = materialise(left.join(right, ["token", "class"]).filter((F.col("label") != F.col("group")) & fits & smaller).select("group", "node", "n", "size").distinct(), "found")
+    # The prefix shingles that each pair shares; of the pair's two numbers wanted the smaller one counts.
+    theirs = lists.groupBy("token", F.col("label").alias("group")).agg(F.min("other").alias("other"))
+    shared = found.join(seen.select("node", "token", "least"), "node").join(theirs, ["token", "group"])
+    return shared.groupBy("group", "node", "n", "size").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("least", "other")).alias("wanted")).filter("shared >= wanted").select("group", "node", "n", "size")
+
+
 def link_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
     spark = docs.sparkSession
     source = docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     described = materialise(source.mapInArrow(_describe, "kind byte, doc_id long, key long, node long, n long"), "described")
     rows = described.filter("kind = 0").select("doc_id", "key", "node", "n")
-    nodes = rows.filter("node >= 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("node", "r.doc_id", "r.key")
+    nodes = rows.filter("node >= 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("r"), F.max("n").alias("n")).select("node", "r.doc_id", "r.key", "n")
     nodes = materialise(nodes, "nodes")
-    met = postings(docs.filter("doc_id is not null"), *_frequent(described)).repartition(partitions(spark), "salt", "token").mapInArrow(_met_twice, "token long, node long, meta long")
-    met = materialise(met, "met").select("token", "node", F.shiftright("meta", 36).alias("place"), F.shiftright("meta", 9).bitwiseAND((1 << 27) - 1).alias("n"), F.shiftright("meta", 6).bitwiseAND(7).alias("least"), F.col("meta").bitwiseAND(63).alias("typical"))
+    met = postings(docs.filter("doc_id is not null"), *_frequent(described)).repartition(partitions(spark), "salt", "token").sortWithinPartitions("token", "node").mapInArrow(_met_twice, "salt byte, token long, node long, meta long")
+    met = materialise(met, "met").select("salt", "token", "node", F.shiftright("meta", 36).alias("place"), F.shiftright("meta", 9).bitwiseAND((1 << 27) - 1).alias("n"), F.shiftright("meta", 6).bitwiseAND(7).alias("least"), F.col("meta").bitwiseAND(63).alias("typical"))
 
-    hubs = met.groupBy("token").agg(F.max(F.struct("typical", "n", "node")).alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    hubs = met.groupBy("token").agg(F.max(F.struct("typical", "n", "node")).alias("hub"), F.count(F.lit(1)).alias("k"), F.max("salt").alias("dealt")).filter("k > 1")
+    hubs = hubs.select("token", "hub", F.explode(F.when(F.col("dealt") > 0, F.sequence(F.lit(0), F.lit(SALTS))).otherwise(F.array(F.lit(0)))).alias("salt"))
     near = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * PERCENT
-    star = met.join(hubs, "token").filter((F.col("node") != F.col("hub.node")) & near).select(F.col("hub.node").alias("group"), "node").distinct()
+    star = met.join(hubs, ["salt", "token"]).filter((F.col("node") != F.col("hub.node")) & near).select(F.col("hub.node").alias("group"), "node").distinct()
     star = materialise(star, "star")
     # A hub with very many sets is copied to one block for each BLOCK * 16 of them.
     many = star.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / (BLOCK * 16)).cast("int").alias("blocks"))
@@ -254,31 +309,25 @@ def link_documents(docs: DataFrame) -> DataFrame:
     links = verified(docs, nodes, targets.unionByName(probes), "star")
 
     label = materialise(components(links), "labels")
-    # Of the shingles that a linked pair shares, each of the first MOST has at most MOST - 1 shared ones before it and all others behind it on both
-    # sides; a pair needs t / (1 + t) of n + n' in common. Shingles too far back for that cannot be among those first ones.
-    room = ((100 + PERCENT) * (F.col("n") - F.col("place") + (MOST - 1)) - PERCENT * F.col("n")).alias("room")
-    seen = met.join(label, "node", "left").select("token", "node", "n", "least", room, F.coalesce("label", "node").alias("label"))
-    size = label.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    # Per shingle and component: its size range, so that one row stands for all of its members.
-    by_list = seen.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("least").alias("other"), F.max("room").alias("their_room")).join(size, "label", "left").withColumn("members", F.coalesce("members", F.lit(1)))
-    mixed = by_list.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
-    by_list = materialise(by_list.join(mixed, "token", "left_semi"), "lists")
-    left = seen.join(by_list.select("token", "label", "members"), ["token", "label"])
-    right = by_list.select("token", F.col("label").alias("group"), "low", "high", "other", "their_room", F.col("members").alias("size"))
-    fits = (F.col("n") * 100 >= F.col("low") * PERCENT) & (F.col("high") * 100 >= F.col("n") * PERCENT)
-    fits &= (F.col("room") >= PERCENT * F.col("low")) & (F.col("their_room") >= PERCENT * F.col("n"))
-    smaller = (F.col("members") < F.col("size")) | ((F.col("members") == F.col("size")) & (F.col("label") < F.col("group")))
-    across = left.join(right, "token").filter((F.col("label") != F.col("group")) & fits & smaller)
-    across = across.groupBy("group", "node").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("least", "other")).alias("wanted"), F.first("size").alias("size")).filter("shared >= wanted")
+    across = pairs_across(met, label)
     tried = star.select("group", "node").union(star.select(F.col("node").alias("group"), F.col("group").alias("node")))
     # Two single sets that the hub step has compared need no second look.
     again = across.filter("size = 1").join(tried, ["group", "node"], "left_anti").unionByName(across.filter("size > 1"))
-    again = materialise(again.select("group", "node", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "across")
-    groups = again.select("group", "blocks").distinct()
-    members = groups.join(label.select(F.col("label").alias("group"), "node"), "group", "left").select("group", "blocks", F.coalesce("node", "group").alias("node"))
-    targets = members.select("group", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node")
-    probes = again.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node")
-    more = verified(docs, nodes, targets.unionByName(probes), "across")
+    again = materialise(again, "across")
+    # Components are cut into blocks of one class of size; a set goes to the classes it can link with.
+    groups = again.filter("size > 1").select("group").distinct()
+    members = groups.join(label.select(F.col("label").alias("group"), "node"), "group").join(nodes.select("node", "n"), "node").withColumn("class", _size_class(F.col("n")))
+    members = materialise(members, "members")
+    many = members.groupBy("group", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    block = lambda part: (F.col("class").cast("long") * (1 << 40) + part).alias("block")
+    targets = members.join(many, ["group", "class"]).select("group", block(F.pmod(F.xxhash64("node"), F.col("blocks"))), F.lit(0).alias("role"), "node")
+    asked = _classes(F.ceil(F.col("n") * PERCENT / 100), F.floor(F.col("n") * 100 / PERCENT))
+    probes = again.filter("size > 1").select("group", "node", F.explode(asked).alias("class")).join(many, ["group", "class"])
+    probes = probes.select("group", "class", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part")).select("group", block(F.col("part")), F.lit(1).alias("role"), "node")
+    single = again.filter("size = 1")
+    alone = [single.select("group", F.lit(-1).cast("long").alias("block"), F.lit(r).alias("role"), F.col(c).alias("node")) for r, c in ((0, "group"), (1, "node"))]
+    tests = targets.unionByName(probes).unionByName(alone[0].distinct()).unionByName(alone[1])
+    more = verified(docs, nodes, tests, "across")
 
     final = materialise(components(links.unionByName(more)), "final")
     own = rows.join(final, "node", "left").withColumn("label", F.when((F.col("node") >= 0) & F.col("doc_id").isNotNull(), F.coalesce("label", "node")))
@@ -289,12 +338,19 @@ def link_documents(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of linked documents, that of the smallest id; rows with a null id stay."""
-    kept = materialise(link_documents(docs).filter("doc_id = component_id").select("doc_id").distinct(), "kept")
-    # Of rows that share an id one stays: the least text, source and language.
-    from pyspark.sql import Window
-
+    """``docs`` with one document of each group of linked documents, that of the smallest id; rows with a null id stay.
+
+    Of rows that share an id one stays: that with the least text, by its hash, then the least of the other columns. Where few ids are dropped, the texts stay where they are.
+    """
+    linked = materialise(link_documents(docs).filter("doc_id is not null"), "linked")
+    ids = linked.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    ids = materialise(ids.filter("not stays or rows > 1"), "ids")
+    count = ids.agg(F.count(F.lit(1)), F.coalesce(F.max("rows"), F.lit(1))).first()
+    held = lambda df: F.broadcast(df) if count[0] * 32 <= BROADCAST_BYTES else df
+    out = docs.join(held(ids.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    if count[1] == 1:
+        return out
     (nth,) = fresh(docs.columns, "_nth")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[c for c in docs.columns if c not in ("doc_id", "text")])
-    with_id = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).drop(nth)
-    return with_id.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    several = docs.join(held(ids.filter("stays").select("doc_id")), "doc_id", "left_semi").withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1)
+    return out.unionByName(several.select(*docs.columns))

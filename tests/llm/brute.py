@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 _LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -46,13 +47,15 @@ def components(rows):
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((find(a), find(b)))
+    ids, places = sorted(sets), {}
+    for i in ids:
+        shared = Counter(j for x in sets[i] for j in places.get(x, ()))
+        for j, both in shared.items():
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((find(i), find(j)))
                 parent[y] = x
+        for x in sets[i]:
+            places.setdefault(x, []).append(i)
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 

@@ -49,6 +49,8 @@ def test_jaccard_and_suffix_of_the_whole_table(spark, entry):
     found = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in entry.queries()["op3_suffix"](spark, SF).collect()}
     want = {i: (n, s, hashlib.sha256(k).hexdigest()) for i, (k, n, s) in brute.repeats(rows).items()}
     assert found == want
+    linked = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in entry.queries()["op7_jaccard"](spark, SF).collect()}
+    assert linked == brute.components(rows)
 
 
 @pytest.mark.parametrize("name", ["op6_urls", "op9_mixing"])

@@ -479,6 +479,37 @@ def test_one_of_each_keeps_one_document_a_group(docs, rows, empty):
     assert jaccard.link_documents(empty).count() == 0
 
 
+def test_hot_shingles_and_blocks_lose_nothing(docs, rows, monkeypatch):
+    want = brute.components(rows)
+    monkeypatch.setattr(jaccard, "SALT_LEVEL", 1)
+    monkeypatch.setattr(jaccard, "FREQUENT", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 1)
+    monkeypatch.setattr(jaccard, "BLOOM_BITS", 1)
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", 0)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(docs).collect()} == want
+    assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs).collect()) == sorted({c for _, c in want.values()})
+
+
+def test_sets_that_a_common_passage_joins_do_not_meet(spark):
+    line = " ".join(f"common{i}" for i in range(12))
+    found = []
+    for n in (100, 400):
+        docs = spark.createDataFrame([(i, f"{line} own{i} more{i}") for i in range(n)], "doc_id long, text string")
+        described = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(jaccard._describe, "kind byte, doc_id long, key long, node long, n long")
+        met = jaccard.postings(docs, *jaccard._frequent(described)).repartition(4, "salt", "token").sortWithinPartitions("token", "node").mapInArrow(jaccard._met_twice, "salt byte, token long, node long, meta long")
+        met = met.select("salt", "token", "node", F.shiftright("meta", 36).alias("place"), F.shiftright("meta", 9).bitwiseAND((1 << 27) - 1).alias("n"), F.shiftright("meta", 6).bitwiseAND(7).alias("least"))
+        assert met.count() >= n
+        found.append(jaccard.pairs_across(met, spark.createDataFrame([], "node long, label long")).count())
+    assert found == [0, 0]
+
+
+def test_one_of_each_of_rows_that_share_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "a"), (1, text, "a"), (2, text, "b"), (3, "other words stand in here now", "b"), (3, "other words stand in here now", "a"), (3, "zz", "a"), (None, text, "n"), (None, text, "n")]
+    kept = [tuple(r) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _nth string")).collect()]
+    assert sorted(r[0] for r in kept if r[0]) == [1, 3] and [r for r in kept if r[0] is None] == [(None, text, "n")] * 2
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["label"] for r in components(edges).collect()} == {0}
