@@ -129,11 +129,12 @@ class Trie:
     """The lexicon's terms; stems accept any word that begins with them."""
 
     def __init__(self, terms):
+        import ahocorasick
+
         #: A node is [children by letter, word ending here, stem ending here, most edits of a term below].
         self.root: list = [{}, None, None, 0]
-        #: Of a term's letters one part of k + 1 stays in place under its k edits: size to part to what a word with it must fulfil.
-        self.parts: dict[int, dict[str, list[tuple]]] = defaultdict(lambda: defaultdict(list))
-        self.last = 0
+        # Of a term's letters one part of k + 1 stays in place under its k edits: an automaton of the parts, with what a word with each must fulfil.
+        parts: dict[str, list[tuple]] = defaultdict(list)
         for term in terms:
             word, stem = term.rstrip("*"), term.endswith("*")
             n, node = len(word), self.root
@@ -146,8 +147,12 @@ class Trie:
             if k:
                 cuts = [n * p // (k + 1) for p in range(k + 2)]
                 for a, b in zip(cuts, cuts[1:], strict=False):
-                    self.parts[b - a][word[a:b]].append((a - k, a + k, n - k, 1 << 30 if stem else n + k, frozenset(word), k))
-                    self.last = max(self.last, a + k)
+                    parts[word[a:b]].append((b - k - 1, b + k - 1, n - k, 1 << 30 if stem else n + k, frozenset(word), k))
+        self.parts = ahocorasick.Automaton()
+        for part, wants in parts.items():
+            self.parts.add_word(part, wants)
+        self.parts.make_automaton()
+        self.any = bool(parts)
 
     def exact(self, word: str) -> str | None:
         """The term that the word is, else the longest stem it begins with."""
@@ -184,13 +189,12 @@ class Trie:
     def may(self, word: str) -> bool:
         """A necessary condition for ``near``: one part of a term stands near its place, and all but k of the term's letters occur."""
         n, own = len(word), None
-        for size, parts in self.parts.items():
-            for i in range(min(n - size, self.last) + 1):
-                for low, high, least, most, letters, k in parts.get(word[i : i + size], ()):
-                    if low <= i <= high and least <= n <= most:
-                        own = own or frozenset(word)
-                        if len(letters - own) <= k:
-                            return True
+        for end, wants in self.parts.iter(word) if self.any else ():
+            for low, high, least, most, letters, k in wants:
+                if low <= end <= high and least <= n <= most:
+                    own = own or frozenset(word)
+                    if len(letters - own) <= k:
+                        return True
         return False
 
 
