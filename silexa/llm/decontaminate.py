@@ -1,16 +1,16 @@
 """Benchmark decontamination by templates, with DataFrame operations only.
 
 Texts become words; numbers, units and names become typed placeholders, one word each, so that template words and raw words keep the same places.
-A name is a capitalised word; where a sentence, line, quotation or text may begin, only one that the benchmark never has in lower case. A number with
+A name is a capitalised word, a name of several words as many placeholders; where a sentence, line, quotation or text may begin, a word counts as one only if the benchmark never has it in lower case. A number with
 separators is one placeholder. Windows of ``WIDTH`` template words are hashed and joined with the benchmark's windows. Where a window has placeholders, the slot
 values on both sides travel along: along one alignment (document place minus item place) a benchmark value must stand for one document value
-throughout, otherwise the windows of that alignment do not count. Windows of which more than half (rounded up) are names count only with the benchmark's own values. A document leaks an item when the windows left cover ``COVERAGE`` of the item's windows.
+throughout and a document value for one benchmark value, otherwise the windows of that alignment do not count. Windows of which more than half (rounded up) are names count only with the benchmark's own values. A document leaks an item when the windows left cover ``COVERAGE`` of the item's windows.
 
-Items with fewer than ``WIDTH`` words are matched by one window of their own length; items under ``LEAST_WORDS`` words cannot be told from chance and
-never match. The benchmark's windows are broadcast while they number at most ``BROADCAST_ROWS`` (counted first); beyond that the join shuffles.
+Items with fewer than ``WIDTH`` words are matched by one window of their own length; items under ``LEAST_WORDS`` words, which a change of values would leave
+with hardly a word of their own, only with the values they have. The benchmark's windows are broadcast while they take ``BROADCAST_BYTES`` at most (measured first); beyond that the same join shuffles.
 
 Defined cases: a null or empty text has no windows and leaks nothing; a null id is reported as null; repeated rows are reported once per
-(doc_id, item_id); repeated items are reported under each item_id; an empty table on either side gives an empty result.
+(doc_id, item_id); repeated items are reported under each item_id; an empty table on either side gives an empty result; of a very long text only its words are held, window by window.
 """
 
 from __future__ import annotations
@@ -23,9 +23,7 @@ from .common import materialise
 WIDTH = 8
 LEAST_WORDS = 5
 COVERAGE = 0.25
-BROADCAST_ROWS = 1_000_000
-#: So many different beginnings of windows are tested as a set before a window is hashed.
-LEADS = 50_000
+BROADCAST_BYTES = 64 << 20
 #: Units of measure that follow a number (fixed list).
 UNITS = "kg|g|mg|t|km|m|cm|mm|mi|ft|in|l|ml|s|sec|min|h|hr|hrs|hours?|days?|weeks?|months?|years?|usd|eur|gbp|dollars?|euros?|cents?|percent|mph|kmh|w|kw|v|c|f"
 #: So many lower-case words of the benchmark, the most frequent, tell sentence openers from names; with more, the rest are names on both sides.
@@ -66,27 +64,22 @@ def _rows(table: DataFrame, key: str, lower: list[str]) -> DataFrame:
     return table.select(key, raw.alias("raw"), template.alias("words"))
 
 
-def _lead(i: Column) -> Column:
-    """Hash of the first three words of the window at place ``i``."""
-    return F.xxhash64(F.get("words", i - 1), F.get("words", i), F.get("words", i + 1))
+def windows(rows: DataFrame, key: str, widths: list[int]) -> DataFrame:
+    """(key, raw, words, place, width, hash) of the windows of the given widths."""
+    # explode_outer and a later filter: a filter on the places themselves would be pushed down and cut every text a second time.
+    places = F.when(F.size("words") >= min(widths), F.sequence(F.lit(1), F.size("words") - (min(widths) - 1)))
+    rows = rows.select(key, "raw", "words", F.explode_outer(places).alias("place")).filter(F.col("place").isNotNull())
+    rows = rows.select("*", (F.explode(F.array(*[F.lit(w) for w in widths])) if len(widths) > 1 else F.lit(widths[0])).alias("width")).filter(F.size("words") - F.col("width") + 1 >= F.col("place"))
+    hashed = F.lit(None).cast("long")
+    for w in widths:
+        hashed = F.when(F.col("width") == w, F.xxhash64(*[F.get("words", F.col("place") + (k - 1)) for k in range(w)])).otherwise(hashed)
+    return rows.select("*", hashed.alias("hash"))
 
 
-def windows(rows: DataFrame, key: str, widths: Column, leads: list[int] | None = None) -> DataFrame:
-    """(key, width, total, place, hash, slots) of the windows of the given widths; with ``leads`` only of those that begin with such three words."""
-    if leads is None:
-        rows = rows.select("*", F.explode(widths).alias("width"))
-    least = F.col("width") if leads is None else F.lit(LEAST_WORDS)
-    places = F.when(F.size("words") >= least, F.sequence(F.lit(1), F.size("words") - least + 1))
-    if leads is not None:
-        places = F.filter(places, lambda i: _lead(i).isin(leads))
-    # explode_outer and a later filter: a filter on the places themselves would be pushed down and cut every text a second time.
-    rows = rows.select("*", F.explode_outer(places).alias("place")).filter(F.col("place").isNotNull())
-    if leads is not None:
-        rows = rows.select("*", F.explode(widths).alias("width")).filter(F.size("words") - F.col("width") + 1 >= F.col("place"))
-    window = F.slice("words", F.col("place"), F.col("width"))
-    zipped = F.arrays_zip(window.alias("w"), F.slice("raw", F.col("place"), F.col("width")).alias("r"))
-    slots = F.transform(F.filter(zipped, lambda x: F.startswith(x["w"], F.lit("#"))), lambda x: F.struct(x["w"].alias("kind"), x["r"].alias("value")))
-    return rows.select(key, "width", (F.size("words") - F.col("width") + 1).alias("total"), "place", F.xxhash64(window).alias("hash"), slots.alias("slots"), _lead(F.col("place")).alias("lead"))
+def _slots() -> Column:
+    """Kind and value of each placeholder of a window."""
+    zipped = F.arrays_zip(F.slice("words", F.col("place"), F.col("width")).alias("w"), F.slice("raw", F.col("place"), F.col("width")).alias("r"))
+    return F.transform(F.filter(zipped, lambda x: F.startswith(x["w"], F.lit("#"))), lambda x: F.struct(x["w"].alias("kind"), x["r"].alias("value")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -95,23 +88,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     ``exact`` tells that all slot values are those of the benchmark.
     """
     lower = lower_words(benchmark)
-    own = materialise(_rows(benchmark, "item_id", lower), "items").filter(F.size("words") >= LEAST_WORDS)
-    items = materialise(windows(own, "item_id", F.array(F.least(F.size("words"), F.lit(WIDTH)))), "windows")
-    known = items.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("width")).alias("widths")).first()
-    widths, small = list(known["widths"]) or [WIDTH], known["n"] <= BROADCAST_ROWS
-    right = items.select(F.col("item_id"), F.col("width").alias("_width"), F.col("total").alias("item_windows"), F.col("place").alias("item_place"), F.col("hash").alias("_hash"), F.col("slots").alias("item_slots"))
-    # A short list of leading words goes into the plan as a set; without one, all windows are joined.
-    leads = [r["lead"] for r in items.select("lead").distinct().limit(LEADS + 1).collect()]
-    left = windows(_rows(docs, "doc_id", lower), "doc_id", F.array(*[F.lit(w) for w in widths]), leads if len(leads) <= LEADS else None)
-    hit = left.join(F.broadcast(right) if small else right, (F.col("hash") == F.col("_hash")) & (F.col("width") == F.col("_width")))
+    own = materialise(_rows(benchmark, "item_id", lower), "items").filter(F.size("words") > 0)
+    items = windows(own, "item_id", list(range(1, WIDTH + 1))).filter(F.col("width") == F.least(F.size("words"), F.lit(WIDTH)))
+    items = items.select("item_id", F.col("width").alias("_width"), (F.size("words") - F.col("width") + 1).alias("item_windows"), F.col("place").alias("item_place"), F.col("hash").alias("_hash"), _slots().alias("item_slots"))
+    right = materialise(items, "windows")
+    known = right.agg(F.array_sort(F.collect_set("_width")).alias("widths"), F.sum(100 + 60 * F.size("item_slots") + F.length(F.to_json("item_slots"))).alias("bytes")).first()
+    left = windows(_rows(docs, "doc_id", lower), "doc_id", list(known["widths"]) or [WIDTH])
+    same = (F.col("hash") == F.col("_hash")) & (F.col("width") == F.col("_width"))
+    # Slots are cut from the windows that match; where the join shuffles, they travel instead of the texts.
+    if (known["bytes"] or 0) <= BROADCAST_BYTES:
+        hit = left.join(F.broadcast(right), same).select("*", _slots().alias("slots"))
+    else:
+        hit = left.select("doc_id", "place", "width", "hash", _slots().alias("slots")).join(right, same)
     names = F.size(F.filter(F.coalesce("item_slots", F.array()), lambda x: x["kind"] == "#w"))
-    hit = hit.filter((names * 2 <= F.col("_width") + 1) | F.col("slots").eqNullSafe(F.col("item_slots")))
+    free = (names * 2 <= F.col("_width") + 1) & (F.col("_width") >= LEAST_WORDS)
+    hit = hit.filter(free | F.col("slots").eqNullSafe(F.col("item_slots")))
     hit = hit.select("doc_id", "item_id", "item_windows", "item_place", (F.col("place") - F.col("item_place")).alias("at"), "slots", "item_slots").distinct()
     hit = materialise(hit, "hits")
     line = ["doc_id", "item_id", "at"]
     pairs = hit.filter(F.size(F.coalesce("item_slots", F.array())) > 0).select(*line, F.explode(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d"))).alias("p"))
-    by_value = pairs.groupBy(*line, "p.b.kind", F.col("p.b.value").alias("value")).agg(F.count_distinct("p.d.value").alias("n"), F.max(F.col("p.d.value") != F.col("p.b.value")).alias("changed"))
-    slot = by_value.groupBy(*line).agg(F.max(F.col("n") > 1).alias("torn"), F.max("changed").alias("changed"))
+    values = pairs.groupBy(*line, "p.b.kind", F.col("p.b.value").alias("item"), F.col("p.d.value").alias("doc")).agg(F.count(F.lit(1)).alias("n"))
+    one_way = values.groupBy(*line, "kind", "item").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc") != F.col("item")).alias("changed"))
+    other_way = values.groupBy(*line, "kind", "doc").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc") != F.col("item")).alias("changed"))
+    slot = one_way.select(*line, "n", "changed").union(other_way.select(*line, "n", "changed")).groupBy(*line).agg(F.max(F.col("n") > 1).alias("torn"), F.max("changed").alias("changed"))
     slot = slot.select(F.struct(*line).alias("_line"), "torn", "changed")
     kept = hit.join(slot, F.struct(*line).eqNullSafe(F.col("_line")), "left").filter(~F.coalesce("torn", F.lit(False)))
     out = kept.groupBy("doc_id", "item_id").agg(F.count_distinct("item_place").alias("n_windows"), F.max("item_windows").alias("item_windows"), (~F.max(F.coalesce("changed", F.lit(False)))).alias("exact"))

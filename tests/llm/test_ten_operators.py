@@ -558,12 +558,106 @@ def test_names_in_any_place_and_numbers_with_separators(spark):
     assert found == {(1, 1): (9, True), (2, 1): (9, False), (3, 1): (9, False), (6, 3): (1, True)}
 
 
-def test_shuffled_join_finds_the_same(spark, docs, monkeypatch):
-    bench = docs.filter("length(text) > 300").orderBy("doc_id").limit(5).select(F.col("doc_id").alias("item_id"), F.substring("text", 50, 200).alias("text"))
-    one = decontaminate.leaks(docs, bench).collect()
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(decontaminate, "LEADS", 0)
-    assert Counter(map(tuple, decontaminate.leaks(docs, bench).collect())) == Counter(map(tuple, one)) and one
+def _template(text, lower):
+    """Raw and template words of a text by plain string work."""
+    import unicodedata
+
+    letter, number = (lambda c: unicodedata.category(c)[0] == "L"), (lambda c: unicodedata.category(c)[0] == "N")
+    words, i, n = [], 0, len(text)
+    opens, quotes = set(".!?:;…\n\r"), set(decontaminate._QUOTES.replace("\\", ""))
+    while i < n:
+        if not (letter(text[i]) or number(text[i])):
+            i += 1
+            continue
+        j = i
+        while j < n and (letter(text[j]) or number(text[j]) or (text[j] in ".," and j + 1 < n and number(text[j - 1]) and number(text[j + 1]))):
+            j += 1
+        word, k = text[i:j], i - 1
+        head = re.match(r"[^\W\d_]*", word)[0]
+        capital = unicodedata.category(word[0]) == "Lu" and any(unicodedata.category(c) == "Ll" for c in head)
+        while k >= 0 and (text[k].isspace() and text[k] not in "\n\r" or text[k] in quotes | set("*•-")) and text[k] not in quotes:
+            k -= 1
+        opener = capital and (k < 0 or text[k] in opens | quotes)
+        words.append([word, capital, opener, i])
+        i = j
+    out = []
+    for word, capital, opener, at in words:
+        low = word.lower().replace(",", "\3").replace(".", "\3")
+        kind = "#w" if capital and (not opener or low not in lower) else low
+        if not capital and word and number(word[0]):
+            digits = re.match(r"[\d\3]+", low)[0]
+            kind = "#n" + low[len(digits) :]
+            if re.fullmatch(decontaminate.UNITS, low[len(digits) :]):
+                kind = "#n#u"
+        elif out and out[-1][1] == "#n" and text[at - 1] == " " and re.fullmatch(decontaminate.UNITS, low):
+            kind = "#u"
+        out.append([low, kind, capital and not opener, at + len(word)])
+    return [o[0] for o in out], [o[1] for o in out]
+
+
+def _slow_leaks(docs, items):
+    """All pairs of documents and items, window by window."""
+    lower = {w for _, t in items if t for w in re.findall(r"[^\W_]+", t) if w[0].islower()}
+    cut = lambda t: _template(t or "", lower)
+    found = {}
+    for item, text in items:
+        raw, words = cut(text)
+        width = min(decontaminate.WIDTH, len(words))
+        total = len(words) - width + 1
+        for doc, other in docs if width else ():
+            draw, dwords = cut(other)
+            lines = {}
+            for p in range(total):
+                for q in range(len(dwords) - width + 1):
+                    if words[p : p + width] == dwords[q : q + width]:
+                        slots = [(words[p + k], raw[p + k], draw[q + k]) for k in range(width) if words[p + k].startswith("#")]
+                        names = sum(s[0] == "#w" for s in slots)
+                        if (names * 2 <= width + 1 and width >= decontaminate.LEAST_WORDS) or all(b == d for _, b, d in slots):
+                            lines.setdefault(q - p, []).append((p, slots))
+            kept, exact = set(), True
+            for windows in lines.values():
+                pairs = {s for _, slots in windows for s in slots}
+                if len({(k, b) for k, b, _ in pairs}) == len({(k, d) for k, _, d in pairs}) == len(pairs):
+                    kept |= {p for p, _ in windows}
+                    exact &= all(b == d for _, b, d in pairs)
+            if len(kept) / total >= decontaminate.COVERAGE:
+                found[doc, item] = (len(kept), total, exact)
+    return found
+
+
+def test_leaks_are_those_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    names = ["Tom", "Mary Jones", "Dr Ann Lee", "Bob", "Über", "Otto"]
+    plain = "the man gives apples to a friend near house and then goes home again with more of them than before while nobody looks".split()
+
+    def sentence(k):
+        out = []
+        for _ in range(k):
+            x = rng.random()
+            out.append(str(rng.choice(names)) if x < 0.15 else str(rng.choice(["3", "1,200", "4.5", "60 km", "7 kg", "12"])) if x < 0.3 else str(rng.choice(plain)))
+        return " ".join(out).capitalize() + str(rng.choice([". ", "? ", ", ", "\n", "! "]))
+
+    items = [(i, "".join(sentence(int(rng.integers(1, 14))) for _ in range(int(rng.integers(1, 4))))) for i in range(14)]
+    items += [(20, "Tom"), (21, "gives apples"), (22, ""), (23, None), (24, items[0][1]), (25, "Mary Jones gives 3 apples")]
+    docs = []
+    for d in range(60):
+        _, text = items[int(rng.integers(14))]
+        for old, new in ((str(rng.choice(names)), str(rng.choice(names))), (str(rng.choice(["3", "12", "60"])), str(rng.choice(["8", "3", "12"])))):
+            text = text.replace(old, new) if rng.random() < 0.7 else text
+        docs.append((d, sentence(5) + text + sentence(4) if rng.random() < 0.8 else sentence(20)))
+    docs += [(100, None), (101, ""), (102, "said Tom"), (103, "Mary Jones gives 3 apples"), (104, "Ann Lee gives 3 apples")]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = _slow_leaks(docs, items)
+    got = lambda: {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_windows"], r["exact"]) for r in decontaminate.leaks(table, bench).collect()}
+    assert got() == want and len(want) > 40 and {e for *_, e in want.values()} == {True, False}
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    assert got() == want
+
+
+def test_two_values_do_not_become_one(spark):
+    bench = spark.createDataFrame([(1, "a boat sails 60 km on monday and then 90 km on the day behind it")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a boat sails 10 km on monday and then 20 km on the day behind it"), (2, "a boat sails 10 km on monday and then 10 km on the day behind it")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.leaks(docs, bench).collect()] == [1]
 
 
 # mixing
