@@ -5,6 +5,9 @@ words stops there and the excess goes to the others by weight. The levels come f
 (water filling), not from repeated rounds. Each document is then emitted floor(rate) times, and once more when a hash of
 (seed, doc_id) falls under the fraction, so reruns agree and no state is kept.
 
+The list of sources passes through one task in sorted order, a row of a few dozen bytes each: fit for some ten million sources. It is broadcast to the
+documents while it takes ``BROADCAST_BYTES`` at most (measured first), so that no text is shuffled; beyond, the join shuffles.
+
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; rows that share a doc_id share
 their draw; an empty table gives an empty result; further columns pass through untouched, but columns named ``size``, ``source_size``,
 ``target``, ``rate``, ``copies`` or ``copy`` give way to the operator's own.
@@ -23,6 +26,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST = 2
 SEED = "mix-1"
+BROADCAST_BYTES = 64 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -65,7 +69,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: f
 def mix_rates(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: str = SEED) -> DataFrame:
     """``docs`` with size, source_size, target, rate and copies; ``docs`` needs doc_id, source and size."""
     (name,) = fresh(docs.columns, "_source")
-    targets = source_targets(docs.select("source", "size"), weights, budget, most).withColumnRenamed("source", name)
+    targets = materialise(source_targets(docs.select("source", "size"), weights, budget, most).withColumnRenamed("source", name), "targets")
+    if targets.agg(F.coalesce(F.sum(64 + F.coalesce(F.octet_length(name), F.lit(0))), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+        targets = F.broadcast(targets)
     out = docs.join(targets, docs["source"].eqNullSafe(F.col(name)), "left").drop(name)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     fraction = F.col("rate") - F.floor("rate")

@@ -9,7 +9,8 @@ public unigram tokenizers; the tests compare with one of them built from the sam
 
 A line feed is in no piece, so words are cut there as well, and counts add up. Words repeat, so each task keeps a bounded table of counts.
 
-Defined cases: a null or empty text has 0 tokens; repeated rows get equal rows; an empty table gives an empty result.
+Defined cases: a null or empty text has 0 tokens; repeated rows get equal rows; an empty table gives an empty result. A long text is held once and cut into segments one by
+one; a word of a megabyte takes some hundred bytes a character while it is scored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import math
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,7 +84,8 @@ class Counter:
         if not text:
             return 0, 0.0
         tokens, score, known = 0, 0.0, self.known
-        for s in self.segment.findall(" " + text):
+        for m in self.segment.finditer(" " + text):
+            s = m[0]
             hit = known.get(s)
             if hit is None:
                 hit = self.word(s.replace(" ", MARK))
@@ -97,21 +98,18 @@ class Counter:
         return tokens, score
 
 
-@lru_cache(maxsize=2)
-def _counter(path: str) -> Counter:
-    return Counter(piece_scores(path))
-
-
 def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, n_tokens and the best score of every text. Each executor reads the vocabulary file at ``path``."""
+    """``keep`` columns, n_tokens and the best score of every text. The driver reads the vocabulary at ``path`` and broadcasts it: some MB, whatever the corpus."""
     path = path or os.environ.get("TOKENIZER_FILE", FILE)
     kept = [c for c in keep if c not in ("n_tokens", "best_score")]
     (hidden,) = fresh(kept, "_text")
     source = docs.select(*kept, docs[text].alias(hidden))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "n_tokens long, best_score double"])
 
+    shared = docs.sparkSession.sparkContext.broadcast(piece_scores(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _counter(path)
+        own = Counter(shared.value)
         for batch in batches:
             rows = [own.text(x or "") for x in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=[*kept, "n_tokens", "best_score"])

@@ -1,8 +1,8 @@
 """Toxicity: a learned lexicon in one trie, Levenshtein automata that find its misspelled terms, and scores from the context of each hit.
 
 The lexicon comes from labelled rows alone. Its terms are whole words and stems (prefixes of ``STEMS`` letters, written with a star); a greedy cover
-takes the term that explains most toxic texts not yet explained and hardly any other text, until no term explains ``LEAST`` more texts. Copies of one text
-therefore do not carry their incidental words into the lexicon. A term may need two or three hits in one block of ``BLOCK`` words before it tells
+takes the term that explains most toxic texts not yet explained and hardly any other text, until no term explains ``LEAST`` more texts, or as many as the
+number of candidates has digits: with so many to choose from, fewer are chance. Copies of one text therefore do not carry their incidental words into the lexicon. A term may need two or three hits in one block of ``BLOCK`` words before it tells
 anything, so each term has a weight for one, two and three hits; below what it needs it counts half.
 
 All terms stand in one trie, words as accepting ends and stems as accepting prefixes. A word of a text that has no term as it stands is
@@ -221,7 +221,8 @@ def learn(texts: list[bytes], labels: list[int]) -> Lexicon:
             for term, k in hits_by_term(words_of(t), every).items():
                 for c in range(1, k + 1):
                     toxic[term, c].add(i)
-    toxic = {key: d for key, d in toxic.items() if len(d) >= LEAST}
+    least = max(LEAST, len(str(len(toxic))))
+    toxic = {key: d for key, d in toxic.items() if len(d) >= least}
     among, other, plain = frozenset(t for t, _ in toxic), Counter(), {}
     for t, y in zip(texts, labels, strict=True):
         if not y:
@@ -241,13 +242,13 @@ def learn(texts: list[bytes], labels: list[int]) -> Lexicon:
     left, chosen = {i for i, y in enumerate(labels) if y}, {}
     # Terms of few texts that need repetition weigh little, so they only explain what is left over.
     for again in (False, True):
-        open_ = {key: own for key, d in pure.items() if (again or key[1] == 1 or len(d) >= STEADY) and len(own := d & left) >= LEAST}
+        open_ = {key: own for key, d in pure.items() if (again or key[1] == 1 or len(d) >= STEADY) and len(own := d & left) >= least}
         while open_:
             key = max(open_, key=lambda k: (len(open_[k]), len(toxic[k]), -k[1], not k[0].endswith("*"), len(k[0]), k[0]))
             new = open_[key]
             chosen[key[0]] = min(key[1], chosen.get(key[0], HITS))
             left -= new
-            open_ = {k: rest for k, own in open_.items() if k != key and len(rest := own - new) >= LEAST}
+            open_ = {k: rest for k, own in open_.items() if k != key and len(rest := own - new) >= least}
     # Words that always stand beside others explain nothing more, but count as much as those.
     usual = sorted(len(toxic[t, 1]) for t in chosen if not t.endswith("*"))
     stems = {t[:-1] for t in chosen if t.endswith("*")}

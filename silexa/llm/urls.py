@@ -7,7 +7,8 @@ Filters are built by Spark: each key sets a few bits, words of 64 bits are OR-ed
 The finished words are broadcast while they stay under ``max_bytes``; beyond that, membership is a left semi join on the key instead.
 
 Defined cases: a url that is null or has no ``://`` has empty host and path, fits no rule and is allowed unless the empty host
-is listed; repeated rows are judged alike; an empty table gives an empty result.
+is listed; repeated rows are judged alike; an empty table gives an empty result. A host of very many labels has as many keys as the
+longest listed one.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,10 +46,11 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), path
 
 
-def candidate_keys(host: Column, path: Column, prefix_lengths: Sequence[int]) -> Column:
-    """Every host suffix on a label boundary, each with the path's prefixes of the given lengths."""
+def candidate_keys(host: Column, path: Column, prefix_lengths: Sequence[int], most_labels: int) -> Column:
+    """Every host suffix on a label boundary of at most so many labels, each with the path's prefixes of the given lengths."""
     labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    first = F.greatest(F.lit(1), F.size(labels) - (most_labels - 1))
+    suffixes = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     ends = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) if n else F.lit("") for n in sorted(set(prefix_lengths))])
     return F.flatten(F.transform(suffixes, lambda s: F.transform(F.filter(ends, lambda e: e.isNotNull()), lambda e: F.concat(s, e))))
 
@@ -99,10 +103,11 @@ class Cascade:
 
         @F.pandas_udf(T.ArrayType(T.BooleanType()))
         def test(positions: pd.Series) -> pd.Series:
-            sizes = np.array([len(x) if x is not None else 0 for x in positions])
+            nested = pa.array(positions, pa.list_(pa.list_(pa.int64())))
+            sizes = pc.fill_null(pc.list_value_length(nested), 0).to_numpy(zero_copy_only=False)
             if not sizes.sum():
                 return pd.Series([[] for _ in sizes])
-            flat = np.concatenate([np.stack([np.asarray(y, dtype=np.int64) for y in x]) for x in positions if x is not None and len(x)])
+            flat = nested.flatten().flatten().to_numpy().reshape(int(sizes.sum()), -1)
             found, open_ = np.zeros(len(flat), dtype=bool), np.ones(len(flat), dtype=bool)
             for k, (_, words) in enumerate(levels):
                 at = flat[:, k * HASHES : (k + 1) * HASHES]
@@ -144,7 +149,10 @@ def judge_urls(pages: DataFrame, listed_hosts: DataFrame, rules: Sequence[tuple[
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     keys, flags, row, found_keys, met = fresh(names, "_keys", "_listed", "_row", "_found", "_hits")
     parts = pages.select(*names, host.alias("host"), path.alias("path"))
-    keyed = parts.withColumn(keys, candidate_keys(F.col("host"), F.col("path"), lengths))
+    # A suffix with more labels than any listed host or rule cannot hit.
+    rule_hosts = [r[: r.index("/")] for r, _ in rules]
+    most = max([1 + h.count(".") for h in rule_hosts] + [listed_hosts.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 1])
+    keyed = parts.withColumn(keys, candidate_keys(F.col("host"), F.col("path"), lengths, most))
     asked = keyed.select(F.explode(F.array_distinct(keys)).alias("key")).distinct()
     rule_rows = pages.sparkSession.createDataFrame([(r,) for r, _ in rules], "key string")
     # The only join of the build: it marks the listed keys in the universe, once per distinct key and never per page.

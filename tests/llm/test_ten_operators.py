@@ -431,6 +431,7 @@ def test_longest_rule_wins_with_cascade_and_join(spark, limit):
     cases = [
         ("http://A.com/en/x", "com/en/", "block"), ("http://www.Example.com/en/7?q", "example.com/en/7", "allow"), ("http://xexample.com/en/7", "com/en/", "block"), ("ftp://b.net/de/8#f", "net/de/", "allow"),
         ("http://example.net/de/8", "example.net/de/8", "block"), ("http://example.org/es", None, "allow"), ("http://bad.org/fr", None, "block"), ("http://sub.bad.org", None, "block"), ("no host", None, "allow"), (None, None, "allow"), ("http://com/en/", "com/en/", "block"),
+        ("http://" + "a." * 5000 + "bad.org/x", None, "block"), ("http://" + "b." * 5000 + "ok.org", None, "allow"),
     ]
     pages = spark.createDataFrame([(i, c[0], "r") for i, c in enumerate(cases)], "page_id long, url string, rule string")
     listed = spark.createDataFrame([("bad.org",), ("unseen.org",)], "host string")
@@ -697,6 +698,13 @@ def test_documents_are_written_as_often_as_taken(docs):
 def test_mixing_stays_in_the_jvm(docs):
     plan = mixing.mixed_documents(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_mixing_with_many_sources_shuffles_to_the_same_rows(docs, monkeypatch):
+    one = sorted(map(tuple, mixing.mixed_sizes(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, mixing.mixed_sizes(docs).collect())) == one
 
 
 # extra columns
