@@ -33,7 +33,7 @@ def normal_title(c: Column) -> Column:
 
 def numbers(c: Column) -> Column:
     """Number literals in order, without thousands commas."""
-    return F.regexp_extract_all(F.regexp_replace(c, r"(\d),(?=\d{3})", "$1"), F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
+    return F.regexp_extract_all(F.regexp_replace(c, r"([0-9]),(?=[0-9]{3})", "$1"), F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
 
 
 def words(c: Column) -> Column:

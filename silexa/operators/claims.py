@@ -30,11 +30,16 @@ def for_audience(c: Column, audience: str | None) -> Column:
     return F.lit(True) if audience is None else c.isin("Both", "Patient" if audience == "patient" else "Clinician")
 
 
+def best_evidence(evidence: Column) -> Column:
+    """The grade of highest rank in a group; Other where there is none."""
+    return F.coalesce(F.max_by(evidence, cases(evidence, EVIDENCE_RANK, 0)), F.lit("Other"))
+
+
 def rollup(claims: DataFrame, members: DataFrame) -> DataFrame:
-    """Members, distinct sources and greatest importance of every claim; a claim without members is to be retired."""
-    per = members.groupBy("claim_id").agg(F.count(F.lit(1)).alias("member_count"), F.count_distinct("source_id").alias("source_count"), F.max("importance").alias("max_importance"))
+    """Members, distinct sources, greatest importance and best evidence of every claim; a claim without members is to be retired."""
+    per = members.groupBy("claim_id").agg(F.count(F.lit(1)).alias("member_count"), F.count_distinct("source_id").alias("source_count"), F.max("importance").alias("max_importance"), best_evidence(F.col("evidence")).alias("best_evidence"))
     out = claims.select("claim_id", "status").join(per, "claim_id", "left")
-    return out.select("claim_id", F.coalesce("member_count", F.lit(0)).alias("member_count"), F.coalesce("source_count", F.lit(0)).alias("source_count"), "max_importance", F.when(F.col("member_count").isNull(), "retired").otherwise(F.col("status")).alias("status"))
+    return out.select("claim_id", F.coalesce("member_count", F.lit(0)).alias("member_count"), F.coalesce("source_count", F.lit(0)).alias("source_count"), "max_importance", F.coalesce("best_evidence", F.lit("Other")).alias("best_evidence"), F.when(F.col("member_count").isNull(), "retired").otherwise(F.col("status")).alias("status"))
 
 
 def scored(claims: DataFrame, members: DataFrame, sources: DataFrame, as_of: str) -> DataFrame:
@@ -77,6 +82,22 @@ def merge_claims(members: DataFrame, redirects: DataFrame) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
 
 
+def merge_filings(filings: DataFrame, redirects: DataFrame) -> DataFrame:
+    """Filings on the claim that their own claim leads to; where the winner is filed under a topic already, its own row stays."""
+    rows = filings.join(redirects.select("claim_id", "target_id"), "claim_id").filter(F.col("target_id").isNotNull())
+    moved = F.col("claim_id") != F.col("target_id")
+    first = rows.groupBy(F.col("target_id").alias("claim_id"), "topic_id").agg(F.min(F.struct(moved.alias("moved"), "filed_at")).alias("r"))
+    return first.select("claim_id", "topic_id", "r.filed_at", "r.moved")
+
+
+def merged_claims(claims: DataFrame, redirects: DataFrame, members: DataFrame) -> DataFrame:
+    """Claims after the merges: losers point to the claim at the end of their chain and count nothing, winners count what they have got."""
+    per = merge_claims(members, redirects).groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = claims.select("claim_id", "status").join(redirects.select("claim_id", "target_id"), "claim_id").join(per, "claim_id", "left")
+    gone = F.col("claim_id") != F.col("target_id")
+    return rows.select("claim_id", F.when(gone, "merged").otherwise(F.col("status")).alias("status"), F.when(gone, F.col("target_id")).alias("merged_into"), F.when(gone, F.lit(0)).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("member_count"))
+
+
 def stale_topics(closure: DataFrame, filings: DataFrame, claims: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Topics with claims filed in their subtree after their snapshot, and how many distinct ones."""
     active = claims.filter("status = 'active'").select("claim_id")
@@ -95,3 +116,11 @@ def kappa(pairs: DataFrame) -> DataFrame:
     value = F.when(pe == 1, F.lit(1.0)).otherwise((po - pe) / (F.lit(1.0) - pe))
     # One row each.
     return total.join(F.broadcast(chance)).select(F.col("total").alias("n"), F.round(po, 6).alias("agreement"), F.round(value, 6).alias("kappa"))
+
+
+def until_first_wrong(verdicts: DataFrame) -> DataFrame:
+    """Verdicts (item, confidence, human) above the most confident one that a person denies: its place is found first, so no window over all rows is needed."""
+    worst = verdicts.filter("human <> 'SAME'").agg(F.max(F.struct("confidence", (-F.col("item")).alias("n"))).alias("w"))
+    # One row.
+    rows = verdicts.join(F.broadcast(worst))
+    return rows.filter(F.col("w").isNull() | (F.col("confidence") > F.col("w.confidence")) | ((F.col("confidence") == F.col("w.confidence")) & (F.col("item") < -F.col("w.n")))).drop("w")

@@ -1,11 +1,14 @@
-"""Cosine similarity and top-k search in DOUBLE; the queries' side is small and its row count is checked before it is broadcast."""
+"""Cosine similarity, top-k search and greedy consolidation in DOUBLE. Queries travel to the vectors in blocks of a checked size, however many there are."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 10_000
+from silexa.session import checkpointed
+
+#: Queries of one block: with some thousand dimensions a block takes well under 100 MB.
+BLOCK = 2_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -16,14 +19,57 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def match(vectors: DataFrame, queries: DataFrame, threshold: float, k: int) -> DataFrame:
-    """The ``k`` nearest vectors of each query (query_id, query) at ``threshold`` or above, a query's own row left out.
+def pairs_above(vectors: DataFrame, queries: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
+    """(query_id, vec_id, similarity) of all pairs at ``threshold`` or above (or strictly above it), a query's own row left out.
 
-    Vectors without an embedding are left out. Up to MAX_QUERIES queries travel to the vectors; more must come in blocks.
+    Each block of queries is broadcast to the vectors; norms are computed once a row.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in one call")
-    pairs = vectors.filter("embedding IS NOT NULL").join(F.broadcast(queries.filter("query IS NOT NULL")), F.col("vec_id") != F.col("query_id"))
-    pairs = pairs.withColumn("similarity", cosine(F.col("embedding"), F.col("query"))).filter(F.col("similarity") >= threshold)
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    asked = queries.filter("query IS NOT NULL")
+    blocks = -(-asked.count() // BLOCK) or 1
+    asked = asked.select("query_id", "query", norm("query").alias("_q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"))
+    own = vectors.filter("embedding IS NOT NULL").withColumn("_v", norm("embedding"))
+    out = None
+    for b in range(blocks):
+        pairs = own.join(F.broadcast(asked.filter(F.col("_block") == b).drop("_block")), F.col("vec_id") != F.col("query_id"))
+        pairs = pairs.withColumn("similarity", dot(F.col("embedding"), F.col("query")) / (F.col("_q") * F.col("_v"))).drop("_q", "_v", "embedding", "query")
+        pairs = pairs.filter(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def match(vectors: DataFrame, queries: DataFrame, threshold: float, k: int, strict: bool = False) -> DataFrame:
+    """The ``k`` nearest vectors of each query (query_id, query), with their rank; the first k of each task go to the shuffle alone."""
     nearest = Window.partitionBy("query_id").orderBy(F.round("similarity", 6).desc(), "vec_id")
+    pairs = pairs_above(vectors.select("vec_id", "embedding"), queries, threshold, strict)
     return pairs.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= k).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("nth").cast("long").alias("nth"))
+
+
+def consolidate(insights: DataFrame, threshold: float, same: float, differ: float) -> tuple[DataFrame, DataFrame]:
+    """Leader consolidation in the order of ``vec_id`` with a judge by similarity: (assignments, edges).
+
+    An insight joins the nearest earlier claim at ``same`` or above, else it becomes a claim itself. A new claim whose nearest earlier claim lies between ``threshold``
+    and ``same`` gets an edge to it: a link below ``differ``, else a review. Which insights become claims depends on the order alone: one does
+    when no earlier claim is near enough. Each round settles all insights whose earlier neighbours are settled, as joins; no group is collected.
+    """
+    near = checkpointed(pairs_above(insights, insights.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), threshold).filter("vec_id < query_id").withColumn("similarity", F.round("similarity", 6)))
+    strong = near.filter(F.col("similarity") >= same).select(F.col("vec_id").alias("early"), F.col("query_id").alias("late"))
+    open_ = strong.select(F.col("late").alias("id")).distinct()
+    claims = insights.select(F.col("vec_id").alias("id")).join(open_, "id", "left_anti")
+    edges, claims = checkpointed(strong), checkpointed(claims)
+    new = claims
+    while not edges.isEmpty():
+        # Those that an earlier claim takes leave with all their edges; those that are left without earlier neighbours are claims.
+        taken = checkpointed(edges.join(new, F.col("early") == F.col("id"), "left_semi").select(F.col("late").alias("id")).distinct())
+        waiting = edges.join(taken, F.col("late") == F.col("id"), "left_anti")
+        rest = checkpointed(waiting.join(taken, F.col("early") == F.col("id"), "left_anti").join(new, F.col("early") == F.col("id"), "left_anti"))
+        new = checkpointed(waiting.select(F.col("late").alias("id")).distinct().join(rest.select(F.col("late").alias("id")).distinct(), "id", "left_anti"))
+        claims, edges = claims.union(new), rest
+    claims = checkpointed(claims)
+    best = near.join(claims, F.col("vec_id") == F.col("id"), "left_semi").groupBy("query_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "vec_id")).alias("b"))
+    best = best.select("query_id", F.col("b.vec_id").alias("candidate_id"), (-F.col("b.s")).alias("similarity"))
+    rows = insights.select("vec_id").join(claims.select("id", F.lit(True).alias("leads")), F.col("vec_id") == F.col("id"), "left").join(best, F.col("vec_id") == F.col("query_id"), "left")
+    rows = checkpointed(rows.select("vec_id", F.coalesce("leads", F.lit(False)).alias("leads"), "candidate_id", "similarity"))
+    assigned = rows.select("vec_id", F.when(F.col("leads"), F.col("vec_id")).otherwise(F.col("candidate_id")).alias("claim_id"), F.when(F.col("leads"), "seed").otherwise("auto").alias("matched_by"), F.when(F.col("leads"), F.lit(1.0)).otherwise(F.col("similarity")).alias("confidence"))
+    edges = rows.filter("leads AND candidate_id IS NOT NULL").select(F.least("vec_id", "candidate_id").alias("claim_id"), F.greatest("vec_id", "candidate_id").alias("related_claim_id"), "similarity", F.when(F.col("similarity") < differ, "near_duplicate").otherwise("review").alias("kind"))
+    return assigned, edges

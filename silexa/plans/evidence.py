@@ -27,7 +27,7 @@ scored AS (SELECT c.*, coalesce(source_count, 0) AS source_count,
 @_R.add("SELECT c.topic_id, c.depth FROM closure c JOIN topics r ON r.topic_id = c.root_id WHERE c.root_id = 'R1' AND r.status = 'active'")
 def rec_01_subtree(t: Tables) -> DataFrame:
     """Active topics under a root, with their depth."""
-    return tree.closure(t.topics).filter(F.col("root_id") == ROOT).select("topic_id", "depth")
+    return tree.closure(t.topics, t.topics.filter(F.col("topic_id") == ROOT).filter("status = 'active'")).select("topic_id", "depth")
 
 
 @_R.add(f""", {_SCORED}
@@ -37,7 +37,7 @@ ORDER BY score DESC, source_count DESC, claim_id LIMIT 250""")
 def rec_03_topic_claims(t: Tables) -> DataFrame:
     """The ranked evidence of a topic's subtree (flagship)."""
     scores = C.scored(t.claims, t.members, t.sources, AS_OF)
-    return C.topic_claims(ROOT, tree.closure(t.topics), t.topics, t.filings, scores, audience="clinician")
+    return C.topic_claims(ROOT, tree.closure(t.topics, t.topics.filter(F.col("topic_id") == ROOT)), t.topics, t.filings, scores, audience="clinician")
 
 
 @_R.add("SELECT topic_id, max(depth) + 1 AS depth, max(depth) >= 3 AS too_deep FROM closure WHERE root_id LIKE 'R%' GROUP BY 1")
@@ -62,21 +62,36 @@ def agg_09_novelty(t: Tables) -> DataFrame:
     return C.novelty(t.insights, C.near_duplicate_edges(t.links))
 
 
-@_R.add("""WITH x AS (SELECT count(*) AS n, sum((quality = toxic)::INT) AS same, sum(quality) AS a, sum(toxic) AS b FROM labels WHERE quality IN (0, 1) AND toxic IN (0, 1)),
-p AS (SELECT n, same / n AS po, (a * b + (n - a) * (n - b)) / (n * n) AS pe FROM x)
-SELECT n::BIGINT AS n, round(po, 6) AS agreement, round(CASE WHEN pe = 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM p""", model=False)
+_KAPPA = """, r AS (SELECT {0} AS a, {1} AS b FROM rulings WHERE judge IS NOT NULL), t AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum((a = b)::INT) AS DOUBLE) AS same FROM r),
+e AS (SELECT sum(x * y) AS xy FROM (SELECT a AS k, CAST(count(*) AS DOUBLE) AS x FROM r GROUP BY 1) JOIN (SELECT b AS k, CAST(count(*) AS DOUBLE) AS y FROM r GROUP BY 1) USING (k))
+SELECT CAST(n AS BIGINT) AS n, round(same / n, 6) AS agreement, round(CASE WHEN coalesce(xy, 0) / (n * n) = 1 THEN 1 ELSE (same / n - coalesce(xy, 0) / (n * n)) / (1 - coalesce(xy, 0) / (n * n)) END, 6) AS kappa FROM t, e"""
+
+
+@_R.add(_KAPPA.format("human = 'SAME'", "judge = 'SAME'"))
 def agg_16_kappa(t: Tables) -> DataFrame:
-    """Agreement of two raters, corrected for chance."""
-    return C.kappa(t.raw("labels").filter(F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1)).select(F.col("quality").alias("a"), F.col("toxic").alias("b")))
+    """Agreement of person and judge on merging or not, corrected for chance; failed judgements are no verdicts."""
+    return C.kappa(t.rulings.filter("judge IS NOT NULL").select((F.col("human") == "SAME").alias("a"), (F.col("judge") == "SAME").alias("b")))
+
+
+@_R.add(_KAPPA.format("human", "judge"))
+def agg_17_kappa_classes(t: Tables) -> DataFrame:
+    """The same over all classes of verdict."""
+    return C.kappa(t.rulings.filter("judge IS NOT NULL").select(F.col("human").alias("a"), F.col("judge").alias("b")))
 
 
-@_R.add("""WITH v AS (SELECT event_id, value, max(CASE WHEN user_id % 40 = 39 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING) AS wrong, event_type FROM events)
-SELECT event_type, min(value) AS cutoff, count(*)::BIGINT AS covered FROM v WHERE wrong = 0 GROUP BY 1""", model=False)
+_RUN = "v AS (SELECT *, max(CASE WHEN human <> 'SAME' THEN 1 ELSE 0 END) OVER (ORDER BY confidence DESC, item ROWS UNBOUNDED PRECEDING) AS wrong FROM rulings WHERE judge = 'SAME')"
+
+
+@_R.add(f", {_RUN} SELECT min(confidence) AS cutoff, count(*)::BIGINT AS covered FROM v WHERE wrong = 0")
 def agg_19_auto_accept(t: Tables) -> DataFrame:
-    """By falling confidence, how far verdicts go before the first wrong one."""
-    order = Window.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = t.raw("events").withColumn("wrong", F.max((F.col("user_id") % 40 == 39).cast("int")).over(order))
-    return rows.filter("wrong = 0").groupBy("event_type").agg(F.min("value").alias("cutoff"), F.count(F.lit(1)).alias("covered"))
+    """By falling confidence, how far the judge's SAME goes before the first that a person denies."""
+    return C.until_first_wrong(t.rulings.filter("judge = 'SAME'")).agg(F.min("confidence").alias("cutoff"), F.count(F.lit(1)).alias("covered"))
+
+
+@_R.add(f", {_RUN} SELECT item, confidence FROM v WHERE wrong = 0")
+def win_05_prefix(t: Tables) -> DataFrame:
+    """The verdicts of that run."""
+    return C.until_first_wrong(t.rulings.filter("judge = 'SAME'")).select("item", "confidence")
 
 
 @_R.add(""", ends AS (SELECT r.claim_id, r.at_id AS target_id FROM redirects r JOIN claims c ON c.claim_id = r.at_id WHERE c.merged_into IS NULL AND c.status = 'active')
@@ -86,6 +101,23 @@ def ded_06_merge(t: Tables) -> DataFrame:
     return C.merge_claims(t.members, tree.resolve_redirects(t.claims))
 
 
+_ENDS = """, ends AS (SELECT r.claim_id, CASE WHEN c.status = 'active' THEN r.at_id END AS target_id FROM redirects r JOIN claims c ON c.claim_id = r.at_id WHERE c.merged_into IS NULL)"""
+
+
+@_R.add(_ENDS + """ SELECT target_id AS claim_id, topic_id, arg_min(filed_at, (f.claim_id <> target_id, filed_at)) AS filed_at, min(f.claim_id <> target_id) AS moved FROM filings f JOIN ends USING (claim_id) WHERE target_id IS NOT NULL GROUP BY 1, 2""")
+def ded_06_filings(t: Tables) -> DataFrame:
+    """Topic filings of merged claims on the claim that is left."""
+    return C.merge_filings(t.filings, tree.resolve_redirects(t.claims))
+
+
+@_R.add(_ENDS + """, per AS (SELECT target_id AS claim_id, count(*) AS n FROM members JOIN ends USING (claim_id) WHERE target_id IS NOT NULL GROUP BY 1)
+SELECT c.claim_id, CASE WHEN c.claim_id <> target_id THEN 'merged' ELSE status END AS status, CASE WHEN c.claim_id <> target_id THEN target_id END AS merged_into, CAST(CASE WHEN c.claim_id <> target_id THEN 0 ELSE coalesce(n, 0) END AS BIGINT) AS member_count
+FROM claims c JOIN ends e ON e.claim_id = c.claim_id LEFT JOIN per ON per.claim_id = c.claim_id""")
+def ded_06_claims(t: Tables) -> DataFrame:
+    """Claims after the merges, losers pointing to winners."""
+    return C.merged_claims(t.claims, tree.resolve_redirects(t.claims), t.members)
+
+
 @_R.add(""", snapshots AS (SELECT topic_id, TIMESTAMP '1995-06-01 00:00:00' + to_days(CAST(substr(topic_id, 2) AS INTEGER) * 30) AS snapshot_at FROM topics WHERE topic_id NOT LIKE '%-%' AND topic_id LIKE 'N%' AND CAST(substr(topic_id, 2) AS INTEGER) % 5 > 0)
 SELECT s.topic_id, count(DISTINCT f.claim_id)::BIGINT AS new_claims FROM snapshots s JOIN closure c ON c.root_id = s.topic_id JOIN filings f ON f.topic_id = c.topic_id AND f.filed_at > s.snapshot_at JOIN claims k ON k.claim_id = f.claim_id AND k.status = 'active' GROUP BY 1""")
 def qr_06_stale_topics(t: Tables) -> DataFrame:
@@ -104,12 +136,12 @@ def dml_04_recount(t: Tables) -> DataFrame:
 
 
 _VECTORS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-pairs AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_cosine_similarity(d.e, q.e), 6) AS similarity, list_cosine_similarity(d.e, q.e) AS exact FROM v d JOIN v q ON q.vec_id < 20 AND q.vec_id <> d.vec_id)"""
+pairs AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_cosine_similarity(d.e, q.e), 6) AS similarity, list_cosine_similarity(d.e, q.e) AS exact FROM v d JOIN v q ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)"""
 
 
 @_R.add(f"WITH {_VECTORS} SELECT query_id, vec_id, similarity, nth::BIGINT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS nth FROM pairs WHERE exact >= 0.2) WHERE nth <= 8", model=False)
 def vec_02_match(t: Tables) -> DataFrame:
-    """The nearest vectors of twenty queries at a threshold."""
+    """The nearest vectors of every query (ids divisible by 50) at a threshold."""
     vectors = t.raw("embeddings").select("vec_id", "embedding")
-    queries = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return vector.match(vectors, queries, 0.2, 8)

@@ -62,12 +62,16 @@ def fil_07_json_path(t: Tables) -> DataFrame:
     return t.raw("events").filter(k == "69").select("event_id", k.cast("long").alias("k"))
 
 
-@_R.add("""SELECT event_id, CASE lower(event_type) WHEN 'view' THEN 'medium' WHEN 'error' THEN 'low' ELSE 'high' END AS confidence,
- CASE WHEN value = 1 OR value = 3 THEN CAST(value AS INTEGER) ELSE 2 END AS importance FROM events""", model=False)
+@_R.add("""SELECT claim_id, CASE WHEN evidence IN ('MetaAnalysis', 'RCT', 'Cohort', 'CaseSeries', 'Mechanistic', 'Animal', 'ExpertOpinion') THEN evidence ELSE 'Other' END AS evidence,
+ CASE WHEN importance = 1 OR importance = 3 THEN importance ELSE 2 END AS importance, CASE lower(actionability) WHEN 'high' THEN 'High' WHEN 'low' THEN 'Low' WHEN 'background' THEN 'Background' ELSE 'Medium' END AS actionability,
+ CASE lower(audience) WHEN 'patient' THEN 'Patient' WHEN 'clinician' THEN 'Clinician' ELSE 'Both' END AS audience FROM claims""")
 def prj_01_coerce(t: Tables) -> DataFrame:
-    """Values outside a domain fall back to its default."""
-    kind, value = F.lower("event_type"), F.col("value")
-    return t.raw("events").select("event_id", F.when(kind == "view", "medium").when(kind == "error", "low").otherwise("high").alias("confidence"), F.when((value == 1) | (value == 3), value.cast("int")).otherwise(2).alias("importance"))
+    """Facets outside their domain fall back to its default."""
+    grade, level, reader = F.col("evidence"), F.lower("actionability"), F.lower("audience")
+    return t.claims.select(
+        "claim_id", F.when(grade.isin(*C.EVIDENCE_RANK), grade).otherwise("Other").alias("evidence"), F.when(F.col("importance").isin(1, 3), F.col("importance")).otherwise(2).alias("importance"),
+        F.when(level.isin("high", "low", "background"), F.initcap(level)).otherwise("Medium").alias("actionability"), F.when(reader.isin("patient", "clinician"), F.initcap(reader)).otherwise("Both").alias("audience"),
+    )
 
 
 @_R.add("SELECT s.source_id, title, coalesce(n, 0) AS n FROM sources s LEFT JOIN (SELECT source_id, CAST(count(*) AS BIGINT) AS n FROM insights GROUP BY 1) USING (source_id)")
@@ -92,7 +96,7 @@ def join_14_orphans(t: Tables) -> DataFrame:
 @_R.add("""SELECT DISTINCT i.insight_id FROM members i WHERE i.claim_id IN (SELECT claim_id FROM filings JOIN closure USING (topic_id) WHERE root_id = 'R1')""")
 def join_17_topic_filter(t: Tables) -> DataFrame:
     """Insights of the claims under a topic, two semi-joins."""
-    nodes = tree.closure(t.topics).filter("root_id = 'R1'").select("topic_id")
+    nodes = tree.closure(t.topics, t.topics.filter("topic_id = 'R1'")).select("topic_id")
     return t.members.join(t.filings.join(nodes, "topic_id", "left_semi"), "claim_id", "left_semi").select("insight_id")
 
 
@@ -109,9 +113,10 @@ def join_20_redirects(t: Tables) -> DataFrame:
 
 
 @_R.add("""SELECT c.claim_id, CAST(count(m.claim_id) AS BIGINT) AS member_count, CAST(count(DISTINCT m.source_id) AS BIGINT) AS source_count, max(m.importance) AS max_importance,
+ coalesce(arg_max(m.evidence, CASE m.evidence WHEN 'MetaAnalysis' THEN 8 WHEN 'RCT' THEN 7 WHEN 'Cohort' THEN 6 WHEN 'CaseSeries' THEN 5 WHEN 'Mechanistic' THEN 4 WHEN 'Animal' THEN 3 WHEN 'ExpertOpinion' THEN 2 ELSE 1 END), 'Other') AS best_evidence,
  CASE WHEN count(m.claim_id) = 0 THEN 'retired' ELSE any_value(c.status) END AS status FROM claims c LEFT JOIN members m USING (claim_id) GROUP BY 1""")
 def agg_01_claim_rollup(t: Tables) -> DataFrame:
-    """Counts and greatest importance of each claim's members."""
+    """Counts, greatest importance and best evidence of each claim's members."""
     return C.rollup(t.claims, t.members)
 
 
@@ -128,10 +133,10 @@ def agg_08_subtree_totals(t: Tables) -> DataFrame:
     return tree.closure(t.topics).join(t.filings, "topic_id", "left").groupBy(F.col("root_id").alias("topic_id")).agg(F.count("claim_id").alias("total"), F.count_distinct("claim_id").alias("claims"))
 
 
-@_R.add("SELECT event_type || ':' || (user_id % 3) AS bucket, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1", model=False)
+@_R.add("SELECT status || ':' || kind AS bucket, CAST(count(*) AS BIGINT) AS n FROM jobs GROUP BY 1")
 def agg_12_histogram(t: Tables) -> DataFrame:
-    """Jobs by kind and state."""
-    return t.raw("events").groupBy(F.concat_ws(":", "event_type", F.col("user_id") % 3).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """Jobs by state and kind."""
+    return t.jobs.groupBy(F.concat_ws(":", "status", "kind").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_R.add("""SELECT source_id, CAST(count(*) AS BIGINT) AS total, CAST(count(located_at) AS BIGINT) AS located, floor(100.0 * count(located_at) / count(*) + 0.5)::BIGINT AS pct FROM insights GROUP BY ROLLUP (source_id)""")
@@ -182,10 +187,10 @@ def win_08_strided(t: Tables) -> DataFrame:
     return rows.filter((F.col("n") % F.col("stride") == 0) & (F.floor(F.col("n") / F.col("stride")) < 5)).select("source_id", "insight_id")
 
 
-@_R.add("SELECT event_id, ts FROM events ORDER BY CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END, ts, event_id LIMIT 50", model=False)
+@_R.add("SELECT job_id, kind, created_at FROM jobs WHERE status = 'queued' ORDER BY CASE WHEN kind = 'consolidate' THEN 0 ELSE 1 END, created_at, job_id LIMIT 50")
 def sort_05_queue(t: Tables) -> DataFrame:
-    """The next jobs: urgent kinds first, then by age."""
-    return t.raw("events").orderBy(F.when(F.col("event_type") == "purchase", 0).otherwise(1), "ts", "event_id").select("event_id", "ts").limit(50)
+    """The next jobs: consolidation first, then by age."""
+    return t.jobs.filter("status = 'queued'").orderBy(F.when(F.col("kind") == "consolidate", 0).otherwise(1), "created_at", "job_id").select("job_id", "kind", "created_at").limit(50)
 
 
 @_R.add("""SELECT parent_id, topic_id, n, rank FROM (SELECT t.parent_id, t.topic_id, count(f.claim_id)::BIGINT AS n, row_number() OVER (PARTITION BY t.parent_id ORDER BY count(f.claim_id) DESC, t.topic_id)::BIGINT AS rank

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from silexa.functions import text as X
+from silexa.operators import quotes
 from silexa.sources.tables import Tables
 
 from .registry import Registry
@@ -13,8 +14,6 @@ from .registry import Registry
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.sql
 _BLANK = r"[ \t\n\r\f\x0B]+"
-#: Words of the windows in which quotes are looked up.
-WIDTH = 5
 
 
 @_R.add(rf"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis'), '<[^>]+>', ' ', 'g'), '{_BLANK}', ' ', 'g')) AS text FROM pages""", model=False)
@@ -48,17 +47,16 @@ def str_01_slugs(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
-@_R.add("SELECT doc_id, 't:' || trim(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS fingerprint FROM documents", model=False)
+@_R.add("SELECT doc_id, 't:' || trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS fingerprint FROM documents", model=False)
 def str_08_fingerprints(t: Tables) -> DataFrame:
     """Fingerprints of titles."""
-    return t.raw("documents").select("doc_id", F.concat(F.lit("t:"), X.normal_title(F.substring("text", 1, 200))).alias("fingerprint"))
+    return t.raw("documents").select("doc_id", F.concat(F.lit("t:"), X.normal_title(F.col("text"))).alias("fingerprint"))
 
 
-@_R.add(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?'), '|') AS numbers FROM documents WHERE NOT regexp_matches(text, '[0-9],[0-9]')", model=False)
+@_R.add(r"SELECT doc_id, array_to_string(regexp_extract_all(regexp_replace(regexp_replace(text, '([0-9]),([0-9]{3})', '\1\2', 'g'), '([0-9]),([0-9]{3})', '\1\2', 'g'), '[0-9]+(?:\.[0-9]+)?'), '|') AS numbers FROM documents", model=False)
 def str_10_numbers(t: Tables) -> DataFrame:
-    """Number literals of texts without thousands commas."""
-    rows = t.raw("documents").filter(~F.rlike("text", F.lit("[0-9],[0-9]")))
-    return rows.select("doc_id", F.array_join(X.numbers(F.col("text")), "|").alias("numbers"))
+    """Number literals of texts, without thousands commas."""
+    return t.raw("documents").select("doc_id", F.array_join(X.numbers(F.col("text")), "|").alias("numbers"))
 
 
 @_R.add(r"SELECT doc_id, CAST(len(regexp_split_to_array(trim(text), '[ \t\n\r]+')) AS BIGINT) AS words FROM documents", model=False)
@@ -94,18 +92,7 @@ def arr_04_transcripts(t: Tables) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]), " ").alias("transcript"))
 
 
-@_R.add(f"SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) >= {WIDTH + 2}", model=False)
+@_R.add("SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)", model=False)
 def str_04_exact_quotes(t: Tables) -> DataFrame:
-    """Documents that hold a passage of seven words or more, character for character.
-
-    A passage may begin or end inside a word of the document, so its second to sixth words are looked up among the documents' windows of five words, and the
-    pairs that are found are compared in full.
-    """
-    key = lambda words, at: F.array_join(F.slice(words, at, WIDTH), " ")
-    words = F.split("text", " ")
-    items = t.raw("benchmark").filter(F.size(words) >= WIDTH + 2).select("item_id", F.col("text").alias("passage"), key(words, F.lit(2)).alias("key"))
-    docs = t.raw("documents").select("doc_id", "text")
-    places = F.when(F.size("words") >= WIDTH, F.sequence(F.lit(1), F.size("words") - WIDTH + 1))
-    windows = docs.select("doc_id", words.alias("words")).select("doc_id", F.explode(F.array_distinct(F.transform(places, lambda i: key(F.col("words"), i)))).alias("key"))
-    pairs = windows.join(items.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
-    return docs.join(pairs, "doc_id").join(items, "item_id").filter(F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id").distinct()
+    """Documents that hold a passage, character for character."""
+    return quotes.exact(t.raw("documents").select("doc_id", "text"), t.raw("benchmark").select("item_id", "text"))

@@ -37,9 +37,20 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and every executor can read and write: ``spark.checkpoint.dir``; only a local session may go without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="silexa-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share, which cuts its lineage; without one (as in tests) to a temporary folder."""
+    """``df`` written to the checkpoint folder that all executors share, which cuts its lineage."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="silexa-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -64,6 +64,7 @@ class Tables:
             F.when(done, F.col("l_partkey")).alias("claim_id"),
             F.when(done, matched).alias("matched_by"),
             F.when(number % 4 > 0, number % 4).alias("importance"),
+            F.element_at(F.array(*[F.lit(x) for x in GRADES]), (F.col("l_suppkey") % len(GRADES) + 1).cast("int")).alias("evidence"),
             F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("located_at"),
             F.col("l_shipdate").alias("created_at"),
         )
@@ -93,6 +94,84 @@ class Tables:
         one = self.claims.filter(key % 10 == 0).select(key.alias("a"), (key + 1).alias("b"))
         return one.union(one.filter("a % 20 = 0").select("b", "a")).union(one.filter("a % 50 = 0").select("a", F.col("a").alias("b")))
 
+    @cached_property
+    def jobs(self) -> DataFrame:
+        """The work queue: kind, state, payload, attempts and times."""
+        n, kind = F.col("event_id"), F.create_map(*[F.lit(x) for pair in JOB_OF_EVENT.items() for x in pair])
+        source = F.col("user_id") % 100
+        return self.raw("events").select(
+            n.alias("job_id"),
+            kind[F.col("event_type")].alias("kind"),
+            F.when(n % 10 == 0, "failed").when(n % 10 == 1, "running").when(n % 10 < 4, "queued").otherwise("done").alias("status"),
+            source.alias("source_id"),
+            F.concat(F.lit('{"source_id": '), source, F.lit("}")).alias("payload"),
+            (n % 4).alias("attempts"),
+            F.col("ts").alias("created_at"),
+            F.when(n % 10 == 1, F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("locked_at"),
+            (F.col("ts") + F.make_dt_interval(F.lit(0), (n % 3).cast("int"))).alias("run_after"),
+        )
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        """Pairs of claims that a judge has looked at."""
+        key = F.col("claim_id")
+        rows = self.claims.filter(key % 10 == 3).select(key.alias("review_id"), key, (key + 1).alias("candidate_id"))
+        verdict = F.when(key % 4 == 3, "SAME").when(key % 3 == 0, "DIFFERENT").otherwise("UNSURE")
+        return rows.select("*", (key % 97 / 100).alias("similarity"), verdict.alias("verdict"), (key * 7 % 100 / 100).alias("confidence"), F.when(key % 20 == 13, "accepted").otherwise("pending").alias("status"))
+
+    @cached_property
+    def articles(self) -> DataFrame:
+        """Versions of a topic's article by audience, with the time of the claims it was written from."""
+        nation = F.col("n_nationkey")
+        audience = F.explode(F.when(nation % 2 == 0, F.array(F.lit("clinician"), F.lit("patient"))).otherwise(F.array(F.lit("clinician"))))
+        rows = self.raw("nation").filter(nation % 5 > 0).select(nation, audience.alias("audience"))
+        rows = rows.select(nation, "audience", F.explode(F.sequence(F.lit(1), nation % 3 + 1)).alias("version"))
+        at = F.lit("1995-06-01 00:00:00").cast("timestamp") + F.make_dt_interval(nation * 30 + F.col("version") * 10)
+        return rows.select(F.concat(F.lit("N"), nation).alias("topic_id"), "audience", "version", F.when(nation % 7 != 3, at).alias("snapshot_at"))
+
+    @cached_property
+    def works(self) -> DataFrame:
+        """Cited works; some lack year or identifier."""
+        key = F.col("o_orderkey")
+        title = F.concat(F.lit("Study "), F.col("o_custkey") % 50, F.lit(" of "), F.lower("o_orderpriority"))
+        return self.raw("orders").select(
+            key.alias("work_id"), title.alias("title"), F.when(key % 7 > 0, F.year("o_orderdate")).alias("year"), F.when(key % 3 == 0, F.concat(F.lit("10.1000/AB"), F.floor(key / 6))).alias("doi"), (F.col("o_totalprice") / 1000).alias("relevance")
+        )
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        """(work_id, insight_id, claim_id): works cited where an insight was found."""
+        rows = self.raw("lineitem").select(F.col("l_orderkey").alias("work_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("insight_id"), F.when(F.col("l_quantity") < 48, F.col("l_partkey")).alias("claim_id"))
+        return rows.join(self.works.select("work_id"), "work_id", "left_semi")
+
+    @cached_property
+    def flags(self) -> DataFrame:
+        key = F.col("claim_id")
+        rule = F.when(key % 3 == 0, "merge_fidelity").when(key % 3 == 1, "orphan_topic").otherwise("extraction_fidelity")
+        return self.claims.filter(key % 8 == 5).select(key, rule.alias("rule"), (key % 16 == 13).alias("resolved"))
+
+    @cached_property
+    def captions(self) -> DataFrame:
+        """Timed captions with the characters that each takes in its joined transcript."""
+        rows = self.raw("conversations").filter(F.trim("text") != "").select("conv_id", "turn", F.trim("text").alias("text"))
+        order = Window.partitionBy("conv_id").orderBy("turn")
+        before = F.coalesce(F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = rows.withColumn("char_start", before).withColumn("char_end", before + F.length("text"))
+        return rows.withColumn("start_ms", F.col("char_start") * 60).withColumn("end_ms", F.col("char_end") * 60)
+
+    @cached_property
+    def rulings(self) -> DataFrame:
+        """(item, human, judge): a person's and a judge's verdict on the same document; a judge that failed gives none."""
+        human = F.when(F.col("quality") == 1, "SAME").otherwise("DIFFERENT")
+        judge = F.when(F.col("doc_id") % 11 == 0, F.lit(None)).when(F.col("toxic") == 1, "DIFFERENT").when(F.col("doc_id") % 13 == 0, "UNSURE").otherwise("SAME")
+        return self.raw("labels").select(F.col("doc_id").alias("item"), human.alias("human"), judge.alias("judge"), (F.col("doc_id") * 37 % 101 / 100).alias("confidence"), (F.col("doc_id") % 4 == 1).alias("enrich"))
+
+
+#: Kind of job by kind of event (fixed values of the derivation).
+JOB_OF_EVENT = {"view": "extract", "click": "consolidate", "signup": "tag", "purchase": "refs", "error": "update_topic"}
+
+#: Evidence grades of insights, dealt out by source (fixed values of the derivation).
+GRADES = ("MetaAnalysis", "RCT", "Cohort", "CaseSeries", "Mechanistic", "Animal", "ExpertOpinion", "Other")
 
 #: Evidence grade by the kind of part (fixed values of the derivation).
 EVIDENCE_OF_TYPE = {"PROMO": "MetaAnalysis", "STANDARD": "RCT", "LARGE": "Cohort", "SMALL": "CaseSeries", "ECONOMY": "ExpertOpinion", "MEDIUM": "Mechanistic"}
@@ -114,6 +193,7 @@ insights AS (
          CASE WHEN l_quantity < 48 THEN l_partkey END AS claim_id,
          CASE WHEN l_quantity < 48 THEN CASE WHEN nth = 1 THEN 'seed' WHEN l_returnflag = 'A' THEN 'auto' ELSE 'human' END END AS matched_by,
          CASE WHEN l_linenumber % 4 > 0 THEN CAST(l_linenumber % 4 AS INTEGER) END AS importance,
+         (['MetaAnalysis', 'RCT', 'Cohort', 'CaseSeries', 'Mechanistic', 'Animal', 'ExpertOpinion', 'Other'])[CAST(l_suppkey % 8 + 1 AS INTEGER)] AS evidence,
          CASE WHEN l_linestatus = 'F' THEN l_shipdate END AS located_at, l_shipdate AS created_at
   FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_quantity >= 48 ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey) AS nth FROM lineitem)),
 members AS (SELECT * FROM insights WHERE claim_id IS NOT NULL),
@@ -126,7 +206,35 @@ raised AS (SELECT claim_id AS a, claim_id + 1 AS b FROM claims WHERE claim_id %
 links AS (SELECT a, b FROM raised UNION ALL SELECT b, a FROM raised WHERE a % 20 = 0 UNION ALL SELECT a, a FROM raised WHERE a % 50 = 0),
 closure(root_id, topic_id, depth) AS (
   SELECT topic_id, topic_id, 0 FROM topics
-  UNION ALL SELECT root_id, t.topic_id, depth + 1 FROM closure c JOIN topics t ON t.parent_id = c.topic_id WHERE t.status = 'active' AND depth < 20),
+  UNION ALL SELECT root_id, t.topic_id, depth + 1 FROM closure c JOIN topics t ON t.parent_id = c.topic_id WHERE t.status = 'active'),
+jobs AS (
+  SELECT event_id AS job_id, CASE event_type WHEN 'view' THEN 'extract' WHEN 'click' THEN 'consolidate' WHEN 'signup' THEN 'tag' WHEN 'purchase' THEN 'refs' WHEN 'error' THEN 'update_topic' END AS kind,
+         CASE WHEN event_id % 10 = 0 THEN 'failed' WHEN event_id % 10 = 1 THEN 'running' WHEN event_id % 10 < 4 THEN 'queued' ELSE 'done' END AS status,
+         user_id % 100 AS source_id, '{"source_id": ' || (user_id % 100) || '}' AS payload, event_id % 4 AS attempts, ts AS created_at,
+         CASE WHEN event_id % 10 = 1 THEN ts + INTERVAL 5 MINUTE END AS locked_at, ts + to_hours(CAST(event_id % 3 AS INTEGER)) AS run_after FROM events),
+reviews AS (
+  SELECT claim_id AS review_id, claim_id, claim_id + 1 AS candidate_id, CAST(claim_id % 97 AS DOUBLE) / 100 AS similarity,
+         CASE WHEN claim_id % 4 = 3 THEN 'SAME' WHEN claim_id % 3 = 0 THEN 'DIFFERENT' ELSE 'UNSURE' END AS verdict, CAST(claim_id * 7 % 100 AS DOUBLE) / 100 AS confidence,
+         CASE WHEN claim_id % 20 = 13 THEN 'accepted' ELSE 'pending' END AS status FROM claims WHERE claim_id % 10 = 3),
+articles AS (
+  SELECT 'N' || n_nationkey AS topic_id, audience, CAST(version AS INTEGER) AS version,
+         CASE WHEN n_nationkey % 7 <> 3 THEN TIMESTAMP '1995-06-01 00:00:00' + to_days(CAST(n_nationkey * 30 + version * 10 AS INTEGER)) END AS snapshot_at
+  FROM nation, (VALUES ('clinician'), ('patient')) a(audience), range(1, 4) v(version) WHERE n_nationkey % 5 > 0 AND (audience = 'clinician' OR n_nationkey % 2 = 0) AND version <= n_nationkey % 3 + 1),
+works AS (
+  SELECT o_orderkey AS work_id, 'Study ' || (o_custkey % 50) || ' of ' || lower(o_orderpriority) AS title, CASE WHEN o_orderkey % 7 > 0 THEN CAST(year(o_orderdate) AS INTEGER) END AS year,
+         CASE WHEN o_orderkey % 3 = 0 THEN '10.1000/AB' || (o_orderkey // 6) END AS doi, o_totalprice / 1000 AS relevance FROM orders),
+mentions AS (
+  SELECT l_orderkey AS work_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS insight_id, CASE WHEN l_quantity < 48 THEN l_partkey END AS claim_id
+  FROM lineitem WHERE l_orderkey IN (SELECT work_id FROM works)),
+flags AS (
+  SELECT claim_id, CASE claim_id % 3 WHEN 0 THEN 'merge_fidelity' WHEN 1 THEN 'orphan_topic' ELSE 'extraction_fidelity' END AS rule, claim_id % 16 = 13 AS resolved FROM claims WHERE claim_id % 8 = 5),
+captions AS (
+  SELECT *, char_start * 60 AS start_ms, char_end * 60 AS end_ms FROM (SELECT *, char_start + length(text) AS char_end FROM (
+    SELECT conv_id, turn, trim(text) AS text, CAST(coalesce(sum(length(trim(text)) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start
+    FROM conversations WHERE trim(text) <> ''))),
+rulings AS (
+  SELECT doc_id AS item, CASE WHEN quality = 1 THEN 'SAME' ELSE 'DIFFERENT' END AS human,
+         CASE WHEN doc_id % 11 = 0 THEN NULL WHEN toxic = 1 THEN 'DIFFERENT' WHEN doc_id % 13 = 0 THEN 'UNSURE' ELSE 'SAME' END AS judge, CAST(doc_id * 37 % 101 AS DOUBLE) / 100 AS confidence, doc_id % 4 = 1 AS enrich FROM labels),
 redirects(claim_id, at_id, hops) AS (
   SELECT claim_id, claim_id, 0 FROM claims
   UNION ALL SELECT r.claim_id, c.merged_into, hops + 1 FROM redirects r JOIN claims c ON c.claim_id = r.at_id WHERE c.merged_into IS NOT NULL AND hops < 20)

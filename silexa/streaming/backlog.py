@@ -1,31 +1,58 @@
 """A work queue as a stream: micro-batches of a folder of job files, drained with availableNow, each job handled once.
 
 Progress lives in the checkpoint folder and the output is one folder a batch, overwritten when a batch is run again, so a lost executor or a restarted
-driver neither loses nor repeats a job.
+driver neither loses nor repeats a job. A job with the kind and payload of one that an earlier batch handled is not handled again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Kinds of jobs that go first (fixed order).
 FIRST = ("consolidate",)
+#: Minutes after which a running job counts as lost, and runs that a job gets.
+STALE, MOST = 10, 3
 
 
-def handle(jobs: DataFrame) -> DataFrame:
-    """One row for each (kind, payload) of the batch: the first by time and id, with its rank in the queue's order."""
-    from pyspark.sql import Window
+def order() -> list[Column]:
+    """The queue's order: urgent kinds, then age."""
+    return [F.when(F.col("kind").isin(*FIRST), 0).otherwise(1), F.col("created_at"), F.col("job_id")]
 
+
+def handle(jobs: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """One row for each (kind, payload) that is not in ``done``: the first by time and id, in the queue's order within each task."""
     same = Window.partitionBy("kind", "payload").orderBy("created_at", "job_id")
-    return jobs.withColumn("nth", F.row_number().over(same)).filter("nth = 1").drop("nth").withColumn("urgent", F.col("kind").isin(*FIRST))
+    rows = jobs.withColumn("nth", F.row_number().over(same)).filter("nth = 1").drop("nth").withColumn("urgent", F.col("kind").isin(*FIRST))
+    if done is not None:
+        rows = rows.join(done.select("kind", "payload"), ["kind", "payload"], "left_anti")
+    return rows.sortWithinPartitions(*order())
 
 
-def drain(spark: SparkSession, jobs_dir: str, out_dir: str, checkpoint_dir: str, schema: str, files: int = 100) -> None:
+def drain(spark: SparkSession, jobs_dir: str, out_dir: str, checkpoint_dir: str, schema: str | StructType, files: int = 100) -> None:
     """Handle every job file that has not been handled yet, ``files`` of them at a time, then stop."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(jobs_dir)
 
     def write(batch: DataFrame, number: int) -> None:
-        handle(batch).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
+        earlier = None
+        if number:
+            full = handle(batch).schema
+            earlier = spark.read.schema(full.add("batch", "long")).parquet(out_dir).filter(F.col("batch") < number)
+        handle(batch, earlier).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start().awaitTermination()
+
+
+def claimable(jobs: DataFrame, now: Column) -> DataFrame:
+    """Jobs that a worker may take: queued and due, or running but lost; those that ran too often are left out unless they are lost."""
+    lost = (F.col("status") == "running") & (F.col("locked_at") < now - F.expr(f"INTERVAL {STALE} MINUTES"))
+    due = (F.col("status") == "queued") & (F.col("run_after") <= now) & (F.col("attempts") < MOST)
+    return jobs.filter(lost | due)
+
+
+def retried(jobs: DataFrame) -> DataFrame:
+    """Failed jobs with the state and the wait that they get: 30 seconds, doubled with every attempt; none after the last one."""
+    again = F.col("attempts") < MOST
+    wait = F.lit(30) * F.pow(F.lit(2), F.greatest(F.col("attempts") - 1, F.lit(0)))
+    return jobs.filter("status = 'failed'").select("job_id", F.when(again, "queued").otherwise("failed").alias("next"), F.when(again, wait.cast("long")).alias("seconds"))
