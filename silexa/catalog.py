@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from silexa.plans import evidence, facets, relational, texts
+from silexa.plans import evidence, facets, measures, relational, texts
 
-QUERIES = {**relational.QUERIES, **evidence.QUERIES, **texts.QUERIES, **facets.QUERIES}
-ORACLE_SQL = {**relational.ORACLE_SQL, **evidence.ORACLE_SQL, **texts.ORACLE_SQL, **facets.ORACLE_SQL}
+QUERIES = {**relational.QUERIES, **evidence.QUERIES, **texts.QUERIES, **facets.QUERIES, **measures.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL, **evidence.ORACLE_SQL, **texts.ORACLE_SQL, **facets.ORACLE_SQL, **measures.ORACLE_SQL}

@@ -199,10 +199,10 @@ def join_12_levels(t: Tables) -> DataFrame:
     return rows.join(at("grandchild_id"), F.col("child_id") == F.col("of_grandchild_id"), "left").select("topic_id", "child_id", "grandchild_id")
 
 
-@_R.add("SELECT claim_id FROM claims c WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM members m WHERE m.claim_id = c.claim_id AND m.importance = 3)")
+@_R.add("SELECT claim_id FROM claims c WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM members m WHERE m.claim_id = c.claim_id AND m.importance = 1 AND m.matched_by = 'auto')")
 def join_15_not_exists(t: Tables) -> DataFrame:
-    """Active claims without a core member."""
-    return t.claims.filter("status = 'active'").join(t.members.filter("importance = 3"), "claim_id", "left_anti").select("claim_id")
+    """Active claims to which no minor insight was attached automatically."""
+    return t.claims.filter("status = 'active'").join(t.members.filter("importance = 1 AND matched_by = 'auto'"), "claim_id", "left_anti").select("claim_id")
 
 
 @_R.add("SELECT source_id, title FROM sources s WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.status = 'running' AND j.kind = 'refs' AND CAST(json_extract_string(j.payload, '$.source_id') AS BIGINT) = s.source_id)")
