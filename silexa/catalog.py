@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from silexa.plans import evidence, facets, measures, passages, relational, texts
+from silexa.plans import changes, evidence, facets, measures, passages, relational, texts
 
-QUERIES = {**relational.QUERIES, **evidence.QUERIES, **texts.QUERIES, **facets.QUERIES, **measures.QUERIES, **passages.QUERIES}
-ORACLE_SQL = {**relational.ORACLE_SQL, **evidence.ORACLE_SQL, **texts.ORACLE_SQL, **facets.ORACLE_SQL, **measures.ORACLE_SQL, **passages.ORACLE_SQL}
+QUERIES = {**relational.QUERIES, **evidence.QUERIES, **texts.QUERIES, **facets.QUERIES, **measures.QUERIES, **passages.QUERIES, **changes.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL, **evidence.ORACLE_SQL, **texts.ORACLE_SQL, **facets.ORACLE_SQL, **measures.ORACLE_SQL, **passages.ORACLE_SQL, **changes.ORACLE_SQL}
