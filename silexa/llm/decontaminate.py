@@ -59,26 +59,29 @@ def lower_words(benchmark: DataFrame) -> list[str]:
     return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(LOWER).collect()]
 
 
-def _rows(table: DataFrame, key: str, lower: list[str]) -> DataFrame:
+def _rows(table: DataFrame, keep: list[str], lower: list[str]) -> DataFrame:
     raw, template = words_of(F.coalesce("text", F.lit("")), lower)
-    return table.select(key, raw.alias("raw"), template.alias("words"))
+    return table.select(*keep, raw.alias("raw"), template.alias("words"))
 
 
-def windows(rows: DataFrame, key: str, widths: list[int]) -> DataFrame:
-    """(key, raw, words, place, width, hash) of the windows of the given widths."""
+def windows(rows: DataFrame, keep: list[str], widths: list[int]) -> DataFrame:
+    """``keep`` columns, place, width and hash of the windows of the given widths.
+
+    All expressions behind the explode are compiled into one stage, in which the words stay where they are: a row for each window carries none of them.
+    """
     # explode_outer and a later filter: a filter on the places themselves would be pushed down and cut every text a second time.
     places = F.when(F.size("words") >= min(widths), F.sequence(F.lit(1), F.size("words") - (min(widths) - 1)))
-    rows = rows.select(key, "raw", "words", F.explode_outer(places).alias("place")).filter(F.col("place").isNotNull())
+    rows = rows.select(*keep, "words", F.explode_outer(places).alias("place")).filter(F.col("place").isNotNull())
     rows = rows.select("*", (F.explode(F.array(*[F.lit(w) for w in widths])) if len(widths) > 1 else F.lit(widths[0])).alias("width")).filter(F.size("words") - F.col("width") + 1 >= F.col("place"))
     hashed = F.lit(None).cast("long")
     for w in widths:
         hashed = F.when(F.col("width") == w, F.xxhash64(*[F.get("words", F.col("place") + (k - 1)) for k in range(w)])).otherwise(hashed)
-    return rows.select("*", hashed.alias("hash"))
+    return rows.select(*keep, "place", "width", hashed.alias("hash"))
 
 
-def _slots() -> Column:
+def _slots(place: Column, width: Column) -> Column:
     """Kind and value of each placeholder of a window."""
-    zipped = F.arrays_zip(F.slice("words", F.col("place"), F.col("width")).alias("w"), F.slice("raw", F.col("place"), F.col("width")).alias("r"))
+    zipped = F.arrays_zip(F.slice("words", place, width).alias("w"), F.slice("raw", place, width).alias("r"))
     return F.transform(F.filter(zipped, lambda x: F.startswith(x["w"], F.lit("#"))), lambda x: F.struct(x["w"].alias("kind"), x["r"].alias("value")))
 
 
@@ -87,19 +90,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 
     ``exact`` tells that all slot values are those of the benchmark.
     """
+    small = lambda size: (size or 0) <= BROADCAST_BYTES
     lower = lower_words(benchmark)
-    own = materialise(_rows(benchmark, "item_id", lower), "items").filter(F.size("words") > 0)
-    items = windows(own, "item_id", list(range(1, WIDTH + 1))).filter(F.col("width") == F.least(F.size("words"), F.lit(WIDTH)))
-    items = items.select("item_id", F.col("width").alias("_width"), (F.size("words") - F.col("width") + 1).alias("item_windows"), F.col("place").alias("item_place"), F.col("hash").alias("_hash"), _slots().alias("item_slots"))
-    right = materialise(items, "windows")
+    own = materialise(_rows(benchmark.withColumn("own", F.xxhash64("item_id", "text")), ["item_id", "own"], lower).filter(F.size("words") > 0).dropDuplicates(["own"]), "items")
+    fit = F.least(F.size("words"), F.lit(WIDTH))
+    items = windows(own.withColumn("fit", fit).withColumn("total", F.size("words") - fit + 1), ["item_id", "own", "fit", "total"], list(range(1, WIDTH + 1))).filter("width = fit")
+    items = items.join(own.drop("item_id"), "own")
+    items = items.select("item_id", F.col("width").alias("_width"), F.col("total").alias("item_windows"), F.col("place").alias("item_place"), F.col("hash").alias("_hash"), _slots(F.col("place"), F.col("width")).alias("item_slots"))
+    right = materialise(items.distinct(), "windows")
     known = right.agg(F.array_sort(F.collect_set("_width")).alias("widths"), F.sum(100 + 60 * F.size("item_slots") + F.length(F.to_json("item_slots"))).alias("bytes")).first()
-    left = windows(_rows(docs, "doc_id", lower), "doc_id", list(known["widths"]) or [WIDTH])
-    same = (F.col("hash") == F.col("_hash")) & (F.col("width") == F.col("_width"))
-    # Slots are cut from the windows that match; where the join shuffles, they travel instead of the texts.
-    if (known["bytes"] or 0) <= BROADCAST_BYTES:
-        hit = left.join(F.broadcast(right), same).select("*", _slots().alias("slots"))
-    else:
-        hit = left.select("doc_id", "place", "width", "hash", _slots().alias("slots")).join(right, same)
+    # A row is known by its id and text, as ids may repeat.
+    base = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    left = windows(_rows(base, ["doc_id", "row"], lower), ["doc_id", "row"], list(known["widths"]) or [WIDTH])
+    met = left.join(F.broadcast(right) if small(known["bytes"]) else right, (F.col("hash") == F.col("_hash")) & (F.col("width") == F.col("_width")))
+    met = materialise(met.select("doc_id", "row", "place", "width", "item_id", "item_windows", "item_place", "item_slots").distinct(), "met")
+    # Slots of the windows that were met, a row for each document.
+    at = materialise(met.groupBy("row").agg(F.collect_set(F.struct("place", "width")).alias("at")), "at")
+    size = at.agg(F.sum(48 + 24 * F.size("at"))).first()[0]
+    cut = _rows(base.join(F.broadcast(at) if small(size) else at, "row"), ["row", "at"], lower)
+    cut = cut.select("row", F.explode(F.transform("at", lambda p: F.struct(p["place"].alias("place"), p["width"].alias("width"), _slots(p["place"], p["width"]).alias("slots")))).alias("w")).select("row", "w.*").distinct()
+    hit = met.join(cut, ["row", "place", "width"]).withColumnRenamed("width", "_width")
     names = F.size(F.filter(F.coalesce("item_slots", F.array()), lambda x: x["kind"] == "#w"))
     free = (names * 2 <= F.col("_width") + 1) & (F.col("_width") >= LEAST_WORDS)
     hit = hit.filter(free | F.col("slots").eqNullSafe(F.col("item_slots")))
