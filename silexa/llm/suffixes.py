@@ -5,18 +5,19 @@ removed. Strings are judged on the input; they never cross documents.
 
 The corpus is too large for one suffix array, so suffixes are dealt out by content first: each window of ``LENGTH`` bytes belongs to its
 anchor, the place of the least hash among its ``GRAM``-byte pieces (leftmost of equals). Equal windows have equal anchors and meet in one task. Consecutive
-windows with one anchor form a range of at most ``LENGTH - GRAM + 1`` windows, about one for each 39 bytes.
+windows with one anchor form a range of at most ``LENGTH - GRAM + 1`` windows, about one for each 39 bytes. Hashes only deal suffixes out; what repeats is decided on the bytes.
 
-(1) Ranges meet by anchor. Of ranges with the same content all but the first are removed whole; where one anchor has several contents, the
-first of each content goes on. (2) Those contents are joined again by anchor, and each task sorts the suffixes of what it got in two stages: suffixes smaller than their successors
-are sorted directly, all others are induced by one scan over the buckets of first bytes. Windows with a common prefix of ``LENGTH`` or more are
-adjacent then, and all but the first are marked. (3) The marks of each document are joined with its text.
+(1) Ranges are counted by the hash of their anchor, partly before the shuffle; those whose anchor occurs once cannot repeat. (2) The others send their bytes, each content of a stretch of
+input once, to the task of their anchor, in the order of their bytes: a range that follows an equal one repeats it whole. (3) Where an anchor has several contents, their suffixes are sorted in two stages: suffixes smaller than
+their successors are sorted directly, all others are induced by one scan over the buckets of first bytes. Windows with a common prefix of ``LENGTH`` or more are
+adjacent then, and all but the first are marked. (4) The marks of each document are joined with its text.
 
-An anchor with more than ``LARGE`` contents (the edge of a very common passage) is not sorted in one task: its windows are dealt out singly by
-128-bit digests of their content, and all but the first of each are marked.
+An anchor with more than ``LARGE`` contents (the edge of a very common passage) is not sorted in one task: its windows are dealt out singly, by a
+digest of their bytes, and met in the order of their bytes in the same way.
 
 Defined cases: a null text is the empty text; rows with a null doc_id come last; rows that share a doc_id but not the text count as
-documents in the order of a hash of the text; repeated rows are one document, so neither is earlier; an empty table gives an empty result.
+documents in the order of a hash of the text; repeated rows are one document, so neither is earlier; an empty table gives an empty result. A task holds one text and
+arrays of about a hundred times a part of ``CHUNK`` bytes of it, however long the text is.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ LARGE = 4000
 #: Bytes of text that a task's kernels hold at once; their arrays take about a hundred times as much.
 CHUNK = 1 << 18
 BLOCK = 1 << 18
+BROADCAST_BYTES = 64 << 20
 LAST = (1 << 63) - 1
-_MARK = 1 << 62
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -78,66 +79,19 @@ _SCHEMA = "key long, content long, doc long, tie long, place long"
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, content, doc, tie, place) of the ranges; equal ranges of one stretch of input are reduced to the first, the others are marks already.
-
-    place holds the start, the number of windows, and for marks the bit above all.
-    """
+    """(key, content, doc, tie, place) of the ranges; place holds the start and the number of windows, content a hash that only tells whether an anchor has many."""
     for batch in chunks(batches, "text", CHUNK):
-        data, offsets = buffer_of(batch.column(2))
-        number, begin, count, key = anchors(data, offsets)
-        if not len(begin):
-            continue
-        content = RangeHash(data, salt=7)(begin, begin + count + (LENGTH - 1))
-        doc, tie = batch.column(0).to_numpy()[number], batch.column(1).to_numpy()[number]
-        place = (begin - offsets[number]) << 16 | count
-        later = _later(key, content, doc, tie, place)[0]
-        place = np.where(later, place | _MARK, place)
-        key = np.where(later, mix(doc.astype(np.uint64) + place.astype(np.uint64)), key)
-        yield _rows(key, content, doc, tie, place, names=_NAMES)
-
-
-def _later(key, content, doc, tie, place) -> tuple[np.ndarray, np.ndarray]:
-    """Whether a row of the same key and content comes earlier; and the order by key, content, doc, tie, place."""
-    order = np.lexsort((place, tie, doc, content, key))
-    k, c, d, t, p = key[order], content[order], doc[order], tie[order], place[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    out = np.zeros(len(order), dtype=bool)
-    out[order] = (d != d[first]) | (t != t[first]) | (p != p[first])
-    return out, order
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition: kind 1 marks; kind 2 the first of each content where a key has several; kind 3 the same for keys with very many."""
-    parts = [[b.column(i).to_numpy() for i in range(5)] for b in batches if b.num_rows]
-    if not parts:
-        return
-    key, content, doc, tie, place = (np.concatenate(c) for c in zip(*parts, strict=True))
-    del parts
-    old = place >= _MARK
-    marks = [(np.ones(int(old.sum()), dtype=np.int64), key[old], doc[old], tie[old], place[old] - _MARK)]
-    key, content, doc, tie, place = key[~old], content[~old], doc[~old], tie[~old], place[~old]
-    if len(key):
-        later, order = _later(key, content, doc, tie, place)
-        marks.append((np.ones(int(later.sum()), dtype=np.int64), key[later], doc[later], tie[later], place[later]))
-        order = order[~later[order]]
-        k, c = key[order], content[order]
-        # Repeated rows of a document are equal in everything and stand for one.
-        same = np.zeros(len(order), dtype=bool)
-        same[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
-        order = order[~same]
-        k = key[order]
-        new = np.ones(len(k), dtype=bool)
-        new[1:] = k[1:] != k[:-1]
-        group = np.cumsum(new) - 1
-        n = np.bincount(group)[group]
-        go = n > 1
-        pick = order[go]
-        marks.append((np.where(n[go] > LARGE, 3, 2), key[pick], doc[pick], tie[pick], place[pick]))
-    for m in marks:
-        for a in range(0, len(m[0]), 100_000):
-            yield _rows(*(c[a : a + 100_000] for c in m), names=["kind", "key", "doc", "tie", "place"])
+        whole, ends = buffer_of(batch.column(2))
+        docs, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        # A text longer than a chunk goes in parts that share LENGTH - 1 bytes, so that each window lies in one of them.
+        step = CHUNK if len(ends) == 2 else max(len(whole), 1)
+        for a in range(0, max(len(whole) - LENGTH + 1, 1), step):
+            data = whole[a : a + step + LENGTH - 1]
+            offsets = np.array([0, len(data)]) if len(ends) == 2 else ends
+            number, begin, count, key = anchors(data, offsets)
+            if len(begin):
+                content = RangeHash(data, salt=7)(begin, begin + count + (LENGTH - 1))
+                yield _rows(key, content, docs[number], ties[number], (begin - offsets[number] + a) << 16 | count, names=_NAMES)
 
 
 def two_stage_sort(text: np.ndarray, words: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -234,75 +188,109 @@ def repeated_windows(contents: list[bytes], counts: np.ndarray, rank: np.ndarray
     return [np.array(x, dtype=np.int64) for x in out]
 
 
+_PARTS = ["kind", "deal", "doc", "tie", "place", "bytes"]
+
+
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 2: (key, doc, tie, start, windows, bytes). Kind 3: one row for each window, its digests in key and start's place, no bytes."""
-    names = ["kind", "key", "content", "doc", "tie", "place", "bytes"]
-    types = [pa.int64()] * 6 + [pa.binary()]
+    """Kind 1: marks, for what an equal content of the same stretch of input precedes. Kind 2: contents by anchor. Kind 3: single windows by digest."""
+    types = [pa.int64()] * 5 + [pa.binary()]
+
+    def rows(found: dict[tuple, list[tuple]]) -> pa.RecordBatch:
+        out = []
+        for (kind, deal, content), places in found.items():
+            first = min(places)
+            out.append((kind, deal, *first, content))
+            out += [(1, hash(p), *p, None) for p in places if p != first]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=_PARTS)
+
     for batch in chunks(batches, "text", CHUNK):
-        rows: list[tuple] = []
+        found: dict[tuple, list[tuple]] = {}
         size = 0
         for doc, tie, text, wants in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            raw, hashes = (text or "").encode(), None
-            for w in wants or ():
+            raw = (text or "").encode()
+            for w in wants:
                 place, key = w["place"], w["key"]
                 a, n = place >> 16, place & 0xFFFF
                 if w["kind"] == 2:
-                    rows.append((2, key, 0, doc, tie, place, raw[a : a + n + LENGTH - 1]))
+                    found.setdefault((2, key, raw[a : a + n + LENGTH - 1]), []).append((doc, tie, place))
                     size += n + 2 * LENGTH
                 else:
-                    if hashes is None:
-                        data = np.frombuffer(raw, dtype=np.uint8)
-                        hashes = RangeHash(data, salt=11), RangeHash(data, salt=13)
-                    at = np.arange(a, a + n)
-                    one, two = (h(at, at + LENGTH).view(np.int64).tolist() for h in hashes)
-                    rows += [(3, x, y, doc, tie, s << 16 | 1, None) for x, y, s in zip(one, two, at.tolist(), strict=True)]
-                    size += 64 * n
-            if size > CHUNK:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    part = np.frombuffer(raw[a : a + n + LENGTH - 1], dtype=np.uint8)
+                    at = np.arange(n)
+                    for s, deal in zip(range(a, a + n), RangeHash(part, salt=11)(at, at + LENGTH).view(np.int64).tolist(), strict=True):
+                        found.setdefault((3, deal, raw[s : s + LENGTH]), []).append((doc, tie, s << 16 | 1))
+                    size += 2 * LENGTH * n
+                if size > 16 * CHUNK:
+                    yield rows(found)
+                    found, size = {}, 0
+        if found:
+            yield rows(found)
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by kind and key, all of a key together: marks (doc, tie, place)."""
+    """Rows come by kind, deal, bytes and place: marks (doc, tie, place)."""
+    names = ["doc", "tie", "place"]
     held: list[tuple] = []
-    single: list[list[np.ndarray]] = []
     size = 0
+    carry: list | None = None
 
     def sort() -> Iterator[pa.RecordBatch]:
         rank = np.zeros(len(held), dtype=np.int64)
-        by = sorted(range(len(held)), key=lambda i: held[i][1:4])
-        rank[by] = np.arange(len(held))
-        found = repeated_windows([h[4] for h in held], np.array([h[3] & 0xFFFF for h in held]), rank)
+        rank[sorted(range(len(held)), key=lambda i: held[i][:3])] = np.arange(len(held))
+        found = repeated_windows([h[3] for h in held], np.array([h[2] & 0xFFFF for h in held]), rank)
         rows = []
-        for (_, doc, tie, place, _), at in zip(held, found, strict=True):
+        for (doc, tie, place, _), at in zip(held, found, strict=True):
             if len(at):
                 cut = np.flatnonzero(np.diff(at) > 1) + 1
                 rows += [(doc, tie, ((place >> 16) + int(run[0])) << 16 | len(run)) for run in np.split(at, cut)]
         if rows:
-            yield _rows(*(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)), names=["doc", "tie", "place"])
+            yield _rows(*(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)), names=names)
+
+    def settle(columns: list, stop: int) -> Iterator[pa.RecordBatch]:
+        """Distinct contents before ``stop``: those that share their anchor with another one are sorted."""
+        nonlocal held, size
+        kind, deal = columns[0][:stop], columns[1][:stop]
+        same = np.zeros(stop + 1, dtype=bool)
+        same[1:stop] = (deal[1:] == deal[:-1]) & (kind[1:] == kind[:-1])
+        last = None
+        for i in np.flatnonzero((same[:-1] | same[1:]) & (kind == 2)).tolist():
+            if size > BLOCK and deal[i] != last:
+                yield from sort()
+                held, size = [], 0
+            last = deal[i]
+            content = columns[5][i].as_py()
+            held.append((int(columns[2][i]), int(columns[3][i]), int(columns[4][i]), content))
+            size += len(content)
 
     for batch in batches:
         kinds = batch.column(0).to_numpy()
-        loose = np.flatnonzero(kinds == 3)
-        if len(loose):
-            single.append([batch.column(i).to_numpy()[loose] for i in range(1, 6)])
-        for i in np.flatnonzero(kinds == 2).tolist():
-            row = tuple(batch.column(c)[i].as_py() for c in (1, 3, 4, 5, 6))
-            if size > BLOCK and held and held[-1][0] != row[0]:
-                yield from sort()
-                held, size = [], 0
-            held.append(row)
-            size += len(row[4])
+        done = kinds == 1
+        if done.any():
+            yield _rows(*(batch.column(i).to_numpy()[done] for i in (2, 3, 4)), names=names)
+        if done.all():
+            continue
+        rest = pa.array(np.flatnonzero(~done))
+        columns = [batch.column(i).to_numpy()[~done] for i in range(5)] + [batch.column(5).take(rest)]
+        if carry:
+            columns = [*(np.concatenate(c) for c in zip(carry[:5], columns[:5], strict=True)), pa.concat_arrays([carry[5], columns[5]])]
+        kind, deal, doc, tie, place, content = columns
+        equal = np.zeros(len(kind), dtype=bool)
+        equal[1:] = (deal[1:] == deal[:-1]) & (kind[1:] == kind[:-1]) & pc.equal(content[1:], content[:-1]).to_numpy(zero_copy_only=False)
+        first = np.maximum.accumulate(np.where(equal, 0, np.arange(len(kind))))
+        later = equal & ((doc != doc[first]) | (tie != tie[first]) | (place != place[first]))
+        if later.any():
+            yield _rows(doc[later], tie[later], place[later], names=names)
+        # Of each content the first stays; those of the last anchor wait for the next batch.
+        keep = np.flatnonzero(~equal)
+        columns = [c[keep] for c in columns[:5]] + [content.take(pa.array(keep))]
+        open_ = (columns[1] == columns[1][-1]) & (columns[0] == columns[0][-1])
+        stop = int(np.flatnonzero(~open_)[-1]) + 1 if not open_.all() else 0
+        yield from settle(columns, stop)
+        carry = [c[stop:] for c in columns]
+    if carry:
+        yield from settle(carry, len(carry[0]))
     if held:
         yield from sort()
-    if single:
-        key, content, doc, tie, place = (np.concatenate(c) for c in zip(*single, strict=True))
-        later, _ = _later(key, content, doc, tie, place)
-        for a in range(0, int(later.sum()), 100_000):
-            pick = np.flatnonzero(later)[a : a + 100_000]
-            yield _rows(doc[pick], tie[pick], place[pick], names=["doc", "tie", "place"])
 
 
 def removed_spans(size: int, places: list[int]) -> list[tuple[int, int]]:
@@ -325,13 +313,19 @@ def mark_repeats(docs: DataFrame) -> tuple[DataFrame, str]:
     source = docs.withColumns({doc: F.coalesce("doc_id", F.lit(LAST)), tie: key if twice else F.lit(0).cast("long")})
     rows = source.select(F.col(doc).alias("doc"), F.col(tie).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     n = partitions(spark)
-    met = rows.mapInArrow(_ranges, _SCHEMA).repartition(n, "key").mapInArrow(_meet, "kind long, key long, doc long, tie long, place long")
-    met = materialise(met, "met")
-    wants = met.filter("kind > 1").groupBy("doc", "tie").agg(F.collect_list(F.struct("kind", "key", "place")).alias("wants"))
+    ranges = materialise(rows.mapInArrow(_ranges, _SCHEMA), "ranges")
+    several = ranges.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    shared = materialise(ranges.join(several, "key"), "shared")
+    # Anchors of more than LARGE contents: at most one for so many ranges.
+    large = shared.select("key", "content").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select("key", F.lit(3).cast("long").alias("kind"))
+    large = materialise(large, "large")
+    count = large.count()
+    shared = shared.join(F.broadcast(large) if count * 32 <= BROADCAST_BYTES else large, "key", "left") if count else shared.withColumn("kind", F.lit(2).cast("long"))
+    wants = shared.groupBy("doc", "tie").agg(F.collect_set(F.struct(F.coalesce("kind", F.lit(2).cast("long")).alias("kind"), "key", "place")).alias("wants"))
     texts = rows.join(wants, ["doc", "tie"]).select("doc", "tie", "text", "wants")
-    parts = texts.mapInArrow(_contents, "kind long, key long, content long, doc long, tie long, place long, bytes binary")
-    parts = parts.repartition(n, "key").sortWithinPartitions("kind", "key")
-    marks = parts.mapInArrow(_resolve, "doc long, tie long, place long").unionByName(met.filter("kind = 1").select("doc", "tie", "place"))
+    parts = texts.mapInArrow(_contents, "kind long, deal long, doc long, tie long, place long, bytes binary")
+    parts = parts.repartition(n, "deal").sortWithinPartitions(*_PARTS[:2], "bytes", *_PARTS[2:5])
+    marks = parts.mapInArrow(_resolve, "doc long, tie long, place long")
     # At most one mark for each byte of a document: a group is never larger than its text.
     marks = materialise(marks.groupBy(F.col("doc").alias(doc), F.col("tie").alias(tie)).agg(F.collect_list("place").alias(places)), "marks")
     return source.join(marks, [doc, tie], "left").select(*docs.columns, places), places

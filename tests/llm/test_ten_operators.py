@@ -266,6 +266,38 @@ def test_repeats_are_those_of_brute_force(docs, rows):
     assert sum(x[1] for x in want.values()) > 1000
 
 
+@pytest.mark.parametrize("large", [0, 1, 3])
+def test_repeats_at_crowded_anchors_are_the_same(docs, rows, monkeypatch, large):
+    monkeypatch.setattr(suffixes, "LARGE", large)
+    monkeypatch.setattr(suffixes, "BROADCAST_BYTES", -1 if large == 3 else 1 << 20)
+    want = {i: (n, s, hashlib.sha256(k).hexdigest()) for i, (k, n, s) in brute.repeats(rows).items()}
+    assert {i: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in by_id(suffixes.removal_report(docs)).items()} == want
+
+
+def test_repeats_do_not_hang_on_hashes(docs, rows, monkeypatch):
+    # With a hash that takes few values unrelated ranges meet; only equal bytes may go.
+    whole = suffixes._contents
+
+    def few(batches):
+        for b in whole(batches):
+            deal = np.asarray(b.column(1).to_numpy()) % 3
+            yield b.set_column(1, "deal", [int(x) for x in deal])
+
+    monkeypatch.setattr(suffixes, "_contents", few)
+    want = {i: (n, s) for i, (_, n, s) in brute.repeats(rows).items()}
+    assert {i: (r["n_removed"], r["n_spans"]) for i, r in by_id(suffixes.removal_report(docs)).items()} == want
+
+
+def test_a_long_text_is_searched_in_parts(spark):
+    rng = np.random.default_rng(4)
+    passage = "".join(rng.choice(list("abcdefgh"), 300))
+    body = "".join(rng.choice(list("abcdefgh"), 2 * suffixes.CHUNK))
+    text = body[: suffixes.CHUNK - 150] + passage + body[suffixes.CHUNK - 150 :] + passage + "x"
+    docs = spark.createDataFrame([(1, text), (2, f"y{passage}z")], "doc_id long, text string")
+    found = by_id(suffixes.removal_report(docs))
+    assert (found[1]["n_removed"], found[1]["n_spans"]) == (300, 1) and (found[2]["n_removed"], found[2]["n_spans"]) == (300, 1)
+
+
 def test_two_stage_sort_orders_suffixes():
     rng = np.random.default_rng(2)
     for alphabet in (2, 4, 60):
