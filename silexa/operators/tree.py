@@ -55,7 +55,7 @@ def makes_cycle(topics: DataFrame, moves: DataFrame) -> DataFrame:
     into_loop = up.join(looped, F.col("ancestor_id") == F.col("loop_id")).select(F.col("topic_id").alias("_new"), F.lit(True).alias("_loops")).distinct()
     above = up.select(F.col("topic_id").alias("_at"), F.col("ancestor_id").alias("_up"))
     out = moves.join(above, (F.col("new_parent_id") == F.col("_at")) & (F.col("topic_id") == F.col("_up")), "left").join(into_loop, F.col("new_parent_id") == F.col("_new"), "left")
-    return out.select("topic_id", "new_parent_id", (F.col("_at").isNotNull() | (F.col("topic_id") == F.col("new_parent_id")) | F.coalesce("_loops", F.lit(False))).alias("cycle"))
+    return out.select("topic_id", "new_parent_id", (F.col("_at").isNotNull() | F.col("topic_id").eqNullSafe(F.col("new_parent_id")) | F.coalesce("_loops", F.lit(False))).alias("cycle"))
 
 
 def resolve_redirects(claims: DataFrame, most: int = 20) -> DataFrame:

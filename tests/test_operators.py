@@ -3,9 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from silexa.functions import passages as P
 from silexa.functions import text as X
+from silexa.operators import changes as D
 from silexa.operators import claims as C
-from silexa.operators import tree, vector
+from silexa.operators import documents as A
+from silexa.operators import quotes, tree, vector
 from silexa.streaming import backlog
 
 
@@ -16,6 +19,19 @@ def test_closure_skips_archived_topics_and_ends_on_cycles(spark):
     assert found[("d", "e")] == 1 and {k[1] for k in found if k[0] == "x"} == {"x", "y"}
 
 
+def test_closure_has_no_depth_limit_and_starts_at_given_roots(spark):
+    chain = spark.range(40).select(F.col("id").cast("string").alias("topic_id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_id"), F.lit("active").alias("status"))
+    found = tree.closure(chain, chain.filter("topic_id IN ('0', '35')")).collect()
+    assert {(r["root_id"], r["depth"]) for r in found} == {("0", d) for d in range(40)} | {("35", d) for d in range(5)}
+
+
+def test_moves_that_close_a_loop(spark):
+    topics = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", None), ("x", "y"), ("y", "x"), ("z", "x")], "topic_id string, parent_id string")
+    cases = {("a", "a"): True, ("a", "b"): True, ("a", "c"): True, ("c", "a"): False, ("b", "d"): False, ("d", "c"): False, ("a", None): False, ("a", "none"): False, ("a", "x"): True, ("a", "z"): True}
+    moves = spark.createDataFrame(list(cases), "topic_id string, new_parent_id string")
+    assert {(r[0], r[1]): r[2] for r in tree.makes_cycle(topics, moves).collect()} == cases
+
+
 def test_redirects_end_at_active_claims_or_nowhere(spark):
     claims = spark.createDataFrame([(1, None, "active"), (2, 1, "merged"), (3, 2, "merged"), (4, 5, "merged"), (5, 4, "merged"), (6, 99, "merged"), (7, None, "merged")], "claim_id long, merged_into long, status string")
     found = {r["claim_id"]: r["target_id"] for r in tree.resolve_redirects(claims).collect()}
@@ -52,9 +68,113 @@ def test_vectors(spark):
     assert [(r["vec_id"], r["similarity"]) for r in vector.match(vectors, queries, 0.5, 8).collect()] == [(2, 0.6)]
 
 
+def test_queries_come_in_blocks(spark, monkeypatch):
+    vectors = spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).cast("array<float>").alias("embedding"))
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    one = sorted(map(tuple, vector.match(vectors, queries, 0.5, 3).collect()))
+    monkeypatch.setattr(vector, "BLOCK", 7)
+    assert sorted(map(tuple, vector.match(vectors, queries, 0.5, 3).collect())) == one and len(one) > 60
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_consolidation_is_that_of_one_insight_after_another(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(120)]
+    low, same, differ = 0.6, 0.85, 0.75
+    norm = lambda a: sum(x * x for x in a) ** 0.5
+    leaders, assigned, edges = [], {}, set()
+    for i, v in rows:
+        near = sorted((-round(sum(x * y for x, y in zip(v, w, strict=True)) / (norm(v) * norm(w)), 6), j) for j, w in leaders)
+        best = (-near[0][0], near[0][1]) if near and -near[0][0] >= low else None
+        if best and best[0] >= same:
+            assigned[i] = (best[1], "auto")
+            continue
+        if best:
+            edges.add((min(i, best[1]), max(i, best[1]), "near_duplicate" if best[0] < differ else "review"))
+        assigned[i] = (i, "seed")
+        leaders.append((i, v))
+    table, links = vector.consolidate(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), low, same, differ)
+    assert {r["vec_id"]: (r["claim_id"], r["matched_by"]) for r in table.collect()} == assigned and 10 < len(leaders) < 110
+    assert {(r["claim_id"], r["related_claim_id"], r["kind"]) for r in links.collect()} == edges
+
+
+def test_chunks():
+    assert P.chunks("") == [] and P.chunks("short text") == ["short text"]
+    words = " ".join(f"word{i}" for i in range(400))
+    parts = P.chunks(words, 200, 40)
+    assert all(len(p) <= 200 for p in parts) and len(parts) > 10
+    assert all(any(a.endswith(b[:k]) for k in range(20, 60)) for a, b in zip(parts, parts[1:], strict=False))
+    paragraphs = "\n\n".join(f"paragraph {i} " + "x" * 40 for i in range(12))
+    packed = P.chunks(paragraphs, 200, 20)
+    assert len(packed) > 2 and all(f"paragraph {i} " in "".join(packed) for i in range(12)) and max(map(len, packed)) <= 222
+    assert P.chunks("a" * 500 + "\n\n" + "tail", 200, 20)[-1] == "tail"
+
+
+@pytest.mark.parametrize(
+    ("content", "quote", "want"),
+    [
+        ("The quick brown fox", "quick brown", ("quick brown", 4, 15)), ("abc", None, None), ("abc", "  ", None), ("abc", "xyz", None), ("it\u2019s \u201cfine\u201d", "it's \"fine\"", ("it's \"fine\"", 0, 11)),
+        ("a  b\n c", "a b c", ("a b c", 0, 7)), ("one two three four five", "one two ... four five", ("one two ... four five", 0, 23)), ("one two three", "one two ... nine", None),
+        ("x the long beginning of a sentence that goes on and on y", "the long beginning of a sentence that goes on but not so", ("the long beginning of a sentence that goes on", 2, 47)),
+    ],
+)
+def test_quotes_are_found_where_they_stand(content, quote, want):
+    assert P.resolve(content, quote) == want
+
+
+def test_marked_stretches_go_where_their_anchors_are_clear():
+    text = "welcome to the show " + "real content here " * 15 + "this is brought to you by nobody and that was it " + "more content " * 5
+    cut = P.without_marked(text, [("this is brought to you", "and that was it"), ("short", "x"), ("real content here", ""), ("not in the text at all", "")])
+    assert "brought" not in cut and "more content" in cut and cut.count("real content") == 15 and "  " not in cut
+    assert P.without_marked("tiny welcome to the show", [("welcome to the show", "")]) == "tiny welcome to the show"
+    assert P.without_marked(text, [("this is brought to you", "welcome to the show")]) == text
+
+
+def test_timings_of_passages():
+    captions = [(f"caption number {i} says something of its own", i * 1000, i * 1000 + 900) for i in range(20)]
+    joined = " ".join(c[0] for c in captions)
+    parts = [joined[:200], joined[150:420], "of another text altogether, which is not here"]
+    assert P.timings(parts, captions) == [(0, 4900), (3000, 9900), None] and P.timings(["a"], []) == [None]
+
+
+def test_exact_quotes_of_any_length(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat and then it slept"), (2, "a cat"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "at sat on the mat and then it sl"), (2, "a cat"), (3, "dog"), (4, None), (5, "cat sat on the mat and then he slept")], "item_id long, text string")
+    want = [(1, 1), (2, 2)]
+    assert sorted(map(tuple, quotes.exact(docs, items).collect())) == want
+    monkeypatch.setattr(quotes, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, quotes.exact(docs, items).collect())) == want
+
+
+def test_upserts_and_archived_topics(spark):
+    table = spark.createDataFrame([(1, "a"), (None, "n")], "k long, v string")
+    rows = spark.createDataFrame([(1, "z"), (2, "c"), (2, "b"), (None, "m")], "k long, v string")
+    assert sorted(map(str, D.upsert_ignore(table, rows, ["k"]).collect())) == sorted(["Row(k=1, v='a')", "Row(k=None, v='n')", "Row(k=2, v='b')"])
+    assert {r["k"]: r["v"] for r in D.upsert_overwrite(table, rows, ["k"], ["v"]).collect()} == {1: "z", 2: "c", None: "m"}
+    topics = spark.createDataFrame([("a", None, "active"), ("b", "a", "active"), ("c", "b", "active"), ("d", "c", "active")], "topic_id string, parent_id string, status string")
+    found = {r["topic_id"]: (r["parent_id"], r["status"]) for r in D.archived(topics, topics.filter("topic_id IN ('b', 'c')")).collect()}
+    assert found["d"] == ("a", "active") and found["b"][1] == found["c"][1] == "archived"
+
+
+def test_empty_blocks_and_leaked_ids_are_not_rendered(spark):
+    sentence = "array<struct<text string, kind string, claim_ids array<long>>>"
+    rows = [(1, 0, "T", 0, "prose", [("One. [0a1b2c3d-0000-4000-8000-000000000000]", "sourced", [1]), ("Two.", "synthesis", [1])], None, [], [], []), (1, 0, "T", 1, "prose", [], None, [], [], []), (1, 0, "T", 2, "callout", [("Mind.", "sourced", [])], "caution", [], [], []), (1, 1, "U", 0, "table", [], None, ["a|b"], [["x\ny"]], [])]
+    blocks = spark.createDataFrame(rows, f"article_id long, section int, title string, pos long, kind string, sentences {sentence}, tone string, headers array<string>, cells array<array<string>>, claim_ids array<long>")
+    text = A.articles(blocks).first()["markdown"]
+    assert text == "## T\n\nOne. Two.\n\n> **Caution:** Mind.\n\n## U\n\n| a\\|b |\n| --- |\n| x y |"
+    assert {(r["section"], r["pos"], r["sentence"]) for r in A.issues(blocks).collect()} == {(0, 0, 1), (0, 2, 0), (1, 0, None)}
+    assert {r["issue"] for r in A.issues(blocks).collect()} == {"sourced without claims", "synthesis of fewer than two claims", "table without claims"}
+
+
 @pytest.mark.parametrize(
     ("function", "given", "want"),
     [
+        (lambda c: X.speaker(c, "Jane Roe"), "Dr. jane roe, MD", "Jane Roe"), (lambda c: X.speaker(c, "Jane Roe"), "Host", None), (lambda c: X.speaker(c, "Jane Roe"), " Bob ", "Bob"), (lambda c: X.speaker(c, "Jane Roe"), "x" * 81, None),
+        (X.guests, "Title | Ann Lee, M.D. & Bob Ray", ["Ann Lee", "Bob Ray"]), (X.guests, "Title", []), (X.guests, "Title |", []), (X.guests, "T | a b | Cy and Di E F G H", []), (X.decoded, "&#x1F600; &#65;&amp;lt;", "\U0001f600 A&lt;"),
+        (X.json_part, "x ```json\n{\"a\": 1}\n``` y", "{\"a\": 1}"), (X.json_part, "none", "none"), (X.numbers, "1,234,567 and 2,34", ["1234567", "2", "34"]), (X.iso_date, "3/4/21", "2021-03-04"), (X.iso_date, "soon", None), (X.episode_number, "#396 – talk", 396),
+        (X.table_cell, "a|b\n\nc", "a\\|b c"), (X.csv_cell, None, '""'), (X.grade_title, "CaseSeries", "Case Series"),
         (X.slug, "  Sleep & Heart-Rate!  ", "sleep-heart-rate"), (X.slug, "Ünï", "n"), (X.slug, "---", ""), (X.normal_title, "A  Title: Two", "a title two"), (X.words, "a b\tc", 3), (X.words, "", 1), (X.words, None, 0),
         (X.numbers, "1,200 mg of 3.5 in 2024", ["1200", "3.5", "2024"]), (X.sentences, "One. Two! three", ["One.", " Two!", " three"]), (X.is_low_value, "no conflict was declared by anyone here", True), (X.is_low_value, "short", True),
         (X.is_low_value, "sleep improves glucose control in most adults", False), (X.video_id, "https://youtu.be/abcdefghijk?t=3", "abcdefghijk"), (X.video_id, "abcdefghijk", "abcdefghijk"), (X.video_id, "https://x.org", None),
@@ -72,7 +192,7 @@ def test_jobs_are_handled_once_and_urgent_kinds_are_marked(spark, tmp_path):
     schema = "job_id long, kind string, payload string, created_at long"
     spark.createDataFrame([(1, "tag", "a", 1), (2, "tag", "a", 2), (3, "consolidate", "b", 3)], schema).coalesce(1).write.mode("append").parquet(jobs)
     backlog.drain(spark, jobs, out, checkpoint, schema)
-    spark.createDataFrame([(4, "tag", "c", 4)], schema).coalesce(1).write.mode("append").parquet(jobs)
+    spark.createDataFrame([(4, "tag", "c", 4), (5, "tag", "a", 5)], schema).coalesce(1).write.mode("append").parquet(jobs)
     for _ in range(2):
         backlog.drain(spark, jobs, out, checkpoint, schema)
     assert sorted((r["job_id"], r["urgent"]) for r in spark.read.parquet(out).collect()) == [(1, False), (3, True), (4, False)]
