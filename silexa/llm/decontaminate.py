@@ -69,13 +69,17 @@ def windows(rows: DataFrame, keep: list[str], widths: list[int]) -> DataFrame:
 
     All expressions behind the explode are compiled into one stage, in which the words stay where they are: a row for each window carries none of them.
     """
+    least = min(widths)
     # explode_outer and a later filter: a filter on the places themselves would be pushed down and cut every text a second time.
-    places = F.when(F.size("words") >= min(widths), F.sequence(F.lit(1), F.size("words") - (min(widths) - 1)))
+    places = F.when(F.size("words") >= least, F.sequence(F.lit(1), F.size("words") - (least - 1)))
     rows = rows.select(*keep, "words", F.explode_outer(places).alias("place")).filter(F.col("place").isNotNull())
-    rows = rows.select("*", (F.explode(F.array(*[F.lit(w) for w in widths])) if len(widths) > 1 else F.lit(widths[0])).alias("width")).filter(F.size("words") - F.col("width") + 1 >= F.col("place"))
+    if len(widths) > 1:
+        rows = rows.select("*", F.explode(F.array(*[F.lit(w) for w in widths])).alias("width")).filter(F.size("words") - F.col("width") + 1 >= F.col("place"))
+    else:
+        rows = rows.select("*", F.lit(least).alias("width"))
     hashed = F.lit(None).cast("long")
     for w in widths:
-        hashed = F.when(F.col("width") == w, F.xxhash64(*[F.get("words", F.col("place") + (k - 1)) for k in range(w)])).otherwise(hashed)
+        hashed = F.when(F.col("width") == w, F.xxhash64(F.lit(w), *[F.get("words", F.col("place") + (k - 1)) for k in range(w)])).otherwise(hashed)
     return rows.select(*keep, "place", "width", hashed.alias("hash"))
 
 
@@ -102,7 +106,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     # A row is known by its id and text, as ids may repeat.
     base = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     left = windows(_rows(base, ["doc_id", "row"], lower), ["doc_id", "row"], list(known["widths"]) or [WIDTH])
-    met = left.join(F.broadcast(right) if small(known["bytes"]) else right, (F.col("hash") == F.col("_hash")) & (F.col("width") == F.col("_width")))
+    met = left.join(F.broadcast(right) if small(known["bytes"]) else right, F.col("hash") == F.col("_hash")).filter(F.col("width") == F.col("_width"))
     met = materialise(met.select("doc_id", "row", "place", "width", "item_id", "item_windows", "item_place", "item_slots").distinct(), "met")
     # Slots of the windows that were met, a row for each document.
     at = materialise(met.groupBy("row").agg(F.collect_set(F.struct("place", "width")).alias("at")), "at")
