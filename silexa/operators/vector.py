@@ -45,6 +45,24 @@ def match(vectors: DataFrame, queries: DataFrame, threshold: float, k: int, stri
     return pairs.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= k).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("nth").cast("long").alias("nth"))
 
 
+def approximate(vectors: DataFrame, queries: DataFrame, threshold: float, k: int, tables: int = 60, length: float = 1.2, seed: int = 7) -> DataFrame:
+    """``match`` by locality-sensitive hashing of unit vectors: every vector is indexed, candidates share one of ``tables`` buckets and are then compared exactly.
+
+    On the unit sphere a cosine of c is a distance of sqrt(2 - 2c). Recall is measured in the tests.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    unit = Normalizer(inputCol="_v", outputCol="_u")
+    own = unit.transform(vectors.filter("embedding IS NOT NULL").select("vec_id", array_to_vector("embedding").alias("_v"))).drop("_v")
+    asked = unit.transform(queries.filter("query IS NOT NULL").select("query_id", array_to_vector("query").alias("_v"))).drop("_v")
+    model = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=length, numHashTables=tables, seed=seed).fit(own)
+    pairs = model.approxSimilarityJoin(own, asked, (2 - 2 * threshold) ** 0.5 + 1e-9, "distance")
+    pairs = pairs.select("datasetB.query_id", "datasetA.vec_id", F.round(1 - F.col("distance") * F.col("distance") / 2, 6).alias("similarity")).filter("query_id <> vec_id")
+    nearest = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
+    return pairs.withColumn("nth", F.row_number().over(nearest).cast("long")).filter(F.col("nth") <= k).select("query_id", "vec_id", "similarity", "nth")
+
+
 def consolidate(insights: DataFrame, threshold: float, same: float, differ: float) -> tuple[DataFrame, DataFrame]:
     """Leader consolidation in the order of ``vec_id`` with a judge by similarity: (assignments, edges).
 

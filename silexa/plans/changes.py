@@ -200,6 +200,15 @@ _SPOKEN = "statement || ' by ' || claim_id % 7 || ' of ' || claim_id % 4"
 _OWN = "string_agg('in ' || m.source_id % 7 || ' cases', ' ')"
 
 
+@_R.add("""SELECT claim_id, n::BIGINT AS members, CASE WHEN n < 2 THEN 'unchanged' WHEN claim_id % 7 IN (SELECT source_id % 7 FROM members m WHERE m.claim_id = x.claim_id) THEN 'rewritten' ELSE 'rejected' END AS outcome FROM (SELECT c.claim_id, count(*) AS n FROM claims c JOIN members USING (claim_id) WHERE status = 'active' GROUP BY 1) x""")
+def ded_12_enrichment(t: Tables) -> DataFrame:
+    """Rewritten texts of claims (here: with a number) are taken only if all their numbers stand in a member; single members need no rewriting."""
+    have = t.members.groupBy("claim_id").agg(F.count(F.lit(1)).alias("members"), F.array_join(F.collect_set((F.col("source_id") % 7).cast("string")), " ").alias("ground"))
+    rows = t.claims.filter("status = 'active'").join(have, "claim_id").select("claim_id", "members", "ground", F.concat("statement", F.lit(" in "), F.col("claim_id") % 7).alias("said"))
+    kept = F.size(X.missing_numbers(F.col("said"), F.col("ground"))) == 0
+    return rows.select("claim_id", "members", F.when(F.col("members") < 2, "unchanged").when(kept, "rewritten").otherwise("rejected").alias("outcome"))
+
+
 @_R.add(f"""SELECT claim_id, n AS members, array_to_string(invented, '|') AS invented FROM (SELECT c.claim_id, count(*)::BIGINT AS n, list_filter(regexp_extract_all(any_value({_SPOKEN}), '[0-9]+(?:\\.[0-9]+)?'), lambda x: NOT list_contains(regexp_extract_all({_OWN}, '[0-9]+(?:\\.[0-9]+)?'), x)) AS invented
  FROM claims c JOIN members m USING (claim_id) WHERE c.status = 'active' GROUP BY 1) WHERE n > 1 AND len(invented) > 0""")
 def qr_01_merge_fidelity(t: Tables) -> DataFrame:
@@ -423,6 +432,24 @@ def stm_05_coalesced(t: Tables) -> DataFrame:
     return _drained(t, 100).select("job_id", "kind", "payload")
 
 
+@_R.add("SELECT kind, payload FROM jobs WHERE status = 'queued' GROUP BY 1, 2")
+def stm_02_resumed(t: Tables) -> DataFrame:
+    """A stream that stops after some files goes on where it was, with files that came meanwhile."""
+    base = f"{shared_folder(t.spark)}/queue/{uuid.uuid4().hex}"
+    jobs = t.jobs.filter("status = 'queued'").select("job_id", "kind", "payload", "created_at")
+    for half in (0, 1):
+        jobs.filter(F.col("job_id") % 2 == half).repartition(2, "job_id").write.mode("append").parquet(f"{base}/jobs")
+        backlog.drain(t.spark, f"{base}/jobs", f"{base}/out", f"{base}/check", jobs.schema, 1)
+    return t.spark.read.parquet(f"{base}/out").select("kind", "payload")
+
+
+@_R.add("SELECT kind, payload, row_number() OVER (ORDER BY CASE kind WHEN 'consolidate' THEN 0 ELSE 1 END, created_at, job_id)::BIGINT AS place FROM (SELECT *, row_number() OVER (PARTITION BY kind, payload ORDER BY created_at, job_id) AS n FROM jobs WHERE status = 'queued') WHERE n = 1")
+def stm_04_priorities(t: Tables) -> DataFrame:
+    """The order in which a batch's jobs are taken: urgent kinds, then age."""
+    rows = backlog.handle(t.jobs.filter("status = 'queued'").select("job_id", "kind", "payload", "created_at"))
+    return rows.select("kind", "payload", F.row_number().over(Window.orderBy(*backlog.order())).cast("long").alias("place"))
+
+
 @_R.add("SELECT job_id, kind FROM jobs WHERE (status = 'running' AND locked_at < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 10 MINUTE) OR (status = 'queued' AND run_after <= TIMESTAMP '2024-01-20 00:00:00' AND attempts < 3)")
 def stm_03_reclaimed(t: Tables) -> DataFrame:
     """Jobs that a worker may take: due ones, and running ones that are lost."""

@@ -89,6 +89,14 @@ def str_11_missing_numbers(t: Tables) -> DataFrame:
     return _text(t).join(other, "doc_id").select("doc_id", F.array_join(X.missing_numbers(F.col("text"), F.col("have")), "|").alias("missing"))
 
 
+@_R.add("SELECT page_id AS book, 1 AS pos, 'Chapter ' || page_id AS text FROM pages WHERE page_id < 20 UNION ALL SELECT page_id, 0, 'Preface & more' FROM pages WHERE page_id < 20", model=False)
+def src_03_epub(t: Tables) -> DataFrame:
+    """Books written as files and read back by chapter."""
+    books = t.raw("pages").filter("page_id < 20").select("page_id").withColumn("text", F.concat(F.lit("<p>Chapter "), "page_id", F.lit("</p>")))
+    rows = feeds.epub_texts(t.spark, feeds.write_epubs(books, "<h1>Preface & more</h1>"))
+    return rows.select(F.regexp_extract("path", r"(\d+)\.epub$", 1).cast("long").alias("book"), "pos", "text")
+
+
 _TITLES = "'Episode ' || c_custkey || CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN ' | ' || c_name || ', M.D.' WHEN 2 THEN ' | Ann Lee, Ph.D. & Bob Ray and al' WHEN 3 THEN ' | a guest | One Two Three Four Five' ELSE ' | Zoe Q, R.D.,' END"
 
 

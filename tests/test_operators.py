@@ -9,6 +9,7 @@ from silexa.operators import changes as D
 from silexa.operators import claims as C
 from silexa.operators import documents as A
 from silexa.operators import quotes, tree, vector
+from silexa.sources import feeds
 from silexa.streaming import backlog
 
 
@@ -76,6 +77,29 @@ def test_queries_come_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, vector.match(vectors, queries, 0.5, 3).collect())) == one and len(one) > 60
 
 
+def test_approximate_search_finds_nine_of_ten(spark):
+    import random
+
+    rng = random.Random(4)
+    base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(60)]
+    rows = [(i, [x + rng.gauss(0, 0.5) for x in base[i % 60]]) for i in range(600)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    pairs = lambda df: {(r["query_id"], r["vec_id"]) for r in df.collect()}
+    exact, found = pairs(vector.match(vectors, queries, 0.6, 8)), pairs(vector.approximate(vectors, queries, 0.6, 8))
+    assert len(exact) > 50 and len(exact & found) >= 0.9 * len(exact)
+
+
+def test_books_are_read_by_chapter(spark, tmp_path):
+    books = spark.createDataFrame([(1, "<p>One &amp; all</p>"), (2, "  ")], "page_id long, text string")
+    path = feeds.write_epubs(books, "<h1>Preface</h1>")
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.epub").write_bytes(b"no book")
+    found = sorted((r["path"][-6:], r["pos"], r["text"]) for r in feeds.epub_texts(spark, path).collect())
+    assert found == [("1.epub", 0, "Preface"), ("1.epub", 1, "One &amp; all"), ("2.epub", 0, "Preface")]
+    assert feeds.epub_texts(spark, f"file://{tmp_path}/bad").count() == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_consolidation_is_that_of_one_insight_after_another(spark, seed):
     import random
