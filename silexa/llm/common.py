@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,25 +10,58 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from silexa.session import shared_folder
+
 #: Python-side kernels look at this many text bytes at once, however large the Arrow batch is.
 CHUNK_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor can read and write: ``spark.checkpoint.dir`` where it is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="silexa-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+#: With this setting a write leaves no shuffle files behind; it is on while an intermediate table is written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SCOPES: list[list[str]] = []
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, which cuts the lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/silexa/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_folder(spark)}/silexa/{uuid.uuid4().hex}/{name}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.silexa_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return out
+
+
+class scratch:
+    """A scope whose intermediate tables are deleted at its end, but for those that are kept because its result reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> scratch:
+        _SCOPES.append([])
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        _SCOPES[-1].remove(df.silexa_path)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(df.silexa_path)
+        return df
+
+    def __exit__(self, *_) -> None:
+        for path in _SCOPES.pop():
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

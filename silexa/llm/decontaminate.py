@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, scratch
 
 WIDTH = 8
 LEAST_WORDS = 5
@@ -89,11 +89,8 @@ def _slots(place: Column, width: Column) -> Column:
     return F.transform(F.filter(zipped, lambda x: F.startswith(x["w"], F.lit("#"))), lambda x: F.struct(x["w"].alias("kind"), x["r"].alias("value")))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows, coverage, exact) of every leak.
-
-    ``exact`` tells that all slot values are those of the benchmark.
-    """
+def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, item_windows, item_place, at, slots, item_slots) of the windows that documents share with items; ``at`` is their alignment."""
     small = lambda size: (size or 0) <= BROADCAST_BYTES
     lower = lower_words(benchmark)
     own = materialise(_rows(benchmark.withColumn("own", F.xxhash64("item_id", "text")), ["item_id", "own"], lower).filter(F.size("words") > 0).dropDuplicates(["own"]), "items")
@@ -118,7 +115,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     free = (names * 2 <= F.col("_width") + 1) & (F.col("_width") >= LEAST_WORDS)
     hit = hit.filter(free | F.col("slots").eqNullSafe(F.col("item_slots")))
     hit = hit.select("doc_id", "item_id", "item_windows", "item_place", (F.col("place") - F.col("item_place")).alias("at"), "slots", "item_slots").distinct()
-    hit = materialise(hit, "hits")
+    return materialise(hit, "hits")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """(doc_id, item_id, n_windows, item_windows, coverage, exact) of every leak.
+
+    ``exact`` tells that all slot values are those of the benchmark.
+    """
+    with scratch(docs.sparkSession) as own:
+        hit = own.keep(_hits(docs, benchmark))
     line = ["doc_id", "item_id", "at"]
     pairs = hit.filter(F.size(F.coalesce("item_slots", F.array())) > 0).select(*line, F.explode(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d"))).alias("p"))
     values = pairs.groupBy(*line, "p.b.kind", F.col("p.b.value").alias("item"), F.col("p.d.value").alias("doc")).agg(F.count(F.lit(1)).alias("n"))
@@ -133,5 +139,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` without the documents that leak an item; rows with a null id stay."""
-    found = materialise(leaks(docs, benchmark, coverage).select("doc_id").distinct(), "leaking")
+    with scratch(docs.sparkSession) as own:
+        found = own.keep(materialise(leaks(docs, benchmark, coverage).select("doc_id").distinct(), "leaking"))
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

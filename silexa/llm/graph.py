@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-
-ROUNDS = 60
+from .common import materialise, scratch
 
 
 def _size(edges: DataFrame) -> tuple:
@@ -15,11 +13,11 @@ def _size(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of ``edges`` (a, b); the label is the smallest node that links lead to."""
+    """(node, label) of every node of ``edges`` (a, b); the label is the smallest node that links lead to. Rounds go on until one changes nothing."""
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     now = materialise(now, "edges")
     size = _size(now)
-    for _ in range(ROUNDS):
+    while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -30,6 +28,4 @@ def components(edges: DataFrame) -> DataFrame:
         if (new := _size(now)) == size:
             break
         size = new
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()

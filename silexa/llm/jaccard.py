@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, fresh, materialise, mix, partitions
+from .common import chunks, fresh, materialise, mix, partitions, scratch
 from .graph import components
 from .shingles import shingle_sets
 
@@ -286,8 +286,8 @@ def pairs_across(met: DataFrame, label: DataFrame) -> DataFrame:
     return shared.groupBy("group", "node", "n", "size").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("least", "other")).alias("wanted")).filter("shared >= wanted").select("group", "node", "n", "size")
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, label) of every row: the size of its set and the label of its component."""
     spark = docs.sparkSession
     source = docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     described = materialise(source.mapInArrow(_describe, "kind byte, doc_id long, key long, node long, n long"), "described")
@@ -331,7 +331,13 @@ def link_documents(docs: DataFrame) -> DataFrame:
 
     final = materialise(components(links.unionByName(more)), "final")
     own = rows.join(final, "node", "left").withColumn("label", F.when((F.col("node") >= 0) & F.col("doc_id").isNotNull(), F.coalesce("label", "node")))
-    own = materialise(own.select("doc_id", "n", "label"), "own")
+    return materialise(own.select("doc_id", "n", "label"), "own")
+
+
+def link_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
+    with scratch(docs.sparkSession) as own_:
+        own = own_.keep(_labelled(docs))
     least = own.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = own.join(least, "label", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -342,9 +348,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Of rows that share an id one stays: that with the least text, by its hash, then the least of the other columns. Where few ids are dropped, the texts stay where they are.
     """
-    linked = materialise(link_documents(docs).filter("doc_id is not null"), "linked")
-    ids = linked.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("rows"))
-    ids = materialise(ids.filter("not stays or rows > 1"), "ids")
+    with scratch(docs.sparkSession) as own:
+        linked = link_documents(docs).filter("doc_id is not null")
+        ids = linked.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("rows"))
+        ids = own.keep(materialise(ids.filter("not stays or rows > 1"), "ids"))
     count = ids.agg(F.count(F.lit(1)), F.coalesce(F.max("rows"), F.lit(1))).first()
     held = lambda df: F.broadcast(df) if count[0] * 32 <= BROADCAST_BYTES else df
     out = docs.join(held(ids.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, buffer_of, chunks, fresh, materialise, mix, partitions
+from .common import RangeHash, buffer_of, chunks, fresh, materialise, mix, partitions, scratch
 
 LENGTH = 100
 GRAM = 24
@@ -313,21 +313,22 @@ def mark_repeats(docs: DataFrame) -> tuple[DataFrame, str]:
     source = docs.withColumns({doc: F.coalesce("doc_id", F.lit(LAST)), tie: key if twice else F.lit(0).cast("long")})
     rows = source.select(F.col(doc).alias("doc"), F.col(tie).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     n = partitions(spark)
-    ranges = materialise(rows.mapInArrow(_ranges, _SCHEMA), "ranges")
-    several = ranges.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    shared = materialise(ranges.join(several, "key"), "shared")
-    # Anchors of more than LARGE contents: at most one for so many ranges.
-    large = shared.select("key", "content").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select("key", F.lit(3).cast("long").alias("kind"))
-    large = materialise(large, "large")
-    count = large.count()
-    shared = shared.join(F.broadcast(large) if count * 32 <= BROADCAST_BYTES else large, "key", "left") if count else shared.withColumn("kind", F.lit(2).cast("long"))
-    wants = shared.groupBy("doc", "tie").agg(F.collect_set(F.struct(F.coalesce("kind", F.lit(2).cast("long")).alias("kind"), "key", "place")).alias("wants"))
-    texts = rows.join(wants, ["doc", "tie"]).select("doc", "tie", "text", "wants")
-    parts = texts.mapInArrow(_contents, "kind long, deal long, doc long, tie long, place long, bytes binary")
-    parts = parts.repartition(n, "deal").sortWithinPartitions(*_PARTS[:2], "bytes", *_PARTS[2:5])
-    marks = parts.mapInArrow(_resolve, "doc long, tie long, place long")
-    # At most one mark for each byte of a document: a group is never larger than its text.
-    marks = materialise(marks.groupBy(F.col("doc").alias(doc), F.col("tie").alias(tie)).agg(F.collect_list("place").alias(places)), "marks")
+    with scratch(spark) as own:
+        ranges = materialise(rows.mapInArrow(_ranges, _SCHEMA), "ranges")
+        several = ranges.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+        shared = materialise(ranges.join(several, "key"), "shared")
+        # Anchors of more than LARGE contents: at most one for so many ranges.
+        large = shared.select("key", "content").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select("key", F.lit(3).cast("long").alias("kind"))
+        large = materialise(large, "large")
+        count = large.count()
+        shared = shared.join(F.broadcast(large) if count * 32 <= BROADCAST_BYTES else large, "key", "left") if count else shared.withColumn("kind", F.lit(2).cast("long"))
+        wants = shared.groupBy("doc", "tie").agg(F.collect_set(F.struct(F.coalesce("kind", F.lit(2).cast("long")).alias("kind"), "key", "place")).alias("wants"))
+        texts = rows.join(wants, ["doc", "tie"]).select("doc", "tie", "text", "wants")
+        parts = texts.mapInArrow(_contents, "kind long, deal long, doc long, tie long, place long, bytes binary")
+        parts = parts.repartition(n, "deal").sortWithinPartitions(*_PARTS[:2], "bytes", *_PARTS[2:5])
+        marks = parts.mapInArrow(_resolve, "doc long, tie long, place long")
+        # At most one mark for each byte of a document: a group is never larger than its text.
+        marks = own.keep(materialise(marks.groupBy(F.col("doc").alias(doc), F.col("tie").alias(tie)).agg(F.collect_list("place").alias(places)), "marks"))
     return source.join(marks, [doc, tie], "left").select(*docs.columns, places), places
 
 
