@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages over ``documents``: quality, near duplicates, repeated passages, benchmark leaks, source mix.
 
 Each stage takes (spark, docs, sf_dir), works on every row of ``docs`` and returns the columns of ``documents``; the last one adds ``copy``.
-``run`` writes what a stage returns as Parquet to the shared folder and reads it back as the next stage's ``docs``.
+``run`` writes what a stage returns as Parquet to the shared folder and reads it back as the next stage's ``docs``; what a stage has read is deleted then.
+
+Defined cases: a null text is the empty text for the first, second and fourth stage and stays null in the others; rows with a null doc_id pass the second and fourth
+stage; repeated rows are one document in the second stage, in which ties go to the smaller id; an empty table gives an empty result. The stages say more.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silexa.llm import decontaminate, jaccard, mixing, quality, suffixes
-from silexa.llm.common import fresh, materialise, table
+from silexa.llm.common import delete, fresh, materialise, scratch, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as own:
+            docs = own.keep(materialise(stage(spark, docs, sf_dir), name))
+        if path:
+            delete(spark, path)
+        path = docs.silexa_path
     return docs
