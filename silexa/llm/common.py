@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -16,15 +17,22 @@ from silexa.session import shared_folder
 CHUNK_BYTES = 4 << 20
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
 #: With this setting a write leaves no shuffle files behind; it is on while an intermediate table is written.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SCOPES: list[list[str]] = []
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one; ``delete`` takes it away."""
+    return f"{shared_folder(spark)}/silexa/{uuid.uuid4().hex}/{name}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, which cuts the lineage."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/silexa/{uuid.uuid4().hex}/{name}"
+    path = new_path(spark, name)
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
@@ -97,6 +105,18 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             start = stop
 
 
+def words_of(raw: bytes, limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text (what stands between blanks and tab to carriage return), about ``limit`` bytes at a time."""
+    at = 0
+    while len(raw) - at > limit:
+        cut = _BLANK.search(raw, at + limit)
+        if not cut:
+            break
+        yield raw[at : cut.start()].split()
+        at = cut.end()
+    yield raw[at:].split()
+
+
 def lengths(values: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
@@ -141,6 +161,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
+def powers(n: int) -> np.ndarray:
+    """``n`` powers or more of the base of the range hashes."""
+    return _powers(n)[0]
+
+
 class RangeHash:
     """64-bit hashes of arbitrary ranges of one byte buffer, each in constant time, from prefix sums of a polynomial.
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licenses, media, mixing, quality, suffixes, tokens, toxicity, urls
-from .common import table
+from . import decontaminate, jaccard, licenses, media, mixing, quality, runs, suffixes, tokenfiles, tokens, toxicity, urls, whitening
+from .common import delete, materialise, new_path, table
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, every tenth of which is made to repeat itself."""
+    return runs.run_report(runs.find_runs(table(spark, sf_dir, "documents"), rewrite=runs.planted))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components of every embedding."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, written to ORC files and read back."""
+    docs, path = table(spark, sf_dir, "documents"), new_path(spark, "tokens")
+    tokenfiles.write_tokens(docs, path)
+    report = materialise(tokenfiles.token_report(tokenfiles.read_tokens(spark, path, docs.schema["doc_id"].dataType.simpleString())), "report")
+    delete(spark, path)
+    return report
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -80,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_quality, op3_suffix, op4_licenses, op5_tokens, op6_urls, op7_jaccard, op8_decontaminate, op9_mixing, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_quality, op3_suffix, op4_licenses, op5_tokens, op6_urls, op7_jaccard, op8_decontaminate, op9_mixing, op10_toxicity, op11_runs, op12_whitening, op13_tokenfiles, pipeline)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
