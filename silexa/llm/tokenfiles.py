@@ -33,8 +33,8 @@ from .common import chunks, fresh, partitions, words_of
 END = 2
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
-#: Bytes of distinct words that a task keeps.
-KEPT_BYTES = 64 << 20
+#: Bytes of distinct words that a worker process keeps from task to task; beyond, it starts anew.
+KEPT_BYTES = 128 << 20
 #: Words that are encoded in one call.
 _CALL = 2000
 
@@ -52,6 +52,9 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        whole = ((i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.normalized or t.single_word or t.lstrip or t.rstrip))
+        self.mark_id, mark = next(whole, (None, None))
+        self.mark = mark.content if mark else None
         self.clear()
 
     def clear(self) -> None:
@@ -71,13 +74,22 @@ class Words:
         return out
 
     def learn(self) -> None:
-        """Encode the words that have come since."""
-        parts, sizes = [self.pool], []
+        """Encode the words that have come since: many in one call, between two of them an added token that none of them holds."""
+        parts, ends, done = [self.pool], [self.start], int(self.start[-1])
         for k in range(0, len(self.fresh), _CALL):
-            for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.fresh[k : k + _CALL]], add_special_tokens=False):
-                parts.append(np.array(e.ids, dtype=np.int32))
-                sizes.append(len(e.ids))
-        self.pool, self.start, self.fresh = np.concatenate(parts), np.concatenate([self.start, self.start[-1] + np.cumsum(np.array(sizes, dtype=np.int64))]), []
+            words = [w.decode() for w in self.fresh[k : k + _CALL]]
+            if self.mark and not any(self.mark in w for w in words):
+                (one,) = self.tokenizer.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)
+                ids = np.array(one.ids, dtype=np.int32)
+                cuts = np.flatnonzero(ids == self.mark_id)
+                sizes, ids = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1, np.delete(ids, cuts)
+            else:
+                rows = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+                sizes, ids = np.array([len(r) for r in rows], dtype=np.int64), np.array([x for r in rows for x in r], dtype=np.int32)
+            parts.append(ids)
+            ends.append(done + np.cumsum(sizes))
+            done += len(ids)
+        self.pool, self.start, self.fresh = np.concatenate(parts), np.concatenate(ends), []
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         sizes = self.start[numbers + 1] - self.start[numbers]
@@ -85,6 +97,18 @@ class Words:
         return self.pool[place]
 
 
+_KNOWN: dict[int, Words] = {}
+
+
+def words_kept(definition: str) -> Words:
+    """The words that this worker process has met under a tokenizer."""
+    key = zlib.crc32(definition.encode())
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = Words(definition)
+    return _KNOWN[key]
+
+
 def encoded(definition: str, raw: list[bytes], words: Words | None, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, their numbers), the end id behind each text. Without ``words`` whole texts go to the tokenizer."""
     if words is None:
@@ -114,7 +138,7 @@ def write_tokens(docs: DataFrame, path: str, file: str | None = None, end: int =
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        part, done, words = TaskContext.get().partitionId(), 0, Words(shared.value) if by_word else None
+        part, done, words = TaskContext.get().partitionId(), 0, words_kept(shared.value) if by_word else None
         for batch in chunks(batches, "text"):
             ids, sizes = encoded(shared.value, [(x or "").encode() for x in batch.column(1).to_pylist()], words, end)
             ends = np.cumsum(sizes)
