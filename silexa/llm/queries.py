@@ -87,9 +87,9 @@ def op13_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids, written to ORC files and read back."""
     docs, path = table(spark, sf_dir, "documents"), new_path(spark, "tokens")
     tokenfiles.write_tokens(docs, path)
-    report = materialise(tokenfiles.token_report(tokenfiles.read_tokens(spark, path, docs.schema["doc_id"].dataType.simpleString())), "report")
+    digests = materialise(tokenfiles.token_digests(tokenfiles.read_tokens(spark, path, docs.schema["doc_id"].dataType.simpleString())), "digests")
     delete(spark, path)
-    return report
+    return tokenfiles.token_report(digests)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, islice
 from pathlib import Path
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, partitions, words_of
+from .common import chunks, partitions, words_of
 
 END = 2
 STRIPE_BYTES = 16 << 20
@@ -58,19 +59,16 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.fresh: list[bytes] = []
         self.pool, self.start, self.bytes = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64), 0
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        out = np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        for k in np.flatnonzero(out < 0).tolist():
-            w = words[k]
-            n = self.number.setdefault(w, len(self.number))
-            if n == len(self.start) - 1 + len(self.fresh):
-                self.fresh.append(w)
-                self.bytes += len(w) + 100
-            out[k] = n
+        before = len(self.number)
+        out = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+        new = list(islice(reversed(self.number), len(self.number) - before))[::-1]
+        self.fresh += new
+        self.bytes += sum(map(len, new)) + 100 * len(new)
         return out
 
     def learn(self) -> None:
@@ -91,10 +89,13 @@ class Words:
             done += len(ids)
         self.pool, self.start, self.fresh = np.concatenate(parts), np.concatenate(ends), []
 
-    def ids(self, numbers: np.ndarray) -> np.ndarray:
+    def ids(self, numbers: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of texts of so many words each, with the end id behind each."""
         sizes = self.start[numbers + 1] - self.start[numbers]
-        place = np.repeat(self.start[numbers] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        return self.pool[place]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ends = upto[np.cumsum(counts)]
+        flat = self.pool[np.repeat(self.start[numbers] - upto[:-1], sizes) + np.arange(int(upto[-1]))]
+        return np.insert(flat, ends, end), np.diff(ends, prepend=0) + 1
 
 
 _KNOWN: dict[int, Words] = {}
@@ -118,9 +119,18 @@ def encoded(definition: str, raw: list[bytes], words: Words | None, end: int = E
     else:
         if words.bytes > KEPT_BYTES:
             words.clear()
-        numbers = [[words.numbers(w) for w in words_of(t)] for t in raw]
+        parts, counts, waiting = [], [], []
+        for t in raw:
+            counts.append(0)
+            for w in words_of(t):
+                counts[-1] += len(w)
+                waiting += w
+                if len(waiting) > _CALL * 100:
+                    parts.append(words.numbers(waiting))
+                    waiting = []
+        parts.append(words.numbers(waiting))
         words.learn()
-        rows = [words.ids(np.concatenate(n)) for n in numbers]
+        return words.ids(np.concatenate(parts), np.array(counts, dtype=np.int64), end)
     last = np.array([end], dtype=np.int32)
     sizes = np.array([len(r) + 1 for r in rows], dtype=np.int64)
     return np.concatenate([x for r in rows for x in (r, last)] or [last[:0]]), sizes
@@ -140,7 +150,7 @@ def write_tokens(docs: DataFrame, path: str, file: str | None = None, end: int =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, done, words = TaskContext.get().partitionId(), 0, words_kept(shared.value) if by_word else None
         for batch in chunks(batches, "text"):
-            ids, sizes = encoded(shared.value, [(x or "").encode() for x in batch.column(1).to_pylist()], words, end)
+            ids, sizes = encoded(shared.value, [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()], words, end)
             ends = np.cumsum(sizes)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(sizes), part, dtype=np.int32)), pa.array(done + ends - sizes), lists], names=["doc_id", "part", "at", "ids"])
@@ -162,25 +172,26 @@ def read_tokens(spark: SparkSession, path: str, kind: str = "long", ids: list[in
     return rows if high is None else rows.filter(F.col("doc_id") <= high)
 
 
-def token_report(files: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens and the crc32 of the ids, from the files that ``read_tokens`` gives.
-
-    The window below runs over one row a file: as many as tasks wrote them.
-    """
-    totals = files.groupBy("part").agg(F.max(F.col("at") + F.size("ids")).alias("total"))
-    (name,) = fresh(files.columns, "_part")
-    files_in_order = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.sum("total").over(files_in_order) - F.col("total")
-    places = totals.select(F.col("part").alias(name), before.alias("before"))
+def token_digests(files: DataFrame) -> DataFrame:
+    """doc_id, part, at, n_tokens and the crc32 of the ids, from the files that ``read_tokens`` gives."""
     schema = f"doc_id {files.schema['doc_id'].dataType.simpleString()}, part int, at long, n_tokens long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
-            values, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), np.asarray(lists.offsets)
-            crc = [zlib.crc32(values[u:v].tobytes()) for u, v in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            values, ends = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<u4")).cast("B"), np.asarray(lists.offsets)
+            crc = [zlib.crc32(values[4 * u : 4 * v]) for u, v in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "at", "n_tokens", "ids_crc32"])
 
-    rows = files.mapInArrow(run, schema)
-    return rows.join(F.broadcast(places), F.col("part") == F.col(name)).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return files.mapInArrow(run, schema)
+
 
+def token_report(digests: DataFrame) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens and ids_crc32 from ``token_digests``, which is read twice.
+
+    The window runs over one row a file: as many as tasks wrote them.
+    """
+    files_in_order = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = digests.groupBy(F.col("part").alias("_part")).agg(F.sum("n_tokens").alias("total"))
+    places = totals.select("_part", (F.sum("total").over(files_in_order) - F.col("total")).alias("before"))
+    return digests.join(F.broadcast(places), F.col("part") == F.col("_part")).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -211,7 +211,7 @@ def test_files_hold_all_ids_in_order(spark, docs, rows, tmp_path):
     path = f"file://{tmp_path}/tokens"
     tokenfiles.write_tokens(more, path, files=5)
     files = tokenfiles.read_tokens(spark, path)
-    found = {r["doc_id"]: r for r in tokenfiles.token_report(files).collect()}
+    found = {r["doc_id"]: r for r in tokenfiles.token_report(tokenfiles.token_digests(files)).collect()}
     kept = {r["doc_id"]: list(r["ids"]) for r in files.collect()}
     texts = sorted([(i, t) for i, t, *_ in rows] + [(i + 10_000, t) for i, t in enumerate(ODD)])
     at = 0
@@ -225,11 +225,11 @@ def test_nulls_ties_and_empty_tables(spark, tmp_path):
     same = [(5, "a b"), (5, "a b"), (5, "c"), (None, "null first"), (None, None)]
     df = spark.createDataFrame(same, "doc_id long, text string").repartition(3)
     tokenfiles.write_tokens(df, f"file://{tmp_path}/a", files=4)
-    found = sorted(map(tuple, tokenfiles.token_report(tokenfiles.read_tokens(spark, f"file://{tmp_path}/a")).collect()), key=lambda r: r[1])
+    found = sorted(map(tuple, tokenfiles.token_report(tokenfiles.token_digests(tokenfiles.read_tokens(spark, f"file://{tmp_path}/a"))).collect()), key=lambda r: r[1])
     assert [r[0] for r in found] == [None, None, 5, 5, 5]
     assert [r[1] for r in found] == np.concatenate([[0], np.cumsum([r[2] for r in found])[:-1]]).tolist()
     tokenfiles.write_tokens(df.limit(0), f"file://{tmp_path}/b")
-    assert tokenfiles.token_report(tokenfiles.read_tokens(spark, f"file://{tmp_path}/b")).count() == 0
+    assert tokenfiles.token_report(tokenfiles.token_digests(tokenfiles.read_tokens(spark, f"file://{tmp_path}/b"))).count() == 0
 
 
 def test_lookups_skip_row_groups_and_files_are_cut_by_stripes(spark, tmp_path, monkeypatch):
