@@ -58,10 +58,10 @@ def makes_cycle(topics: DataFrame, moves: DataFrame) -> DataFrame:
     return out.select("topic_id", "new_parent_id", (F.col("_at").isNotNull() | F.col("topic_id").eqNullSafe(F.col("new_parent_id")) | F.coalesce("_loops", F.lit(False))).alias("cycle"))
 
 
-def resolve_redirects(claims: DataFrame, most: int = 20) -> DataFrame:
-    """(claim_id, target_id, hops): the unmerged claim at the end of each chain, null for a cycle, a missing claim or more than ``most`` hops."""
+def resolve_redirects(claims: DataFrame, most: int = 20, of: DataFrame | None = None) -> DataFrame:
+    """(claim_id, target_id, hops): the unmerged claim at the end of the chain of each claim, or of those of ``of`` (claim_id); null for a cycle, a missing claim or more than ``most`` hops."""
     step = checkpointed(claims.select(F.col("claim_id").alias("_id"), "merged_into", "status"))
-    now = claims.select("claim_id", F.col("claim_id").alias("at_id"), F.lit(0).alias("hops"))
+    now = (claims if of is None else of).select("claim_id", F.col("claim_id").alias("at_id"), F.lit(0).alias("hops"))
     done = None
     for _ in range(most + 1):
         joined = checkpointed(now.join(step, F.col("at_id") == F.col("_id"), "left"))

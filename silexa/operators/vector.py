@@ -1,14 +1,20 @@
-"""Cosine similarity, top-k search and greedy consolidation in DOUBLE. Queries travel to the vectors in blocks of a checked size, however many there are."""
+"""Cosine similarity and top-k search in DOUBLE: blocks of vectors meet blocks of queries by an equi-join, and each pair of blocks is one matrix product.
+
+The plan has the same size however many queries there are. A block is a row of some hundred kB; only queries are copied, once for each block of vectors, and each
+pair of blocks gives what passes the threshold, or its best k a query, alone.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from silexa.session import checkpointed
-
-#: Queries of one block: with some thousand dimensions a block takes well under 100 MB.
-BLOCK = 2_000
+#: Bytes of the vectors of one block.
+BLOCK_BYTES = 1 << 18
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,75 +25,73 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def pairs_above(vectors: DataFrame, queries: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
-    """(query_id, vec_id, similarity) of all pairs at ``threshold`` or above (or strictly above it), a query's own row left out.
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows (id, v, block, chunk) as one row (dim, block, chunk, ids, values) for each length, block and chunk."""
+    out = rows.groupBy(F.size("v").alias("dim"), "block", "chunk").agg(F.collect_list(F.struct("id", "v")).alias("r"))
+    return out.select("dim", "block", "chunk", F.col("r.id").alias("ids"), F.flatten("r.v").cast("array<double>").alias("values"))
 
-    Each block of queries is broadcast to the vectors; norms are computed once a row.
-    """
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    asked = queries.filter("query IS NOT NULL")
-    blocks = -(-asked.count() // BLOCK) or 1
-    asked = asked.select("query_id", "query", norm("query").alias("_q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"))
-    own = vectors.filter("embedding IS NOT NULL").withColumn("_v", norm("embedding"))
-    out = None
-    for b in range(blocks):
-        pairs = own.join(F.broadcast(asked.filter(F.col("_block") == b).drop("_block")), F.col("vec_id") != F.col("query_id"))
-        pairs = pairs.withColumn("similarity", dot(F.col("embedding"), F.col("query")) / (F.col("_q") * F.col("_v"))).drop("_q", "_v", "embedding", "query")
-        pairs = pairs.filter(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
 
+def pieces(rows: DataFrame) -> int:
+    """How many blocks the vectors of ``rows`` (id, v) need."""
+    return max(1, -(-rows.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0] * 8 // BLOCK_BYTES))
 
-def match(vectors: DataFrame, queries: DataFrame, threshold: float, k: int, strict: bool = False) -> DataFrame:
-    """The ``k`` nearest vectors of each query (query_id, query), with their rank; the first k of each task go to the shuffle alone."""
-    nearest = Window.partitionBy("query_id").orderBy(F.round("similarity", 6).desc(), "vec_id")
-    pairs = pairs_above(vectors.select("vec_id", "embedding"), queries, threshold, strict)
-    return pairs.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= k).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("nth").cast("long").alias("nth"))
 
+def dealt(c: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
 
-def approximate(vectors: DataFrame, queries: DataFrame, threshold: float, k: int, tables: int = 60, length: float = 1.2, seed: int = 7) -> DataFrame:
-    """``match`` by locality-sensitive hashing of unit vectors: every vector is indexed, candidates share one of ``tables`` buckets and are then compared exactly.
 
-    On the unit sphere a cosine of c is a distance of sqrt(2 - 2c). Recall is measured in the tests.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
+def unit_rows(flat: pa.Array, n: int) -> np.ndarray:
+    """The vectors of a packed row at length 1; those of zeros alone become NaN and are like nothing."""
+    x = flat.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.full_like(x, np.nan), where=size > 0)
+
+
+def products(own: DataFrame, asked: DataFrame, kinds: tuple[str, str], threshold: float, strict: bool = False, k: int | None = None) -> DataFrame:
+    """(query_id, vec_id, similarity) of what meets in the blocks of two packed tables; with ``k``, at least the best k of each query in each block. ``kinds`` are the types of the ids."""
+    schema = f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double"
 
-    unit = Normalizer(inputCol="_v", outputCol="_u")
-    own = unit.transform(vectors.filter("embedding IS NOT NULL").select("vec_id", array_to_vector("embedding").alias("_v"))).drop("_v")
-    asked = unit.transform(queries.filter("query IS NOT NULL").select("query_id", array_to_vector("query").alias("_v"))).drop("_v")
-    model = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=length, numHashTables=tables, seed=seed).fit(own)
-    pairs = model.approxSimilarityJoin(own, asked, (2 - 2 * threshold) ** 0.5 + 1e-9, "distance")
-    pairs = pairs.select("datasetB.query_id", "datasetA.vec_id", F.round(1 - F.col("distance") * F.col("distance") / 2, 6).alias("similarity")).filter("query_id <> vec_id")
-    nearest = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
-    return pairs.withColumn("nth", F.row_number().over(nearest).cast("long")).filter(F.col("nth") <= k).select("query_id", "vec_id", "similarity", "nth")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, values, q_ids, q_values = (batch.column(c).slice(i, 1) for c in range(4))
+                ids, q_ids = ids.flatten(), q_ids.flatten()
+                near = unit_rows(q_values, len(q_ids)) @ unit_rows(values, len(ids)).T
+                good = (near > threshold if strict else near >= threshold) & (np.asarray(q_ids)[:, None] != np.asarray(ids)[None])
+                if k and near.shape[1] > k:
+                    # What rounding may bring level with the k-th stays as well.
+                    least = np.partition(np.where(good, near, -np.inf), -k, axis=1)[:, -k]
+                    good &= near >= least[:, None] - 2e-6
+                q, v = np.nonzero(good)
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(q)), ids.take(pa.array(v)), pa.array(near[q, v])], names=["query_id", "vec_id", "similarity"])
 
+    other = asked.select("dim", "block", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
+    return own.join(other, ["dim", "block"]).select("ids", "values", "q_ids", "q_values").mapInArrow(run, schema)
 
-def consolidate(insights: DataFrame, threshold: float, same: float, differ: float) -> tuple[DataFrame, DataFrame]:
-    """Leader consolidation in the order of ``vec_id`` with a judge by similarity: (assignments, edges).
 
-    An insight joins the nearest earlier claim at ``same`` or above, else it becomes a claim itself. A new claim whose nearest earlier claim lies between ``threshold``
-    and ``same`` gets an edge to it: a link below ``differ``, else a review. Which insights become claims depends on the order alone: one does
-    when no earlier claim is near enough. Each round settles all insights whose earlier neighbours are settled, as joins; no group is collected.
+def id_kinds(queries: DataFrame, vectors: DataFrame) -> tuple[str, str]:
+    return queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
+
+
+def pairs_above(vectors: DataFrame, queries: DataFrame, threshold: float, strict: bool = False, k: int | None = None) -> DataFrame:
+    """(query_id, vec_id, similarity) of all pairs at ``threshold`` or above (or strictly above it), a query's own row left out; with ``k``, at least the best k of each query.
+
+    Vectors that are null or all zeros are like nothing; those of different lengths never meet.
     """
-    near = checkpointed(pairs_above(insights, insights.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), threshold).filter("vec_id < query_id").withColumn("similarity", F.round("similarity", 6)))
-    strong = near.filter(F.col("similarity") >= same).select(F.col("vec_id").alias("early"), F.col("query_id").alias("late"))
-    open_ = strong.select(F.col("late").alias("id")).distinct()
-    claims = insights.select(F.col("vec_id").alias("id")).join(open_, "id", "left_anti")
-    edges, claims = checkpointed(strong), checkpointed(claims)
-    new = claims
-    while not edges.isEmpty():
-        # Those that an earlier claim takes leave with all their edges; those that are left without earlier neighbours are claims.
-        taken = checkpointed(edges.join(new, F.col("early") == F.col("id"), "left_semi").select(F.col("late").alias("id")).distinct())
-        waiting = edges.join(taken, F.col("late") == F.col("id"), "left_anti")
-        rest = checkpointed(waiting.join(taken, F.col("early") == F.col("id"), "left_anti").join(new, F.col("early") == F.col("id"), "left_anti"))
-        new = checkpointed(waiting.select(F.col("late").alias("id")).distinct().join(rest.select(F.col("late").alias("id")).distinct(), "id", "left_anti"))
-        claims, edges = claims.union(new), rest
-    claims = checkpointed(claims)
-    best = near.join(claims, F.col("vec_id") == F.col("id"), "left_semi").groupBy("query_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "vec_id")).alias("b"))
-    best = best.select("query_id", F.col("b.vec_id").alias("candidate_id"), (-F.col("b.s")).alias("similarity"))
-    rows = insights.select("vec_id").join(claims.select("id", F.lit(True).alias("leads")), F.col("vec_id") == F.col("id"), "left").join(best, F.col("vec_id") == F.col("query_id"), "left")
-    rows = checkpointed(rows.select("vec_id", F.coalesce("leads", F.lit(False)).alias("leads"), "candidate_id", "similarity"))
-    assigned = rows.select("vec_id", F.when(F.col("leads"), F.col("vec_id")).otherwise(F.col("candidate_id")).alias("claim_id"), F.when(F.col("leads"), "seed").otherwise("auto").alias("matched_by"), F.when(F.col("leads"), F.lit(1.0)).otherwise(F.col("similarity")).alias("confidence"))
-    edges = rows.filter("leads AND candidate_id IS NOT NULL").select(F.least("vec_id", "candidate_id").alias("claim_id"), F.greatest("vec_id", "candidate_id").alias("related_claim_id"), "similarity", F.when(F.col("similarity") < differ, "near_duplicate").otherwise("review").alias("kind"))
-    return assigned, edges
+    own = vectors.filter("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = queries.filter("query IS NOT NULL").select(F.col("query_id").alias("id"), F.col("query").alias("v"))
+    n, m = pieces(own), pieces(asked)
+    blocks = packed(own.select("id", "v", dealt("id", n).alias("block"), F.lit(0).alias("chunk")))
+    copies = packed(asked.select("id", "v", F.lit(0).alias("block"), dealt("id", m).alias("chunk"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return products(blocks, copies, id_kinds(queries, vectors), threshold, strict, k)
+
+
+def match(vectors: DataFrame, queries: DataFrame, threshold: float, k: int, strict: bool = False) -> DataFrame:
+    """The ``k`` nearest vectors of each query (query_id, query), with their rank; the first k of each task go to the shuffle alone."""
+    return ranked(pairs_above(vectors.select("vec_id", "embedding"), queries, threshold, strict, k), k)
+
+
+def ranked(pairs: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of each query, with their rank from 1; ties by id."""
+    nearest = Window.partitionBy("query_id").orderBy(F.round("similarity", 6).desc(), "vec_id")
+    return pairs.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= k).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("nth").cast("long").alias("nth"))

@@ -342,13 +342,6 @@ def vec_06_filtered_search(t: Tables) -> DataFrame:
     return rows.filter(F.col("topic_id").isNull() | F.startswith("topic_id", F.lit("N1"))).select("query_id", "vec_id", "similarity", "topic_id")
 
 
-@_R.add()
-def vec_07_approximate(t: Tables) -> DataFrame:
-    """Nearest vectors of each query through an index by locality-sensitive hashing."""
-    vectors, queries = _queries(t)
-    return vector.approximate(vectors.select("vec_id", "embedding"), queries, 0.3, 10)
-
-
 @_R.add(f"WITH {_V} SELECT query_id, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS nth FROM (SELECT q.vec_id AS query_id, d.vec_id, round(list_cosine_similarity(d.e, q.e), 6) AS similarity, list_cosine_similarity(d.e, q.e) AS exact FROM v d JOIN v q ON q.vec_id <> d.vec_id AND q.label = 3 AND d.label <> 3) WHERE exact >= 0.2) WHERE nth <= 5", model=False)
 def vec_08_pending(t: Tables) -> DataFrame:
     """Candidates of all pending insights (here: one label) among the rest, in blocks of queries."""

@@ -1,13 +1,17 @@
 """A work queue as a stream: micro-batches of a folder of job files, drained with availableNow, each job handled once.
 
-Progress lives in the checkpoint folder and the output is one folder a batch, overwritten when a batch is run again, so a lost executor or a restarted
-driver neither loses nor repeats a job. A job with the kind and payload of one that an earlier batch handled is not handled again.
+Which kinds and payloads have been handled is keyed state in the stream's state store, so a batch costs what its own jobs cost, however many came before. Progress lives in the checkpoint folder and the output is
+one folder a batch, overwritten when a batch is run again, so a lost executor or a restarted driver neither loses nor repeats a job.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 #: Kinds of jobs that go first (fixed order).
@@ -21,25 +25,35 @@ def order() -> list[Column]:
     return [F.when(F.col("kind").isin(*FIRST), 0).otherwise(1), F.col("created_at"), F.col("job_id")]
 
 
-def handle(jobs: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """One row for each (kind, payload) that is not in ``done``: the first by time and id, in the queue's order within each task."""
+def handle(jobs: DataFrame) -> DataFrame:
+    """One row for each (kind, payload): the first by time and id, in the queue's order within each task."""
     same = Window.partitionBy("kind", "payload").orderBy("created_at", "job_id")
     rows = jobs.withColumn("nth", F.row_number().over(same)).filter("nth = 1").drop("nth").withColumn("urgent", F.col("kind").isin(*FIRST))
-    if done is not None:
-        rows = rows.join(done.select("kind", "payload"), ["kind", "payload"], "left_anti")
     return rows.sortWithinPartitions(*order())
 
 
+def coalesced(jobs: DataFrame) -> DataFrame:
+    """Of a stream of jobs the first of each kind and payload that no earlier batch had: the first of its batch by time and id. The state is a flag for each kind and payload."""
+
+    def first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = None
+        for frame in frames:
+            both = frame if best is None else pd.concat([best, frame])
+            best = both.sort_values(["created_at", "job_id"]).iloc[:1]
+        if best is not None and not state.exists:
+            state.update((True,))
+            yield best
+
+    return jobs.groupBy("kind", "payload").applyInPandasWithState(first, jobs.schema, "handled boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def drain(spark: SparkSession, jobs_dir: str, out_dir: str, checkpoint_dir: str, schema: str | StructType, files: int = 100) -> None:
     """Handle every job file that has not been handled yet, ``files`` of them at a time, then stop."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(jobs_dir)
+    stream = coalesced(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(jobs_dir))
 
     def write(batch: DataFrame, number: int) -> None:
-        earlier = None
-        if number:
-            full = handle(batch).schema
-            earlier = spark.read.schema(full.add("batch", "long")).parquet(out_dir).filter(F.col("batch") < number)
-        handle(batch, earlier).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
+        rows = batch.withColumn("urgent", F.col("kind").isin(*FIRST)).sortWithinPartitions(*order())
+        rows.write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start().awaitTermination()
 
