@@ -23,13 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh
 
+#: The labelled rows of each class that a fit may use: so many, of so many bytes together, none longer than that.
 FIT_ROWS = 3000
 FIT_BYTES = 6 << 20
+ROW_BYTES = 64 << 10
 DICT_BYTES = 65536
 PIECE = 96
 TAIL = 0.2
@@ -80,7 +82,10 @@ class _Sizes:
 
 
 def fit(texts: list[bytes], labels: list[int], rate: float | None = None) -> Model | None:
-    """Dictionaries from one half of the texts, the logistic curve from the other half; ``rate`` is the share of label 1 among all labelled rows."""
+    """Dictionaries from one half of the texts, the logistic curve from the other half; ``rate`` is the share of label 1 among all labelled rows.
+
+    A class with too little text for training gives its own text as a raw dictionary; a class of under four texts gives no model.
+    """
     import zstandard as z
 
     y = np.array(labels)
@@ -95,7 +100,9 @@ def fit(texts: list[bytes], labels: list[int], rate: float | None = None) -> Mod
             size = min(DICT_BYTES, max(1024, sum(map(len, pieces)) // 8))
             dicts.append(z.train_dictionary(size, [p for p in pieces if len(p) >= 8]).as_bytes())
         except z.ZstdError:
-            dicts.append(b"".join(pieces)[-DICT_BYTES:])
+            # Too little text to train on: the last whole pieces that fit are the dictionary.
+            kept = np.cumsum([len(p) for p in reversed(pieces)]) <= DICT_BYTES
+            dicts.append(b"".join(pieces[len(pieces) - int(kept.sum()) :]))
     sizes = _Sizes(*dicts)
     # The texts behind the dictionaries would look too well compressed, so the other half alone fits the curve.
     x, own = np.array([sizes.difference(t) for t, h in zip(texts, half, strict=True) if not h]), y[~half].astype(float)
@@ -138,10 +145,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     return fit(*labelled_sample(docs, labels, "quality"), rate)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS, limit: int = FIT_BYTES) -> tuple[list[bytes], list[int]]:
-    """At most ``rows`` texts of each label, those with the smallest hash of the id, and ``limit`` bytes of them: bounded for any corpus.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS, limit: int = FIT_BYTES, longest: int = ROW_BYTES) -> tuple[list[bytes], list[int]]:
+    """Whole texts of at most ``rows`` documents of each label, those with the smallest hash of the id, and of at most ``limit`` bytes together: bounded for any corpus.
 
-    Where a label has more bytes, its longest texts are cut to one length, the largest that fits.
+    Of rows that share a doc_id one counts, that with the least text. Texts longer than ``longest`` bytes are not in the sample, so that none takes the room of many; where the others have more than
+    ``limit`` bytes, those with the greatest hashes are left out.
     """
     ids = marked(labels, label).withColumn("_h", F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"))))
     picked = None
@@ -149,24 +157,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
         top = ids.filter(F.col("_y") == y).orderBy("_h", "doc_id").limit(rows)
         picked = top if picked is None else picked.unionByName(top)
     # At most 2 * rows short rows: a proven bound for the broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    sizes = sample.groupBy("_y", size.alias("size")).count().collect()
-    most = {y: _level([(r["size"], r["count"]) for r in sizes if r["_y"] == y], limit) for y in (0, 1)}
-    cut = F.when(F.col("_y") == 1, F.lit(most[1])).otherwise(F.lit(most[0]))
-    data = F.substring(F.coalesce("text", F.lit("")).cast("binary"), F.lit(1), cut)
-    sample = sample.select("_y", "_h", data.alias("text")).toPandas().sort_values(["_h", "_y", "text"], kind="stable")
-    return [bytes(t) for t in sample["text"]], [int(v) for v in sample["_y"]]
-
-
-def _level(sizes: list[tuple[int, int]], limit: int) -> int:
-    """The most bytes of a text so that texts of these (size, count) have ``limit`` bytes together."""
-    left, n = limit, sum(k for _, k in sizes)
-    for size, k in sorted(sizes):
-        if size * n > left:
-            return left // n
-        left, n = left - size * k, n - k
-    return limit
+    text = F.coalesce("text", F.lit(""))
+    sample = docs.filter(F.octet_length(text) <= longest).select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id")
+    one = sample.groupBy("doc_id", "_y", "_h").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("_y").orderBy("_h", "doc_id"))
+    chosen = one.withColumn("_sum", so_far).filter(F.col("_sum") <= limit).select("_y", "_h", F.col("text").cast("binary").alias("text"))
+    chosen = chosen.toPandas().sort_values(["_h", "_y"], kind="stable")
+    return [bytes(t) for t in chosen["text"]], [int(v) for v in chosen["_y"]]
 
 
 def score_quality(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:

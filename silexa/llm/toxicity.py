@@ -13,7 +13,7 @@ more of them stand near a term, the less its other misspellings weigh.
 A hit inside quotation marks or beside a word of reporting is a quotation: all quotations of a text together score at most ``QUOTED``. The other
 hits are combined by their terms; one beside a word of address counts for more.
 
-The fit uses a bounded sample: ``FIT_ROWS`` rows and ``FIT_BYTES`` bytes of each label at most. Scoring covers every text in full; its memory is a few times the text.
+The fit uses a bounded sample of whole texts: ``FIT_ROWS`` rows and ``FIT_BYTES`` bytes of each label at most, none of a text longer than ``quality.ROW_BYTES``. Scoring covers every text in full; its memory is a few times the text.
 
 Defined cases: a null or empty text scores 0; without toxic rows the lexicon is empty and every score 0; a null doc_id counts as id ''
 for the folds; repeated rows get equal scores; an empty table gives an empty result.
@@ -22,6 +22,7 @@ for the folds; repeated rows get equal scores; an empty table gives an empty res
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -50,16 +51,29 @@ DOUBTFUL = 0.7
 DAMPED = (1.0, 0.92, 0.82)
 MOST = 2
 CACHE = 300_000
-SPAN = 120
 
 _WORD = re.compile(r"[^\W_]+")
 #: Marks and words around a hit (fixed lists): quotation, reporting, address.
 _OPENING, _CLOSING = "\"“„«‹‘'", "\"”“»›’'"
-_QUOTATION = re.compile(rf"(?<!\w)[{_OPENING}](?=\w)[^\"“”„«»\n]{{0,{SPAN}}}?(?<=[\w.,;:!?…])[{_CLOSING}](?!\w)")
+_OPENS, _CLOSES, _BREAKS = re.compile(rf"(?<!\w)[{_OPENING}](?=\w)"), re.compile(rf"(?<=[\w.,;:!?…])[{_CLOSING}](?!\w)"), re.compile("[\"“”„«»\n]")
 _REPORTING = frozenset("said says quote quoted quotes called term word wrote reported sagte nannte wort dit mot appelle dijo palabra".split())
 _ADDRESS = frozenset("you your youre u are du dein bist ihr tu vous es toi usted eres".split())
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the quotations of a text, of any length: from a mark before a word to the next one behind a word or its stop, with no other double mark and no line end between."""
+    closes, breaks = [m.start() for m in _CLOSES.finditer(text)], [m.start() for m in _BREAKS.finditer(text)]
+    out, done = [], 0
+    for start in (m.start() for m in _OPENS.finditer(text)):
+        if start < done:
+            continue
+        at, stop = bisect_right(closes, start), bisect_right(breaks, start)
+        if at < len(closes) and (stop == len(breaks) or closes[at] <= breaks[stop]):
+            done = closes[at] + 1
+            out.append((start, done))
+    return out
+
+
 @dataclass
 class Lexicon:
     #: Term to its weights for one, two and three hits in a block; a star marks a stem.
@@ -308,12 +322,14 @@ class Scorer:
         if not found:
             return []
         # Misspellings add up to hits by what they count.
-        out, blocks = [], Counter()
+        out, blocks, spans = [], Counter(), quotations(low)
+        starts = [a for a, _ in spans]
         for k, m in enumerate(_WORD.finditer(low)):
             if hit := found.get(m[0]):
                 around = set(words[max(0, k - 4) : k] + words[k + 1 : k + 5])
                 start, end = m.start(), m.end()
-                quoted = any(q.start() < min(start, SPAN + 1) and q.end() > min(start, SPAN + 1) for q in _QUOTATION.finditer(low[max(0, start - SPAN - 1) : end + SPAN + 1])) or bool(around & _REPORTING)
+                at = bisect_left(starts, start) - 1
+                quoted = (at >= 0 and spans[at][1] > end) or bool(around & _REPORTING)
                 if not quoted:
                     blocks[hit[0], k // BLOCK] += hit[1]
                 out.append((start, m[0], hit, quoted, bool(around & _ADDRESS)))

@@ -235,15 +235,23 @@ def test_quality_without_both_classes_and_odd_texts(spark, docs, empty):
     assert quality.score_quality(empty, model).count() == 0
 
 
-def test_one_long_text_displaces_no_other(spark):
+def test_sample_holds_whole_texts_and_each_document_once(spark):
     texts, labels = _labelled(60)
-    rows = [(i, t.decode()) for i, t in enumerate(texts)] + [(1000 + i, "long " * 40_000) for i in range(2)]
+    rows = [(i, t.decode()) for i, t in enumerate(texts)] + [(1000 + i, "long " * 40_000) for i in range(2)] + [(0, texts[0].decode())] * 50 + [(0, texts[0].decode() + " more")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     marks = spark.createDataFrame([*enumerate(labels), (1000, 0), (1001, 1)], "doc_id long, quality int")
-    limit = max(sum(len(t) for t, y in zip(texts, labels, strict=True) if y == k) for k in (0, 1)) + 5000
-    found, own = quality.labelled_sample(docs, marks, "quality", limit=limit)
-    assert len(found) == len(rows) and set(texts) <= set(found)
-    assert all(sum(len(t) for t, y in zip(found, own, strict=True) if y == k) <= limit for k in (0, 1))
+    found, own = quality.labelled_sample(docs, marks, "quality")
+    assert sorted(found) == sorted(texts) and sorted(own) == sorted(labels)
+    # With less room there are fewer rows, all of them whole, and the first ones stay the same.
+    few, some = quality.labelled_sample(docs, marks, "quality", limit=6000)
+    assert 0 < len(few) < len(found) and set(few) <= set(texts)
+    assert all(sum(len(t) for t, y in zip(few, some, strict=True) if y == k) <= 6000 for k in (0, 1))
+    assert [t for t in found if t in set(few)] == few
+
+
+def test_too_little_text_for_training_gives_a_raw_dictionary():
+    model = quality.fit([b"one good word", b"bad"] * 6, [1, 0] * 6)
+    assert model.good == b"one good word" * 3 and model.bad == b"bad" * 3
 
 
 def test_labelled_sample_reads_no_held_out_label(spark, docs):
@@ -807,6 +815,20 @@ def test_quotations_however_many_stay_below_abuse():
     assert toxicity.Scorer(toxicity.learn([b"a"], [0])).score("a") == 0
 
 
+def test_quotations_of_any_length():
+    long_ = " ".join(["filler"] * 3000)
+    scorer = toxicity.Scorer(toxicity.learn(*_abuse()))
+    for n in ("x", long_):
+        assert 0 < scorer.score(f'a letter "{n} you scumbag {n}" of old') <= toxicity.QUOTED
+        assert scorer.score(f'a letter "{n}" you scumbag {n} "of old"') > toxicity.THRESHOLD
+    plain = re.compile(rf"(?<!\w)[{toxicity._OPENING}](?=\w)[^\"“”„«»\n]*?(?<=[\w.,;:!?…])[{toxicity._CLOSING}](?!\w)")
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        text = "".join(rng.choice(list("ab '\"“”„«»’\n. ,"), rng.integers(0, 60)))
+        assert toxicity.quotations(text) == [m.span() for m in plain.finditer(text)]
+    assert len(toxicity.quotations("'word " * 200_000)) == 0
+
+
 def test_stems_that_only_tell_when_repeated():
     texts, labels = [], []
     for i in range(80):
