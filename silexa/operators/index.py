@@ -85,7 +85,7 @@ class Index:
         blocks = own.join(F.broadcast(sizes), "list").select("id", "v", (F.col("list").cast("long") * _PIECES + F.pmod(F.xxhash64("id"), F.col("n"))).alias("block"), F.lit(0).alias("chunk"))
         chunk = F.pmod(F.xxhash64("id"), F.lit(V.pieces(good.select(F.col("query_id").alias("id"), F.col("query").alias("v"))))).cast("int")
         copies = V.packed(asked.select("id", "v", F.col("list").alias("block"), chunk.alias("chunk"))).join(F.broadcast(sizes), F.col("block") == F.col("list"))
-        copies = copies.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)) + F.col("list").cast("long") * _PIECES)
+        copies = copies.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("block", F.col("list").cast("long") * _PIECES + F.col("piece"))
         return V.ranked(V.products(V.packed(blocks), copies, V.id_kinds(queries, self.vectors), threshold, False, k), k)
 
 

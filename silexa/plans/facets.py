@@ -155,11 +155,21 @@ def join_05_inner_filter(t: Tables) -> DataFrame:
     return t.filings.join(t.claims.filter("status = 'active' AND evidence = 'RCT'"), "claim_id").select("topic_id", "claim_id")
 
 
-@_R.add("SELECT i.insight_id, m.matched_by, m.claim_id IS NOT NULL AS filed FROM insights i LEFT JOIN members m USING (insight_id)")
+_MEMBER_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+
+
+@_R.add("""WITH members AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey) AS nth FROM lineitem WHERE l_quantity < 48)
+SELECT concat_ws('-', l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, strftime(l.l_shipdate, '%Y%m%d')) AS insight_id, CASE WHEN nth = 1 THEN 'seed' WHEN m.l_returnflag = 'A' THEN 'auto' WHEN nth IS NOT NULL THEN 'human' END AS matched_by, nth IS NOT NULL AS filed
+FROM lineitem l LEFT JOIN members m ON m.l_orderkey = l.l_orderkey AND m.l_linenumber = l.l_linenumber AND m.l_partkey = l.l_partkey AND m.l_suppkey = l.l_suppkey AND m.l_shipdate = l.l_shipdate""", model=False)
 def join_06_membership(t: Tables) -> DataFrame:
-    """Every insight with its membership, if any."""
-    own = t.members.select("insight_id", F.col("matched_by").alias("by"), F.lit(True).alias("found"))
-    return t.insights.select("insight_id").join(own, "insight_id", "left").select("insight_id", F.col("by").alias("matched_by"), F.coalesce("found", F.lit(False)).alias("filed"))
+    """Every insight with its membership, if any, joined by the columns of its key."""
+    rows = t.raw("lineitem")
+    order = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
+    by = F.when(F.row_number().over(order) == 1, "seed").when(F.col("l_returnflag") == "A", "auto").otherwise("human")
+    members = rows.filter("l_quantity < 48").select(*_MEMBER_KEY, by.alias("matched_by"))
+    own = rows.select(*_MEMBER_KEY).join(members, list(_MEMBER_KEY), "left")
+    name = F.concat_ws("-", *_MEMBER_KEY[:4], F.date_format("l_shipdate", "yyyyMMdd"))
+    return own.select(name.alias("insight_id"), "matched_by", F.col("matched_by").isNotNull().alias("filed"))
 
 
 @_R.add("SELECT review_id, c.statement AS claim, k.statement AS candidate, verdict FROM reviews r JOIN claims c ON c.claim_id = r.claim_id JOIN claims k ON k.claim_id = r.candidate_id WHERE r.status = 'pending'")

@@ -247,10 +247,17 @@ def src_06_rss(t: Tables) -> DataFrame:
 
 @_R.add("SELECT page_id, CAST(page_id % 40 AS INTEGER) AS number, lpad(page_id::VARCHAR, 11, '0') AS video_id FROM pages WHERE page_id % 3 > 0", model=False)
 def src_07_episodes(t: Tables) -> DataFrame:
-    """Numbered episodes with the video that their page embeds."""
+    """Numbered episodes with the video that their page names: whole pages with links of all forms behind them, the first form in order counts."""
     key = F.col("page_id")
     title = F.concat(F.when(key % 3 > 0, "#").otherwise("Extra "), key % 40, F.lit(" talk"))
-    page = F.concat(F.lit('<iframe src="https://www.youtube.com/embed/'), F.lpad(key.cast("string"), 11, "0"), F.lit('?rel=0"></iframe>'))
+    video, other = F.lpad(key.cast("string"), 11, "0"), "AAAAAAAAAAA"
+    link = (
+        F.when(key % 4 == 0, F.concat(F.lit(f'<a href="https://youtube.com/watch?v={other}">a</a> https://youtu.be/'), video))
+        .when(key % 4 == 1, F.concat(F.lit(f'https://youtu.be/{other} <iframe src="https://www.youtube.com/embed/'), video, F.lit('?rel=0"></iframe>')))
+        .when(key % 4 == 2, F.concat(F.lit('{"videoId" : "'), video, F.lit('"}')))
+        .otherwise(F.concat(F.lit(f'{{"videoId":"{other}"}} https://www.youtube.com/watch?v='), video))
+    )
+    page = F.concat("html", link)
     return feeds.episodes(t.raw("pages").select("page_id", title.alias("title"), page.alias("html")))
 
 

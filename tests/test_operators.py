@@ -99,6 +99,29 @@ def test_chunks():
     assert P.chunks("a" * 500 + "\n\n" + "tail", 200, 20)[-1] == "tail"
 
 
+def test_chunks_are_those_of_a_plain_version():
+    """Against one that walks the text: passages end behind the last stop of their last 300 characters, unless that is within the first 51 of these."""
+    import random
+
+    def walked(text, size, overlap):
+        out, start = [], 0
+        while start < len(text):
+            end = min(start + size, len(text))
+            low = max(start, end - P.SEARCH)
+            stops = [k for k in range(low, end) if text[k] in " .!?\n"]
+            if end < len(text) and stops and stops[-1] - low > P.LEAST_CUT:
+                end = stops[-1] + 1
+            out += [text[start:end].strip()] * bool(text[start:end].strip())
+            start = len(text) if end == len(text) else max(end - overlap, start) if end - overlap > start else end
+        return out
+
+    rng = random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choice("ab .") * rng.choice([1, 1, 4]) for _ in range(rng.randint(0, 700)))
+        size, overlap = rng.choice([60, 130, 400]), rng.choice([1, 20, 50])
+        assert P.cut(text, size, overlap) == walked(text, size, overlap)
+
+
 @pytest.mark.parametrize(
     ("content", "quote", "want"),
     [
