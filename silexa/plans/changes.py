@@ -11,7 +11,7 @@ from silexa.functions import text as X
 from silexa.operators import changes as D
 from silexa.operators import claims as C
 from silexa.operators import documents as A
-from silexa.operators import tree
+from silexa.operators import ranks, tree
 from silexa.session import shared_folder
 from silexa.sources.tables import Tables
 from silexa.streaming import backlog
@@ -127,13 +127,13 @@ def dml_14_backfill(t: Tables) -> DataFrame:
     return t.sources.join(found, "source_id", "left").select("source_id", F.coalesce("date", "d").alias("date"), (F.col("date").isNull() & F.col("d").isNotNull()).alias("filled"))
 
 
-@_R.add("""SELECT q.name, CASE WHEN p.topic_id IS NULL OR p.status <> 'active' THEN 'refused' WHEN s.topic_id IS NOT NULL THEN 'reused' ELSE 'created' END AS outcome FROM (SELECT DISTINCT c_mktsegment || CASE WHEN c_custkey % 9 = 0 THEN '' ELSE ' ' || (c_custkey % 9) END AS name, 'N' || (c_custkey % 30) AS parent FROM customer WHERE c_custkey < 400) q
+@_R.add("""SELECT q.name, CASE WHEN p.topic_id IS NULL OR p.status <> 'active' THEN 'refused' WHEN s.topic_id IS NOT NULL THEN 'reused' ELSE 'created' END AS outcome FROM (SELECT DISTINCT c_mktsegment || CASE WHEN c_custkey % 9 = 0 THEN '' ELSE ' ' || (c_custkey % 9) END AS name, 'N' || (c_custkey % 30) AS parent FROM customer) q
  LEFT JOIN topics p ON p.topic_id = q.parent LEFT JOIN topics s ON s.parent_id = q.parent AND s.name = q.name""")
 def dml_10_proposals(t: Tables) -> DataFrame:
     """Proposed topics: refused without an active parent, else a sibling of that name or a new topic."""
     key = F.col("c_custkey")
     name = F.concat("c_mktsegment", F.when(key % 9 == 0, "").otherwise(F.concat(F.lit(" "), key % 9)))
-    asked = t.raw("customer").filter("c_custkey < 400").select(name.alias("name"), F.concat(F.lit("N"), key % 30).alias("parent")).distinct()
+    asked = t.raw("customer").select(name.alias("name"), F.concat(F.lit("N"), key % 30).alias("parent")).distinct()
     parents = t.topics.select(F.col("topic_id").alias("parent"), F.col("status").alias("_status"))
     same = t.topics.select(F.col("parent_id").alias("parent"), "name", F.lit(True).alias("_same"))
     rows = asked.join(parents, "parent", "left").join(same, ["parent", "name"], "left")
@@ -155,12 +155,12 @@ def ded_04_seeds(t: Tables) -> DataFrame:
     return rows.select(F.col("insight_id").alias("claim_id"), "source_id", "importance", "evidence", F.lit(1).alias("member_count"), F.lit(1).alias("source_count"), F.lit(1.0).alias("confidence"), F.lit("seed").alias("matched_by"))
 
 
-@_R.add("SELECT claim_id, count(DISTINCT insight_id)::BIGINT AS member_count, count(DISTINCT source_id)::BIGINT AS source_count FROM (SELECT claim_id, insight_id, source_id FROM members UNION ALL SELECT source_id % 50, insight_id, source_id FROM insights WHERE claim_id IS NULL OR claim_id = source_id % 50) WHERE claim_id < 50 GROUP BY 1")
+@_R.add("SELECT claim_id, count(DISTINCT insight_id)::BIGINT AS member_count, count(DISTINCT source_id)::BIGINT AS source_count FROM (SELECT claim_id, insight_id, source_id FROM members UNION ALL SELECT source_id % 50, insight_id, source_id FROM insights WHERE claim_id IS NULL OR claim_id = source_id % 50) GROUP BY 1")
 def ded_05_attach(t: Tables) -> DataFrame:
     """Counts of claims after insights are attached, those that were there already once."""
     own = t.members.select("claim_id", "insight_id", "source_id")
     more = t.insights.filter("claim_id IS NULL OR claim_id = source_id % 50").select((F.col("source_id") % 50).alias("claim_id"), "insight_id", "source_id")
-    rows = D.upsert_ignore(own, more, ["claim_id", "insight_id"]).filter("claim_id < 50")
+    rows = D.upsert_ignore(own, more, ["claim_id", "insight_id"])
     return rows.groupBy("claim_id").agg(F.count(F.lit(1)).alias("member_count"), F.count_distinct("source_id").alias("source_count"))
 
 
@@ -174,10 +174,10 @@ def ded_08_bulk_accept(t: Tables) -> DataFrame:
     return rows.select("review_id", F.when(F.col("_a").isNull() | F.col("_b").isNull(), "inactive").when(F.col("_a") == F.col("_b"), "merged already").otherwise("merge").alias("outcome"))
 
 
-@_R.add("""SELECT key, work_id FROM (SELECT *, row_number() OVER (ORDER BY origin, work_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY origin, work_id) AS n FROM (SELECT coalesce(lower(doi), trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))) AS key, work_id % 3 AS origin, work_id FROM works WHERE work_id < 300)) WHERE n = 1) WHERE place <= 8""")
+@_R.add("""SELECT key, work_id FROM (SELECT *, row_number() OVER (ORDER BY origin, work_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY origin, work_id) AS n FROM (SELECT coalesce(lower(doi), trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))) AS key, work_id % 3 AS origin, work_id FROM works)) WHERE n = 1) WHERE place <= 8""")
 def ded_10_candidates(t: Tables) -> DataFrame:
     """The first eight works of several lists, each identifier or title once."""
-    rows = t.works.filter("work_id < 300").select(F.coalesce(F.lower("doi"), X.normal_title(F.col("title"))).alias("key"), (F.col("work_id") % 3).alias("origin"), "work_id")
+    rows = t.works.select(F.coalesce(F.lower("doi"), X.normal_title(F.col("title"))).alias("key"), (F.col("work_id") % 3).alias("origin"), "work_id")
     return rows.groupBy("key").agg(F.min(F.struct("origin", "work_id")).alias("f")).orderBy("f").limit(8).select("key", "f.work_id")
 
 
@@ -335,11 +335,11 @@ def doc_05_issues(t: Tables) -> DataFrame:
     return A.issues(_blocks(t))
 
 
-@_R.add("SELECT topic_id, string_agg('[' || claim_id || '] ' || statement || coalesce(' (' || evidence || ')', ''), chr(10) ORDER BY claim_id) AS prompt FROM filings JOIN claims USING (claim_id) WHERE claim_id < 60 GROUP BY 1")
+@_R.add("SELECT topic_id, string_agg('[' || claim_id || '] ' || statement || coalesce(' (' || evidence || ')', ''), chr(10) ORDER BY claim_id) AS prompt FROM filings JOIN claims USING (claim_id) GROUP BY 1")
 def doc_06_prompts(t: Tables) -> DataFrame:
     """A topic's claims as lines for a model."""
     line = F.concat(F.lit("["), "claim_id", F.lit("] "), "statement", F.coalesce(F.concat(F.lit(" ("), "evidence", F.lit(")")), F.lit("")))
-    rows = t.filings.filter("claim_id < 60").join(t.claims, "claim_id").select("topic_id", F.struct("claim_id", line.alias("line")).alias("x"))
+    rows = t.filings.join(t.claims, "claim_id").select("topic_id", F.struct("claim_id", line.alias("line")).alias("x"))
     return rows.groupBy("topic_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("prompt"))
 
 
@@ -440,7 +440,7 @@ def stm_02_resumed(t: Tables) -> DataFrame:
 def stm_04_priorities(t: Tables) -> DataFrame:
     """The order in which a batch's jobs are taken: urgent kinds, then age."""
     rows = backlog.handle(t.jobs.filter("status = 'queued'").select("job_id", "kind", "payload", "created_at"))
-    return rows.select("kind", "payload", F.row_number().over(Window.orderBy(*backlog.order())).cast("long").alias("place"))
+    return ranks.placed(rows, backlog.order(), "place").select("kind", "payload", "place")
 
 
 @_R.add("SELECT job_id, kind FROM jobs WHERE (status = 'running' AND locked_at < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 10 MINUTE) OR (status = 'queued' AND run_after <= TIMESTAMP '2024-01-20 00:00:00' AND attempts < 3)")

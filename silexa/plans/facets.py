@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from silexa.operators import claims as C
-from silexa.operators import tree
+from silexa.operators import ranks, tree
 from silexa.sources.tables import Tables
 
 from .registry import Registry
@@ -228,11 +228,11 @@ def join_19_claim_works(t: Tables) -> DataFrame:
     return t.mentions.join(t.members.select("insight_id", F.col("claim_id").alias("own")), "insight_id").filter("own = claim_id").select("claim_id", "work_id").distinct()
 
 
-@_R.add("SELECT p.claim_id AS episode, min(c.page_id) AS page_id FROM claims p JOIN pages c ON c.page_id % 50 = p.claim_id % 50 WHERE p.claim_id < 120 AND p.claim_id NOT IN (SELECT source_id FROM sources) GROUP BY 1")
+@_R.add("SELECT p.claim_id AS episode, min(c.page_id) AS page_id FROM claims p JOIN pages c ON c.page_id % 50 = p.claim_id % 50 WHERE p.claim_id NOT IN (SELECT source_id FROM sources) GROUP BY 1")
 def join_21_plan(t: Tables) -> DataFrame:
     """Planned episodes that are not there yet, each with the first page of its number."""
     first = t.raw("pages").groupBy((F.col("page_id") % 50).alias("number")).agg(F.min("page_id").alias("page_id"))
-    plan = t.claims.filter("claim_id < 120").select(F.col("claim_id").alias("episode")).join(t.sources.select(F.col("source_id").alias("episode")), "episode", "left_anti")
+    plan = t.claims.select(F.col("claim_id").alias("episode")).join(t.sources.select(F.col("source_id").alias("episode")), "episode", "left_anti")
     return plan.join(first, F.col("episode") % 50 == F.col("number")).select("episode", "page_id")
 
 
@@ -243,12 +243,12 @@ def join_22_gold_and_run(t: Tables) -> DataFrame:
     return gold.join(run, "item")
 
 
-@_R.add("""WITH p AS (SELECT c_custkey AS proposal_id, list_transform(range(7), lambda i: (c_custkey * 3 + i * i) % 150) AS ids FROM customer WHERE c_custkey < 60),
+@_R.add("""WITH p AS (SELECT c_custkey AS proposal_id, list_transform(range(7), lambda i: (c_custkey * 3 + i * i) % 150) AS ids FROM customer),
 u AS (SELECT proposal_id, unnest(ids[1:5]) AS id, unnest(range(1, 6)) AS pos FROM p) SELECT proposal_id, string_agg(p_name, '; ' ORDER BY pos) AS statements FROM u JOIN part ON p_partkey = id GROUP BY 1""", model=False)
 def join_23_array_lookup(t: Tables) -> DataFrame:
     """Statements of a proposal's first five claims, in the order of the array."""
     ids = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: (F.col("c_custkey") * 3 + i * i) % 150)
-    rows = t.raw("customer").filter("c_custkey < 60").select(F.col("c_custkey").alias("proposal_id"), F.posexplode(F.slice(ids, 1, 5)).alias("pos", "claim_id"))
+    rows = t.raw("customer").select(F.col("c_custkey").alias("proposal_id"), F.posexplode(F.slice(ids, 1, 5)).alias("pos", "claim_id"))
     rows = rows.join(t.claims.select("claim_id", "statement"), "claim_id")
     return rows.groupBy("proposal_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "statement"))), lambda x: x["statement"]), "; ").alias("statements"))
 
@@ -297,7 +297,7 @@ def rec_09_listing(t: Tables) -> DataFrame:
     up = tree.ancestors(t.topics).join(t.topics.select(F.col("topic_id").alias("ancestor_id"), "name", F.col("parent_id").isNull().alias("top")), "ancestor_id")
     path = up.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.concat("name", F.lit("#"), "ancestor_id").alias("n")))).alias("p"), F.max("top").alias("rooted"))
     rows = path.select("topic_id", F.when(F.col("rooted"), F.size("p") - 1).otherwise(0).alias("depth"), (~F.col("rooted")).alias("loose"), F.array_join(F.transform("p", lambda x: x["n"]), "/").alias("place"))
-    return rows.withColumn("nth", F.row_number().over(Window.orderBy("loose", "place")).cast("long")).select("topic_id", "depth", "nth")
+    return ranks.placed(rows, [F.col("loose"), F.col("place")], "nth").select("topic_id", "depth", "nth")
 
 
 @_R.add("SELECT topic_id FROM closure WHERE root_id IN ('R0', 'R2') GROUP BY 1")

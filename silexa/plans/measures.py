@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silexa.operators import claims as C
-from silexa.operators import tree, vector
+from silexa.operators import ranks, tree, vector
 from silexa.sources.tables import Tables
 from silexa.streaming import backlog
 
@@ -167,7 +167,7 @@ def agg_28_size(t: Tables) -> DataFrame:
 def agg_29_first_appearance(t: Tables) -> DataFrame:
     """Waiting jobs by source, sources in the order in which they first appear."""
     rows = t.jobs.filter("status = 'queued'").groupBy("source_id").agg(F.min("job_id").alias("first_job"), F.min("created_at").alias("at"), F.count(F.lit(1)).alias("n"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("at", "first_job")).cast("long")).drop("at")
+    return ranks.placed(rows, [F.col("at"), F.col("first_job")], "place").drop("at")
 
 
 @_R.add("SELECT lower(name) AS key, min(name) AS name, array_to_string(list_sort(list_distinct(flatten(list(ids)))), ',') AS claim_ids FROM (SELECT c_mktsegment AS name, [c_custkey % 40, c_custkey % 7] AS ids FROM customer) GROUP BY 1", model=False)
@@ -231,7 +231,7 @@ def sort_03_by_name(t: Tables) -> DataFrame:
 def sort_04_roots(t: Tables) -> DataFrame:
     """Roots by all filings below them."""
     rows = tree.closure(t.topics, t.topics.filter("parent_id IS NULL")).join(t.filings, "topic_id", "left").groupBy(F.col("root_id").alias("topic_id")).agg(F.count("claim_id").alias("total"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("total").desc(), "topic_id")).cast("long"))
+    return ranks.placed(rows, [F.col("total").desc(), F.col("topic_id")], "place")
 
 
 @_R.add(f", {_SCORED} SELECT claim_id, score, (SELECT count(*) FROM scored WHERE status = 'active') AS total FROM scored WHERE status = 'active' ORDER BY score DESC, source_count DESC, claim_id LIMIT 25 OFFSET 25")

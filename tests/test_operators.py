@@ -206,3 +206,19 @@ def test_jobs_are_handled_once_and_urgent_kinds_are_marked(spark, tmp_path):
     for _ in range(2):
         backlog.drain(spark, jobs, out, checkpoint, schema)
     assert sorted((r["job_id"], r["urgent"]) for r in spark.read.parquet(out).collect()) == [(1, False), (3, True), (4, False)]
+
+
+def test_places_and_running_sums_agree_with_one_window(spark):
+    from pyspark.sql import Window
+
+    from silexa.operators.ranks import placed, running
+
+    rows = spark.createDataFrame([(i, (i * 7919) % 101, None if i % 9 == 0 else i % 5) for i in range(3000)], "id long, _part long, v long").repartition(6)
+    order = [F.col("_part").desc(), F.col("id")]
+    got = placed(running(rows, order, {"before": F.col("v")}), order, "place")
+    w = Window.orderBy(*order)
+    want = rows.withColumn("before", F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("place", F.row_number().over(w))
+    assert sorted(map(tuple, got.select("id", "_part", "before", "place").collect())) == sorted(map(tuple, want.select("id", "_part", "before", "place").collect()))
+    assert placed(rows.limit(0), order, "place").count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
