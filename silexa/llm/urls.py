@@ -4,7 +4,8 @@ Level 1 encodes the listed keys; level 2 encodes the keys of the universe that l
 listed keys that level 2 reports wrongly, and so on until a level makes no mistake. A key is listed when the first level that
 denies it is an even one (counting from 1). The universe is every (host suffix, path prefix) that any url of the corpus can ask for.
 Filters are built by Spark: each key sets a few bits, words of 64 bits are OR-ed per word number.
-The finished words are broadcast while they stay under ``max_bytes``; beyond that, membership is a left semi join on the key instead.
+The finished words are broadcast while they stay under ``max_bytes``; beyond that, or if a listed and an unlisted key have one 64-bit hash (found when a level
+no longer shrinks), membership is a left semi join on the key itself instead.
 
 Defined cases: a url that is null or has no ``://`` has empty host and path, fits no rule and is allowed unless the empty host
 is listed; repeated rows are judged alike; an empty table gives an empty result. A host of very many labels has as many keys as the
@@ -122,14 +123,18 @@ class Cascade:
 
 
 def build_cascade(universe: DataFrame, bits_per_key: int = BITS_PER_KEY, max_bytes: int = MAX_BYTES) -> Cascade | None:
-    """From distinct (h, listed); None when the filters would pass ``max_bytes``."""
+    """From (h, listed); None when the filters would pass ``max_bytes``, or when a listed and an unlisted key share their hash, which no level can tell apart."""
     yes, no = universe.filter("listed").select("h"), universe.filter("not listed").select("h")
     levels: list[tuple[int, np.ndarray]] = []
-    inside, outside, total = yes, no, 0
+    inside, outside, total, earlier = yes, no, 0, []
     while True:
         n = inside.count()
         if not n:
             return Cascade(levels)
+        # Levels shrink from one to the next of their kind, unless hashes that both sides share are what is left.
+        if len(earlier) > 1 and n >= earlier[-2] and not inside.join(outside, "h", "left_semi").isEmpty():
+            return None
+        earlier.append(n)
         bits = 64 * max(1, math.ceil(n * bits_per_key / 64))
         total += bits // 8
         if total > max_bytes:
