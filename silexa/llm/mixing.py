@@ -5,8 +5,7 @@ words stops there and the excess goes to the others by weight. The levels come f
 (water filling), not from repeated rounds. Each document is then emitted floor(rate) times, and once more when a hash of
 (seed, doc_id) falls under the fraction, so reruns agree and no state is kept.
 
-The list of sources passes through one task in sorted order, a row of a few dozen bytes each: fit for some ten million sources. It is broadcast to the
-documents while it takes ``BROADCAST_BYTES`` at most (measured first), so that no text is shuffled; beyond, the join shuffles.
+The list of sources is ranked and summed by ranges of its order, so that no task sees all of it. It is broadcast to the documents while it takes ``BROADCAST_BYTES`` at most (measured first), so that no text is shuffled; beyond, the join shuffles.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; rows that share a doc_id share
 their draw; an empty table gives an empty result; further columns pass through untouched, but columns named ``size``, ``source_size``,
@@ -17,9 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silexa.operators.ranks import running
+
 from .common import fresh, materialise
 
 WEIGHTS = (5, 2, 1)
@@ -43,27 +44,22 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
     """(source, source_size, target) from rows (source, size); one row a source, pre-aggregated before its only exchange."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # The windows below run over the list of sources, one short row each.
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (rank % len(weights) + 1).cast("int")).cast("long")
-    every = Window.partitionBy(F.lit(0))
+    by_name = [F.col("source").asc_nulls_last()]
+    keep = lambda df: materialise(df, "ranges")
+    rows = running(per, by_name, {"nth": F.lit(1)}, keep)
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("nth") % len(weights) + 1).cast("int")).cast("long")
+    rows = rows.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("cap"))
     # Sources whose cap is smallest for their weight are filled first; ties are in the order of the sources.
-    order = every.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    levels = (
-        per.withColumn("weight", weight)
-        .withColumn("cap", F.col("source_size") * most)
-        .withColumn("all", F.sum("source_size").over(every))
-        .withColumn("filled", F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("level", (F.lit(float(budget)) * F.col("all") - F.col("filled")) / F.col("open"))
-        .withColumn("stops", F.col("level") * F.col("weight") > F.col("cap"))
-    )
+    share = F.col("cap") / F.col("weight")
+    rows = materialise(running(rows, [share.asc(), *by_name], {"filled": F.col("cap"), "closed": F.col("weight")}, keep), "filled")
+    whole = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    level = (F.lit(float(budget)) * F.lit(whole["size"]) - F.col("filled")) / (F.lit(whole["weight"]) - F.col("closed"))
+    rows = rows.withColumn("level", level)
     # The first source that does not stop fixes the level of all that follow.
-    level = F.min(F.when(~F.col("stops"), F.struct((F.col("cap") / F.col("weight")).alias("by"), F.col("source").isNull().alias("last"), F.col("source").alias("name"), "level")))
-    levels = levels.withColumn("fixed", level.over(every)["level"])
-    target = F.least(F.col("fixed") * F.col("weight"), F.col("cap").cast("double"))
-    return levels.select("source", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
+    ends = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(share.alias("by"), F.col("source").isNull().alias("last"), F.col("source").alias("name"), "level"))
+    fixed = rows.agg(F.min(ends)["level"].alias("level")).first()["level"]
+    cap = F.col("cap").cast("double")
+    return rows.select("source", "source_size", (cap if fixed is None else F.least(F.lit(fixed) * F.col("weight"), cap)).alias("target"))
 
 
 def mix_rates(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: str = SEED) -> DataFrame:
