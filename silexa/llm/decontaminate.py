@@ -26,7 +26,7 @@ COVERAGE = 0.25
 BROADCAST_BYTES = 64 << 20
 #: Units of measure that follow a number (fixed list).
 UNITS = "kg|g|mg|t|km|m|cm|mm|mi|ft|in|l|ml|s|sec|min|h|hr|hrs|hours?|days?|weeks?|months?|years?|usd|eur|gbp|dollars?|euros?|cents?|percent|mph|kmh|w|kw|v|c|f"
-#: So many lower-case words of the benchmark, the most frequent, tell sentence openers from names; with more, the rest are names on both sides.
+#: So many lower-case words of the benchmark are put into the plan to tell sentence openers from names; a benchmark with more of them is joined instead, all of its words.
 LOWER = 50_000
 _NAME, _OPENER, _DOT, _NUMBER, _UNIT = "\u0001", "\u0002", "\u0003", "#n", "#u"
 _QUOTES = "\"'“”„«»‘’(\\["
@@ -36,31 +36,48 @@ def _split(c: Column, separator: str) -> Column:
     return F.array_remove(F.split(c, separator), "")
 
 
-def words_of(text: Column, lower: list[str]) -> tuple[Column, Column]:
-    """(raw words, template words), place by place. Of the capitalised words that may open a sentence, those among ``lower`` are ordinary words."""
+def _parts(text: Column) -> tuple[Column, Column]:
+    """The text in lower case with a mark before each name and each capitalised word that may open a sentence, and its words."""
     marked = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(?=\p{Lu}\p{L}*?\p{Ll})", _NAME)
     marked = F.regexp_replace(marked, rf"((?:^|[.!?:;…\n\r{_QUOTES}])[\s{_QUOTES}*•-]*+){_NAME}", f"$1{_OPENER}")
     marked = F.lower(F.regexp_replace(marked, r"(?<=\p{N})[.,](?=\p{N})", _DOT))
-    parts = _split(marked, rf"[^\p{{L}}\p{{N}}{_NAME}{_OPENER}{_DOT}]++")
+    return marked, _split(marked, rf"[^\p{{L}}\p{{N}}{_NAME}{_OPENER}{_DOT}]++")
+
+
+def words_of(text: Column, lower: list[str] | Column) -> tuple[Column, Column]:
+    """(raw words, template words), place by place. Of the capitalised words that may open a sentence, those among ``lower`` (words, or a column of them) are ordinary words."""
+    marked, parts = _parts(text)
     clean = F.array_join(parts, " ")
     raw = F.when(F.size(parts) > 0, F.split(F.translate(clean, _NAME + _OPENER, ""), " ")).otherwise(parts)
     numbers = F.regexp_replace(clean, rf"(?<![\p{{L}}\p{{N}}{_DOT}])\p{{N}}[\p{{N}}{_DOT}]*+", _NUMBER)
     units = F.regexp_replace(numbers, rf"(?<={_NUMBER})( ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{_UNIT}")
     template = F.split(F.regexp_replace(units, rf"{_NAME}\p{{L}}++", "#w"), " ")
-    opener = lambda w: F.when(F.substring(w, 2, 1 << 30).isin(lower), F.substring(w, 2, 1 << 30)).otherwise("#w")
+    ordinary = lambda w: w.isin(lower) if isinstance(lower, list) else F.array_contains(lower, w)
+    opener = lambda w: F.when(ordinary(F.substring(w, 2, 1 << 30)), F.substring(w, 2, 1 << 30)).otherwise("#w")
     template = F.transform(template, lambda w: F.when(F.startswith(w, F.lit(_OPENER)), opener(w)).otherwise(w))
     # Only texts with digits or marks go through the later expressions.
     return raw, F.when(F.rlike(marked, F.lit(rf"[\p{{N}}{_NAME}{_OPENER}]")) & (F.size(parts) > 0), template).otherwise(raw)
 
 
-def lower_words(benchmark: DataFrame) -> list[str]:
-    """The most frequent words that the benchmark has in lower case, LOWER at most."""
+def lower_words(benchmark: DataFrame) -> list[str] | DataFrame:
+    """The words (w) that the benchmark has in lower case: a list of LOWER at most, else a table."""
     words = benchmark.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]++")).alias("w")).filter(F.rlike("w", F.lit(r"^\p{Ll}")))
-    return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(LOWER).collect()]
+    words = materialise(words.distinct(), "lower")
+    return [r["w"] for r in words.collect()] if words.count() <= LOWER else words
+
+
+def _with_lower(table: DataFrame, key: str, lower: list[str] | DataFrame) -> DataFrame:
+    """``table`` with ``_lower``, if the words are a table: those of a row's own openers that the benchmark has in lower case."""
+    if isinstance(lower, list):
+        return table
+    openers = F.filter(_parts(F.coalesce("text", F.lit("")))[1], lambda w: F.startswith(w, F.lit(_OPENER)))
+    asked = table.select(key, F.explode(openers).alias("w")).select(key, F.substring("w", 2, 1 << 30).alias("w")).distinct()
+    known = asked.join(lower, "w").groupBy(key).agg(F.collect_set("w").alias("_lower"))
+    return table.join(known, key, "left").withColumn("_lower", F.coalesce("_lower", F.array().cast("array<string>")))
 
 
-def _rows(table: DataFrame, keep: list[str], lower: list[str]) -> DataFrame:
-    raw, template = words_of(F.coalesce("text", F.lit("")), lower)
+def _rows(table: DataFrame, keep: list[str], lower: list[str] | DataFrame) -> DataFrame:
+    raw, template = words_of(F.coalesce("text", F.lit("")), lower if isinstance(lower, list) else F.col("_lower"))
     return table.select(*keep, raw.alias("raw"), template.alias("words"))
 
 
@@ -93,7 +110,8 @@ def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_windows, item_place, at, slots, item_slots) of the windows that documents share with items; ``at`` is their alignment."""
     small = lambda size: (size or 0) <= BROADCAST_BYTES
     lower = lower_words(benchmark)
-    own = materialise(_rows(benchmark.withColumn("own", F.xxhash64("item_id", "text")), ["item_id", "own"], lower).filter(F.size("words") > 0).dropDuplicates(["own"]), "items")
+    marked = _with_lower(benchmark.select("item_id", "text", F.xxhash64("item_id", "text").alias("own")), "own", lower)
+    own = materialise(_rows(marked, ["item_id", "own"], lower).filter(F.size("words") > 0).dropDuplicates(["own"]), "items")
     fit = F.least(F.size("words"), F.lit(WIDTH))
     items = windows(own.withColumn("fit", fit).withColumn("total", F.size("words") - fit + 1), ["item_id", "own", "fit", "total"], list(range(1, WIDTH + 1))).filter("width = fit")
     items = items.join(own.drop("item_id"), "own")
@@ -101,7 +119,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     right = materialise(items.distinct(), "windows")
     known = right.agg(F.array_sort(F.collect_set("_width")).alias("widths"), F.sum(100 + 60 * F.size("item_slots") + F.length(F.to_json("item_slots"))).alias("bytes")).first()
     # A row is known by its id and text, as ids may repeat.
-    base = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    base = _with_lower(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")), "row", lower)
     left = windows(_rows(base, ["doc_id", "row"], lower), ["doc_id", "row"], list(known["widths"]) or [WIDTH])
     met = left.join(F.broadcast(right) if small(known["bytes"]) else right, F.col("hash") == F.col("_hash")).filter(F.col("width") == F.col("_width"))
     met = materialise(met.select("doc_id", "row", "place", "width", "item_id", "item_windows", "item_place", "item_slots").distinct(), "met")

@@ -466,6 +466,13 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert urls.build_cascade(keys, max_bytes=8) is None
 
 
+def test_keys_that_share_a_hash_are_judged_by_themselves(spark, monkeypatch):
+    monkeypatch.setattr(urls, "key_hash", lambda key: F.length(key).cast("long"))
+    pages = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(("bad.org", "fine.de", "sub.bad.org", "longer.name.org"))], "page_id long, url string")
+    found = by_id(urls.judge_urls(pages, spark.createDataFrame([("bad.org",)], "host string")), "page_id")
+    assert [found[i]["verdict"] for i in range(4)] == ["block", "allow", "block", "allow"]
+
+
 @pytest.mark.parametrize("limit", [urls.MAX_BYTES, 1])
 def test_longest_rule_wins_with_cascade_and_join(spark, limit):
     cases = [
@@ -693,6 +700,8 @@ def test_leaks_are_those_of_all_pairs(spark, monkeypatch):
     assert got() == want and len(want) > 40 and {e for *_, e in want.values()} == {True, False}
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     assert got() == want
+    monkeypatch.setattr(decontaminate, "LOWER", 3)
+    assert got() == want
 
 
 def test_two_values_do_not_become_one(spark):
@@ -747,6 +756,23 @@ def test_mixing_with_many_sources_shuffles_to_the_same_rows(docs, monkeypatch):
     assert sorted(map(tuple, mixing.mixed_sizes(docs).collect())) == one
 
 
+def test_targets_of_many_sources_are_those_of_water_filling(spark):
+    sizes = [(None, 40), ("a", 0), *((f"s{i:04d}", (i * 7919) % 997) for i in range(2000)), ("z", 10_000_000)]
+    found = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, size long").repartition(7)).collect()}
+    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
+    weight = {s: mixing.WEIGHTS[i % 3] for i, (s, _) in enumerate(order)}
+    rest, still, want = mixing.BUDGET * sum(n for _, n in sizes), dict(sizes), {}
+    while still:
+        level = rest / sum(weight[s] for s in still)
+        full = {s: mixing.MOST * n for s, n in still.items() if level * weight[s] > mixing.MOST * n}
+        if not full:
+            want |= {s: level * weight[s] for s in still}
+            break
+        want |= full
+        rest, still = rest - sum(full.values()), {s: n for s, n in still.items() if s not in full}
+    assert found.keys() == want.keys() and all(abs(found[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+
+
 # extra columns
 
 
