@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from silexa.functions import passages as P
 from silexa.functions import text as X
-from silexa.sources import feeds
+from silexa.sources import feeds, files
 from silexa.sources.tables import Tables
 
 from .registry import Registry
+from .texts import ORACLE_SQL as _TEXTS
 
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.sql
@@ -89,12 +90,29 @@ def str_11_missing_numbers(t: Tables) -> DataFrame:
     return _text(t).join(other, "doc_id").select("doc_id", F.array_join(X.missing_numbers(F.col("text"), F.col("have")), "|").alias("missing"))
 
 
-@_R.add("SELECT page_id AS book, 1 AS pos, 'Chapter ' || page_id AS text FROM pages WHERE page_id < 20 UNION ALL SELECT page_id, 0, 'Preface & more' FROM pages WHERE page_id < 20", model=False)
+def _in_files(t: Tables, size: int, name: str) -> DataFrame:
+    """Pages with the number of their file, ``size`` pages to a file, and their place in it."""
+    number = F.floor(F.col("page_id") / size)
+    return t.raw("pages").withColumn(name, number).withColumn("pos", F.row_number().over(Window.partitionBy(name).orderBy("page_id")) - 1)
+
+
+@_R.add(f"SELECT page_id // 50 AS book, row_number() OVER (PARTITION BY page_id // 50 ORDER BY page_id) - 1 AS pos, text FROM ({_TEXTS['src_02_html_text']})", model=False)
 def src_03_epub(t: Tables) -> DataFrame:
-    """Books written as files and read back by chapter."""
-    books = t.raw("pages").filter("page_id < 20").select("page_id").withColumn("text", F.concat(F.lit("<p>Chapter "), "page_id", F.lit("</p>")))
-    rows = feeds.epub_texts(t.spark, feeds.write_epubs(books, "<h1>Preface & more</h1>"))
-    return rows.select(F.regexp_extract("path", r"(\d+)\.epub$", 1).cast("long").alias("book"), "pos", "text")
+    """All pages as the chapters of books of fifty, written as files and read back by chapter."""
+    files.register(t.spark)
+    rows = t.spark.read.format("silexa_book").option("mode", "FAILFAST").load(files.write_files(files.as_books(_in_files(t, 50, "book")), "epub"))
+    return rows.select(F.regexp_extract("path", r"(\d+)\.epub$", 1).cast("long").alias("book"), F.col("pos").cast("long").alias("pos"), X.html_text(F.col("html")).alias("text"))
+
+
+@_R.add("""SELECT page_id // 200 AS feed, url AS link, title, strftime(make_timestamp((1700000000 + page_id * 3600) * 1000000), '%Y-%m-%d') AS published, md5(html) AS digest
+FROM (SELECT *, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages) WHERE title <> '' AND url <> ''""", model=False)
+def src_14_feed_files(t: Tables) -> DataFrame:
+    """All pages as entries of feeds of two hundred, Atom and RSS by turns, written as files and read back; the whole page is the entry's description."""
+    files.register(t.spark)
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    items = _in_files(t, 200, "feed").select("feed", "pos", F.col("url").alias("link"), title.alias("title"), F.timestamp_seconds(F.lit(1700000000) + F.col("page_id") * 3600).alias("published"), F.col("html").alias("description"))
+    rows = t.spark.read.format("silexa_feed").option("mode", "FAILFAST").load(files.write_files(files.as_feeds(items, F.col("feed") % 2 == 0), "feeds"))
+    return rows.select(F.regexp_extract("path", r"(\d+)\.xml$", 1).cast("long").alias("feed"), "link", "title", "published", F.md5("description").alias("digest"))
 
 
 _TITLES = "'Episode ' || c_custkey || CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN ' | ' || c_name || ', M.D.' WHEN 2 THEN ' | Ann Lee, Ph.D. & Bob Ray and al' WHEN 3 THEN ' | a guest | One Two Three Four Five' ELSE ' | Zoe Q, R.D.,' END"

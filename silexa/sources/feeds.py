@@ -104,70 +104,3 @@ def created(sources: DataFrame) -> DataFrame:
     """New sources that have kind and title, with their default tier and state."""
     ok = sources.filter(F.col("kind").isNotNull() & (F.trim(F.coalesce("title", F.lit(""))) != ""))
     return ok.withColumn("tier", F.coalesce("tier", F.when(F.col("kind") == "article", "peer_reviewed").otherwise("expert"))).withColumn("status", F.lit("pending"))
-
-
-def epub_texts(spark, path: str) -> DataFrame:
-    """(path, pos, text): the chapters of the EPUB files under ``path`` in the order of their books, without marks; empty ones drop out.
-
-    A book is one row and is unpacked in the task that read it.
-    """
-    from pyspark.sql import types as T
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pages(content):
-        import pandas as pd
-
-        return pd.Series([_chapters(bytes(c)) for c in content])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path)
-    rows = files.select("path", F.posexplode(pages("content")).alias("pos", "html"))
-    return rows.select("path", "pos", X.html_text(F.col("html")).alias("text")).filter("text <> ''")
-
-
-def _chapters(book: bytes) -> list[str]:
-    """Pages of a book in reading order, by its package file; none of a damaged one."""
-    import io
-    import posixpath
-    import re
-    import zipfile
-
-    try:
-        with zipfile.ZipFile(io.BytesIO(book)) as z:
-            package = re.search(r'full-path="([^"]+)"', z.read("META-INF/container.xml").decode("utf-8", "replace"))[1]
-            xml = z.read(package).decode("utf-8", "replace")
-            places = {re.search(r'\bid="([^"]+)"', i)[1]: re.search(r'\bhref="([^"]+)"', i)[1] for i in re.findall(r"<item\b[^>]*>", xml)}
-            order = re.findall(r'<itemref\b[^>]*\bidref="([^"]+)"', xml)
-            return [z.read(posixpath.join(posixpath.dirname(package), places[i])).decode("utf-8", "replace") for i in order if i in places]
-    except (KeyError, TypeError, zipfile.BadZipFile):
-        return []
-
-
-def write_epubs(books: DataFrame, preface: str) -> str:
-    """One EPUB file for each of ``books`` (page_id, text), written by the tasks to the shared folder; gives the folder."""
-    base = f"{shared_folder(books.sparkSession)}/epub/{uuid.uuid4().hex}"
-    if not base.startswith(("file:", "/")):
-        raise ValueError("files can be written to a mounted folder only")
-    folder = base.removeprefix("file://").removeprefix("file:")
-
-    def run(batches):
-        import io
-        import os
-        import zipfile
-
-        import pyarrow as pa
-
-        os.makedirs(folder, exist_ok=True)
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w") as z:
-                    z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>')
-                    z.writestr("OPS/book.opf", '<package><manifest><item id="b" href="b.xhtml"/><item id="a" href="a.xhtml"/><item id="e" href="e.xhtml"/></manifest><spine><itemref idref="a"/><itemref idref="b"/><itemref idref="e"/></spine></package>')
-                    for name, page in (("a", preface), ("b", text), ("e", "<p> </p>")):
-                        z.writestr(f"OPS/{name}.xhtml", page)
-                with open(f"{folder}/{key}.epub", "wb") as f:
-                    f.write(out.getvalue())
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["page_id"])
-
-    books.mapInArrow(run, "page_id long").count()
-    return base

@@ -77,14 +77,37 @@ def test_queries_come_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, vector.match(vectors, queries, 0.5, 3).collect())) == one and len(one) > 60
 
 
-def test_books_are_read_by_chapter(spark, tmp_path):
-    books = spark.createDataFrame([(1, "<p>One &amp; all</p>"), (2, "  ")], "page_id long, text string")
-    path = feeds.write_epubs(books, "<h1>Preface</h1>")
-    (tmp_path / "bad").mkdir()
-    (tmp_path / "bad" / "x.epub").write_bytes(b"no book")
-    found = sorted((r["path"][-6:], r["pos"], r["text"]) for r in feeds.epub_texts(spark, path).collect())
-    assert found == [("1.epub", 0, "Preface"), ("1.epub", 1, "One &amp; all"), ("2.epub", 0, "Preface")]
-    assert feeds.epub_texts(spark, f"file://{tmp_path}/bad").count() == 0
+def test_books_and_feeds_in_files(spark, tmp_path):
+    from silexa.sources import files
+
+    files.register(spark)
+    chapters = spark.createDataFrame([(1, 0, "<h1>Preface</h1>"), (1, 1, "<p>One &amp; all</p>"), (2, 0, ""), (3, 0, None)], "book long, pos int, html string")
+    read = lambda kind, path, **how: sorted((r["path"].rsplit("/", 1)[1], *r[1:]) for r in spark.read.format(kind).options(**how).load(path).collect())
+    assert read("silexa_book", files.write_files(files.as_books(chapters), "books")) == [("1.epub", 0, "<h1>Preface</h1>", None), ("1.epub", 1, "<p>One &amp; all</p>", None), ("2.epub", 0, "", None), ("3.epub", 0, "", None)]
+    when, long = "2024-02-29 23:59:59", " <p>x\r\n&amp;]]></p> " * 30_000
+    items = spark.createDataFrame([(f, p, f'http://a.org/?p={p}&q="{f}"', f"<T> & {p}", when, long) for f in range(2) for p in range(3)] + [(1, 9, None, "t", when, ""), (1, 8, "http://a.org", "", when, "")], "feed long, pos int, link string, title string, published string, description string")
+    folder = files.write_files(files.as_feeds(items.withColumn("published", F.col("published").cast("timestamp")), F.col("feed") == 0), "feeds")
+    assert read("silexa_feed", folder) == [(f"{f}.xml", p, f'http://a.org/?p={p}&q="{f}"', f"<T> & {p}", None, "2024-02-29", long, None) for f in range(2) for p in range(3)]
+    assert len(read("silexa_feed", folder + "/0.xml")) == 3
+
+
+def test_damaged_and_foreign_feeds(spark, tmp_path):
+    from silexa.sources import files
+
+    files.register(spark)
+    (tmp_path / "a.xml").write_text('<feed xmlns:yt="y"><entry><yt:videoId>v1</yt:videoId><title><![CDATA[One & two]]></title><published>2024-05-06T07:08:09Z</published></entry><entry><title>no id</title></entry><entry><title>cut')
+    (tmp_path / "b.xml").write_text("<rss><channel><title>Site</title><item><title> Two </title><link>\nhttp://x.org/2\n</link><pubDate>Wed, 01 Jan 2025 00:30:00 +0200</pubDate></item><item><title>Three</title><link>http://x.org/3</link><pubDate>some day</pubDate></item></channel></rss>")
+    (tmp_path / "_c.xml").write_text("hidden")
+    (tmp_path / "empty").mkdir()
+    rows = spark.read.format("silexa_feed").load(f"file://{tmp_path}").orderBy("path", "pos").collect()
+    assert [(r["pos"], r["link"], r["title"], r["video_id"], r["published"], r["error"] is None) for r in rows] == [
+        (0, None, "One & two", "v1", "2024-05-06", True), (1, None, None, None, None, False), (0, "http://x.org/2", "Two", None, "2024-12-31", True), (1, "http://x.org/3", "Three", None, None, True),
+    ]
+    with pytest.raises(Exception, match="no element found|unclosed"):
+        spark.read.format("silexa_feed").option("mode", "FAILFAST").load(f"file://{tmp_path}").collect()
+    assert spark.read.format("silexa_feed").load(f"file://{tmp_path}/empty").count() == 0
+    (tmp_path / "empty" / "x.epub").write_bytes(b"no book")
+    assert [(r["pos"], r["html"], r["error"] is None) for r in spark.read.format("silexa_book").load(f"file://{tmp_path}/empty").collect()] == [(0, None, False)]
 
 
 def test_chunks():
