@@ -38,10 +38,11 @@ def _split(c: Column, separator: str) -> Column:
 
 def _parts(text: Column) -> tuple[Column, Column]:
     """The text in lower case with a mark before each name and each capitalised word that may open a sentence, and its words."""
-    marked = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(?=\p{Lu}\p{L}*?\p{Ll})", _NAME)
+    # Each pattern looks first at the character that is rare, so that most places fail at once.
+    marked = F.regexp_replace(text, r"(?=\p{Lu})(?<![\p{L}\p{N}])(?=\p{Lu}\p{L}*?\p{Ll})", _NAME)
     marked = F.regexp_replace(marked, rf"((?:^|[.!?:;…\n\r{_QUOTES}])[\s{_QUOTES}*•-]*+){_NAME}", f"$1{_OPENER}")
-    marked = F.lower(F.regexp_replace(marked, r"(?<=\p{N})[.,](?=\p{N})", _DOT))
-    return marked, _split(marked, rf"[^\p{{L}}\p{{N}}{_NAME}{_OPENER}{_DOT}]++")
+    marked = F.lower(F.regexp_replace(marked, r"[.,](?=\p{N})(?<=\p{N}[.,])", _DOT))
+    return marked, _split(marked, rf"[^a-z\p{{L}}\p{{N}}{_NAME}{_OPENER}{_DOT}]++")
 
 
 def words_of(text: Column, lower: list[str] | Column) -> tuple[Column, Column]:
@@ -49,7 +50,7 @@ def words_of(text: Column, lower: list[str] | Column) -> tuple[Column, Column]:
     marked, parts = _parts(text)
     clean = F.array_join(parts, " ")
     raw = F.when(F.size(parts) > 0, F.split(F.translate(clean, _NAME + _OPENER, ""), " ")).otherwise(parts)
-    numbers = F.regexp_replace(clean, rf"(?<![\p{{L}}\p{{N}}{_DOT}])\p{{N}}[\p{{N}}{_DOT}]*+", _NUMBER)
+    numbers = F.regexp_replace(clean, rf"(?=\p{{N}})(?<![\p{{L}}\p{{N}}{_DOT}])\p{{N}}[\p{{N}}{_DOT}]*+", _NUMBER)
     units = F.regexp_replace(numbers, rf"(?<={_NUMBER})( ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{_UNIT}")
     template = F.split(F.regexp_replace(units, rf"{_NAME}\p{{L}}++", "#w"), " ")
     ordinary = lambda w: w.isin(lower) if isinstance(lower, list) else F.array_contains(lower, w)
