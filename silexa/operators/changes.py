@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from silexa.operators.tree import ancestors
 
+#: What may be said of a flag that is settled (fixed values).
+RESOLUTIONS = ("approved", "edited", "split", "narrowed", "archived", "false_positive", "reworded")
+
 
 def _null_safe(left: DataFrame, right: DataFrame, key: list[str]) -> Column:
     out = F.lit(True)
@@ -50,14 +53,18 @@ def archived(topics: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(own, "archived").otherwise(F.col("status"))).withColumn("parent_id", F.when(own, F.col("parent_id")).otherwise(F.col("_parent"))).drop("_gone", "_parent")
 
 
-def merged_topics(topics: DataFrame, filings: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Topics and filings after merging ``pairs`` (topic_id into target_id): children and claims move, the target's own filings stay as they are."""
-    to = pairs.select(F.col("topic_id").alias("_from"), "target_id")
-    rows = topics.join(to, F.col("topic_id") == F.col("_from"), "left").withColumn("status", F.when(F.col("_from").isNotNull(), "merged").otherwise(F.col("status"))).drop("_from", "target_id")
-    rows = rows.join(to, F.col("parent_id") == F.col("_from"), "left").withColumn("parent_id", F.coalesce("target_id", "parent_id")).drop("_from", "target_id")
-    moved = filings.join(to, F.col("topic_id") == F.col("_from"), "left").select("claim_id", F.coalesce("target_id", "topic_id").alias("topic_id"), "filed_at", F.col("_from").isNotNull().alias("_moved"))
-    kept = moved.groupBy("claim_id", "topic_id").agg(F.min(F.struct("_moved", "filed_at")).alias("r")).select("claim_id", "topic_id", "r.filed_at")
-    return rows, kept
+def resolved(flags: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Flags (flag_id, resolution, ...) with the resolutions asked for, and (pos, answer) of ``asks`` (pos, flag_id, resolution).
+
+    400 for an ask without a flag or with a verb that is none of ``RESOLUTIONS``, 404 for a flag that is not there, else 200; of several good asks for one flag the last counts.
+    """
+    bad = F.coalesce("flag_id", F.lit("")) == ""
+    good = F.coalesce(F.col("resolution").isin(*RESOLUTIONS), F.lit(False))
+    known = flags.select("flag_id", F.lit(True).alias("_known")).distinct()
+    rows = asks.join(known, "flag_id", "left").withColumn("answer", F.when(bad | ~good, 400).when(F.col("_known").isNull(), 404).otherwise(200))
+    last = rows.filter("answer = 200").groupBy("flag_id").agg(F.max_by("resolution", "pos").alias("_asked"))
+    out = flags.join(last, "flag_id", "left").withColumn("resolution", F.coalesce("_asked", "resolution")).select(*flags.columns)
+    return out, rows.select("pos", "answer")
 
 
 def decided(reviews: DataFrame, decisions: DataFrame, claims: DataFrame) -> DataFrame:

@@ -31,10 +31,11 @@ def closure(topics: DataFrame, roots: DataFrame | None = None) -> DataFrame:
             found = checkpointed(found)
 
 
-def ancestors(topics: DataFrame) -> DataFrame:
-    """(topic_id, ancestor_id, distance) up the parent links whatever the status, the topic itself at 0; a loop ends where it meets a pair again."""
+def ancestors(topics: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(topic_id, ancestor_id, distance) up the parent links whatever the status, the topic itself at 0, for every topic or those of ``of`` (topic_id); a loop ends where it meets a pair again."""
     up = checkpointed(topics.filter("parent_id IS NOT NULL").select(F.col("topic_id").alias("_id"), "parent_id"))
-    found = checkpointed(topics.select("topic_id", F.col("topic_id").alias("ancestor_id"), F.lit(0).alias("distance")))
+    seeds = topics if of is None else of.select("topic_id").distinct()
+    found = checkpointed(seeds.select("topic_id", F.col("topic_id").alias("ancestor_id"), F.lit(0).alias("distance")))
     frontier, n = found, 0
     while True:
         n += 1

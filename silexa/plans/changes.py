@@ -12,6 +12,7 @@ from silexa.operators import changes as D
 from silexa.operators import claims as C
 from silexa.operators import documents as A
 from silexa.operators import ranks, tree
+from silexa.operators.topics import merged_topics
 from silexa.session import shared_folder
 from silexa.sources.tables import Tables
 from silexa.streaming import backlog
@@ -81,7 +82,7 @@ def dml_07_topic_edits(t: Tables) -> DataFrame:
 def dml_07_topic_merges(t: Tables) -> DataFrame:
     """Filings after two topics are merged into others."""
     pairs = t.topics.filter(F.col("topic_id").isin("N1", "N5")).select("topic_id", F.when(F.col("topic_id") == "N1", "N2").otherwise("N6").alias("target_id"))
-    return D.merged_topics(t.topics, t.filings, pairs)[1]
+    return merged_topics(t.topics, t.filings, pairs)[1]
 
 
 @_R.add("""SELECT d.review_id, CASE WHEN r.review_id IS NULL THEN 404 WHEN accept IS NULL THEN 400 WHEN r.status <> 'pending' THEN 409 WHEN accept AND NOT ok THEN 409 ELSE 200 END AS answer,
