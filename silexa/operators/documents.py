@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silexa.functions.text import table_cell, without_claim_ids
@@ -70,3 +70,17 @@ def cited(blocks: DataFrame) -> DataFrame:
 def update_tier(new: Column, total: Column, has_article: Column) -> Column:
     """How much of an article is written anew."""
     return F.when(~has_article, "full").when(new == 0, "metadata").when(new / total > 0.25, "full").otherwise("sections")
+
+
+def write_markdown(articles: DataFrame, path: str) -> None:
+    """``articles`` (article_id, markdown) as text files, many articles a file: each begins with a comment that holds its id and ends with a form feed; form feeds within become line ends. A null text is the empty one."""
+    body = F.translate(F.coalesce("markdown", F.lit("")), "\f", "\n")
+    rows = articles.select("article_id", F.concat(F.lit("<!-- article "), F.col("article_id").cast("string"), F.lit(" -->\n"), body).alias("value"))
+    rows.repartition("article_id").select("value").write.option("lineSep", "\f").text(path)
+
+
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """(article_id as text, markdown) of such files."""
+    rows = spark.read.option("lineSep", "\f").text(path)
+    head = r"(?s)^<!-- article (.*?) -->\n(.*)$"
+    return rows.select(F.regexp_extract("value", head, 1).alias("article_id"), F.regexp_extract("value", head, 2).alias("markdown"))

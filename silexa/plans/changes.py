@@ -393,15 +393,12 @@ def sink_03_snapshot(t: Tables) -> DataFrame:
     return t.spark.read.schema(out.schema).json(_written(t, out, "json"))
 
 
-@_R.add(f"WITH {_BLOCK} SELECT count(DISTINCT article_id)::BIGINT AS files FROM b", model=False)
+@_R.add(f"SELECT article_id, md5(markdown) AS digest FROM ({ORACLE_SQL['doc_01_articles']})", model=False)
 def sink_04_markdown(t: Tables) -> DataFrame:
-    """Articles as Markdown files, and how many were written."""
-    out = A.articles(_blocks(t))
-    # One folder an article, one file in it.
+    """Articles written as Markdown, many to a file, and read back."""
     path = f"{shared_folder(t.spark)}/export/{uuid.uuid4().hex}"
-    out.select("article_id", F.col("markdown").alias("value")).repartition("article_id").write.partitionBy("article_id").text(path)
-    back = t.spark.read.text(path, wholetext=True)
-    return back.filter(F.startswith("value", F.lit("## "))).agg(F.count(F.lit(1)).alias("files"))
+    A.write_markdown(doc_01_articles(t), path)
+    return A.read_markdown(t.spark, path).select(F.col("article_id").cast("long").alias("article_id"), F.md5("markdown").alias("digest"))
 
 
 def _drained(t: Tables, files: int) -> DataFrame:

@@ -37,12 +37,18 @@ def str_03_chunks(t: Tables) -> DataFrame:
     return _text(t).select("doc_id", F.posexplode(P.chunk_udf()("text")).alias("pos", "passage"))
 
 
-@_R.add()
+# The quote's words with any blanks between them, marks of one kind alike.
+_QUOTED = r"""q AS (SELECT doc_id, text, regexp_replace(regexp_replace(substr(text, 20, 120), '\s+', '  ', 'g'), '^\s+|\s+$', '', 'g') AS quote FROM documents WHERE length(text) > 150),
+w AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(quote, '([!#-&(-,./:-@\[-`{-~])', '\\\1', 'g'), '[''‘’]', '[''‘’]', 'g'), '["“”]', '["“”]', 'g'), '[-–—]', '[\\-–—]', 'g'), '\s+', '\\s+', 'g') AS pattern FROM q),
+f AS (SELECT *, CASE WHEN contains(text, quote) THEN quote ELSE regexp_extract(text, pattern) END AS found FROM w)"""
+
+
+@_R.add(f'WITH {_QUOTED} SELECT doc_id, CASE WHEN quote <> \'\' THEN quote END AS text, CASE WHEN quote <> \'\' THEN strpos(text, found) - 1 END AS start_char, CASE WHEN quote <> \'\' THEN strpos(text, found) - 1 + length(found) END AS end_char FROM f', model=False)
 def str_04_quotes(t: Tables) -> DataFrame:
     """Where a quote with changed blanks and marks stands in its text: characters 20 to 140 of each text."""
     rows = _text(t).filter(F.length("text") > 150)
     quote = F.regexp_replace(F.substring("text", 20, 120), r"\s+", "  ")
-    return rows.select("doc_id", P.resolve_udf("text", quote).alias("q")).select("doc_id", "q.text", "q.start", "q.end")
+    return rows.select("doc_id", P.resolve_udf("text", quote).alias("q")).select("doc_id", "q.text", F.col("q.start").alias("start_char"), F.col("q.end").alias("end_char"))
 
 
 _SPEAKERS = "CASE c_custkey % 6 WHEN 0 THEN 'Host' WHEN 1 THEN 'dr. jane  roe, M.D.' WHEN 2 THEN '  ' || c_name WHEN 3 THEN 'N/A' WHEN 4 THEN repeat('x', 81) ELSE 'Guests' END"
@@ -54,7 +60,12 @@ def str_05_speakers(t: Tables) -> DataFrame:
     return t.raw("customer").select(F.col("c_custkey").alias("id"), X.speaker(F.expr(_SPEAKERS), HOST).alias("speaker"))
 
 
-@_R.add()
+_MARKS = r"""m AS (SELECT doc_id, text, regexp_replace(substr(coalesce(l[1], ''), 1, 30), '^\s+|\s+$', '', 'g') AS a, regexp_replace(substr(coalesce(l[2], ''), 1, 30), '^\s+|\s+$', '', 'g') AS z FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)),
+p AS (SELECT *, strpos(text, a) AS i FROM m),
+e AS (SELECT *, CASE WHEN length(z) < 12 THEN i + length(a) WHEN strpos(substr(text, i), z) > 0 THEN i + strpos(substr(text, i), z) - 1 + length(z) END AS stop FROM p)"""
+
+
+@_R.add(rf"WITH {_MARKS} SELECT doc_id, CASE WHEN length(text) >= 200 AND length(a) >= 12 AND strpos(substr(text, i + 1), a) = 0 AND stop > i THEN regexp_replace(regexp_replace(substr(text, 1, i - 1) || ' ' || substr(text, stop), '[ \t]{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') ELSE text END AS text FROM e", model=False)
 def str_06_hygiene(t: Tables) -> DataFrame:
     """Texts without the stretch from their first to their second line's beginning, where those anchors are clear."""
     lines = F.split("text", "\n")

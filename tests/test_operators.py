@@ -245,3 +245,13 @@ def test_places_and_running_sums_agree_with_one_window(spark):
     assert placed(rows.limit(0), order, "place").count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
+
+
+def test_articles_share_files_and_keep_their_text(spark, tmp_path):
+    rows = [(1, "## A\n\nx -->\n"), (2, ""), (3, None), (4, "<!-- article 1 -->\nfake\fpage"), (5, "ends\n\n")]
+    A.write_markdown(spark.createDataFrame(rows, "article_id long, markdown string"), str(tmp_path / "md"))
+    found = {r["article_id"]: r["markdown"] for r in A.read_markdown(spark, str(tmp_path / "md")).collect()}
+    assert found == {"1": rows[0][1], "2": "", "3": "", "4": "<!-- article 1 -->\nfake\npage", "5": "ends\n\n"}
+    assert len(list((tmp_path / "md").glob("part-*"))) < len(rows)
+    A.write_markdown(spark.createDataFrame([], "article_id long, markdown string"), str(tmp_path / "none"))
+    assert A.read_markdown(spark, str(tmp_path / "none")).isEmpty()
