@@ -54,7 +54,9 @@ def _nearest(rows: DataFrame, column: str, centres: np.ndarray, n: int) -> DataF
     names, at = [*rows.columns, "lists"], rows.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # So few rows at a time that what a task holds does not grow with the lists.
+        step = max(1, V.PRODUCTS // len(centres))
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             x = V.unit_rows(batch.column(at), batch.num_rows)
             order = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * order.shape[1]), pa.array(order.ravel()))
@@ -79,11 +81,11 @@ class Index:
         asked = _nearest(good, "query", self.centres, probes).select(F.col("query_id").alias("id"), F.col("query").alias("v"), F.explode("lists").alias("list"))
         met = [r["list"] for r in asked.select("list").distinct().collect()]
         own = self.vectors.filter(F.col("list").isin(met)).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "list")
-        rows = max(1, V.BLOCK_BYTES // (8 * self.centres.shape[1]))
+        rows = max(1, V.CHUNK_BYTES // (8 * self.centres.shape[1]))
         sizes = own.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("n"))
         # ``sizes`` has one short row a list.
         blocks = own.join(F.broadcast(sizes), "list").select("id", "v", (F.col("list").cast("long") * _PIECES + F.pmod(F.xxhash64("id"), F.col("n"))).alias("block"), F.lit(0).alias("chunk"))
-        chunk = F.pmod(F.xxhash64("id"), F.lit(V.pieces(good.select(F.col("query_id").alias("id"), F.col("query").alias("v"))))).cast("int")
+        chunk = F.pmod(F.xxhash64("id"), F.lit(V.pieces(good.select(F.col("query_id").alias("id"), F.col("query").alias("v")), V.CHUNK_BYTES))).cast("int")
         copies = V.packed(asked.select("id", "v", F.col("list").alias("block"), chunk.alias("chunk"))).join(F.broadcast(sizes), F.col("block") == F.col("list"))
         copies = copies.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("block", F.col("list").cast("long") * _PIECES + F.col("piece"))
         return V.ranked(V.products(V.packed(blocks), copies, V.id_kinds(queries, self.vectors), threshold, False, k), k)

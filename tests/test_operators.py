@@ -255,3 +255,17 @@ def test_articles_share_files_and_keep_their_text(spark, tmp_path):
     assert len(list((tmp_path / "md").glob("part-*"))) < len(rows)
     A.write_markdown(spark.createDataFrame([], "article_id long, markdown string"), str(tmp_path / "none"))
     assert A.read_markdown(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_copies_of_queries_are_not_sent_through_the_driver(spark):
+    """They are as many as queries times blocks of vectors, which no planner sees before it has sent them."""
+    rows = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 3)).alias("embedding"))
+    found = vector.match(rows, rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 0.5, 4)
+    assert found.count() == 1200
+    assert found.collect() and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_query_may_have_a_least_similarity_of_its_own(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 1.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0], 0.9), (3, [0.0, 1.0], 0.0)], "query_id long, query array<double>, least double")
+    assert {(r["query_id"], r["vec_id"]) for r in vector.pairs_above(rows, asked, 0.05).collect()} == {(0, 1), (3, 1), (3, 2)}
