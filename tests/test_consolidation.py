@@ -262,3 +262,25 @@ def test_late_events_are_left_out(spark, tmp_path):
     found = windows.latest(spark.read.parquet(f"{base}/out"), "kind").orderBy("start").collect()
     # The event of 2:55 is late but in time; the one of 1:59 comes when its window is closed.
     assert [(r["start"].hour, r["n"]) for r in found] == [(1, 2), (2, 1), (3, 1), (9, 1)]
+
+
+@pytest.mark.parametrize("first", [7])
+def test_consolidation_in_batches_is_that_at_once(spark, monkeypatch, first):
+    """Pairs at hand are those of a batch and the nearest claims, with failed answers as well."""
+    rows, low = _rows(5, 30), 0.6
+    answers = _answers(rows, 5, low)
+    want, edges = _one_by_one(rows, answers, low, 5)
+    monkeypatch.setattr(K, "FIRST_BATCH", first)
+    monkeypatch.setattr(K, "BATCH_PAIRS", 30)
+    table, links = K.consolidate(spark.createDataFrame(rows, VECTORS), low, _recorded(spark, answers))
+    assert {r["vec_id"]: (r["claim_id"], r["matched_by"]) for r in table.collect()} == want
+    assert {(r["claim_id"], r["related_claim_id"], r["kind"]) for r in links.collect()} == edges
+
+
+def test_a_sweep_waits_for_claims_alone_that_may_take_what_it_sees(spark, monkeypatch):
+    """Peers that nobody is sure about hold nobody up: all of these settle in one round, which writes four tables."""
+    calls, real = [], K.stored
+    monkeypatch.setattr(K, "stored", lambda df: calls.append(1) or real(df))
+    claims = spark.createDataFrame([(i, 0, [1.0, 0.01 * i]) for i in range(12)], CLAIMS)
+    merges, reviews, _ = K.sweep(claims, 0.5, ThresholdJudge(1.1, 0.6))
+    assert merges.count() == 0 and reviews.count() > 0 and len(calls) == 4
