@@ -13,7 +13,7 @@ from silexa.operators import claims as C
 from silexa.operators import documents as A
 from silexa.operators import ranks, tree
 from silexa.operators.topics import merged_topics
-from silexa.session import shared_folder
+from silexa.session import checkpointed, shared_folder
 from silexa.sources.tables import Tables
 from silexa.streaming import backlog
 
@@ -21,6 +21,8 @@ from .registry import Registry
 
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.sql
+#: Folders that insights are written to, however many sources there are.
+SOURCE_BUCKETS = 64
 _ENDS = "ends AS (SELECT r.claim_id, CASE WHEN c.status = 'active' THEN r.at_id END AS target_id FROM redirects r JOIN claims c ON c.claim_id = r.at_id WHERE c.merged_into IS NULL)"
 
 
@@ -49,14 +51,20 @@ def dml_03_cascade(t: Tables) -> DataFrame:
 
 @_R.add("SELECT insight_id, source_id, CASE WHEN source_id = 3 THEN 2 ELSE 1 END AS run FROM insights WHERE NOT (source_id = 3 AND importance IS NULL)")
 def dml_05_fresh_run(t: Tables) -> DataFrame:
-    """A source extracted afresh replaces its own rows, written by source; all others stay."""
+    """A source extracted afresh replaces its own rows, written by buckets of sources; all others stay."""
     spark = t.spark
     path = f"{shared_folder(spark)}/insights/{uuid.uuid4().hex}"
-    rows = t.insights.select("insight_id", F.lit(1).alias("run"), "source_id").repartition("source_id")
-    rows.write.partitionBy("source_id").parquet(path)
+    bucket = F.pmod(F.xxhash64("source_id"), F.lit(SOURCE_BUCKETS)).cast("int").alias("bucket")
+    write = lambda df, mode: df.select("insight_id", "run", "source_id", bucket).repartition("bucket", F.pmod(F.xxhash64("insight_id"), F.lit(4))).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    write(t.insights.select("insight_id", F.lit(1).alias("run"), "source_id"), "append")
+    stored = spark.read.schema("insight_id string, run int, source_id long, bucket int").parquet(path)
     fresh = t.insights.filter("source_id = 3 AND importance IS NOT NULL").select("insight_id", F.lit(2).alias("run"), "source_id")
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(path)
-    return spark.read.schema("insight_id string, run int, source_id long").parquet(path)
+    # Sources share a bucket, so its other rows are written again with the fresh ones; a source with nothing left keeps what it had.
+    hit = fresh.select("source_id").distinct()
+    buckets = [r["bucket"] for r in hit.select(bucket).distinct().collect()]
+    others = stored.filter(F.col("bucket").isin(buckets)).join(F.broadcast(hit), "source_id", "left_anti").select("insight_id", "run", "source_id")
+    write(checkpointed(others.union(fresh)), "overwrite")
+    return spark.read.schema(stored.schema).parquet(path).drop("bucket")
 
 
 @_R.add(f", {_ENDS} SELECT DISTINCT target_id AS claim_id, topic_id FROM filings JOIN ends USING (claim_id) WHERE target_id IS NOT NULL AND target_id <> claim_id AND NOT EXISTS (SELECT 1 FROM filings k WHERE k.claim_id = target_id AND k.topic_id = filings.topic_id)")

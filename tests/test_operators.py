@@ -1,5 +1,7 @@
 """Trees with cycles, redirect chains, merges, agreement, vectors, text functions and the job stream on small fixtures."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,3 +271,18 @@ def test_a_query_may_have_a_least_similarity_of_its_own(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 1.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     asked = spark.createDataFrame([(0, [1.0, 0.0], 0.9), (3, [0.0, 1.0], 0.0)], "query_id long, query array<double>, least double")
     assert {(r["query_id"], r["vec_id"]) for r in vector.pairs_above(rows, asked, 0.05).collect()} == {(0, 1), (3, 1), (3, 2)}
+
+
+def test_a_fresh_run_writes_a_bounded_number_of_folders(spark, tmp_path, monkeypatch):
+    from test_catalog import SF
+
+    from silexa import catalog
+    from silexa.plans import changes
+
+    if not Path(SF).exists():
+        pytest.skip("no test tables")
+    monkeypatch.setattr(changes, "SOURCE_BUCKETS", 3)
+    monkeypatch.setattr(changes, "shared_folder", lambda _: str(tmp_path))
+    got = catalog.QUERIES["dml_05_fresh_run"](spark, SF)
+    assert {r["run"] for r in got.filter("source_id = 3").collect()} == {2} and got.filter("source_id <> 3 AND run <> 1").isEmpty()
+    assert len(list(tmp_path.glob("insights/*/bucket=*"))) == 3
