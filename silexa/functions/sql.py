@@ -1,7 +1,8 @@
 """Functions for those who write SQL: scalar ones over text, and table functions that a query can join LATERAL.
 
 All are SQL functions of the session, so the optimizer sees through them and no Python runs for a row. ``register`` makes the scalar ones; ``register_tables`` makes temporary views of the model and the
-table functions over them. The scalar ones mean the same as the Column functions of ``functions.text``.
+table functions over them. ``match_vectors`` reads all vectors for one given vector; for the vectors of a table ``nearest_to`` is joined LATERAL, which becomes a join with the view ``matches``
+(what ``vector.match`` gives). The scalar ones mean the same as the Column functions of ``functions.text``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ SCALARS = (
     ("cosine(a ARRAY<FLOAT>, b ARRAY<FLOAT>)", "DOUBLE", "aggregate(zip_with(a, b, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, x) -> s + x) / sqrt(aggregate(a, 0D, (s, x) -> s + CAST(x AS DOUBLE) * x) * aggregate(b, 0D, (s, x) -> s + CAST(x AS DOUBLE) * x))"),
 )
 
-#: Table functions: name with arguments, columns, and body over the views vectors, claims_scored, topics, topic_closure, filings, claims and snapshots.
+#: Table functions: name with arguments, columns, and body over the views vectors, matches, claims_scored, topics, topic_closure, filings, claims and snapshots.
 TABLES = (
     (
         "match_vectors(query ARRAY<FLOAT>, threshold DOUBLE, k INT)",
@@ -33,6 +34,11 @@ TABLES = (
         """SELECT vec_id, similarity, nth FROM (SELECT vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS nth
            FROM (SELECT vec_id, cosine(embedding, query) AS exact, round(cosine(embedding, query), 6) AS similarity FROM vectors WHERE embedding IS NOT NULL) WHERE exact >= threshold) WHERE nth <= k""",
     ),
+    (
+        "nearest_to(query BIGINT, most INT)",
+        "vec_id BIGINT, similarity DOUBLE, nth INT",
+        "SELECT vec_id, similarity, CAST(nth AS INT) FROM matches WHERE query_id = query AND nth <= most",
+    ),
     (
         "topic_claims(topic STRING, audience STRING, most INT, skip INT)",
         "claim_id BIGINT, statement STRING, source_count BIGINT, score DOUBLE",
@@ -60,7 +66,7 @@ def register_tables(spark: SparkSession, **views: DataFrame) -> None:
     register(spark)
     for name, view in views.items():
         view.createOrReplaceTempView(name)
-    needs = {"match_vectors": {"vectors"}, "topic_claims": {"claims_scored", "topics", "topic_closure", "filings"}, "stale_topics": {"snapshots", "topic_closure", "filings", "claims"}}
+    needs = {"match_vectors": {"vectors"}, "nearest_to": {"matches"}, "topic_claims": {"claims_scored", "topics", "topic_closure", "filings"}, "stale_topics": {"snapshots", "topic_closure", "filings", "claims"}}
     for name, columns, body in TABLES:
         if needs[name.split("(")[0]] <= views.keys():
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name} RETURNS TABLE ({columns}) RETURN {body}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from silexa.functions import sql
 from silexa.operators import claims as C
-from silexa.operators import index, tree
+from silexa.operators import index, tree, vector
 from silexa.session import checkpointed, shared_folder
 from silexa.sources.tables import Tables
 from silexa.streaming import windows
@@ -53,9 +53,10 @@ def vec_07_all_lists(t: Tables) -> DataFrame:
 
 @_R.add(f"WITH {_NEAR} SELECT query_id, vec_id, similarity, nth::INTEGER AS nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS nth FROM (SELECT query_id, vec_id, round(exact, 6) AS similarity FROM p WHERE exact >= 0.2)) WHERE nth <= 5", model=False)
 def udf_01_match_vectors(t: Tables) -> DataFrame:
-    """A table function joined LATERAL: the nearest vectors of every query, itself included."""
-    sql.register_tables(t.spark, vectors=t.raw("embeddings").select("vec_id", "embedding"))
-    return t.spark.sql("SELECT q.vec_id AS query_id, m.vec_id, m.similarity, m.nth FROM vectors q, LATERAL match_vectors(q.embedding, 0.2D, 5) m WHERE q.vec_id % 50 = 0")
+    """A table function joined LATERAL: the nearest vectors of every query, itself included. All queries are matched in blocks; the function looks up its own."""
+    vectors = t.raw("embeddings").select("vec_id", "embedding")
+    sql.register_tables(t.spark, vectors=vectors, matches=vector.match(vectors, _asked(t), 0.2, 5, itself=True))
+    return t.spark.sql("SELECT q.vec_id AS query_id, m.vec_id, m.similarity, m.nth FROM vectors q, LATERAL nearest_to(q.vec_id, 5) m WHERE q.vec_id % 50 = 0")
 
 
 def _views(t: Tables) -> None:

@@ -286,3 +286,17 @@ def test_a_fresh_run_writes_a_bounded_number_of_folders(spark, tmp_path, monkeyp
     got = catalog.QUERIES["dml_05_fresh_run"](spark, SF)
     assert {r["run"] for r in got.filter("source_id = 3").collect()} == {2} and got.filter("source_id <> 3 AND run <> 1").isEmpty()
     assert len(list(tmp_path.glob("insights/*/bucket=*"))) == 3
+
+
+def test_vectors_of_a_table_are_matched_in_blocks_and_looked_up(spark):
+    """No row of SQL looks at all vectors: the plan has no product of the tables, and each query finds itself first."""
+    from silexa import catalog
+    from silexa.functions import sql
+
+    found = catalog.QUERIES["udf_01_match_vectors"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert all(r["vec_id"] == r["query_id"] for r in found.filter("nth = 1").collect())
+    one = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0]), (4, None)], "vec_id long, embedding array<float>")
+    sql.register_tables(spark, vectors=one)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM match_vectors(array(1F, 0F), 0.2D, 5) ORDER BY nth").collect()] == [(1, 1.0, 1), (2, 0.707107, 2)]
