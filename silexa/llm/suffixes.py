@@ -316,14 +316,18 @@ def mark_repeats(docs: DataFrame) -> tuple[DataFrame, str]:
     with scratch(spark) as own:
         ranges = materialise(rows.mapInArrow(_ranges, _SCHEMA), "ranges")
         several = ranges.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        shared = materialise(ranges.join(several, "key"), "shared")
+        found = shared = materialise(ranges.join(several, "key"), "shared")
+        # Most ranges occur once; their table would lie beside the exchanges of texts and contents.
+        own.drop(ranges)
         # Anchors of more than LARGE contents: at most one for so many ranges.
         large = shared.select("key", "content").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select("key", F.lit(3).cast("long").alias("kind"))
         large = materialise(large, "large")
         count = large.count()
         shared = shared.join(F.broadcast(large) if count * 32 <= BROADCAST_BYTES else large, "key", "left") if count else shared.withColumn("kind", F.lit(2).cast("long"))
         wants = shared.groupBy("doc", "tie").agg(F.collect_set(F.struct(F.coalesce("kind", F.lit(2).cast("long")).alias("kind"), "key", "place")).alias("wants"))
-        texts = rows.join(wants, ["doc", "tie"]).select("doc", "tie", "text", "wants")
+        # Written down, so that the exchanges behind them and the ranges are gone before the contents are dealt out.
+        texts = materialise(rows.join(wants, ["doc", "tie"]).select("doc", "tie", "text", "wants"), "texts")
+        own.drop(found)
         parts = texts.mapInArrow(_contents, "kind long, deal long, doc long, tie long, place long, bytes binary")
         parts = parts.repartition(n, "deal").sortWithinPartitions(*_PARTS[:2], "bytes", *_PARTS[2:5])
         marks = parts.mapInArrow(_resolve, "doc long, tie long, place long")
