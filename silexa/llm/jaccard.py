@@ -51,6 +51,8 @@ FREQUENT = 8
 #: Shingles whose frequency is 2 to this power or more are dealt out to ``SALTS`` tasks.
 SALT_LEVEL, SALTS = 10, 64
 BLOCK = 256
+#: Bytes of text that a kernel hashes at once; its arrays take about fifty times as much, and a worker process keeps the powers of that many places.
+CHUNK = 1 << 19
 #: The filter of needed documents has ten bits a document, and this many at most; with more documents all texts take part in the join.
 BLOOM_BITS = 1 << 28
 #: Ids that are dropped travel to the documents while they take so many bytes at most; beyond, both sides are shuffled.
@@ -82,7 +84,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zero = np.zeros(len(n), dtype=np.int64)
         return pa.RecordBatch.from_arrays([pa.array(zero + 1, pa.int8()), pa.array(zero), pa.array(zero), pa.array(token), pa.array(n.astype(np.int64))], names=["kind", "doc_id", "key", "node", "n"])
 
-    for batch in chunks(batches, "text", 2 << 20):
+    for batch in chunks(batches, "text", CHUNK):
         sets = shingle_sets(_texts(batch.column(2)), SIZE)
         nodes = [_node(s) if len(s) else -1 for s in sets]
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), dtype=np.int8)), batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["kind", "doc_id", "key", "node", "n"])
@@ -124,7 +126,7 @@ def postings(docs: DataFrame, hot: np.ndarray, level: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_, level_ = shared.value
         seen: set[int] = set()
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text", CHUNK):
             out = []
             for s in shingle_sets(_texts(batch.column(0)), SIZE):
                 if not len(s) or (node := _node(s)) in seen:
@@ -183,7 +185,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by (group, block), targets before probes; gives (a, b) for each probe with its first linked target of the block."""
     group, ids, sizes, tokens, owner = None, [], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     pending: list[np.ndarray] = []
-    for batch in chunks(batches, "text", 2 << 20):
+    for batch in chunks(batches, "text", CHUNK):
         sets = shingle_sets(_texts(batch.column(4)), SIZE)
         keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         roles, nodes = batch.column(2).to_pylist(), batch.column(3).to_pylist()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import chunks, fresh
 
 #: The labelled rows of each class that a fit may use: so many, of so many bytes together, none longer than that.
 FIT_ROWS = 3000
@@ -167,18 +167,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
 
 
 def score_quality(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """``keep`` columns of every document and its score; the text leaves the JVM once and only the score comes back."""
+    """``keep`` columns of every document and its score; the text leaves the JVM once, also where it is kept, and is scored some MB at a time."""
     kept = [c for c in keep if c != name]
-    (hidden,) = fresh(kept, "_text")
-    source = docs.select(*kept, docs["text"].alias(hidden))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), f"`{name}` double"])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    (hidden,) = ("text",) if "text" in kept else fresh(kept, "_text")
+    source = docs.select(*kept, *([] if hidden in kept else [docs["text"].alias(hidden)]))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(kept)]), f"`{name}` double"])
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), source.columns.index(hidden)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         sizes = _Sizes(own.good, own.bad) if own else None
-        for batch in batches:
-            texts = [(x or "").encode() for x in batch.column(len(kept)).to_pylist()]
+        for batch in chunks(batches, hidden):
+            texts = [(x or "").encode() for x in batch.column(at).to_pylist()]
             if texts:
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(scores(own, texts, sizes), pa.float64())], names=[*kept, name])
 

@@ -4,9 +4,11 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,6 +263,21 @@ def test_labelled_sample_reads_no_held_out_label(spark, docs):
     assert len(texts) == len(used) and sum(y) == sum(i // 10 % 2 for i in used)
 
 
+def test_a_kept_text_leaves_the_jvm_once_and_is_scored_in_parts(docs, monkeypatch):
+    scored = quality.score_quality(docs, None, keep=tuple(docs.columns), name="_score")
+    assert scored.columns == [*docs.columns, "_score"] and "_text" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: r["text"] for r in scored.collect()} == {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+def test_shingles_are_hashed_some_bytes_at_a_time(monkeypatch):
+    sizes, real = [], jaccard.shingle_sets
+    monkeypatch.setattr(jaccard, "shingle_sets", lambda texts, size=5: sizes.append(sum(map(len, texts))) or real(texts, size))
+    text = "one two three four five six " * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(range(2000)), pa.array([text] * 2000)], names=["doc_id", "key", "text"])
+    assert sum(b.num_rows for b in jaccard._describe(iter([batch]))) >= 2000
+    assert sum(sizes) == 2000 * len(text) and max(sizes) <= 1 << 19
+
+
 # suffixes
 
 
@@ -274,6 +291,21 @@ def test_repeats_are_those_of_brute_force(docs, rows):
     assert sum(x[1] for x in want.values()) > 1000
 
 
+def test_no_table_of_ranges_lies_beside_the_exchange_of_contents(docs, monkeypatch):
+    """While contents are dealt out and met, the ranges and the places that asked for them are gone already."""
+    there, real = {}, suffixes.materialise
+
+    def watched(df, name):
+        shared = Path(df.sparkSession.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+        there[name] = {p.name for p in shared.glob("silexa/*/*")}
+        return real(df, name)
+
+    before = {p.name for p in Path(docs.sparkSession.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("silexa/*/*")}
+    monkeypatch.setattr(suffixes, "materialise", watched)
+    suffixes.removal_report(docs).count()
+    assert not ({"ranges", "shared"} & there["marks"]) - before and "ranges" not in there["texts"] - before
+
+
 @pytest.mark.parametrize("large", [0, 1, 3])
 def test_repeats_at_crowded_anchors_are_the_same(docs, rows, monkeypatch, large):
     monkeypatch.setattr(suffixes, "LARGE", large)
