@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from silexa.session import spread, tasks_for
+
 #: Points of the composite score and ranks of the rollup (fixed values).
 ACTIONABILITY_POINTS = {"High": 15, "Low": 5}
 EVIDENCE_POINTS = {"MetaAnalysis": 15, "RCT": 12, "Cohort": 9, "CaseSeries": 6, "ExpertOpinion": 0}
@@ -43,8 +45,12 @@ def rollup(claims: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def scored(claims: DataFrame, members: DataFrame, sources: DataFrame, as_of: str) -> DataFrame:
-    """Composite score of every claim; members meet their sources in one pre-aggregated join."""
-    per = members.join(sources.select("source_id", "date"), "source_id", "left").groupBy("claim_id").agg(F.count_distinct("source_id").alias("source_count"), F.max("date").alias("newest"))
+    """Composite score of every claim; members meet their sources in one pre-aggregated join, in as many tasks as their number asks for."""
+    members = members.select("claim_id", "source_id")
+    n = tasks_for(members)
+    # Both sides are dealt: a side that is partitioned already would draw the other one to its own, smaller number of tasks.
+    dated = spread(members, n, "source_id").join(spread(sources.select("source_id", "date"), n, "source_id"), "source_id", "left")
+    per = spread(dated, n, "claim_id").groupBy("claim_id").agg(F.count_distinct("source_id").alias("source_count"), F.max("date").alias("newest"))
     rows = claims.join(per, "claim_id", "left").withColumn("source_count", F.coalesce("source_count", F.lit(0)))
     points = F.coalesce("importance", F.lit(2)) * 10 + cases(F.col("actionability"), ACTIONABILITY_POINTS, 10) + cases(F.col("evidence"), EVIDENCE_POINTS, 3) + F.least("source_count", F.lit(5)) * 2
     return rows.withColumn("score", F.round(points + recency_bonus(F.col("newest"), as_of), 6))
