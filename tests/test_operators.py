@@ -300,3 +300,14 @@ def test_vectors_of_a_table_are_matched_in_blocks_and_looked_up(spark):
     one = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0]), (4, None)], "vec_id long, embedding array<float>")
     sql.register_tables(spark, vectors=one)
     assert [tuple(r) for r in spark.sql("SELECT * FROM match_vectors(array(1F, 0F), 0.2D, 5) ORDER BY nth").collect()] == [(1, 1.0, 1), (2, 0.707107, 2)]
+
+
+@pytest.mark.parametrize("name", ["win_04_markers", "fil_11_visible_topics", "math_01_score", "lim_01_page", "sort_01_ranked", "udf_02_topic_claims_lateral"])
+def test_large_tables_get_more_tasks_and_the_same_rows(spark, monkeypatch, name):
+    from silexa import catalog, session
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, catalog.QUERIES[name](spark, sf).collect()))
+    monkeypatch.setattr(session, "ROWS_A_TASK", 300)
+    found = catalog.QUERIES[name](spark, sf)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, found.collect())) == want
