@@ -14,6 +14,10 @@ LOW_VALUE = (
     r"no conflict",
     r"^(this|the) (podcast|episode|discussion|conversation|topic)",
 )
+#: Characters of a text that may lose marked stretches, and those of an anchor, at least.
+SHORT, LEAST_ANCHOR = 200, 12
+#: What stands at the ends of a text without being part of it: all blanks of Unicode and the four separators before the space.
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def html_text(c: Column) -> Column:
@@ -162,3 +166,25 @@ def moment_url(url: Column, ms: Column) -> Column:
     """A video's address at a moment; null for other addresses and without a time."""
     link = F.concat(url, F.when(F.contains(url, F.lit("?")), "&").otherwise("?"), F.lit("t="), F.floor(ms / 1000))
     return F.when(video_id(url).isNotNull() & F.contains(url, F.lit("/")) & ms.isNotNull(), link)
+
+
+def without_marked(c: Column, marks: Column) -> Column:
+    """A text without the stretches from a start to an end anchor (``marks``: array of arrays of the two); anchors that are short, missing or ambiguous remove nothing."""
+    trimmed = lambda x: F.btrim(x, F.lit(_BLANKS))
+    pairs = F.transform(marks, lambda m: F.struct(trimmed(F.get(m, F.lit(0))).alias("first"), trimmed(F.get(m, F.lit(1))).alias("last")))
+    at = F.transform(pairs, lambda p: F.struct(p["first"].alias("first"), p["last"].alias("last"), F.when(F.length(p["first"]) >= LEAST_ANCHOR, F.position(p["first"], c)).alias("at")))
+    clear = F.filter(at, lambda p: (p["at"] > 0) & (F.position(p["first"], c, p["at"] + 1) == 0))
+    # Characters from 0 to where a stretch starts and stops; none where the end anchor is missing.
+    stop = lambda p: F.when(F.length(p["last"]) >= LEAST_ANCHOR, F.nullif(F.position(p["last"], c, p["at"]), F.lit(0)) - 1 + F.length(p["last"])).otherwise(p["at"] - 1 + F.length(p["first"]))
+    spans = F.array_sort(F.filter(F.transform(clear, lambda p: F.struct((p["at"] - 1).alias("start"), stop(p).alias("stop"))), lambda s: s["stop"] > s["start"]))
+
+    def kept(acc: Column, s: Column) -> Column:
+        own = F.concat(F.substr(c, F.greatest(acc["at"], F.lit(0)) + 1, s["start"] - F.greatest(acc["at"], F.lit(0))), F.lit(" "))
+        return F.struct(F.concat(acc["out"], F.when(s["start"] > acc["at"], own).otherwise("")).alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
+
+    def whole(acc: Column) -> Column:
+        joined = F.concat(acc["out"], F.substr(c, acc["at"] + 1))
+        return F.when(acc["at"] < 0, c).otherwise(trimmed(F.regexp_replace(joined, r"[ \t]{2,}", " ")))
+
+    cut = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(-1).alias("at")), kept, whole)
+    return F.when(F.length(c) >= SHORT, F.coalesce(cut, c)).otherwise(c)

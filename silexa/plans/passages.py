@@ -68,9 +68,9 @@ e AS (SELECT *, CASE WHEN length(z) < 12 THEN i + length(a) WHEN strpos(substr(t
 @_R.add(rf"WITH {_MARKS} SELECT doc_id, CASE WHEN length(text) >= 200 AND length(a) >= 12 AND strpos(substr(text, i + 1), a) = 0 AND stop > i THEN regexp_replace(regexp_replace(substr(text, 1, i - 1) || ' ' || substr(text, stop), '[ \t]{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') ELSE text END AS text FROM e", model=False)
 def str_06_hygiene(t: Tables) -> DataFrame:
     """Texts without the stretch from their first to their second line's beginning, where those anchors are clear."""
-    lines = F.split("text", "\n")
-    marks = F.array(F.array(F.substring(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), 1, 30), F.substring(F.coalesce(F.get(lines, F.lit(1)), F.lit("")), 1, 30)))
-    return _text(t).select("doc_id", P.without_marked_udf("text", marks).alias("text"))
+    line = lambda lines, n: F.substring(F.coalesce(F.get(lines, F.lit(n)), F.lit("")), 1, 30)
+    marks = F.transform(F.array(F.split("text", "\n", 3)), lambda lines: F.array(line(lines, 0), line(lines, 1)))
+    return _text(t).select("doc_id", X.without_marked(F.col("text"), marks).alias("text"))
 
 
 _MARKED = "substr(text, 1, 40) || ' [0a1b2c3d-0000-4000-8000-' || lpad(doc_id::VARCHAR, 12, '0') || '] , and   more [' || doc_id || ']'"

@@ -167,6 +167,30 @@ def test_marked_stretches_go_where_their_anchors_are_clear():
     assert P.without_marked(text, [("this is brought to you", "welcome to the show")]) == text
 
 
+def test_marked_stretches_go_without_python(spark):
+    """Against the plain form, one text at a time: several stretches, some over each other, with blanks of all kinds; no worker of Python's holds a text."""
+    import random
+
+    from test_catalog import SF
+
+    from silexa import catalog
+
+    rng = random.Random(5)
+    words = ["opening of the show", "and that was the end", "brought to you by é名前 people", "a b", " \t ", "\n", "\u3000", "\x1c", "\xa0 ", "plain words of no meaning", "🙂 more of it"]
+    pick = lambda n: "".join(rng.choice(words) + rng.choice(["", " ", f"{rng.random()}"]) for _ in range(n))
+    rows = [(0, None, [["a start anchor", "an end anchor"]]), (1, "", []), (2, "  " + "x" * 300 + "  ", []), (3, "an opening anchor" + " y " * 90, [["an opening anchor", ""], ["an opening anchor", "nowhere to be seen"]])]
+    for i in range(4, 300):
+        text = pick(rng.randint(1, 40))
+        cuts = [(lambda a: text[a : a + rng.randint(1, 40)])(rng.randrange(len(text))) for _ in range(8)]
+        rows.append((i, text, [[rng.choice([*cuts, *words]), rng.choice([*cuts, *words, ""])] for _ in range(rng.randint(0, 4))]))
+    df = spark.createDataFrame(rows, "id int, text string, marks array<array<string>>")
+    got = {r["id"]: r["out"] for r in df.select("id", X.without_marked(F.col("text"), F.col("marks")).alias("out")).collect()}
+    want = {i: None if text is None else P.without_marked(text, [tuple(m) for m in marks]) for i, text, marks in rows}
+    assert got == want and sum(want[i] != text for i, text, _ in rows) > 50
+    plan = catalog.QUERIES["str_06_hygiene"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_timings_of_passages():
     captions = [(f"caption number {i} says something of its own", i * 1000, i * 1000 + 900) for i in range(20)]
     joined = " ".join(c[0] for c in captions)
