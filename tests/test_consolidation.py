@@ -223,6 +223,22 @@ def test_vectors_of_other_lengths_zeros_and_one_plan_for_any_number_of_queries(s
     assert nodes(vector.match(vectors, asked, 0.5, 3)) == few
 
 
+def test_python_holds_one_block_at_a_time(spark, monkeypatch):
+    """Chunks reach Python in groups of one block, so that an Arrow batch ends with it; the groups are those that the join has made, without another shuffle or sort."""
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    want = sorted(map(tuple, vector.match(vectors, asked, 0.2, 3).collect()))
+    monkeypatch.setattr(vector, "BLOCK_BYTES", 1600)
+    monkeypatch.setattr(vector, "CHUNK_BYTES", 3200)
+    df = vector.match(vectors, asked, 0.2, 3)
+    assert sorted(map(tuple, df.collect())) == want and len(want) > 500
+    plan = [line.strip(" :+-*") for line in df._jdf.queryExecution().executedPlan().toString().split("\n")]
+    grouped, joined = (next(i for i, line in enumerate(plan) if name in line) for name in ("FlatMapGroupsInArrow", "SortMergeJoin"))
+    assert not any("Exchange" in line or "Sort " in line for line in plan[grouped:joined])
+
+
 def test_index_finds_nine_of_ten_and_all_with_all_lists(spark, tmp_path):
     rng = random.Random(4)
     base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(60)]
