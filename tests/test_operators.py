@@ -191,6 +191,18 @@ def test_marked_stretches_go_without_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_texts_are_python_strings_a_part_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    held, texts = [], ["é" * 10, None, "", "x" * 500, *["y" * 20] * 30]
+    monkeypatch.setattr(P, "HELD_BYTES", 100)
+    real = pa.array
+    monkeypatch.setattr(P.pa, "array", lambda rows, kind: held.append(len(rows)) or real(rows, kind))
+    got = P._by_parts(lambda t, n: [t or "", n], P.pa.list_(pa.string()), real(texts), real([str(i) for i in range(len(texts))]))
+    assert got.to_pylist() == [[t or "", str(i)] for i, t in enumerate(texts)] and max(held) <= 5 and sum(held) == len(texts)
+    assert P._by_parts(len, pa.int32(), real([], pa.string())).to_pylist() == []
+
+
 def test_timings_of_passages():
     captions = [(f"caption number {i} says something of its own", i * 1000, i * 1000 + 900) for i in range(20)]
     joined = " ".join(c[0] for c in captions)
