@@ -206,6 +206,42 @@ _DEFINITION = open(tokenfiles.default_file()).read()
 _WORDS = tokenfiles.Words(_DEFINITION)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abzAZ09'’.,!~<|>&ßÀÞàÿ÷×µ\u0301\x7f\xa0\xad sStTrRvVlLmMdDeE"), max_size=12), max_size=12))
+def test_ids_of_plain_and_other_words(words):
+    text = " ".join(words)
+    ids, _ = tokenfiles.encoded(_DEFINITION, [text.encode()], _WORDS)
+    assert ids.tolist() == _plain_tokens([text])[0]
+
+
+def test_plain_words_reach_the_model_as_distinct_pieces(monkeypatch):
+    words, sent = tokenfiles.Words(_DEFINITION), []
+    monkeypatch.setattr(words, "tokenizer", None)
+    model = words.plain.tokenizer
+    monkeypatch.setattr(words.plain, "tokenizer", type("Model", (), {"encode_batch_fast": lambda _, x, **k: [sent.extend(x), model.encode_batch_fast(x, **k)][1]})())
+    texts = ["Garçon, garçon! GARÇON's", "(garçon)\tit's \n It'S 'sa ''s"]
+    ids, sizes = tokenfiles.encoded(_DEFINITION, [t.encode() for t in texts], words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == _plain_tokens(texts)
+    pieces = " ".join(sent).split()
+    assert len(pieces) == len(set(pieces)) == 10
+
+
+def test_long_texts_and_other_tokenizers(monkeypatch):
+    import json
+
+    monkeypatch.setattr(tokenfiles, "CHUNK_BYTES", 50)
+    monkeypatch.setattr(tokenfiles.spans_of, "__defaults__", (40,))
+    texts = ["", *(" ".join(t or "" for t in ODD) for _ in range(3)), None, "a " * 500, "x" * 300 + " y"]
+    ids, sizes = tokenfiles.encoded(_DEFINITION, [(t or "").encode() for t in texts], tokenfiles.Words(_DEFINITION))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == _plain_tokens(texts)
+    assert tokenfiles.encoded(_DEFINITION, [], tokenfiles.Words(_DEFINITION))[0].tolist() == []
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "WhitespaceSplit"}}):
+        other = json.dumps(json.loads(_DEFINITION) | change)
+        words = tokenfiles.Words(other)
+        some = [t.encode() for t in ("Don't STOP 3.14", "é à b")]
+        assert words.plain is None and (tokenfiles.encoded(other, some, words)[0] == tokenfiles.encoded(other, some, None)[0]).all()
+
+
 def test_files_hold_all_ids_in_order(spark, docs, rows, tmp_path):
     more = docs.select("doc_id", "text").union(spark.createDataFrame([(i + 10_000, t) for i, t in enumerate(ODD)], "doc_id long, text string")).withColumn("part", F.lit("x")).withColumn("ids", F.lit(1))
     path = f"file://{tmp_path}/tokens"
