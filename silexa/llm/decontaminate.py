@@ -36,28 +36,33 @@ def _split(c: Column, separator: str) -> Column:
     return F.array_remove(F.split(c, separator), "")
 
 
-def _parts(text: Column) -> tuple[Column, Column]:
-    """The text in lower case with a mark before each name and each capitalised word that may open a sentence, and its words."""
-    # Each pattern looks first at the character that is rare, so that most places fail at once.
+def _clean(text: Column) -> Column:
+    """The words of the text in lower case, a blank between two, with a mark before each name and each capitalised word that may open a sentence."""
+    # Each pattern begins with the character that is rare, so that most places fail at once.
     marked = F.regexp_replace(text, r"(?=\p{Lu})(?<![\p{L}\p{N}])(?=\p{Lu}\p{L}*?\p{Ll})", _NAME)
-    marked = F.regexp_replace(marked, rf"((?:^|[.!?:;…\n\r{_QUOTES}])[\s{_QUOTES}*•-]*+){_NAME}", f"$1{_OPENER}")
+    # What stands before a mark may be of any length, so it is looked at from behind: a mark comes first in the reversed text.
+    opens = rf"{_NAME}(?=[ \t\x0B\f*•-]*+(?:\z|[.!?:;…\n\r{_QUOTES}]))"
+    marked = F.when(F.contains(marked, F.lit(_NAME)), F.reverse(F.regexp_replace(F.reverse(marked), opens, _OPENER))).otherwise(marked)
     marked = F.lower(F.regexp_replace(marked, r"[.,](?=\p{N})(?<=\p{N}[.,])", _DOT))
-    return marked, _split(marked, rf"[^a-z\p{{L}}\p{{N}}{_NAME}{_OPENER}{_DOT}]++")
+    return F.array_join(_split(marked, rf"[^a-z\p{{L}}\p{{N}}{_NAME}{_OPENER}{_DOT}]++"), " ")
 
 
-def words_of(text: Column, lower: list[str] | Column) -> tuple[Column, Column]:
-    """(raw words, template words), place by place. Of the capitalised words that may open a sentence, those among ``lower`` (words, or a column of them) are ordinary words."""
-    marked, parts = _parts(text)
-    clean = F.array_join(parts, " ")
-    raw = F.when(F.size(parts) > 0, F.split(F.translate(clean, _NAME + _OPENER, ""), " ")).otherwise(parts)
+def words_of(clean: Column, lower: list[str] | Column) -> tuple[Column, Column]:
+    """(raw words, template words) of ``_clean``, place by place. Of the capitalised words that may open a sentence, those among ``lower`` (words, or a column of them) are ordinary words.
+
+    ``clean`` is to be a column that a table has, as it is used many times.
+    """
+    none = F.array().cast("array<string>")
+    raw = F.when(clean == "", none).otherwise(F.split(F.translate(clean, _NAME + _OPENER, ""), " "))
     numbers = F.regexp_replace(clean, rf"(?=\p{{N}})(?<![\p{{L}}\p{{N}}{_DOT}])\p{{N}}[\p{{N}}{_DOT}]*+", _NUMBER)
-    units = F.regexp_replace(numbers, rf"(?<={_NUMBER})( ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{_UNIT}")
-    template = F.split(F.regexp_replace(units, rf"{_NAME}\p{{L}}++", "#w"), " ")
+    units = F.regexp_replace(numbers, rf"{_NUMBER}( ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"{_NUMBER}$1{_UNIT}")
+    # Only texts with digits or marks go through the later expressions.
+    typed = F.when(F.rlike(clean, F.lit(r"\p{N}")), units).otherwise(clean)
+    names = F.split(F.regexp_replace(typed, rf"{_NAME}\p{{L}}++", "#w"), " ")
     ordinary = lambda w: w.isin(lower) if isinstance(lower, list) else F.array_contains(lower, w)
     opener = lambda w: F.when(ordinary(F.substring(w, 2, 1 << 30)), F.substring(w, 2, 1 << 30)).otherwise("#w")
-    template = F.transform(template, lambda w: F.when(F.startswith(w, F.lit(_OPENER)), opener(w)).otherwise(w))
-    # Only texts with digits or marks go through the later expressions.
-    return raw, F.when(F.rlike(marked, F.lit(rf"[\p{{N}}{_NAME}{_OPENER}]")) & (F.size(parts) > 0), template).otherwise(raw)
+    template = F.when(F.contains(clean, F.lit(_OPENER)), F.transform(names, lambda w: F.when(F.startswith(w, F.lit(_OPENER)), opener(w)).otherwise(w))).otherwise(names)
+    return raw, F.when(clean == "", none).otherwise(template)
 
 
 def lower_words(benchmark: DataFrame) -> list[str] | DataFrame:
@@ -71,14 +76,15 @@ def _with_lower(table: DataFrame, key: str, lower: list[str] | DataFrame) -> Dat
     """``table`` with ``_lower``, if the words are a table: those of a row's own openers that the benchmark has in lower case."""
     if isinstance(lower, list):
         return table
-    openers = F.filter(_parts(F.coalesce("text", F.lit("")))[1], lambda w: F.startswith(w, F.lit(_OPENER)))
+    openers = F.filter(F.split(_clean(F.coalesce("text", F.lit(""))), " "), lambda w: F.startswith(w, F.lit(_OPENER)))
     asked = table.select(key, F.explode(openers).alias("w")).select(key, F.substring("w", 2, 1 << 30).alias("w")).distinct()
     known = asked.join(lower, "w").groupBy(key).agg(F.collect_set("w").alias("_lower"))
     return table.join(known, key, "left").withColumn("_lower", F.coalesce("_lower", F.array().cast("array<string>")))
 
 
 def _rows(table: DataFrame, keep: list[str], lower: list[str] | DataFrame) -> DataFrame:
-    raw, template = words_of(F.coalesce("text", F.lit("")), lower if isinstance(lower, list) else F.col("_lower"))
+    raw, template = words_of(F.col("_clean"), lower if isinstance(lower, list) else F.col("_lower"))
+    table = table.withColumn("_clean", _clean(F.coalesce("text", F.lit(""))))
     return table.select(*keep, raw.alias("raw"), template.alias("words"))
 
 

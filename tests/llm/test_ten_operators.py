@@ -675,6 +675,29 @@ def _template(text, lower):
     return [o[0] for o in out], [o[1] for o in out]
 
 
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
+def test_templates_are_those_of_plain_string_work_and_texts_are_marked_once(spark):
+    rng = np.random.default_rng(5)
+    words = ["Tom", "McX", "Ärger", "USA", "tom", "xY", "3", "1,200.5", "60 km", "7kg", "4 kgs", "é"]
+    between = [".", "!", ":", "…", "\n", "\r", "\t", " ", "  ", '"', "„", "’", "(", "[", "*", "•", "-", "—"]
+    text = lambda: "".join(str(rng.choice(words)) + "".join(map(str, rng.choice(between, int(rng.integers(1, 5))))) for _ in range(int(rng.integers(0, 12))))
+    texts = [str(rng.choice(["", *between])) + text() for _ in range(400)]
+    texts += ["", " ", "Tom", "  Tom", ". " + " *-" * 200 + "Tom", "x " + " *-" * 200 + "Tom", "Tom Tom. Tom\nTom", "\n \t Tom", "a\n* Tom", "no capital, no digit"]
+    lower = ["tom", "ärger"]
+    rows = decontaminate._rows(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), ["i"], lower)
+    want = [_template(t, set(lower)) for t in texts]
+    assert [(r["raw"], r["words"]) for r in sorted(rows.collect())] == want
+    assert {w for _, words in want for w in words} >= {"#w", "#n", "#u", "#n#u", "tom", "ärger"}
+    # A step that Spark interprets row by row must not hold the marking of the text, which would then run again.
+    nodes = [n.verboseStringWithOperatorId() for n in _nodes(rows._jdf.queryExecution().sparkPlan())]
+    assert any("transform(" in n for n in nodes) and not any("transform(" in n and r"\p{Lu}" in n for n in nodes)
+
+
 def _slow_leaks(docs, items):
     """All pairs of documents and items, window by window."""
     lower = {w for _, t in items if t for w in re.findall(r"[^\W_]+", t) if w[0].islower()}
