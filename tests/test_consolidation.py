@@ -300,3 +300,24 @@ def test_a_sweep_waits_for_claims_alone_that_may_take_what_it_sees(spark, monkey
     claims = spark.createDataFrame([(i, 0, [1.0, 0.01 * i]) for i in range(12)], CLAIMS)
     merges, reviews, _ = K.sweep(claims, 0.5, ThresholdJudge(1.1, 0.6))
     assert merges.count() == 0 and reviews.count() > 0 and len(calls) == 4
+
+
+def test_a_sweep_holds_the_lists_of_one_batch_and_not_all_pairs(spark, monkeypatch):
+    """Claims that are all alike, some of them equal, in batches that lists which may run out end early: no table written is larger than the lists of a batch."""
+    rng, low = random.Random(11), 0.5
+    rows = [(i, rng.randrange(9), [1.0, 0.2, 0.1] if i % 4 == 0 else [1.0, rng.gauss(0, 0.3), rng.gauss(0, 0.3)]) for i in range(30)]
+    answers = _answers([(i, v) for i, _, v in rows], 11, low)
+    assert len(answers) > 750
+    want = _sweep_one_by_one(rows, answers, low, 2, [])
+    sizes, batches = [], []
+    for name in ("laid", "stored", "checkpointed"):
+        real = getattr(K, name, None)
+        monkeypatch.setattr(K, name, lambda df, *a, real=real: sizes.append((out := real(df, *a)).count()) or out, raising=False)
+    if real := getattr(K, "_sweep_batch", None):
+        monkeypatch.setattr(K, "_sweep_batch", lambda live, at, high, *a: batches.append((at, high, (out := real(live, at, high, *a))[2])) or out)
+    monkeypatch.setattr(K, "PEERS", 4, raising=False)
+    monkeypatch.setattr(K, "BATCH_ROWS", 64, raising=False)
+    merges, queued, _ = K.sweep(spark.createDataFrame(rows, CLAIMS), low, _recorded(spark, answers), k=2)
+    pairs = lambda df: {tuple(r)[:2] for r in df.collect()}
+    assert (pairs(merges), pairs(queued)) == want and len(want[0]) > 2
+    assert max(sizes) <= 64 and len(batches) > 2 and any(upto < high for _, high, upto in batches)
