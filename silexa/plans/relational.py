@@ -174,8 +174,9 @@ SELECT k, min(a) AS start_at, max(b) AS end_at FROM numbered GROUP BY k, island"
 def win_07_merge_spans(t: Tables) -> DataFrame:
     """Overlapping spans of one key merged to islands."""
     a = (F.col("l_linenumber") * 10 + F.col("l_suppkey") % 5).cast("long")
-    spans = t.raw("lineitem").select(F.col("l_orderkey").alias("k"), a.alias("a"), (a + F.col("l_quantity")).cast("long").alias("b"))
-    order = Window.partitionBy("k").orderBy("a", "b")
+    # As in SQL, ends are rounded (a half to the even neighbour) and nulls come last.
+    spans = t.raw("lineitem").select(F.col("l_orderkey").alias("k"), a.alias("a"), F.rint(a + F.col("l_quantity")).cast("long").alias("b"))
+    order = Window.partitionBy("k").orderBy(F.col("a").asc_nulls_last(), F.col("b").asc_nulls_last())
     new = F.when(F.col("a") <= F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
     island = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return spans.withColumn("new", new).withColumn("island", island).groupBy("k", "island").agg(F.min("a").alias("start_at"), F.max("b").alias("end_at")).drop("island")

@@ -42,3 +42,17 @@ def test_entry_runs(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["claim_id", "statement", "source_count", "score"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_spans_with_nulls_and_parts_of_units_merge_as_in_sql(spark, tmp_path):
+    """No two spans of a key are equal here: SQL leaves the order of equal ones open in each of its windows."""
+    import duckdb
+
+    rows = [(1, 1, 0, 5.0), (1, 1, 0, None), (1, 3, 0, 2.0), (1, None, 0, 50.0), (1, 2, None, 1.0), (2, 1, 0, 9.6), (2, 2, 0, 1.0), (3, 1, 0, 8.5), (3, 1, 4, 4.5), (3, 1, 3, 2.5), (4, 1, 1, None), (None, 1, 0, 5.0), (None, 1, 2, 6.0)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double")
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(f"SELECT k, start_at, end_at FROM ({catalog.ORACLE_SQL['win_07_merge_spans']})").fetchall()
+    got = catalog.QUERIES["win_07_merge_spans"](spark, f"file://{tmp_path}").select("k", "start_at", "end_at").collect()
+    assert sorted(tuple(map(cell, r)) for r in got) == sorted(tuple(map(cell, r)) for r in want)
